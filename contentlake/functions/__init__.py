@@ -7,5 +7,5 @@ from .metrics import (embeddable_text, engagement_rate, has_items, has_text,  #
 from .parse import (as_float, as_int, duration_seconds, filters_json, first_present,  # noqa: F401
                     parse_ts, parse_ts_native, parse_vector, vget)
 from .text import (bare_post_id, checksum, citation, clean_tag, clean_username,  # noqa: F401
-                   guess_language, hashtags, lower_list, mentions, natural_key, snippet, tokens,
+                   guess_language, hashtags, lower_list, mentions, natural_key, py_strip, snippet, tokens,
                    trigrams, urls)

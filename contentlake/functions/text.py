@@ -67,7 +67,7 @@ def natural_key(platform, native_id) -> Column:
 
 def checksum(text) -> Column:
     """SHA-256 hex of the stripped UTF-8 text."""
-    return F.sha2(F.trim(_col(text)), 256)
+    return F.sha2(py_strip(text), 256)
 
 
 def bare_post_id(x) -> Column:
@@ -99,3 +99,12 @@ def trigrams(text) -> Column:
     grams = F.transform(padded, lambda p: F.transform(
         F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, 3)))
     return F.array_distinct(F.flatten(grams))
+
+
+# Whitespace as Python's str.strip() sees it (ASCII blanks, separators, C1 next-line).
+PY_WS = r"[\s\p{Z}\x1c-\x1f\x85]"
+
+
+def py_strip(x) -> Column:
+    """Strip leading/trailing whitespace with Python ``str.strip()`` semantics."""
+    return F.regexp_replace(_col(x), f"^{PY_WS}+|{PY_WS}+$", "")
