@@ -1,3 +1,3 @@
 """Registered queries, grouped as in SURVEY section 2."""
 
-from . import analytics, functions  # noqa: F401
+from . import analytics, functions, normalize, raw_oracle  # noqa: F401
