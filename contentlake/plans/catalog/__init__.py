@@ -1,3 +1,3 @@
 """Registered queries, grouped as in SURVEY section 2."""
 
-from . import analytics, functions, ingest, normalize, raw_oracle  # noqa: F401
+from . import analytics, functions, ingest, normalize, raw_oracle, retrieval  # noqa: F401
