@@ -1,3 +1,3 @@
 """Registered queries, grouped as in SURVEY section 2."""
 
-from . import analytics, chat, functions, ingest, normalize, raw_oracle, retrieval  # noqa: F401
+from . import analytics, chat, functions, ingest, normalize, raw_oracle, retrieval, sql, streaming  # noqa: F401
