@@ -39,10 +39,38 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``contentlake`` importable in executor Python workers (pandas UDFs), once per context.
+
+    The package is zipped and added with ``addPyFile`` -- the same mechanism as ``--py-files``."""
+    sc = spark.sparkContext
+    key = id(sc)
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    import contentlake
+    pkg_dir = os.path.dirname(os.path.abspath(contentlake.__file__))
+    fd, path = tempfile.mkstemp(suffix=".zip", prefix="contentlake-")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w") as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
+
+
 def prepare(spark: SparkSession) -> None:
-    """Settings every registered query relies on (UTC wall clock, AQE)."""
+    """Settings every registered query relies on (UTC wall clock, AQE) and the package on executors."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
+    ship_package(spark)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
