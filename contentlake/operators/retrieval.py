@@ -273,3 +273,39 @@ def question_context(hits: DataFrame, docs: DataFrame, max_hits: int = 8, snippe
     return g.select("qid", F.size("xs").alias("n_hits"),
                     F.array_join(F.transform("xs", lambda x: x["line"]), "\n").alias("context"),
                     F.array_join(F.transform("xs", lambda x: x["src"]), ",").alias("sources"))
+
+
+def keyword_search_stemmed(docs: DataFrame, query: str, platform: str | None = None, limit: int = 20) -> DataFrame:
+    """R1 with English stemming: query words and document words compared by stem.
+
+    Documents -> distinct (doc, term) -> join the vocabulary's stems (stemmed once) -> one row per
+    doc with a flag per query stem -> the web-search predicate over the flags. Phrases are matched as
+    all-of their stems."""
+    from .stemmer import stem, vocabulary_stems
+    q = parse_websearch(query)
+    d = docs if platform is None else docs.where(F.col("platform") == platform)
+    if q.empty:
+        return d.limit(0).select(*_hit_cols(F.lit(1.0), "keyword"))
+    terms = doc_terms(d)
+    stems = vocabulary_stems(terms)
+    ts = terms.join(stems, "term")
+    wanted = sorted({stem(w) for g in q.groups for t in g for w in t.words if w not in STOP_WORDS})
+    flags = ts.groupBy("source_type", "source_id").agg(
+        *[F.max(F.when(F.col("stem") == w, 1).otherwise(0)).alias(f"_s{i}") for i, w in enumerate(wanted)])
+    idx = {w: i for i, w in enumerate(wanted)}
+    pred = None
+    for g in q.groups:
+        gp = None
+        for t in g:
+            ws = [w for w in t.words if w not in STOP_WORDS]
+            tp = None
+            for w in ws:
+                c = F.col(f"_s{idx[stem(w)]}") == 1
+                tp = c if tp is None else (tp & c)
+            if t.negated:
+                tp = ~tp
+            gp = tp if gp is None else (gp | tp)
+        pred = gp if pred is None else (pred & gp)
+    hits = flags.where(pred).select("source_type", "source_id")
+    out = d.join(hits, ["source_type", "source_id"], "left_semi").orderBy("source_id").limit(limit)
+    return out.select(*_hit_cols(F.lit(1.0), "keyword"))

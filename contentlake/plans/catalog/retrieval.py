@@ -161,6 +161,12 @@ def join_filter_context(t):
     return ctx.select("source_type", "source_id", "content_type", "author_username", F.col("_likes").alias("likes"))
 
 
+@register("keyword_search_stemmed")
+def keyword_search_stemmed(t):
+    """R1 with English stems (Porter): 'tions thons' finds documents with 'tion' and 'thon' forms."""
+    return RT.keyword_search_stemmed(t.search_docs, "the tions thons -thers", limit=20).drop("content")
+
+
 # --------------------------------------------------------------------------- batch questions
 QUESTIONS_SQL = r"""(select item_id as qid, regexp_extract(lower(text), '[\p{L}]{5,}', 0) as term from benchmark)"""
 

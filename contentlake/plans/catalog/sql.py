@@ -138,6 +138,16 @@ _sql("sql_range_join", """
     group by p.post_id""")
 
 
+_sql("sql_match_embeddings", """
+    select source_type, cast(source_id as string) as source_id, round(similarity, 6) as similarity from (
+      select * from match_embeddings((select embedding from embeddings where vec_id = 7), 'twitter')
+      order by similarity desc, source_id limit 10)""", """
+    select source_type, cast(source_id as varchar) as source_id, round(similarity, 6) as similarity from (
+      select source_type, source_id,
+        list_cosine_similarity(embedding, (select cast(embedding as double[]) from embeddings where vec_id = 7)) as similarity
+      from doc_embeddings where platform = 'twitter' order by similarity desc, source_id limit 10)""")
+
+
 @register("schema_catalog")
 def schema_catalog_q(t):
     """Q3: the views and columns a user may query."""

@@ -25,12 +25,26 @@ WRITE_NODES = re.compile(r"\b(InsertInto\w*|DropTable|DropView|Create\w+|Replace
                          r"UpdateTable|MergeIntoTable|TruncateTable|AppendData|Overwrite\w+|SetCommand|\w+Command)\b")
 
 
+COSINE = """aggregate(zip_with(embedding, query_embedding, (a, b) -> cast(a as double) * b), 0D, (acc, x) -> acc + x)
+      / (sqrt(aggregate(embedding, 0D, (acc, x) -> acc + cast(x as double) * x))
+         * sqrt(aggregate(query_embedding, 0D, (acc, x) -> acc + cast(x as double) * x)))"""
+
+MATCH_EMBEDDINGS = f"""
+CREATE OR REPLACE TEMPORARY FUNCTION match_embeddings(query_embedding ARRAY<FLOAT>, filter_platform STRING)
+RETURNS TABLE (source_type STRING, source_id BIGINT, platform STRING, similarity DOUBLE)
+RETURN SELECT source_type, source_id, platform, {COSINE} AS similarity
+  FROM doc_embeddings WHERE filter_platform IS NULL OR platform = filter_platform"""
+
+
 def register_views(spark: SparkSession, t: Tables) -> list[str]:
-    """Register the model bindings and driver tables as temp views; returns their names."""
+    """Register the model bindings and driver tables as temp views, and the ``match_embeddings``
+    table function (Q6: cosine similarity of every vector; the caller's ``ORDER BY similarity DESC
+    LIMIT k`` becomes a per-partition top-k). Returns the view names."""
     for name in MODEL_VIEWS:
         getattr(t, name).createOrReplaceTempView(name)
     for name in DRIVER_TABLES:
         t.table(name).createOrReplaceTempView(name)
+    spark.sql(MATCH_EMBEDDINGS)
     return sorted(KNOWN_VIEWS)
 
 

@@ -104,3 +104,22 @@ def test_keyword_search_brute_force(spark):
         return ("cat" in toks) and (("dog" not in toks) or " big fish " in joined)
     assert got == [i for i, (_, _, _, t) in enumerate(docs) if match(t)]
     _ = F
+
+
+def test_porter_stem():
+    from contentlake.operators.stemmer import stem
+    cases = {"caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre",
+             "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop",
+             "filing": "file", "happy": "happi", "relational": "relat", "conditional": "condit",
+             "generalization": "gener", "hopeful": "hope", "goodness": "good", "revival": "reviv",
+             "adjustment": "adjust", "adoption": "adopt", "controll": "control", "running": "run"}
+    for w, exp in cases.items():
+        assert stem(w) == exp, (w, stem(w), exp)
+
+
+def test_keyword_search_stemmed(spark):
+    docs = spark.createDataFrame([("post", 1, "x", "Running nations"), ("post", 2, "x", "the runner"),
+                                  ("post", 3, "x", "a nation runs")],
+                                 "source_type string, source_id long, platform string, content string")
+    got = [int(r["source_id"]) for r in RT.keyword_search_stemmed(docs, "run nation").collect()]
+    assert got == [1, 3]
