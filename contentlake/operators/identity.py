@@ -22,17 +22,23 @@ def entity_id(*cols) -> Column:
 
 
 def dedupe_last_wins(df: DataFrame, keys: Sequence[str], order: str = "item_seq") -> DataFrame:
-    """One row per key, the **last** in scrape order; ``first_seq`` keeps first-seen order."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    wk = Window.partitionBy(*keys)
-    return (df.withColumn("first_seq", F.min(order).over(wk))
-              .withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn"))
+    """One row per key, the **last** in scrape order; ``first_seq`` keeps first-seen order.
+
+    An aggregate (``max_by`` over the row) instead of a window: it is partially aggregated on the
+    map side, so a key holding a large share of the rows is reduced before the shuffle."""
+    others = [c for c in df.columns if c not in keys and c != order]
+    row = F.struct(*[F.col(c) for c in [order] + others])
+    agg = df.groupBy(*keys).agg(F.max_by(row, F.col(order)).alias("_r"), F.min(order).alias("first_seq"))
+    return agg.select(*keys, *[F.col("_r")[c].alias(c) for c in [order] + others], "first_seq")
 
 
 def canonical_first_seen(df: DataFrame, keys: Sequence[str], order: str = "item_seq") -> DataFrame:
-    """The first-seen row per key is canonical; references carry the key, not a row id."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).asc())
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """The first-seen row per key is canonical; references carry the key, not a row id.
+    (``min_by`` aggregate, map-side combined like D1.)"""
+    others = [c for c in df.columns if c not in keys and c != order]
+    row = F.struct(*[F.col(c) for c in [order] + others])
+    agg = df.groupBy(*keys).agg(F.min_by(row, F.col(order)).alias("_r"))
+    return agg.select(*keys, *[F.col("_r")[c].alias(c) for c in [order] + others])
 
 
 def _empty_to_null(c: Column, dtype) -> Column:

@@ -1,6 +1,6 @@
 """Vector search: exact cosine top-k, batched top-k and an IVF (inverted lists) index.
 
-Scoring runs in Arrow batches with numpy (``mapInPandas``): each task keeps a
+Scoring runs in Arrow batches with numpy (``mapInArrow``): each task keeps a
 running top-k per query over all of its rows and emits at most ``k`` rows per
 query, so the shuffle after scoring is ``k x partitions`` rows, not the table.
 The query matrix is the only thing shipped to executors; its size is checked
@@ -21,49 +21,56 @@ from pyspark.sql.window import Window
 MAX_QUERY_BYTES = 64 * 1024 * 1024
 
 
-def _stack(vectors: pd.Series, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows x dims float64 matrix of the vectors with the expected length; mask of kept rows."""
-    ok = np.fromiter((v is not None and len(v) == dims for v in vectors), dtype=bool, count=len(vectors))
-    if not ok.any():
-        return np.zeros((0, dims)), ok
-    m = np.stack([np.asarray(v, dtype=np.float64) for v, keep in zip(vectors, ok) if keep])
-    return m, ok
-
-
 def _normalise(q: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(q, axis=-1, keepdims=True)
     n[n == 0] = np.nan
     return q / n
 
 
-def _topk_fn(queries: np.ndarray, qids: Sequence, k: int, key_cols: list[str], vec_col: str, out_key_types):
-    qn = _normalise(queries)  # nq x d
+def _topk_fn(queries: np.ndarray, qids: Sequence, k: int, key_cols: list[str], vec_col: str):
+    """Per-task scorer for ``mapInArrow``: the vector column is flattened zero-copy into a
+    rows x dims matrix; each query keeps its running top-k (all ties at the k-th score kept until
+    the final keyed tie-break)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    qn = _normalise(queries)
     dims = queries.shape[1]
 
+    def keep_top(cand: pd.DataFrame) -> pd.DataFrame:
+        cand = cand.sort_values(["similarity"] + key_cols, ascending=[False] + [True] * len(key_cols),
+                                na_position="last")
+        return cand.head(k)
+
     def run(batches):
         best: list[pd.DataFrame | None] = [None] * len(qids)
-        for pdf in batches:
-            if pdf.empty:
+        for b in batches:
+            if b.num_rows == 0:
                 continue
-            m, ok = _stack(pdf[vec_col], dims)
-            if m.shape[0] == 0:
+            col = b.column(b.schema.get_field_index(vec_col))
+            ok = pc.fill_null(pc.equal(pc.list_value_length(col), dims), False)
+            b2 = b.filter(ok)
+            if b2.num_rows == 0:
                 continue
-            keys = pdf.loc[ok, key_cols].reset_index(drop=True)
+            vals = b2.column(b2.schema.get_field_index(vec_col)).flatten()
+            m = vals.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dims)
             norms = np.linalg.norm(m, axis=1)
             norms[norms == 0] = np.nan
-            sims = (m @ qn.T) / norms[:, None]  # rows x nq
+            sims = (m @ qn.T) / norms[:, None]
+            keys = b2.select(key_cols)
             for j in range(len(qids)):
-                s = sims[:, j]
-                take = min(k, len(s))
-                idx = np.argpartition(-np.nan_to_num(s, nan=-np.inf), take - 1)[:take] if take < len(s) else np.arange(len(s))
-                cand = keys.iloc[idx].assign(similarity=s[idx])
-                prev = best[j]
-                merged = cand if prev is None else pd.concat([prev, cand], ignore_index=True)
-                best[j] = merged.sort_values(["similarity"] + key_cols, ascending=[False] + [True] * len(key_cols),
-                                             na_position="last").head(k)
+                s = np.nan_to_num(sims[:, j], nan=-np.inf)
+                if len(s) > k:
+                    kth = np.partition(-s, k - 1)[k - 1]
+                    idx = np.nonzero(s >= -kth)[0]
+                else:
+                    idx = np.arange(len(s))
+                cand = keys.take(pa.array(idx)).to_pandas().assign(similarity=sims[idx, j])
+                best[j] = keep_top(cand if best[j] is None else pd.concat([best[j], cand], ignore_index=True))
         for j, q in enumerate(qids):
             if best[j] is not None and len(best[j]):
-                yield best[j].assign(qid=q)
+                out = best[j].assign(qid=np.int64(q))
+                yield pa.RecordBatch.from_pandas(out, preserve_index=False)
 
     return run
 
@@ -91,8 +98,8 @@ def batch_topk(df: DataFrame, vec_col: str, queries: Sequence[tuple], k: int, ke
     for start in range(0, len(queries), per_chunk):
         chunk = queries[start:start + per_chunk]
         qm = np.asarray([q[1] for q in chunk], dtype=np.float64)
-        fn = _topk_fn(qm, [int(q[0]) for q in chunk], k, key_cols, vec_col, None)
-        parts.append(src.mapInPandas(fn, schema))
+        fn = _topk_fn(qm, [int(q[0]) for q in chunk], k, key_cols, vec_col)
+        parts.append(src.mapInArrow(fn, schema))
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)
