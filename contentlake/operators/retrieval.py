@@ -309,3 +309,23 @@ def keyword_search_stemmed(docs: DataFrame, query: str, platform: str | None = N
     hits = flags.where(pred).select("source_type", "source_id")
     out = d.join(hits, ["source_type", "source_id"], "left_semi").orderBy("source_id").limit(limit)
     return out.select(*_hit_cols(F.lit(1.0), "keyword"))
+
+
+def term_bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_inverted_index(docs: DataFrame, path: str, buckets: int = 64, text_col: str = "content") -> None:
+    """Persist postings (term, source_type, source_id, platform) partitioned by a hash bucket of the
+    term. Built once from the whole corpus; lookups then read only the buckets of their terms."""
+    idx = doc_terms(docs, text_col).withColumn("bucket", term_bucket(F.col("term"), buckets))
+    idx.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def postings_for(index: DataFrame, questions: DataFrame, buckets: int = 64) -> DataFrame:
+    """Join questions (qid, term) to the index on (bucket, term), reading only the index partitions
+    of the questions' buckets. The bucket set is bounded by ``buckets`` (not by the data), so it is
+    fetched and applied as a static partition filter."""
+    q = questions.select("qid", "term").withColumn("bucket", term_bucket(F.col("term"), buckets))
+    needed = sorted(r[0] for r in q.select("bucket").distinct().collect())
+    return index.where(F.col("bucket").isin(needed)).join(q, ["bucket", "term"])

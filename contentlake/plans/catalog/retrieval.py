@@ -227,6 +227,26 @@ def question_context(t):
     return RT.question_context(h, t.search_docs, 8, 500).withColumn("n_hits", F.col("n_hits").cast("bigint"))
 
 
+@register("keyword_postings_indexed", f"""
+    with q as {QUESTIONS_SQL}
+    select q.qid, q.term, count(d.source_id) as n_docs, cast(min(d.source_id) as varchar) as first_doc
+    from q join (select source_id, list_distinct(regexp_extract_all(lower(content), {TOK})) as toks from search_docs) d
+      on list_contains(d.toks, q.term)
+    group by q.qid, q.term""")
+def keyword_postings_indexed(t):
+    """R1/R7 at scale: an inverted index written once, partitioned by term bucket; the question batch
+    reads only its buckets (dynamic partition pruning) and counts postings per question."""
+    import uuid
+
+    from ...session import checkpoint_dir
+    path = f"{checkpoint_dir(t.spark).rstrip('/')}/inverted-{uuid.uuid4().hex[:12]}"
+    RT.write_inverted_index(t.search_docs, path, buckets=64)
+    index = t.spark.read.parquet(path)
+    hits = RT.postings_for(index, _questions(t), buckets=64)
+    return hits.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("n_docs"),
+                                           F.min("source_id").cast("string").alias("first_doc"))
+
+
 # --------------------------------------------------------------------------- joins
 @register("join_docs_embeddings", """
     select e.vec_id, d.doc_id, d.lang, d.n_chars, e.label, len(e.embedding) as dims
