@@ -64,7 +64,17 @@ def stream_session(t):
                       F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
 
 
-@register("stream_ingest")
+from .raw_oracle import strip as _strip  # noqa: E402
+
+IG_MAP = "map {'video':'reel','clips':'reel','igtv':'video','sidecar':'post','image':'post','feed':'post'}"
+
+
+@register("stream_ingest", f"""
+    select 'instagram' as platform, coalesce(j->>'$.id', j->>'$.shortCode', '') as platform_post_id,
+      coalesce({_strip("case when item_seq % 5 = 0 and j->>'$.caption' is not null then 'EDITED ' || (j->>'$.caption') else coalesce(j->>'$.caption', j->>'$.text') end")}, '') as caption,
+      coalesce(map_extract({IG_MAP}, lower(coalesce(j->>'$.productType', j->>'$.type', 'feed')))[1], 'post') as content_type,
+      coalesce(cast(j->>'$.likesCount' as bigint), cast(j->>'$.likeCount' as bigint)) as likes_count
+    from (select item_seq, cast(raw as json) as j from raw_ig_posts)""")
 def stream_ingest(t):
     """Three landing runs of instagram items (first run, an edited re-run, a replay) streamed through
     normalize -> dedupe -> upsert; the final snapshot has one row per post key."""
