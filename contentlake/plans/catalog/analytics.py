@@ -11,7 +11,7 @@ TOTAL_SQL = "cast(coalesce(e.likes,0)+coalesce(e.shares,0)+coalesce(e.comments_c
 
 
 @register("tag_engagement_by_platform", f"""
-    select p.platform, t.tag, count(*) as n_posts, sum({TOTAL_SQL}) as total_engagement
+    select p.platform, t.tag, count(*) as n_posts, cast(sum({TOTAL_SQL}) as bigint) as total_engagement
     from posts p cross join unnest(p.hashtags) as t(tag) join engagement e on e.post_id = p.post_id
     where p.deleted_at is null
     group by p.platform, t.tag order by total_engagement desc, platform, tag limit 12""")

@@ -262,7 +262,7 @@ def fn_bare_post_id(t):
 def fn_parse_vector(t):
     e = t.embeddings
     v = fn.parse_vector(F.to_json("embedding"))
-    return e.select("vec_id", F.size(v).alias("dims"),
+    return e.select("vec_id", F.size(v).cast("bigint").alias("dims"),
                     F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
 
 

@@ -50,7 +50,8 @@ def raw_items_scan(t):
     """Landed items with provenance; fields read from the VARIANT."""
     r = raw_items(t)
     allr = r.all_posts.unionByName(r.all_comments)
-    return allr.select("platform", "mode", "target", "item_seq", F.size(F.json_object_keys("raw")).alias("n_keys"),
+    return allr.select("platform", "mode", "target", "item_seq",
+                       F.size(F.json_object_keys("raw")).cast("bigint").alias("n_keys"),
                        F.col("v").isNotNull().alias("is_valid"))
 
 
@@ -337,7 +338,7 @@ def media_insert_new(t):
         F.col("m.order_index").alias("order_index"))
     existing = media.where(F.col("item_seq") % 4 == 0)
     fresh, _ = M.insert_new(existing, media, ["platform_post_id", "url"])
-    return fresh.select("platform_post_id", "media_type", "url", "order_index")
+    return fresh.select("platform_post_id", "media_type", "url", F.col("order_index").cast("bigint").alias("order_index"))
 
 
 @register("mentions_insert_new", """

@@ -96,7 +96,7 @@ IG_COMMENTS_FLAT = f"""
     from (select *, coalesce({strip(fp(['text', 'content'], 'c'))}, '') as txt from flat)""")
 def norm_ig_comment(t):
     c = instagram.comment(raw_items(t).instagram_comments)
-    return c.select("item_seq", "reply_pos", "platform", "platform_comment_id", "post_ref", "author_native_id",
+    return c.select("item_seq", F.col("reply_pos").cast("bigint").alias("reply_pos"), "platform", "platform_comment_id", "post_ref", "author_native_id",
                     "parent_native_id", "content", "likes", _j("hashtags").alias("hashtags"),
                     _j("mentions").alias("mentions"), "posted_at", "owner_username")
 
@@ -107,7 +107,8 @@ def norm_ig_comment(t):
 def comments_flatten_replies(t):
     """Nested replies become rows whose parent is the root comment."""
     c = instagram.comment(raw_items(t).instagram_comments)
-    return c.select("item_seq", "reply_pos", "platform_comment_id", "parent_native_id")
+    return c.select("item_seq", F.col("reply_pos").cast("bigint").alias("reply_pos"), "platform_comment_id",
+                    "parent_native_id")
 
 
 @register("norm_ig_engagement", f"""

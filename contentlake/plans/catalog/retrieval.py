@@ -47,7 +47,7 @@ def semantic_topk_platform(t):
 
 def kw_sql(where: str, limit: int = 20, platform: str | None = None, source: str = "search_docs") -> str:
     pf = f" and platform = '{platform}'" if platform else ""
-    return f"""(select source_type, cast(source_id as varchar) as source_id, platform, content, 1.0 as score, 'keyword' as match
+    return f"""(select source_type, cast(source_id as varchar) as source_id, platform, content, cast(1.0 as double) as score, 'keyword' as match
       from (select * from (select *, regexp_extract_all(lower(content), {TOK}) as toks,
                    ' ' || array_to_string(regexp_extract_all(lower(content), {TOK}), ' ') || ' ' as joined from {source})
             where ({where}){pf} order by source_id limit {limit}))"""
@@ -100,7 +100,7 @@ def hybrid_search(t):
 COMMENT_DOCS = """(select 'comment' as source_type, comment_id as source_id, platform, content from comments)"""
 
 FILTER_HITS_SQL = HYB_SQL + f""",
-    chits as (select source_type, source_id, platform, 1.0 as score, 'keyword' as match
+    chits as (select source_type, source_id, platform, cast(1.0 as double) as score, 'keyword' as match
               from (select *, regexp_extract_all(lower(content), {TOK}) as toks from {COMMENT_DOCS})
               where list_contains(toks, 'tion') order by source_id limit 10),
     hits as (select source_type, source_id, platform, score, match from merged
@@ -185,7 +185,7 @@ def _qvecs(t):
 HYB_BATCH_SQL = f"""
     with q as {QUESTIONS_SQL},
     kw as (select qid, source_type, source_id, platform, score from (
-             select q.qid, d.source_type, cast(d.source_id as varchar) as source_id, d.platform, 1.0 as score,
+             select q.qid, d.source_type, cast(d.source_id as varchar) as source_id, d.platform, cast(1.0 as double) as score,
                row_number() over (partition by q.qid order by d.source_id) as rn
              from q join (select *, list_distinct(regexp_extract_all(lower(content), {TOK})) as toks from search_docs) d
                on list_contains(d.toks, q.term)) where rn <= 10),
@@ -255,7 +255,7 @@ def join_docs_embeddings(t):
     """Embeddings joined to their documents."""
     e, d = t.embeddings, t.documents
     j = e.join(d, e["vec_id"] == d["doc_id"])
-    return j.select("vec_id", "doc_id", "lang", "n_chars", "label", F.size("embedding").alias("dims"))
+    return j.select("vec_id", "doc_id", "lang", "n_chars", "label", F.size("embedding").cast("bigint").alias("dims"))
 
 
 @register("join_semi_existing", """
@@ -390,7 +390,7 @@ def embeddings_upsert(t):
     ids = docs.select("source_type", "source_id", F.col("document_id").alias("_d"))
     emb = emb.join(ids, ["source_type", "source_id"], "left").withColumn("document_id", F.col("_d")).drop("_d")
     return emb.select("source_id", "source_type", "model", "document_id",
-                      F.when(F.col("action") != "keep", F.col("dimensions")).alias("dimensions"), "action")
+                      F.when(F.col("action") != "keep", F.col("dimensions")).cast("bigint").alias("dimensions"), "action")
 
 
 @register("vector_dim_check", """
@@ -403,8 +403,8 @@ def vector_dim_check(t):
                             .when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 32))
                             .otherwise(F.col("embedding")).alias("vector"))
     ok, bad = E.dim_check(e, 64)
-    return ok.select("vec_id", F.size("vector").alias("n_dims"), F.lit(True).alias("valid")).unionByName(
-        bad.select("vec_id", F.size("vector").alias("n_dims"), F.lit(False).alias("valid")))
+    return ok.select("vec_id", F.size("vector").cast("bigint").alias("n_dims"), F.lit(True).alias("valid")).unionByName(
+        bad.select("vec_id", F.size("vector").cast("bigint").alias("n_dims"), F.lit(False).alias("valid")))
 
 
 TRI_SQL = """list_distinct(flatten(list_transform(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+'),

@@ -74,13 +74,13 @@ _sql("sql_array", """
     from (select platform, unnest(hashtags) as tag from posts) group by tag""")
 
 _sql("sql_string", """
-    select author_id, upper(substr(username, 1, 8)) as u8, length(username) as len, replace(username, '#', '-') as dashed,
+    select author_id, upper(substr(username, 1, 8)) as u8, cast(length(username) as bigint) as len, replace(username, '#', '-') as dashed,
       lpad(cast(author_id as string), 6, '0') as padded, concat_ws('|', platform, username) as joined,
       username like 'Customer#00000001%' as is_like
     from authors""")
 
 _sql("sql_rollup", """
-    select platform, content_type, count(*) as n, grouping(content_type) as g
+    select platform, content_type, count(*) as n, cast(grouping(content_type) as bigint) as g
     from posts group by rollup(platform, content_type)""")
 
 _sql("sql_cube", """
@@ -96,9 +96,9 @@ _sql("sql_distinct_agg", """
 
 _sql("sql_window_rank", """
     select p.post_id, p.platform, e.likes,
-      rank() over (partition by p.platform order by e.likes desc) as rnk,
-      dense_rank() over (partition by p.platform order by e.likes desc) as drnk,
-      row_number() over (partition by p.platform order by e.likes desc, p.post_id) as rn
+      cast(rank() over (partition by p.platform order by e.likes desc) as bigint) as rnk,
+      cast(dense_rank() over (partition by p.platform order by e.likes desc) as bigint) as drnk,
+      cast(row_number() over (partition by p.platform order by e.likes desc, p.post_id) as bigint) as rn
     from posts p join engagement e on e.post_id = p.post_id""")
 
 _sql("sql_window_frame", """
