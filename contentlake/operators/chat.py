@@ -43,13 +43,15 @@ def markdown_export(chats: DataFrame, messages: DataFrame) -> DataFrame:
     speaker = F.when(F.col("role") == "user", F.lit("**You**")).otherwise(F.lit("**Assistant**"))
     iso = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss")
     block = F.concat(speaker, F.lit(" ("), iso, F.lit("+00:00):\n"), F.col("content"), F.lit("\n"))
-    m = messages.select("conversation_id", "created_at", "turn", block.alias("block"))
-    g = m.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "turn", "block"))).alias("bs"))
+    from .concat import ordered_concat
+    # Order key: message time in microseconds, then turn (unique within a conversation).
+    order = F.unix_micros(F.col("created_at").cast("timestamp")) * 1000 + F.col("turn")
+    m = messages.select("conversation_id", order.alias("_o"), block.alias("block"))
+    g = ordered_concat(m, ["conversation_id"], "_o", "block", "\n", "body", span=1024 * 1000 * 1000 * 60)
     c = chats.select("conversation_id", display_title("title").alias("display_title"))
     j = c.join(g, "conversation_id", "left")
-    body = F.array_join(F.transform(F.coalesce("bs", F.array().cast(g.schema["bs"].dataType)), lambda b: b["block"]), "\n")
     head = F.concat(F.lit("# "), F.col("display_title"), F.lit("\n"))
-    return j.select("conversation_id", F.when(F.size("bs") > 0, F.concat(head, F.lit("\n"), body))
+    return j.select("conversation_id", F.when(F.col("body").isNotNull(), F.concat(head, F.lit("\n"), F.col("body")))
                     .otherwise(head).alias("markdown"))
 
 

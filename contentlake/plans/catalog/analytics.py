@@ -44,13 +44,19 @@ def platform_distribution(t):
            (select count(*) from comments) as n_comments,
            (select count(*) from authors) as n_authors""")
 def total_counts(t):
-    """A1: exact counts; ``count`` includes deleted rows, the live count excludes them."""
+    """A1: exact counts; ``count`` includes deleted rows, the live count excludes them.
+
+    Each count is a one-row aggregate; they are stacked and pivoted into one row (no join)."""
     p = t.posts
-    return p.agg(F.count(F.lit(1)).alias("n_posts"),
-                 F.count_if(F.col("deleted_at").isNull()).alias("n_live_posts"),
-                 F.count_if(F.col("platform") == "twitter").alias("n_twitter_posts")) \
-        .join(A.count_rows(t.comments).withColumnRenamed("n", "n_comments"), how="left") \
-        .join(A.count_rows(t.authors).withColumnRenamed("n", "n_authors"), how="left")
+    posts = p.agg(F.count(F.lit(1)).alias("n_posts"),
+                  F.count_if(F.col("deleted_at").isNull()).alias("n_live_posts"),
+                  F.count_if(F.col("platform") == "twitter").alias("n_twitter_posts"))
+    stacked = posts.selectExpr("stack(3, 'n_posts', n_posts, 'n_live_posts', n_live_posts, "
+                               "'n_twitter_posts', n_twitter_posts) as (name, n)")
+    stacked = stacked.unionByName(A.count_rows(t.comments).select(F.lit("n_comments").alias("name"), "n")) \
+                     .unionByName(A.count_rows(t.authors).select(F.lit("n_authors").alias("name"), "n"))
+    names = ["n_posts", "n_live_posts", "n_twitter_posts", "n_comments", "n_authors"]
+    return stacked.groupBy().pivot("name", names).agg(F.first("n")).select(*names)
 
 
 @register("ai_query_stats", """

@@ -576,34 +576,37 @@ def distinct_tags(t):
       a.n + ch.n + p.n + v.n + c.n as total_records
     from a, ch, p, v, c, l""")
 def ingest_report(t):
-    """Counts of one dependency-ordered run (authors, channels, posts, videos, comments, links)."""
+    """Counts of one dependency-ordered run (authors, channels, posts, videos, comments, links).
+
+    One pass: every normalized post emits its (counter, key) pairs -- author, post, channel and video
+    keys and its tag links -- every comment its key; one distinct count per counter."""
     r = raw_items(t)
-    authors = (instagram.author(r.instagram_posts).select("platform", "platform_user_id")
-               .unionByName(twitter.author(r.twitter_posts).select("platform", "platform_user_id"))
-               .unionByName(youtube.author(r.youtube_videos).select("platform", "platform_user_id")))
-    chans = youtube.channel(r.youtube_videos)
-    posts = _norm_posts(t)
-    vids = youtube.video(r.youtube_videos)
+    cols = ["platform", "platform_post_id", "author_native_id", "hashtags"]
+    posts = (instagram.post(r.instagram_posts).select(*cols)
+             .unionByName(twitter.post(r.twitter_posts).select(*cols))
+             .unionByName(youtube.post(r.youtube_videos).select(*cols)))
+    pkey = F.concat_ws(":", "platform", "platform_post_id")
+    kv = lambda c, k: F.struct(F.lit(c).alias("counter"), k.alias("key"))
+    yt = F.col("platform") == "youtube"
+    post_keys = posts.select(F.explode(F.concat(
+        F.array(kv("authors_upserted", F.concat_ws(":", "platform", "author_native_id")),
+                kv("posts_upserted", pkey)),
+        F.when(yt, F.array(kv("channels_upserted", F.col("author_native_id")),
+                           kv("videos_upserted", F.col("platform_post_id"))))
+         .otherwise(F.array().cast("array<struct<counter:string,key:string>>")),
+        F.transform(F.filter("hashtags", lambda x: x != ""),
+                    lambda x: kv("hashtags_linked", F.concat_ws("#", pkey, x))))).alias("kv"))
     comments = (instagram.comment(r.instagram_comments).select("platform", "platform_comment_id")
                 .unionByName(twitter.comment(r.twitter_comments).select("platform", "platform_comment_id"))
                 .unionByName(youtube.comment(r.youtube_comments).select("platform", "platform_comment_id")))
-    links = posts.select("platform", "platform_post_id", F.explode("hashtags").alias("tag")).where(F.col("tag") != "")
-    parts = {
-        "authors_upserted": authors.select(F.countDistinct("platform", "platform_user_id").alias("n")),
-        "channels_upserted": chans.select(F.countDistinct("platform_channel_id").alias("n")),
-        "posts_upserted": posts.select(F.countDistinct("platform", "platform_post_id").alias("n")),
-        "videos_upserted": vids.select(F.countDistinct("platform_video_id").alias("n")),
-        "comments_upserted": comments.select(F.countDistinct("platform", "platform_comment_id").alias("n")),
-        "hashtags_linked": links.select(F.countDistinct("platform", "platform_post_id", "tag").alias("n")),
-    }
-    # Each part is a one-row aggregate; stack them and pivot back to one row (no join needed).
-    stacked = None
-    for name, df in parts.items():
-        s = df.select(F.lit(name).alias("counter"), F.col("n"))
-        stacked = s if stacked is None else stacked.unionByName(s)
-    row = stacked.groupBy().pivot("counter", list(parts)).agg(F.first("n"))
-    total = sum((F.col(c) for c in ["authors_upserted", "channels_upserted", "posts_upserted", "videos_upserted",
-                                    "comments_upserted"]), F.lit(0))
+    comment_keys = comments.select(kv("comments_upserted", F.concat_ws(":", "platform", "platform_comment_id")).alias("kv"))
+    keys = post_keys.unionByName(comment_keys).select("kv.counter", "kv.key")
+    counts = keys.groupBy("counter").agg(F.countDistinct("key").alias("n"))
+    names = ["authors_upserted", "channels_upserted", "posts_upserted", "videos_upserted", "comments_upserted",
+             "hashtags_linked"]
+    row = counts.groupBy().pivot("counter", names).agg(F.first("n"))
+    row = row.select(*[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in names])
+    total = sum((F.col(c) for c in names[:5]), F.lit(0))
     return row.withColumn("total_records", total.cast("bigint"))
 
 

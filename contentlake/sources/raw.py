@@ -346,6 +346,7 @@ def transcript_text(lines: DataFrame) -> DataFrame:
     """Per target, non-empty line texts (stripped) joined by a space in line order."""
     from ..functions import py_strip
     txt = F.try_variant_get("v", "$.text", "string")
+    from ..operators.concat import ordered_concat
     kept = lines.where(txt.isNotNull() & (txt != "")).select("target", "item_seq", py_strip(txt).alias("line"))
-    g = kept.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("item_seq", "line"))).alias("ls"))
-    return g.select("target", py_strip(F.array_join(F.transform("ls", lambda s: s["line"]), " ")).alias("transcript"))
+    joined = ordered_concat(kept, ["target"], "item_seq", "line", " ", "transcript")
+    return joined.select("target", py_strip("transcript").alias("transcript"))
