@@ -121,6 +121,16 @@ def recent_jobs(t):
     return A.recent(t.scrape_jobs, 20)
 
 
+@register("recent_saved_searches", """
+    select saved_search_id, kind, created_at from saved_searches where deleted_at is null and kind = 'hybrid'
+    order by created_at desc, saved_search_id desc limit 5""")
+def recent_saved_searches(t):
+    """Newest live saved searches of one kind."""
+    from ...operators.analytics import live as _live
+    s = _live(t.saved_searches).where(F.col("kind") == "hybrid")
+    return A.recent(s, 5, "created_at", "saved_search_id").select("saved_search_id", "kind", "created_at")
+
+
 @register("popular_posts", """
     select 'post' as source_type, p.post_id, p.platform,
       coalesce(nullif(p.caption, ''), p.content, '') as content,

@@ -161,6 +161,17 @@ class Tables:
             F.col("o_orderpriority").alias("priority"),
         )
 
+    @cached_property
+    def saved_searches(self) -> DataFrame:
+        """Saved searches: one per benchmark item (kind by id, query = first 80 chars)."""
+        b = self.table("benchmark")
+        kind = F.when(F.col("item_id") % 3 == 0, "keyword").when(F.col("item_id") % 3 == 1, "semantic") \
+                .otherwise("hybrid")
+        return b.select(F.col("item_id").alias("saved_search_id"), kind.alias("kind"),
+                        F.substring("text", 1, 80).alias("query"),
+                        hours_after_base("item_id * 7").alias("created_at"),
+                        F.when(F.col("item_id") % 11 == 5, hours_after_base("item_id * 7 + 24")).alias("deleted_at"))
+
     @cached_property
     def search_docs(self) -> DataFrame:
         """Retrieval documents: one per post text."""
@@ -255,6 +266,12 @@ ORACLE_VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
           o_orderdate as created_at, cast(trunc(o_totalprice / 1000) as bigint) as records_scraped,
           o_orderpriority as priority
         from orders""", ()),
+    "saved_searches": ("""
+        select item_id as saved_search_id,
+          case when item_id % 3 = 0 then 'keyword' when item_id % 3 = 1 then 'semantic' else 'hybrid' end as kind,
+          substr(text, 1, 80) as query, timestamp '2024-01-01' + to_hours(item_id * 7) as created_at,
+          case when item_id % 11 = 5 then timestamp '2024-01-01' + to_hours(item_id * 7 + 24) end as deleted_at
+        from benchmark""", ()),
     "search_docs": (f"""
         select 'post' as source_type, doc_id as source_id, {plat_sql('doc_id')} as platform, text as content
         from documents""", ()),
