@@ -142,6 +142,11 @@ def ivf_build(df: DataFrame, vec_col: str, n_lists: int, seed: int = 42, max_ite
     return assigned, centroids
 
 
+def ivf_write(assigned: DataFrame, path: str) -> None:
+    """Persist the assigned vectors partitioned by ``list_id`` so a probe reads only its lists."""
+    assigned.write.mode("overwrite").partitionBy("list_id").parquet(path)
+
+
 def ivf_search(assigned: DataFrame, centroids: np.ndarray, vec_col: str, query: Sequence[float], k: int,
                key_cols: Sequence[str], probes: int) -> DataFrame:
     """Probe the ``probes`` lists nearest to the query, then exact top-k inside them."""

@@ -289,7 +289,13 @@ def ann_ivf_topk(t):
     import math
     vecs = t.doc_embeddings
     n_lists = max(2, int(math.sqrt(max(vecs.count(), 1))))
+    import uuid
+
+    from ...session import checkpoint_dir
     assigned, centroids = V.ivf_build(vecs, "embedding", n_lists)
+    path = f"{checkpoint_dir(t.spark).rstrip('/')}/ivf-{uuid.uuid4().hex[:12]}"
+    V.ivf_write(assigned, path)
+    assigned = t.spark.read.parquet(path)  # list_id is a partition column: probes prune files
     q = qvec(t)
     ann = V.ivf_search(assigned, centroids, "embedding", q, 10, ["source_type", "source_id"], probes=max(1, n_lists // 3))
     exact = V.cosine_topk(vecs, "embedding", q, 10, ["source_type", "source_id"]).select(
