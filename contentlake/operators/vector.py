@@ -78,12 +78,12 @@ def _topk_fn(queries: np.ndarray, qids: Sequence, k: int, key_cols: list[str], v
 def cosine_topk(df: DataFrame, vec_col: str, query: Sequence[float], k: int, key_cols: Sequence[str],
                 where: Column | None = None) -> DataFrame:
     """Exact top-k by ``1 - cosine distance`` for one query vector (ties by key)."""
-    out = batch_topk(df, vec_col, [(0, list(query))], k, key_cols, where)
+    out = batch_topk(df, vec_col, [(0, list(query))], k, key_cols, where, rank=False)
     return out.drop("qid").orderBy(F.col("similarity").desc(), *[F.col(c) for c in key_cols]).limit(k)
 
 
 def batch_topk(df: DataFrame, vec_col: str, queries: Sequence[tuple], k: int, key_cols: Sequence[str],
-               where: Column | None = None) -> DataFrame:
+               where: Column | None = None, rank: bool = True) -> DataFrame:
     """Top-k per query for many queries in one pass over the vectors (qid, keys..., similarity)."""
     key_cols = list(key_cols)
     src = df.where(where) if where is not None else df
@@ -103,6 +103,8 @@ def batch_topk(df: DataFrame, vec_col: str, queries: Sequence[tuple], k: int, ke
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)
+    if not rank:
+        return scored  # at most k rows per query per task; the caller cuts globally
     w = Window.partitionBy("qid").orderBy(F.col("similarity").desc(), *[F.col(c) for c in key_cols])
     return scored.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 
