@@ -25,6 +25,9 @@ def author(raw: DataFrame) -> DataFrame:
         F.coalesce(py_strip(first_present_v(F.col("a"), ["userName", "username", "screen_name"])), F.lit("unknown"))
         .alias("username"),
         first_present_v(F.col("a"), ["name", "displayName"]).alias("display_name"),
+        first_present_v(F.col("a"), ["description", "bio"]).alias("bio"),
+        F.try_variant_get(F.col("a"), "$.location", "string").alias("location"),
+        F.try_variant_get(F.col("a"), "$.url", "string").alias("external_url"),
         F.concat(F.lit("https://x.com/"), F.coalesce(first_present_v(F.col("a"), ["userName", "username"]), F.lit("")))
         .alias("profile_url"),
         F.coalesce(first_present_v(F.col("a"), ["isVerified", "isBlueVerified", "verified"], "boolean"), F.lit(False))

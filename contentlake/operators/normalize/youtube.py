@@ -44,6 +44,7 @@ def channel(raw: DataFrame) -> DataFrame:
         first_present_v(v, ["numberOfSubscribers", "subscriberCount"], "bigint").alias("subscriber_count"),
         first_present_v(v, ["channelTotalVideos", "videoCount"], "bigint").alias("video_count"),
         first_present_v(v, ["channelTotalViews", "channelViewCount"], "bigint").alias("total_views"),
+        F.try_variant_get(v, "$.channelLocation", "string").alias("country"),
     )
 
 
