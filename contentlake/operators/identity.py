@@ -49,8 +49,10 @@ def _empty_to_null(c: Column, dtype) -> Column:
     return c
 
 
-def merge_prefer_non_null(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """D3: incoming values win unless NULL, '', [] or {}; then the existing value is kept."""
+def merge_prefer_non_null(old: DataFrame, new: DataFrame, keys: Sequence[str],
+                          keep_old: Sequence[str] = ()) -> DataFrame:
+    """D3: incoming values win unless NULL, '', [] or {}; then the existing value is kept.
+    Columns in ``keep_old`` (ids, creation times) always keep an existing value."""
     o, n = old.alias("o"), new.alias("n")
     j = o.join(n, list(keys), "full_outer")
     cols = [F.col(k) for k in keys]
@@ -58,7 +60,9 @@ def merge_prefer_non_null(old: DataFrame, new: DataFrame, keys: Sequence[str]) -
     for c in old.columns:
         if c in keys:
             continue
-        if c in types:
+        if c in keep_old and c in types:
+            cols.append(F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c))
+        elif c in types:
             cols.append(F.coalesce(_empty_to_null(F.col(f"n.{c}"), types[c]), F.col(f"o.{c}")).alias(c))
         else:
             cols.append(F.col(f"o.{c}"))

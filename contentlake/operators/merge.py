@@ -34,12 +34,10 @@ def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str], id_col: st
     from the batch (``overwrite``: even NULL; ``prefer_non_null``: NULL/empty keeps the old value).
     Adds ``action`` = insert / update / keep."""
     if mode == "prefer_non_null":
-        merged = merge_prefer_non_null(current, batch, keys)
+        merged = merge_prefer_non_null(current, batch, keys, keep_old=[id_col, created_col])
         flags = current.select(*keys, F.lit(True).alias("_old")).join(
             batch.select(*keys, F.lit(True).alias("_new")), list(keys), "full_outer")
         out = merged.join(flags, list(keys), "left")
-        if id_col in batch.columns:
-            pass
         return out.withColumn("action", F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "keep")
                               .otherwise("update")).drop("_old", "_new")
     o = current.alias("o").withColumn("_old", F.lit(True))

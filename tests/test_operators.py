@@ -123,3 +123,11 @@ def test_keyword_search_stemmed(spark):
                                  "source_type string, source_id long, platform string, content string")
     got = [int(r["source_id"]) for r in RT.keyword_search_stemmed(docs, "run nation").collect()]
     assert got == [1, 3]
+
+
+def test_upsert_prefer_non_null(spark):
+    cur = spark.createDataFrame([("a", "id1", "old", "bio")], "k string, id string, v string, bio string")
+    bat = spark.createDataFrame([("a", "id9", None, ""), ("c", "id3", "ins", None)], "k string, id string, v string, bio string")
+    out = {r["k"]: (r["id"], r["v"], r["bio"], r["action"])
+           for r in M.upsert(cur, bat, ["k"], mode="prefer_non_null").collect()}
+    assert out == {"a": ("id1", "old", "bio", "update"), "c": ("id3", "ins", None, "insert")}
