@@ -261,8 +261,17 @@ def doc_terms(docs: DataFrame, text_col: str = "content") -> DataFrame:
 
 
 def keyword_batch(docs: DataFrame, questions: DataFrame, limit: int) -> DataFrame:
-    """R7 keyword side: questions (qid, term) equi-joined to the inverted index; ``limit`` per question by id."""
-    idx = doc_terms(docs)
+    """R7 keyword side: questions (qid, term) equi-joined to the inverted index; ``limit`` per question by id.
+
+    When the batch's distinct terms are bounded, each document keeps only its tokens in that set
+    (an ``InSet`` lookup per token) before the explode, so only matching postings are produced."""
+    terms = bounded_keys(questions, "term")
+    if terms is not None:
+        toks = F.array_distinct(fn.tokens("content"))
+        idx = docs.select("source_type", "source_id", "platform",
+                          F.explode(F.filter(toks, lambda x: x.isin(*terms))).alias("term"))
+    else:
+        idx = doc_terms(docs)
     j = idx.join(questions.select("qid", "term"), "term")
     w = Window.partitionBy("qid").orderBy(F.col("source_id"))
     ranked = j.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")

@@ -269,6 +269,18 @@ def upsert_natural_key(t):
     return M.upsert(cur, bat, ["platform", "platform_post_id"])
 
 
+@register("upsert_prefer_non_null", UPSERT_SQL.replace(
+    "case when n.platform is not null then n.caption else o.caption end as caption",
+    "coalesce(nullif(n.caption, ''), o.caption) as caption").replace(
+    "case when n.platform is not null then n.language else o.language end as language",
+    "coalesce(nullif(n.language, ''), o.language) as language"))
+def upsert_prefer_non_null(t):
+    """S15 in prefer-non-null mode (K10): a NULL/empty incoming value keeps the stored one."""
+    cur, bat = _upsert_frames(t)
+    out = M.upsert(cur, bat, ["platform", "platform_post_id"], mode="prefer_non_null")
+    return out.select("platform", "platform_post_id", "id", "caption", "language", "created_at", "action")
+
+
 @register("upsert_all_entities", """
     select 'authors' as entity, case when o.k is null then 'insert' when n.k is null then 'keep' else 'update' end as action,
       count(*) as n
