@@ -95,19 +95,28 @@ def _term_pred(t: Term, toks: Column, joined: Column) -> Column:
     return ~p if t.negated else p
 
 
-def keyword_predicate(q: WebQuery, text: Column) -> tuple[Column, Column | None]:
-    """(exact predicate over tokens, cheap substring prefilter implied by it)."""
-    toks = fn.tokens(text)
+def _tokens_pred(q: WebQuery, toks: Column) -> Column:
     joined = F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" "))
     pred = None
-    pre = None
-    low = F.lower(text)
     for g in q.groups:
         gp = None
         for t in g:
             tp = _term_pred(t, toks, joined)
             gp = tp if gp is None else (gp | tp)
         pred = gp if pred is None else (pred & gp)
+    return pred
+
+
+def keyword_predicate(q: WebQuery, text: Column) -> tuple[Column, Column | None]:
+    """(exact predicate over tokens, cheap substring prefilter implied by it).
+
+    The token array is bound once (``transform(array(tokens), t -> ...)``) so the tokenising regex
+    runs once per document however many terms the query has."""
+    toks = fn.tokens(text)
+    pred = F.element_at(F.transform(F.array(toks), lambda x: _tokens_pred(q, x)), 1)
+    pre = None
+    low = F.lower(text)
+    for g in q.groups:
         if len(g) == 1 and not g[0].negated:
             sub = low.contains(" ".join(g[0].words) if not g[0].phrase else g[0].words[0])
             pre = sub if pre is None else (pre & sub)
@@ -156,7 +165,8 @@ def semantic_search(vectors: DataFrame, docs: DataFrame, query_vec, platform: st
                     limit: int = 20) -> DataFrame:
     """R2: top ``limit`` by cosine similarity, joined to their document text."""
     where = (F.col("platform") == platform) if platform is not None else None
-    top = vector.cosine_topk(vectors, "embedding", query_vec, limit, ["source_type", "source_id"], where)
+    from ..session import materialize
+    top = materialize(vector.cosine_topk(vectors, "embedding", query_vec, limit, ["source_type", "source_id"], where))
     d = restrict(docs, "source_id", bounded_keys(top, "source_id"))
     j = top.join(d.select("source_type", "source_id", "platform", "content"), ["source_type", "source_id"])
     return j.select(*_hit_cols(F.col("similarity"), "semantic"))
@@ -195,6 +205,8 @@ class Filters:
 
 def filter_context(hits: DataFrame, posts: DataFrame, authors: DataFrame, engagement: DataFrame) -> DataFrame:
     """Left-join each post hit with its post, author and engagement (one join each, not N lookups)."""
+    from ..session import materialize
+    hits = materialize(hits)  # candidates are computed once, then used for key push-down and the join
     ids = bounded_keys(hits.where(F.col("source_type") == "post"), "source_id")
     if ids is not None:  # push the candidate ids into the post and engagement scans
         key_type = dict(posts.dtypes)["post_id"]

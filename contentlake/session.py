@@ -73,6 +73,13 @@ def prepare(spark: SparkSession) -> None:
     ship_package(spark)
 
 
+def materialize(df):
+    """Compute a (small) intermediate once and cut its lineage: ``checkpoint()`` into the shared
+    ``spark.checkpoint.dir`` (reliable storage, so a lost executor does not recompute it)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
