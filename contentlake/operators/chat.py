@@ -128,11 +128,19 @@ def thread_participants(comments: DataFrame) -> DataFrame:
                                     F.count(F.lit(1)).alias("n_comments"))
 
 
-def threads(comments: DataFrame) -> DataFrame:
-    """Thread materialised as rows: each comment with its root, position in time and thread size."""
+def threads(comments: DataFrame, skew_safe: bool = True) -> DataFrame:
+    """Thread materialised as rows: each comment with its root, position in time and thread size.
+
+    ``skew_safe`` numbers rows with a range-partitioned zip-with-index (``operators.rank``) so a
+    thread holding a large share of all comments is spread over many tasks; thread sizes come from
+    a partially aggregated count."""
     roots = thread_roots(comments)
     j = comments.select("comment_id", "posted_at").join(roots, "comment_id")
-    w = Window.partitionBy("root_id").orderBy("posted_at", "comment_id")
-    wc = Window.partitionBy("root_id")
-    return j.select("root_id", "comment_id", "depth", F.row_number().over(w).alias("position"),
-                    F.count(F.lit(1)).over(wc).alias("thread_size"))
+    sizes = j.groupBy("root_id").agg(F.count(F.lit(1)).alias("thread_size"))
+    if skew_safe:
+        from .rank import positions
+        ranked = positions(j, "root_id", ["posted_at", "comment_id"])
+    else:
+        w = Window.partitionBy("root_id").orderBy("posted_at", "comment_id")
+        ranked = j.withColumn("position", F.row_number().over(w))
+    return ranked.join(sizes, "root_id").select("root_id", "comment_id", "depth", "position", "thread_size")

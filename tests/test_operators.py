@@ -131,3 +131,16 @@ def test_upsert_prefer_non_null(spark):
     out = {r["k"]: (r["id"], r["v"], r["bio"], r["action"])
            for r in M.upsert(cur, bat, ["k"], mode="prefer_non_null").collect()}
     assert out == {"a": ("id1", "old", "bio", "update"), "c": ("id3", "ins", None, "insert")}
+
+
+def test_positions_skew_safe_matches_row_number(spark):
+    from pyspark.sql.window import Window
+
+    from contentlake.operators.rank import positions
+    # one hot group with most rows, plus small groups
+    rows = [(0 if i % 10 < 7 else i % 13, (i * 7919) % 1000, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g long, t long, id long")
+    got = {(r.g, r.id): r.position for r in positions(df, "g", ["t", "id"], partitions=8).collect()}
+    w = Window.partitionBy("g").orderBy("t", "id")
+    exp = {(r.g, r.id): r.rn for r in df.withColumn("rn", F.row_number().over(w)).collect()}
+    assert got == exp
