@@ -128,15 +128,22 @@ def thread_participants(comments: DataFrame) -> DataFrame:
                                     F.count(F.lit(1)).alias("n_comments"))
 
 
-def threads(comments: DataFrame, skew_safe: bool = True) -> DataFrame:
+SKEW_GROUP_ROWS = 1_000_000
+
+
+def threads(comments: DataFrame, skew_safe: bool | None = None) -> DataFrame:
     """Thread materialised as rows: each comment with its root, position in time and thread size.
 
-    ``skew_safe`` numbers rows with a range-partitioned zip-with-index (``operators.rank``) so a
-    thread holding a large share of all comments is spread over many tasks; thread sizes come from
-    a partially aggregated count."""
+    Thread sizes come from a partially aggregated count. Positions use a per-thread window while
+    the largest thread stays under ``SKEW_GROUP_ROWS``; past it (or with ``skew_safe=True``) rows
+    are numbered by a range-partitioned zip-with-index (``operators.rank``), which spreads a hot
+    thread over many tasks. Only the largest size (one number) is fetched to decide."""
     roots = thread_roots(comments)
     j = comments.select("comment_id", "posted_at").join(roots, "comment_id")
     sizes = j.groupBy("root_id").agg(F.count(F.lit(1)).alias("thread_size"))
+    if skew_safe is None:
+        largest = sizes.agg(F.max("thread_size")).collect()[0][0] or 0
+        skew_safe = largest > SKEW_GROUP_ROWS
     if skew_safe:
         from .rank import positions
         ranked = positions(j, "root_id", ["posted_at", "comment_id"])

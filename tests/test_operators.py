@@ -144,3 +144,14 @@ def test_positions_skew_safe_matches_row_number(spark):
     w = Window.partitionBy("g").orderBy("t", "id")
     exp = {(r.g, r.id): r.rn for r in df.withColumn("rn", F.row_number().over(w)).collect()}
     assert got == exp
+
+
+def test_threads_both_strategies_agree(spark):
+    from contentlake.operators.chat import threads
+    import datetime as dt
+    rows = [(f"c{i}", None if i % 50 == 0 else f"c{i - 1}", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), "u")
+            for i in range(400)]
+    c = spark.createDataFrame(rows, "comment_id string, parent_comment_id string, posted_at timestamp_ntz, author string")
+    a = sorted(tuple(r) for r in threads(c, skew_safe=True).collect())
+    b = sorted(tuple(r) for r in threads(c, skew_safe=False).collect())
+    assert a == b and len(a) == 400
