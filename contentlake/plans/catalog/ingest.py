@@ -12,7 +12,7 @@ from ...schema import PLATFORMS
 from ...sources import raw as R
 from ..registry import ORACLES, oracle_view, register
 from .normalize import raw_items
-from .raw_oracle import fp, fpi, strip
+from .raw_oracle import fp, strip
 
 # A second scrape run: every fifth post changed (caption edited, language lost on every tenth).
 oracle_view("batch_run1", """
@@ -636,5 +636,3 @@ def fn_first_present(t):
                     fn.first_present(v, ["nope", "missing"], "string", "dflt").alias("fallback"),
                     fn.first_present(v, ["videoViewCount", "videoPlayCount"], "bigint").alias("first_count"))
 
-
-_ = fpi

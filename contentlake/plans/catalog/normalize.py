@@ -8,8 +8,7 @@ from ...operators.normalize import engagement_all, instagram, twitter, youtube
 from ...operators.normalize.common import media_text
 from ...sources.raw import RawItems
 from ..registry import register
-from .raw_oracle import (distinct, fp, fpi, joined, lower_list, strip, tags_sql, ts_native_sql, ts_sql,
-                         urls_sql)
+from .raw_oracle import fp, fpi, joined, lower_list, strip, tags_sql, ts_native_sql, ts_sql, urls_sql
 
 _RAW: dict[int, RawItems] = {}
 
@@ -327,5 +326,3 @@ def engagement_all_platforms(t):
                                      F.sum(total).cast("bigint").alias("total_engagement"),
                                      F.count("error").alias("n_errors"))
 
-
-_ = distinct  # re-exported helper (used by other catalogs)

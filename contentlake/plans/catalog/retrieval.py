@@ -378,10 +378,8 @@ def embed_hashing(t):
     left join docs d on d.source_type = coalesce(o.source_type, n.source_type) and d.source_id = coalesce(o.source_id, n.source_id)""")
 def embeddings_upsert(t):
     """Documents upsert first; embeddings upsert keyed (source_id, source_type, model) to the persisted document."""
-    sd = t.search_docs.select("source_type", F.col("source_id").cast("string").alias("source_id"), "source_id")
     sd = t.search_docs.select("source_type", F.col("source_id").cast("string").alias("source_id"),
                               F.col("source_id").alias("n"))
-    did = fn.checksum(F.lit("x"))  # placeholder replaced below
     did = F.sha2(F.concat_ws(":", "source_type", "source_id"), 256)
     docs_cur = sd.where(F.col("n") % 4 == 0).select("source_type", "source_id", did.alias("document_id"))
     docs_new = sd.where(F.col("n") % 6 == 0).select("source_type", "source_id", did.alias("document_id"))

@@ -6,8 +6,6 @@ where the dialects agree the oracle is the very same text (views become CTEs).
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..registry import register
 from ..safe_sql import safe_sql, schema_catalog
 
@@ -179,5 +177,3 @@ def sql_rejects_writes(t):
             rows.append((s, "rejected"))
     return t.spark.createDataFrame(rows, "stmt string, outcome string")
 
-
-_ = F

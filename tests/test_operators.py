@@ -103,7 +103,6 @@ def test_keyword_search_brute_force(spark):
         joined = " " + " ".join(toks) + " "
         return ("cat" in toks) and (("dog" not in toks) or " big fish " in joined)
     assert got == [i for i, (_, _, _, t) in enumerate(docs) if match(t)]
-    _ = F
 
 
 def test_porter_stem():
