@@ -36,6 +36,19 @@ def stream_tumbling(t):
                       F.round("total", 6).alias("total"))
 
 
+@register("stream_late_drop", f"""
+    select time_bucket(interval 1 day, ts) as window_start, time_bucket(interval 1 day, ts) + interval 1 day as window_end,
+      event_type, count(*) as n, round(sum(value), 6) as total
+    from events group by 1, 2, 3 having time_bucket(interval 1 day, ts) + interval 1 day <= {CLOSED}""")
+def stream_late_drop(t):
+    """A later landing of replayed events 5 days in the past is behind the watermark and dropped:
+    the daily windows equal those of the on-time stream."""
+    out = S.late_data_counts(t.spark, _path(t))
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("window_end").cast("timestamp_ntz").alias("window_end"), "event_type", "n",
+                      F.round("total", 6).alias("total"))
+
+
 @register("stream_sliding", f"""
     select ws as window_start, ws + interval 1 day as window_end, event_type, count(*) as n, round(sum(value), 6) as total
     from (select time_bucket(interval 12 hours, ts) as ws, event_type, value from events

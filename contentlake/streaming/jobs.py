@@ -66,6 +66,51 @@ def windowed_counts(spark: SparkSession, path: str, duration: str, slide: str |
     return run_to_parquet(out, "windows")
 
 
+def _parquet_files(spark: SparkSession, folder: str):
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, [st for st in fs.listStatus(path) if st.getPath().getName().endswith(".parquet")]
+
+
+def late_data_counts(spark: SparkSession, path: str, duration: str = "1 day", delay: str = "1 hour",
+                     late_shift: str = "5 days") -> DataFrame:
+    """T3 with late data. Three landings, one micro-batch each: (1) the events; (2) copies of the
+    newest event, whose window stays open (never emitted) -- this batch carries the watermark that
+    the late-row filter uses next; (3) every tenth event replayed ``late_shift`` in the past. Spark
+    drops rows older than the previous batch's watermark, so landing 3 is dropped and the output
+    equals the on-time result."""
+    d = _run_dir(spark, "late")
+    events = spark.read.parquet(path)
+    landing = f"{d}/landing"
+    events.write.mode("append").parquet(landing)
+    fs, first = _parquet_files(spark, landing)
+    seen = {st.getPath().toString() for st in first}
+    k = len(seen)
+    newest = max(st.getModificationTime() for st in first)
+    last_ts = events.agg(F.max("ts")).collect()[0][0]
+    tick = (events.where(F.col("ts") == F.lit(last_ts)).limit(1)
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(k)))).drop("_copy").repartition(k))
+    late = events.where(F.col("event_id") % 10 == 0).withColumn("ts", F.col("ts") - F.expr(f"interval {late_shift}"))
+    # The file source orders files by modification time: stamp each landing strictly after the last.
+    for step, df in enumerate((tick, late), start=1):
+        df.write.mode("append").parquet(landing)
+        _, now = _parquet_files(spark, landing)
+        for st in now:
+            if st.getPath().toString() not in seen:
+                fs.setTimes(st.getPath(), newest + step * 60_000, -1)
+                seen.add(st.getPath().toString())
+    on_time_files = k
+    # One micro-batch per landing: the first holds every on-time file, the second the late replays.
+    s = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", on_time_files)
+         .parquet(f"{d}/landing").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay))
+    agg = s.groupBy(F.window("ts", duration).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"),
+                                                                          F.sum("value").alias("total"))
+    out = agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_type", "n",
+                     "total")
+    return run_to_parquet(out, "late-windows")
+
+
 def session_counts(spark: SparkSession, path: str, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
     """Per-user session windows (a gap of ``gap`` closes a session)."""
     s = event_stream(spark, path).withWatermark("ts", delay)
