@@ -129,6 +129,15 @@ _sql("sql_set_ops", """
      intersect select author_id from authors where post_count > 1000)
     except select author_id from authors where author_id % 5 = 0""")
 
+_sql("sql_limit_offset", """
+    select job_id, platform, status, created_at from scrape_jobs
+    where status in ('succeeded', 'partial') order by created_at desc, job_id limit 15 offset 30""")
+
+_sql("sql_case_distinct", """
+    select distinct platform,
+      case when n_chars_bucket >= 3 then 'long' when n_chars_bucket = 2 then 'medium' else 'short' end as size_class
+    from (select platform, least(floor(length(content) / 1000), 3) as n_chars_bucket from posts) x""")
+
 _sql("sql_range_join", """
     select p.post_id, count(*) as n_logs, min(q.created_at) as first_log
     from posts p join query_logs q on q.conversation_id = p.post_id

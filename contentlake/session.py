@@ -46,8 +46,11 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``contentlake`` importable in executor Python workers (pandas UDFs), once per context.
 
     The package is zipped and added with ``addPyFile`` -- the same mechanism as ``--py-files``."""
-    sc = spark.sparkContext
-    key = id(sc)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: no SparkContext in the client
+        sc = None
+    key = id(sc) if sc is not None else id(spark)
     if key in _SHIPPED:
         return
     import zipfile
@@ -62,7 +65,10 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
-    sc.addPyFile(path)
+    if sc is not None:
+        sc.addPyFile(path)
+    else:
+        spark.addArtifacts(path, pyfile=True)
     _SHIPPED.add(key)
 
 
@@ -88,15 +94,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     error, since a machine-local folder would not survive a lost executor.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the checkpoint setting
+        if not d:
+            raise RuntimeError("spark.checkpoint.dir must be set for this session") from None
+        return d
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
+        d = sc.getCheckpointDir()
     if d:
-        spark.sparkContext.setCheckpointDir(d)
+        sc.setCheckpointDir(d)
         return d
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
+    if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     d = tempfile.mkdtemp(prefix="contentlake-ckpt-")
     spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    sc.setCheckpointDir(d)
     return d
