@@ -125,11 +125,17 @@ def recent(df: DataFrame, k: int, ts: str = "created_at", key: str = "job_id") -
     return top_k(df, [F.col(ts).desc(), F.col(key).desc()], k)
 
 
-def popular_posts(posts: DataFrame, engagement: DataFrame, k: int = 10, platform: str | None = None) -> DataFrame:
-    """Posts by likes desc; filters apply before the cut (no over-fetch needed)."""
+def popular_posts(posts: DataFrame, engagement: DataFrame, k: int = 10, platform: str | None = None,
+                  overfetch: int | None = None) -> DataFrame:
+    """Posts by likes desc; filters apply before the cut (no over-fetch needed).
+
+    ``overfetch`` reproduces the reference: take the top ``overfetch x k`` engagement rows first,
+    then drop missing posts / other platforms, then cut (may return fewer than k)."""
     p = live(posts)
     if platform is not None:
         p = p.where(F.col("platform") == platform)
+    if overfetch:
+        engagement = top_k(engagement, [F.col("likes").desc_nulls_last(), F.col("post_id")], overfetch * k)
     j = p.join(engagement, "post_id")
     out = j.select(F.lit("post").alias("source_type"), "post_id", "platform",
                    F.coalesce(F.nullif("caption", F.lit("")), F.col("content"), F.lit("")).alias("content"),

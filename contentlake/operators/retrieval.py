@@ -255,10 +255,34 @@ def apply_filters(hits: DataFrame, f: Filters, posts: DataFrame, authors: DataFr
     return ctx.where(filter_predicate(f)).select(*hits.columns)
 
 
+def allowed_posts(f: Filters, posts: DataFrame, authors: DataFrame, engagement: DataFrame) -> DataFrame:
+    """Post ids passing the post filters (one pass over posts with its author and engagement)."""
+    p = posts.select(F.col("post_id").cast("string").alias("_pid"), "content_type", "hashtags", "posted_at",
+                     "author_id")
+    a = authors.select(F.col("author_id").alias("_aid"), F.col("username").alias("author_username"))
+    e = engagement.select(F.col("post_id").cast("string").alias("_eid"), F.col("likes").alias("_likes"))
+    j = p.join(a, F.col("author_id") == F.col("_aid"), "left").join(e, F.col("_pid") == F.col("_eid"), "left")
+    ctx = j.withColumn("source_type", F.lit("post"))
+    return ctx.where(filter_predicate(f)).select(F.col("_pid").alias("allowed_id"))
+
+
 def hybrid_search(docs: DataFrame, vectors: DataFrame, query: str, query_vec, posts: DataFrame, authors: DataFrame,
                   engagement: DataFrame, filters: Filters = Filters(), limit: int = 10,
-                  overfetch: int = HYBRID_OVERFETCH) -> DataFrame:
-    """R4 end to end: keyword and semantic candidates, merged, filtered, ranked, cut."""
+                  overfetch: int = HYBRID_OVERFETCH, prefilter: bool = False) -> DataFrame:
+    """R4 end to end: keyword and semantic candidates, merged, filtered, ranked, cut.
+
+    Default (parity): ``overfetch`` x limit candidates per mode, filters after the merge, as the
+    reference does. ``prefilter=True`` applies the post filters to documents and vectors *before*
+    ranking (a semi join with the allowed post ids), so filters can never starve the result."""
+    if prefilter and filters.post_filters_set:
+        ok = allowed_posts(filters, posts, authors, engagement)
+        keep = lambda df: df.join(ok, df["source_id"].cast("string") == ok["allowed_id"], "left_semi")
+        docs = keep(docs.where(F.col("source_type") == "post")).unionByName(docs.where(F.col("source_type") != "post"))
+        vectors = keep(vectors.where(F.col("source_type") == "post")).unionByName(
+            vectors.where(F.col("source_type") != "post"))
+        kw = keyword_search(docs, query, filters.platform, limit)
+        se = semantic_search(vectors, docs, query_vec, filters.platform, limit)
+        return hybrid(kw, se).orderBy(F.col("score").desc(), F.col("source_type"), F.col("source_id")).limit(limit)
     kw = keyword_search(docs, query, filters.platform, limit * overfetch)
     se = semantic_search(vectors, docs, query_vec, filters.platform, limit * overfetch)
     merged = apply_filters(hybrid(kw, se), filters, posts, authors, engagement)

@@ -142,6 +142,18 @@ def popular_posts(t):
     return A.popular_posts(t.posts, t.engagement, 10, platform="twitter")
 
 
+@register("popular_posts_parity", """
+    select 'post' as source_type, p.post_id, p.platform,
+      coalesce(nullif(p.caption, ''), p.content, '') as content,
+      cast(coalesce(e.likes, 0) as double) as score, e.likes, e.views
+    from posts p join (select * from engagement order by likes desc nulls last, post_id limit 15) e on e.post_id = p.post_id
+    where p.deleted_at is null and p.platform = 'twitter'
+    order by score desc, p.post_id limit 5""")
+def popular_posts_parity(t):
+    """R5/W6 parity: top 3 x 5 engagement rows first, then post lookup and platform filter, then cut."""
+    return A.popular_posts(t.posts, t.engagement, 5, platform="twitter", overfetch=3)
+
+
 @register("dashboard_summary", """
     with dist as (
       select pl.platform, coalesce(c.n, 0) as n from

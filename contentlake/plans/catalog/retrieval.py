@@ -97,6 +97,33 @@ def hybrid_search(t):
     return h.select("source_type", "source_id", "platform", F.round("score", 6).alias("score"), "match")
 
 
+@register("hybrid_search_prefiltered", f"""
+    with ok as (select cast(p.post_id as varchar) as source_id from posts p
+                where coalesce(list_contains(p.hashtags, 'en'), false) and coalesce(p.posted_at >= timestamp '2024-01-03', false)),
+    kw as (select source_type, cast(source_id as varchar) as source_id, platform, cast(1.0 as double) as score from (
+             select * from (select *, regexp_extract_all(lower(content), {TOK}) as toks from search_docs)
+             where list_contains(toks, 'tion') and list_contains(toks, 'thon')
+               and cast(source_id as varchar) in (select source_id from ok) order by source_id limit 10)),
+    se as (select source_type, cast(source_id as varchar) as source_id, platform,
+             list_cosine_similarity(embedding, (select cast(embedding as double[]) from embeddings where vec_id = {QVEC_ID})) as score
+           from doc_embeddings where cast(source_id as varchar) in (select source_id from ok)
+           order by score desc, source_type, source_id limit 10),
+    merged as (select coalesce(k.source_type, s.source_type) as source_type, coalesce(k.source_id, s.source_id) as source_id,
+                 coalesce(k.platform, s.platform) as platform,
+                 coalesce(k.score * 0.4, 0.0) + coalesce(s.score * 0.6, 0.0) as score,
+                 case when k.source_id is not null and s.source_id is not null then 'hybrid'
+                      when k.source_id is not null then 'keyword' else 'semantic' end as match
+               from kw k full outer join se s on k.source_type = s.source_type and k.source_id = s.source_id)
+    select source_type, source_id, platform, round(score, 6) as score, match from merged
+    order by merged.score desc, source_type, source_id limit 10""")
+def hybrid_search_prefiltered(t):
+    """Filters applied before ranking (semi join with allowed posts): never starved by filters."""
+    f = RT.Filters(hashtag="#EN", date_from="2024-01-03")
+    h = RT.hybrid_search(t.search_docs, t.doc_embeddings, "tion thon", qvec(t), t.posts, t.authors, t.engagement,
+                         filters=f, limit=10, prefilter=True)
+    return h.select("source_type", "source_id", "platform", F.round("score", 6).alias("score"), "match")
+
+
 COMMENT_DOCS = """(select 'comment' as source_type, comment_id as source_id, platform, content from comments)"""
 
 FILTER_HITS_SQL = HYB_SQL + f""",
