@@ -126,11 +126,14 @@ def query_vectors(df: DataFrame, qid_col: str, vec_col: str, max_rows: int = 100
 
 
 # ----------------------------------------------------------------------------- IVF
-def ivf_build(df: DataFrame, vec_col: str, n_lists: int, seed: int = 42, max_iter: int = 20):
+def ivf_build(df: DataFrame, vec_col: str, n_lists: int, seed: int = 42, max_iter: int = 20,
+              max_train_rows: int = 1_000_000, total_rows: int | None = None):
     """K-means centroids over L2-normalised vectors; every row gets its list id.
 
     Returns (rows with ``list_id``, centroid matrix). Centroids are ``n_lists x dims``
-    (bounded by the list count, not the data). Written partitioned by ``list_id``,
+    (bounded by the list count, not the data). They are trained on at most about
+    ``max_train_rows`` sampled vectors -- training only; *every* row is then assigned to its
+    nearest list, so nothing is left out of the index. Written partitioned by ``list_id``,
     a probe becomes partition pruning."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -138,7 +141,9 @@ def ivf_build(df: DataFrame, vec_col: str, n_lists: int, seed: int = 42, max_ite
     norm = F.sqrt(F.aggregate(F.col(vec_col), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     unit = F.transform(F.col(vec_col), lambda x: x.cast("double") / norm)
     feats = df.withColumn("features", array_to_vector(unit))
-    model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="list_id").fit(feats)
+    n = total_rows if total_rows is not None else df.count()
+    train = feats.sample(fraction=max_train_rows / n, seed=seed) if n > max_train_rows else feats
+    model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="list_id").fit(train)
     centroids = np.asarray(model.clusterCenters(), dtype=np.float64)
     assigned = model.transform(feats).drop("features")
     return assigned, centroids

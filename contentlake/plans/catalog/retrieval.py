@@ -315,11 +315,12 @@ def ann_ivf_topk(t):
     ``in_exact`` marks hits that are also in the exact top-k (recall)."""
     import math
     vecs = t.doc_embeddings
-    n_lists = max(2, int(math.sqrt(max(vecs.count(), 1))))
+    n_rows = vecs.count()
+    n_lists = max(2, int(math.sqrt(max(n_rows, 1))))
     import uuid
 
     from ...session import checkpoint_dir
-    assigned, centroids = V.ivf_build(vecs, "embedding", n_lists)
+    assigned, centroids = V.ivf_build(vecs, "embedding", n_lists, total_rows=n_rows)
     path = f"{checkpoint_dir(t.spark).rstrip('/')}/ivf-{uuid.uuid4().hex[:12]}"
     V.ivf_write(assigned, path)
     assigned = t.spark.read.parquet(path)  # list_id is a partition column: probes prune files

@@ -154,3 +154,31 @@ def test_threads_both_strategies_agree(spark):
     a = sorted(tuple(r) for r in threads(c, skew_safe=True).collect())
     b = sorted(tuple(r) for r in threads(c, skew_safe=False).collect())
     assert a == b and len(a) == 400
+
+
+def test_sql_guard_quirks(spark, sf_dir):
+    from contentlake.plans.registry import tables
+    from contentlake.plans.safe_sql import guard, register_views
+    register_views(spark, tables(spark, sf_dir))
+    with pytest.raises(PlanError):
+        guard(spark, "select * from posts, secrets")          # K18: every table in a comma list is checked
+    guard(spark, "select 1 as x -- drop table posts")           # K13: a comment is not a statement
+    guard(spark, "select * from match_embeddings((select embedding from embeddings where vec_id = 1), null) limit 3")
+    with pytest.raises(PlanError):
+        guard(spark, "WITH x AS (SELECT 1) INSERT INTO posts SELECT * FROM x")
+
+
+def test_read_raw_landing(spark, tmp_path):
+    import json
+
+    from contentlake.operators.normalize import instagram
+    from contentlake.sources.raw import quarantine_split, read_raw
+    lines = [json.dumps({"id": "1", "caption": "hello #a"}), "{not json", json.dumps({"shortCode": "s2", "text": "x"})]
+    (tmp_path / "items.jsonl").write_text("\n".join(lines) + "\n")
+    raw = read_raw(spark, str(tmp_path / "items.jsonl"), "instagram", "posts", "acct")
+    good, bad = quarantine_split(raw, {})
+    assert bad.count() == 1 and [r.reason for r in bad.collect()] == ["malformed_json"]
+    posts = {r.platform_post_id: r.hashtags for r in instagram.post(good).collect()}
+    assert posts == {"1": ["a"], "s2": []}
+    with pytest.raises(PlanError):
+        read_raw(spark, str(tmp_path), "youtube", "hashtag")
