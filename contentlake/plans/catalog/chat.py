@@ -9,6 +9,7 @@ from ...operators import chat as C
 from ...operators import quality as Q
 from ...operators.analytics import live
 from ...schema import CONTENT_TYPES, MESSAGE_ROLES, PLATFORMS, SCRAPE_JOB_STATUSES
+from ...sources.bindings import plat_sql, platform_of
 from ..registry import ORACLES, register
 from .normalize import raw_items
 
@@ -149,18 +150,22 @@ def posted_between(t):
     return p.orderBy(F.col("posted_at").desc(), "post_id").limit(20).select("post_id", "platform", "posted_at")
 
 
-@register("lookup_natural_keys", """
+@register("lookup_natural_keys", f"""
     select p.post_id, p.platform, p.platform_post_id from posts p
-    where exists (select 1 from (select platform, cast(post_id as varchar) as platform_post_id from posts where post_id % 97 = 0
-                                 union all select 'twitter', cast(post_id + 1000000 as varchar) from posts where post_id % 89 = 0) k
+    where exists (select 1 from (select {plat_sql('doc_id')} as platform, cast(doc_id as varchar) as platform_post_id
+                                 from labels where quality = 1
+                                 union all select 'twitter', cast(doc_id + 1000000 as varchar) from labels where toxic = 1) k
                   where k.platform = p.platform and k.platform_post_id = p.platform_post_id)""")
 def lookup_natural_keys(t):
-    """P5: batch lookup of many (platform, native id) keys with one semi join."""
-    p = t.posts
-    keys = p.where(F.col("post_id") % 97 == 0).select("platform", F.col("post_id").cast("string").alias("platform_post_id")) \
-        .unionByName(p.where(F.col("post_id") % 89 == 0).select(
-            F.lit("twitter").alias("platform"), (F.col("post_id") + 1000000).cast("string").alias("platform_post_id")))
-    return p.join(keys, ["platform", "platform_post_id"], "left_semi").select("post_id", "platform", "platform_post_id")
+    """P5: batch lookup of many (platform, native id) keys with one semi join: the keys are the
+    posts labelled good quality, plus keys that match nothing (a foreign id form)."""
+    lab = t.labels
+    keys = lab.where(F.col("quality") == 1).select(platform_of("doc_id").alias("platform"),
+                                                   F.col("doc_id").cast("string").alias("platform_post_id")) \
+        .unionByName(lab.where(F.col("toxic") == 1).select(
+            F.lit("twitter").alias("platform"), (F.col("doc_id") + 1000000).cast("string").alias("platform_post_id")))
+    return t.posts.join(keys, ["platform", "platform_post_id"], "left_semi").select("post_id", "platform",
+                                                                                    "platform_post_id")
 
 
 @register("lookup_by_key", """

@@ -13,12 +13,12 @@ WS = r"[\s\p{Z}\x1c-\x1f\x85]"
 
 def _tag_probe():
     """Text exercising tag edge cases, built from each document."""
-    return F.concat(F.substring("text", 1, 80), F.lit(" #"), F.upper("source"), F.lit(" #"), F.col("source"),
+    return F.concat(F.col("text"), F.lit(" #"), F.upper("source"), F.lit(" #"), F.col("source"),
                     F.lit(" ##"), F.col("lang"), F.lit(" a#b $5#no #"), F.col("lang"), F.lit("_x @"),
                     F.col("source"), F.lit(" mail@host @"), F.upper("lang"), F.lit(" @@"), F.col("source"))
 
 
-TAG_PROBE_SQL = ("substr(text, 1, 80) || ' #' || upper(source) || ' #' || source || ' ##' || lang || "
+TAG_PROBE_SQL = ("text || ' #' || upper(source) || ' #' || source || ' ##' || lang || "
                  "' a#b $5#no #' || lang || '_x @' || source || ' mail@host @' || upper(lang) || ' @@' || source")
 
 
@@ -292,12 +292,12 @@ PREFIXES = ["Show the trend of ", "What is the Sentiment on ", "Compare ", "TL;D
 
 @register("fn_question_intent", f"""
     select conv_id, turn, {INTENT_SQL} as intent
-    from (select conv_id, turn, lower(['{"','".join(PREFIXES)}'][conv_id % 5 + 1] || substr(text, 1, 200)) as q
+    from (select conv_id, turn, lower(['{"','".join(PREFIXES)}'][conv_id % 5 + 1] || text) as q
           from conversations where role = 'user')""")
 def fn_question_intent(t):
     c = t.conversations.where(F.col("role") == "user")
     prefix = F.element_at(F.array(*[F.lit(p) for p in PREFIXES]), (F.col("conv_id") % 5 + 1).cast("int"))
-    q = F.concat(prefix, F.substring("text", 1, 200))
+    q = F.concat(prefix, F.col("text"))
     return c.select("conv_id", "turn", fn.question_intent(q).alias("intent"))
 
 

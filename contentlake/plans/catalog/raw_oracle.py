@@ -75,7 +75,7 @@ oracle_view("raw_ig_posts", f"""
     'isSponsored', case when k%7=0 then true end, 'locationName', case when k%9=0 then 'Paris' end,
     'url', case when k%4=3 then 'https://instagram.com/p/ig'||doc_id end)) as raw
   from (select *, doc_id//3 as k, timestamp '2024-01-01' + to_hours(doc_id) as posted,
-          substr(text,1,120)||' #'||lang||' #'||upper(source)||' @'||source as cap,
+          text||' #'||lang||' #'||upper(source)||' @'||source as cap,
           'https://cdn.example.com/ig/'||doc_id as img from documents where doc_id%3=0)""")
 
 oracle_view("raw_tw_posts", f"""
@@ -101,13 +101,13 @@ oracle_view("raw_tw_posts", f"""
     'viewCount', case when k%3=0 then n_chars*5 end, 'views', case when k%3=1 then n_chars*5 end,
     'url', 'https://x.com/i/status/'||tid)) as raw
   from (select *, doc_id//3 as k, cast(doc_id+1000000 as varchar) as tid, timestamp '2024-01-01' + to_hours(doc_id) as posted,
-          substr(text,1,150)||' #'||lang||' @'||source||' https://t.co/'||doc_id as body from documents where doc_id%3=1)""")
+          text||' #'||lang||' @'||source||' https://t.co/'||doc_id as body from documents where doc_id%3=1)""")
 
 oracle_view("raw_yt_videos", f"""
   select 'youtube' as platform, 'posts' as mode, source as target, doc_id as item_seq,
    json_merge_patch('{{}}', json_object(
     'id', case when k%2=0 then 'yt'||doc_id end, 'videoId', case when k%2=1 then 'yt'||doc_id end,
-    'title', substr(text, 1, 60),
+    'title', string_split(text, chr(10))[1],
     'text', case when k%3=0 then descr end, 'description', case when k%3<>0 then descr end,
     'channelId', case when k%4<>3 then 'UC'||(doc_id%20) end, 'channelUrl', 'https://www.youtube.com/channel/UC'||(doc_id%20),
     'channelName', upper(source), 'numberOfSubscribers', (doc_id%20)*1000,
@@ -122,7 +122,7 @@ oracle_view("raw_yt_videos", f"""
   from (select *, doc_id//3 as k, timestamp '2024-01-01' + to_hours(doc_id) as posted,
           cast(n_chars//60 as varchar)||':'||lpad(cast(n_chars%60 as varchar), 2, '0') as mmss,
           'https://www.youtube.com/watch?v=yt'||doc_id as vurl,
-          substr(text,1,200)||' #'||source||' @'||lang as descr from documents where doc_id%3=2)""")
+          text||' #'||source||' @'||lang as descr from documents where doc_id%3=2)""")
 
 oracle_view("raw_posts_all", """
   select * from raw_ig_posts union all select * from raw_tw_posts union all select * from raw_yt_videos""",

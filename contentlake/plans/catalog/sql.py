@@ -44,12 +44,13 @@ _sql("sql_recursive", """
 _sql("sql_subquery", """
     select a.author_id, a.username,
       (select count(*) from posts p where p.author_id = a.author_id) as n_posts
-    from authors a where a.post_count > (select avg(post_count) from authors) and a.author_id < 100""")
+    from authors a where a.post_count > (select avg(post_count) from authors)""")
 
 _sql("sql_exists", """
     select p.post_id from posts p
     where exists (select 1 from engagement e where e.post_id = p.post_id and e.likes > 12)
-      and p.post_id in (select post_id from comments) and p.post_id not in (select post_id from posts where post_id % 7 = 0)""")
+      and p.post_id in (select post_id from comments)
+      and p.post_id not in (select post_id from posts where deleted_at is not null)""")
 
 _sql("sql_having", """
     select author_id, count(*) as n, count(distinct platform) as n_platforms from posts
@@ -117,7 +118,7 @@ _sql("sql_lag_lead", """
       lag(latency_ms) over (partition by conversation_id order by created_at, log_id) as prev_latency,
       lead(log_id, 2) over (partition by conversation_id order by created_at, log_id) as next2,
       first_value(log_id) over (partition by conversation_id order by created_at, log_id) as first_log
-    from query_logs where conversation_id < 20""")
+    from query_logs""")
 
 _sql("sql_set_ops", """
     select author_id from posts where platform = 'instagram'

@@ -47,7 +47,7 @@ class Tables:
     @cached_property
     def posts(self) -> DataFrame:
         d = self.table("documents")
-        caption = F.concat(F.substring("text", 1, 200), F.lit(" #"), F.col("lang"), F.lit(" #"),
+        caption = F.concat(F.col("text"), F.lit(" #"), F.col("lang"), F.lit(" #"),
                            F.col("source"), F.lit(" @"), F.col("source"),
                            F.lit(" (https://example.com/d/"), F.col("doc_id").cast("string"), F.lit(")."))
         plat = platform_of("doc_id")
@@ -168,7 +168,7 @@ class Tables:
         kind = F.when(F.col("item_id") % 3 == 0, "keyword").when(F.col("item_id") % 3 == 1, "semantic") \
                 .otherwise("hybrid")
         return b.select(F.col("item_id").alias("saved_search_id"), kind.alias("kind"),
-                        F.substring("text", 1, 80).alias("query"),
+                        F.col("text").alias("query"),
                         hours_after_base("item_id * 7").alias("created_at"),
                         F.when(F.col("item_id") % 11 == 5, hours_after_base("item_id * 7 + 24")).alias("deleted_at"))
 
@@ -212,7 +212,7 @@ ORACLE_VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
                when doc_id % 3 = 1 then (case when doc_id % 10 = 1 then 'retweet'
                                               when doc_id % 10 = 4 then 'quote' else 'tweet' end)
                else (case when n_chars <= 500 then 'short' else 'video' end) end as content_type,
-          substr(text, 1, 200) || ' #' || lang || ' #' || source || ' @' || source
+          text || ' #' || lang || ' #' || source || ' @' || source
             || ' (https://example.com/d/' || cast(doc_id as varchar) || ').' as caption,
           text as content, lang as language, source,
           timestamp '2024-01-01' + to_hours(doc_id) as posted_at,
@@ -269,7 +269,7 @@ ORACLE_VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "saved_searches": ("""
         select item_id as saved_search_id,
           case when item_id % 3 = 0 then 'keyword' when item_id % 3 = 1 then 'semantic' else 'hybrid' end as kind,
-          substr(text, 1, 80) as query, timestamp '2024-01-01' + to_hours(item_id * 7) as created_at,
+          text as query, timestamp '2024-01-01' + to_hours(item_id * 7) as created_at,
           case when item_id % 11 = 5 then timestamp '2024-01-01' + to_hours(item_id * 7 + 24) end as deleted_at
         from benchmark""", ()),
     "search_docs": (f"""

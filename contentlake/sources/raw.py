@@ -81,7 +81,7 @@ class RawItems:
     def instagram_posts(self) -> DataFrame:
         d = self._docs(0)
         k, doc = F.col("k"), _str("doc_id")
-        cap = _s(F.substring("text", 1, 120), " #", F.col("lang"), " #", F.upper("source"), " @", F.col("source"))
+        cap = _s(F.col("text"), " #", F.col("lang"), " #", F.upper("source"), " @", F.col("source"))
         iso = F.date_format("posted", "yyyy-MM-dd'T'HH:mm:ss'Z'")
         child = "struct<displayUrl:string,videoUrl:string>"
         img = lambda n: _s("https://cdn.example.com/ig/", doc, n)
@@ -124,7 +124,7 @@ class RawItems:
         d = self._docs(1)
         k, doc = F.col("k"), _str("doc_id")
         tid = _str(F.col("doc_id") + 1000000)
-        body = _s(F.substring("text", 1, 150), " #", F.col("lang"), " @", F.col("source"), " https://t.co/", doc)
+        body = _s(F.col("text"), " #", F.col("lang"), " @", F.col("source"), " https://t.co/", doc)
         native = F.date_format("posted", "EEE MMM dd HH:mm:ss +0000 yyyy")
         iso = F.date_format("posted", "yyyy-MM-dd'T'HH:mm:ss'Z'")
         a = _str(F.col("doc_id") % 30)
@@ -177,10 +177,10 @@ class RawItems:
                     .otherwise(F.to_variant_object(F.struct(F.lit("live").alias("d")))))
         iso = F.date_format("posted", "yyyy-MM-dd'T'HH:mm:ss'Z'")
         vurl = _s("https://www.youtube.com/watch?v=yt", doc)
-        desc = _s(F.substring("text", 1, 200), " #", F.col("source"), " @", F.col("lang"))
+        desc = _s(F.col("text"), " #", F.col("source"), " @", F.col("lang"))
         raw = _json(
             id=F.when(k % 2 == 0, _s("yt", doc)), videoId=F.when(k % 2 == 1, _s("yt", doc)),
-            title=F.substring("text", 1, 60),
+            title=F.split("text", "\n")[0],
             text=F.when(k % 3 == 0, desc), description=F.when(k % 3 != 0, desc),
             channelId=F.when(k % 4 != 3, _s("UC", ch)), channelUrl=_s("https://www.youtube.com/channel/UC", ch),
             channelName=F.upper("source"), numberOfSubscribers=(F.col("doc_id") % 20) * 1000,
