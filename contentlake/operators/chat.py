@@ -94,28 +94,25 @@ def failed_logs(logs: DataFrame, limit: int = 50, parity: bool = False) -> DataF
     return logs.where(F.col("error").isNotNull()).orderBy(*order).limit(limit)
 
 
-def thread_roots(comments: DataFrame, max_iter: int = 64, checkpoint_every: int = 4) -> DataFrame:
+def thread_roots(comments: DataFrame, max_iter: int = 64) -> DataFrame:
     """A6 helper: (comment_id, root_id, depth) by pointer jumping: log2(depth) self-joins.
 
-    Each round replaces a node's ancestor by its ancestor's ancestor. Only the
-    number of unfinished rows is brought to the driver; lineage is cut with
-    ``checkpoint`` (shared ``spark.checkpoint.dir``) every few rounds.
+    Each round replaces a node's ancestor by its ancestor's ancestor and flags the rows it moved.
+    Every round is checkpointed into the shared ``spark.checkpoint.dir`` (lineage stays one round
+    long, and survives a lost executor); the driver only counts flagged rows to stop.
     """
-    from ..session import checkpoint_dir
-    a = comments.select("comment_id", F.col("parent_comment_id").alias("anc"),
+    from ..session import materialize
+    a = comments.select("comment_id", F.coalesce("parent_comment_id", "comment_id").alias("anc"),
                         F.when(F.col("parent_comment_id").isNull(), 0).otherwise(1).alias("depth"))
-    a = a.withColumn("anc", F.coalesce("anc", "comment_id"))
-    for i in range(max_iter):
-        nxt = a.alias("x").join(a.alias("y"), F.col("x.anc") == F.col("y.comment_id"), "left").select(
+    for _ in range(max_iter):
+        moved = F.col("y.anc").isNotNull() & (F.col("y.anc") != F.col("x.anc"))
+        nxt = materialize(a.alias("x").join(a.alias("y"), F.col("x.anc") == F.col("y.comment_id"), "left").select(
             F.col("x.comment_id").alias("comment_id"),
-            F.coalesce(F.col("y.anc"), F.col("x.anc")).alias("anc"),
-            (F.col("x.depth") + F.when(F.col("y.anc") != F.col("x.anc"), F.col("y.depth")).otherwise(0)).alias("depth"))
-        if (i + 1) % checkpoint_every == 0:
-            checkpoint_dir(nxt.sparkSession)
-            nxt = nxt.checkpoint()
-        changed = nxt.alias("n").join(a.alias("o"), "comment_id").where(F.col("n.anc") != F.col("o.anc")).limit(1).count()
-        a = nxt
-        if changed == 0:
+            F.when(moved, F.col("y.anc")).otherwise(F.col("x.anc")).alias("anc"),
+            (F.col("x.depth") + F.when(moved, F.col("y.depth")).otherwise(0)).alias("depth"),
+            moved.alias("_moved")))
+        a = nxt.drop("_moved")
+        if nxt.where("_moved").limit(1).count() == 0:
             break
     return a.select("comment_id", F.col("anc").alias("root_id"), "depth")
 
