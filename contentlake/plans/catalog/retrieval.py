@@ -274,6 +274,45 @@ def keyword_postings_indexed(t):
                                            F.min("source_id").cast("string").alias("first_doc"))
 
 
+INTENT_Q = """case when q like '%trend%' or q like '%trending%' or q like '%over time%' or q like '%time-series%' or q like '%timeseries%' then 'trend'
+  when q like '%sentiment%' or q like '%feel about%' or q like '%opinion%' or q like '%controversial%' then 'sentiment'
+  when q like '%compare%' or q like '%comparison%' or q like '% vs %' or q like '%versus%' or q like '%cross-platform%' then 'comparison'
+  when q like '%summarize%' or q like '%summary%' or q like '%sum up%' or q like '%tl;dr%' then 'summary' end"""
+
+
+PLAT_Q = "case when b.item_id % 3 = 0 then 'instagram' when b.item_id % 3 = 1 then 'twitter' else 'youtube' end"
+
+
+@register("assistant_context", HYB_BATCH_SQL.replace("rn <= 10", "rn <= 16") + f""",
+    ctx as (select r.qid, count(*) as n_hits,
+              string_agg('[' || r.platform || '/' || r.source_type || '/' || substr(r.source_id, 1, 8) || '] '
+                         || substr(coalesce(d.content, ''), 1, 500), chr(10) order by r.rank) as context,
+              string_agg(r.source_type || ':' || r.source_id, ',' order by r.rank) as sources
+            from ranked r left join (select source_type, cast(source_id as varchar) as source_id, content from search_docs) d
+              on d.source_type = r.source_type and d.source_id = r.source_id
+            where r.rank <= 8 group by r.qid)
+    select b.item_id as qid, substr(b.text, 1, 60) as title, (select {INTENT_Q} from (select lower(b.text) as q)) as intent,
+      '{{"platform":"' || {PLAT_Q} || '"}}' as filters_json, coalesce(c.n_hits, 0) as n_hits, c.sources,
+      cast(length(substr('Question: ' || b.text || chr(10) || coalesce(c.context, ''), 1, 4000)) as bigint) as prompt_chars
+    from benchmark b left join ctx c on c.qid = b.item_id""")
+def assistant_context(t):
+    """Read path of one assistant turn for every benchmark question, as one job: title (F20), intent
+    (F24), null-free filter JSON (F23), hybrid hits and grounded context (R7/R8), the source list and
+    the prompt cut to 4000 characters for the log (S24). The chat-model call itself is not built."""
+    from ... import functions as fn
+    from ...sources.bindings import platform_of
+    b = t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    hits = RT.hybrid_batch(t.search_docs, t.doc_embeddings, _questions(t), _qvecs(t), limit=8)
+    ctx = RT.question_context(hits, t.search_docs, 8, 500)
+    j = b.join(ctx, "qid", "left")
+    prompt = F.concat(F.lit("Question: "), F.col("question"), F.lit("\n"), F.coalesce("context", F.lit("")))
+    return j.select("qid", fn.title_from_question("question").alias("title"),
+                    fn.question_intent("question").alias("intent"),
+                    fn.filters_json(platform=platform_of("qid")).alias("filters_json"),
+                    F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_hits"), "sources",
+                    F.length(F.substring(prompt, 1, 4000)).cast("bigint").alias("prompt_chars"))
+
+
 # --------------------------------------------------------------------------- joins
 @register("join_docs_embeddings", """
     select e.vec_id, d.doc_id, d.lang, d.n_chars, e.label, len(e.embedding) as dims
