@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from .text import _col
 
-# --- fixed values: raw type -> content type (instagram) ----------------------
+# --- fixed values: raw type -> content type (instagram); short-video limit -----
 INSTAGRAM_TYPE_MAP = {"video": "reel", "clips": "reel", "igtv": "video",
                       "sidecar": "post", "image": "post", "feed": "post"}
-# -----------------------------------------------------------------------------
 SHORT_MAX_SECONDS = 60
+TWITTER_VIDEO_TYPES = ["video", "animated_gif"]
+# -----------------------------------------------------------------------------
 
 
 def _map_literal(d: dict) -> Column:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Word characters in the Unicode sense: letters, digits, underscore.
+# --- fixed values: text patterns (word characters in the Unicode sense) -------------
 WORD = r"[\p{L}\p{N}_]"
 HASHTAG_RE = r"(?<![\p{L}\p{N}_])#([\p{L}\p{N}_]+)"
 MENTION_RE = r"(?<![\p{L}\p{N}_])@([\p{L}\p{N}_]+)"
 URL_RE = r"https?://[^\s<>\"']+"
+URL_TRAILING = ").,"
 ASCII_RE = r"^[\x00-\x7F]*$"
+# -------------------------------------------------------------------------------------
 
 
 def _col(c) -> Column:

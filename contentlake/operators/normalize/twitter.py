@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions import hashtags, lower_list, mentions, parse_ts_native, py_strip, twitter_content_type, urls
+from ...functions.metrics import TWITTER_VIDEO_TYPES
 from .common import EMPTY_MEDIA, indexed, media_struct
 from .instagram import first_present_v
 
@@ -55,7 +56,7 @@ def post(raw: DataFrame) -> DataFrame:
     items = F.when(F.size(media_items) > 0, media_items).otherwise(
         F.coalesce(ext_items, F.array().cast("array<variant>")))
     media = F.filter(F.transform(items, lambda m: media_struct(
-        F.when(F.try_variant_get(m, "$.type", "string").isin("video", "animated_gif"), "video").otherwise("image"),
+        F.when(F.try_variant_get(m, "$.type", "string").isin(*TWITTER_VIDEO_TYPES), "video").otherwise("image"),
         F.coalesce(F.try_variant_get(m, "$.media_url_https", "string"), F.try_variant_get(m, "$.mediaUrl", "string"),
                    F.try_variant_get(m, "$.url", "string")))), lambda m: m["url"].isNotNull())
     tags = _entity_list("$.entities.hashtags", "text")
