@@ -160,30 +160,3 @@ _sql("sql_match_embeddings", """
 def schema_catalog_q(t):
     """Q3: the views and columns a user may query."""
     return schema_catalog(t.spark, t)
-
-
-@register("sql_rejects_writes", """
-    select 'drop table posts' as stmt, 'rejected' as outcome
-    union all select 'select * from posts; select 1', 'rejected'
-    union all select 'select * from secrets', 'rejected'
-    union all select 'select extract(day from created_at) as d from query_logs', 'accepted'
-    union all select 'with t(a) as (select 1) select a from t', 'accepted'
-    union all select 'select created_at, updated_at from chats', 'accepted'""")
-def sql_rejects_writes(t):
-    """Q1: the guard's verdict on a fixed set of statements (writes, two statements, unknown table,
-    EXTRACT, column-list CTE, *_at columns)."""
-    from ...schema import PlanError
-    from ..safe_sql import guard, register_views
-    register_views(t.spark, t)
-    stmts = ["drop table posts", "select * from posts; select 1", "select * from secrets",
-             "select extract(day from created_at) as d from query_logs", "with t(a) as (select 1) select a from t",
-             "select created_at, updated_at from chats"]
-    rows = []
-    for s in stmts:
-        try:
-            guard(t.spark, s)
-            rows.append((s, "accepted"))
-        except PlanError:
-            rows.append((s, "rejected"))
-    return t.spark.createDataFrame(rows, "stmt string, outcome string")
-

@@ -104,10 +104,16 @@ def safe_sql(spark: SparkSession, sql: str, t: Tables | None = None, args: dict
 
 
 def schema_catalog(spark: SparkSession, t: Tables) -> DataFrame:
-    """Q3: (view, column, type) for every registered view, as a DataFrame."""
+    """Q3: (view, column, type, n_rows) for every registered view. Column metadata comes from the
+    views' schemas; row counts are one union of per-view counts (a job over every table)."""
+    from pyspark.sql import functions as F
     register_views(spark, t)
     rows = []
+    counts = None
     for name in sorted(KNOWN_VIEWS):
         for f in spark.table(name).schema.fields:
             rows.append((name, f.name, f.dataType.simpleString()))
-    return spark.createDataFrame(rows, "view string, column string, type string")
+        c = spark.table(name).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("view"), "n_rows")
+        counts = c if counts is None else counts.unionByName(c)
+    meta = spark.createDataFrame(rows, "view string, column string, type string")
+    return meta.join(counts, "view")
