@@ -172,7 +172,7 @@ def lookup_natural_keys(t):
     select 'tag' as kind, cast(p.post_id as varchar) as id from posts p where list_contains(p.hashtags, 'src3')
     union all select 'mention', cast(p.post_id as varchar) from posts p where list_contains(p.mentions, 'src7')
     union all select 'author', cast(author_id as varchar) from authors where username = 'Customer#000000042'
-    union all select 'platform', cast(job_id as varchar) from scrape_jobs where platform = 'youtube' and job_id % 50 = 0""")
+    union all select 'platform', cast(job_id as varchar) from scrape_jobs where platform = 'youtube'""")
 def lookup_by_key(t):
     """Lookups by tag, mention, username and platform with the argument normalised."""
     p = t.posts
@@ -182,7 +182,7 @@ def lookup_by_key(t):
         F.lit("mention").alias("kind"), F.col("post_id").cast("string").alias("id"))
     au = t.authors.where(F.col("username") == fn.clean_username(F.lit(" @Customer#000000042"))).select(
         F.lit("author").alias("kind"), F.col("author_id").cast("string").alias("id"))
-    pl = t.scrape_jobs.where((F.col("platform") == "youtube") & (F.col("job_id") % 50 == 0)).select(
+    pl = t.scrape_jobs.where(F.col("platform") == "youtube").select(
         F.lit("platform").alias("kind"), F.col("job_id").cast("string").alias("id"))
     return tag.unionByName(men).unionByName(au).unionByName(pl)
 
