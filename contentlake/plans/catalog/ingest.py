@@ -323,11 +323,11 @@ def upsert_all_entities(t):
 @register("insert_reject_duplicates", """
     select b.author_id, case when exists (select 1 from authors c where c.author_id % 2 = 0 and c.platform = b.platform
                                             and c.platform_user_id = b.platform_user_id) then 'rejected' else 'inserted' end as outcome
-    from authors b where b.author_id % 3 = 0""")
+    from authors b""")
 def insert_reject_duplicates(t):
     """Plain insert; a unique-key clash is reported, not applied."""
     a = t.authors
-    fresh, rejects = M.insert_new(a.where(F.col("author_id") % 2 == 0), a.where(F.col("author_id") % 3 == 0),
+    fresh, rejects = M.insert_new(a.where(F.col("author_id") % 2 == 0), a,
                                   ["platform", "platform_user_id"])
     return fresh.select("author_id", F.lit("inserted").alias("outcome")).unionByName(
         rejects.select("author_id", F.lit("rejected").alias("outcome")))

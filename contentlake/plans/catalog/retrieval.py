@@ -430,14 +430,14 @@ def embed_hashing(t):
 
 @register("embeddings_upsert", """
     with docs_cur as (select source_type, cast(source_id as varchar) as source_id from search_docs where source_id % 4 = 0),
-    docs_new as (select source_type, cast(source_id as varchar) as source_id from search_docs where source_id % 6 = 0),
+    docs_new as (select source_type, cast(source_id as varchar) as source_id from search_docs),
     docs as (select coalesce(o.source_type, n.source_type) as source_type, coalesce(o.source_id, n.source_id) as source_id,
                sha256(coalesce(o.source_type, n.source_type) || ':' || coalesce(o.source_id, n.source_id)) as document_id
              from docs_cur o full outer join docs_new n on o.source_type = n.source_type and o.source_id = n.source_id),
     emb_cur as (select source_type, cast(source_id as varchar) as source_id, 'm1' as model from doc_embeddings
                 where source_id % 4 = 0),
     emb_new as (select source_type, cast(source_id as varchar) as source_id, 'm1' as model, len(embedding) as dimensions
-                from doc_embeddings where source_id % 6 = 0)
+                from doc_embeddings)
     select coalesce(o.source_id, n.source_id) as source_id, coalesce(o.source_type, n.source_type) as source_type,
       coalesce(o.model, n.model) as model, d.document_id, n.dimensions,
       case when o.source_id is null then 'insert' when n.source_id is null then 'keep' else 'update' end as action
@@ -449,13 +449,13 @@ def embeddings_upsert(t):
                               F.col("source_id").alias("n"))
     did = F.sha2(F.concat_ws(":", "source_type", "source_id"), 256)
     docs_cur = sd.where(F.col("n") % 4 == 0).select("source_type", "source_id", did.alias("document_id"))
-    docs_new = sd.where(F.col("n") % 6 == 0).select("source_type", "source_id", did.alias("document_id"))
+    docs_new = sd.select("source_type", "source_id", did.alias("document_id"))
     ve = t.doc_embeddings.select("source_type", F.col("source_id").cast("string").alias("source_id"),
                                  F.col("source_id").alias("n"), "embedding")
     emb_cur = ve.where(F.col("n") % 4 == 0).select("source_type", "source_id", F.lit("m1").alias("model"),
                                                   F.lit(None).cast("string").alias("document_id"),
                                                   F.lit(None).cast("int").alias("dimensions"))
-    emb_new = ve.where(F.col("n") % 6 == 0).select("source_type", "source_id", F.lit("m1").alias("model"),
+    emb_new = ve.select("source_type", "source_id", F.lit("m1").alias("model"),
                                                   F.size("embedding").alias("dimensions"))
     docs, emb = E.upsert_documents_and_embeddings(docs_cur, docs_new, emb_cur, emb_new)
     ids = docs.select("source_type", "source_id", F.col("document_id").alias("_d"))
