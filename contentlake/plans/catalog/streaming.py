@@ -105,5 +105,6 @@ def stream_ingest(t):
         return instagram.post(raw).select("item_seq", "platform", "platform_post_id", "caption", "content_type",
                                           "likes_count")
 
-    snap = S.ingest_stream(spark, f"{base}/*", norm, ["platform", "platform_post_id"])
+    # One file per micro-batch keeps the three landings in arrival order (last write wins).
+    snap = S.ingest_stream(spark, f"{base}/*", norm, ["platform", "platform_post_id"], files_per_batch=1)
     return snap.select("platform", "platform_post_id", "caption", "content_type", "likes_count")

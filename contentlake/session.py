@@ -24,6 +24,20 @@ DEFAULT_CONF = {
 }
 
 
+# Suggested settings for a large cluster (100 TB inputs); the session owner applies them.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str = "contentlake") -> SparkSession:
     master = master or os.environ.get("SPARK_MASTER", "local[8]")
     builder = SparkSession.builder.master(master).appName(app)

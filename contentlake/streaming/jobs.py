@@ -119,15 +119,20 @@ def session_counts(spark: SparkSession, path: str, gap: str = "30 minutes", dela
     return run_to_parquet(out, "sessions")
 
 
-def ingest_stream(spark: SparkSession, landing: str, normalize, keys: list[str], state_dir: str | None = None) -> DataFrame:
+def ingest_stream(spark: SparkSession, landing: str, normalize, keys: list[str], state_dir: str | None = None,
+                  files_per_batch: int | None = None) -> DataFrame:
     """Landing JSON-lines files -> per micro-batch normalize, de-duplicate (last wins) and upsert into a
-    Parquet snapshot. The batch id is recorded in a job log; a replayed batch id is skipped (idempotent)."""
+    Parquet snapshot. The batch id is recorded in a job log; a replayed batch id is skipped (idempotent).
+    ``files_per_batch`` bounds a micro-batch (default: everything that has landed)."""
     from ..operators.identity import dedupe_last_wins
     from ..operators.merge import upsert
     from ..sources.raw import with_variant
 
     d = state_dir or _run_dir(spark, "ingest")
-    stream = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(landing)
+    reader = spark.readStream.format("text")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    stream = reader.load(landing)
 
     def snapshot_path(v: int) -> str:
         return f"{d}/snapshot/v={v}"
