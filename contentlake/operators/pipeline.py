@@ -24,14 +24,32 @@ from .normalize import instagram, twitter, youtube
 
 
 class Lake:
-    """Versioned Parquet snapshots under one root: ``root/<table>/v=<n>`` plus a version log.
+    """Parquet tables under one root.
 
-    A new version is fully written before its log row is appended, so readers never see a
-    half-written table (atomic switch)."""
+    * Upserted tables are versioned snapshots ``root/<table>/v=<n>`` plus a version log; a version
+      is fully written before its log row is appended (atomic switch).
+    * Insert-only tables (media, hashtags, links, mentions) are append-only: each run writes only
+      its new rows to its own partition ``root/<table>_rows/run=<r>`` -- a run costs its new rows,
+      not a rewrite of the table; a retried run overwrites just its partition."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.run_id = self._next_run()
+
+    def _next_run(self) -> int:
+        try:
+            m = self.spark.read.parquet(f"{self.root}/_runs").agg(F.max("run").alias("m")).collect()[0]["m"]
+        except Exception:  # noqa: BLE001 - first run
+            m = None
+        return 1 if m is None else int(m) + 1
+
+    def begin_run(self) -> int:
+        self.run_id = self._next_run()
+        return self.run_id
+
+    def end_run(self) -> None:
+        self.spark.createDataFrame([(self.run_id,)], "run long").write.mode("append").parquet(f"{self.root}/_runs")
 
     def version(self, table: str) -> int | None:
         try:
@@ -62,20 +80,24 @@ class Lake:
         counts = {r["action"]: r["n"] for r in self.read(table).groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
         return counts.get("insert", 0), counts.get("update", 0)
 
+    def read_rows(self, table: str, exclude_run: int | None = None) -> DataFrame | None:
+        """An insert-only table (optionally without one run's partition)."""
+        try:
+            df = self.spark.read.parquet(f"{self.root}/{table}_rows")
+        except Exception:  # noqa: BLE001 - nothing appended yet
+            return None
+        if exclude_run is not None:
+            df = df.where(F.col("run") != exclude_run)
+        return df.drop("run")
+
     def append_new(self, table: str, batch: DataFrame, keys: list[str]) -> int:
-        """Insert rows whose key is absent (media by url, mentions by username, tag links)."""
-        cur = self.read(table)
-        if cur is None:
-            fresh = batch.dropDuplicates(keys)
-            self.write(table, fresh)
-            return self.read(table).count()
-        fresh, _ = insert_new(cur, batch.select(*cur.columns), keys)
-        fresh = fresh.cache()
-        n = fresh.count()
-        if n:
-            self.write(table, cur.unionByName(fresh))
-        fresh.unpersist()
-        return n
+        """Insert rows whose key is absent (media by url, mentions by username, tag links): an anti
+        join against earlier runs, written as this run's partition; returns the rows added."""
+        cur = self.read_rows(table, exclude_run=self.run_id)
+        fresh = batch.dropDuplicates(keys) if cur is None else insert_new(cur, batch.select(*cur.columns), keys)[0]
+        part = f"{self.root}/{table}_rows/run={self.run_id}"
+        fresh.write.mode("overwrite").parquet(part)
+        return self.spark.read.parquet(part).count()
 
 
 @dataclass
@@ -160,6 +182,7 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
            provider=None) -> Report:
     """Run one batch through every step; returns counters, errors and the job status."""
     rep = Report()
+    lake.begin_run()
 
     def step(name: str, fn) -> None:
         try:
@@ -274,5 +297,6 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
                      ("comments", do_comments), ("media", do_media), ("hashtags", do_hashtags),
                      ("mentions", do_mentions), ("engagement", do_engagement), ("embeddings", do_embeddings)):
         step(name, fn)
-    rep.errors = rep.errors[:JOB_ERRORS_KEPT] + ([] if len(rep.errors) <= JOB_ERRORS_KEPT else [])
+    rep.errors = rep.errors[:JOB_ERRORS_KEPT]
+    lake.end_run()
     return rep
