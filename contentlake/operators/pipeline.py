@@ -26,15 +26,19 @@ from .normalize import instagram, twitter, youtube
 class Lake:
     """Parquet tables under one root.
 
-    * Upserted tables are versioned snapshots ``root/<table>/v=<n>`` plus a version log; a version
-      is fully written before its log row is appended (atomic switch).
+    * Upserted tables are partitioned by ``bucket = pmod(xxhash64(natural key), buckets)``. A batch
+      reads only the buckets its keys fall in (partition pruning), merges them with a full outer
+      join, stages the result and replaces exactly those partitions (dynamic partition overwrite):
+      an upsert costs the touched buckets, not a rewrite of the table.
     * Insert-only tables (media, hashtags, links, mentions) are append-only: each run writes only
-      its new rows to its own partition ``root/<table>_rows/run=<r>`` -- a run costs its new rows,
-      not a rewrite of the table; a retried run overwrites just its partition."""
+      its new rows to its own partition ``root/<table>_rows/run=<r>``; a retried run overwrites just
+      its partition."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets = buckets
+        self.last_counts: dict[str, dict[str, int]] = {}
         self.run_id = self._next_run()
 
     def _next_run(self) -> int:
@@ -51,33 +55,34 @@ class Lake:
     def end_run(self) -> None:
         self.spark.createDataFrame([(self.run_id,)], "run long").write.mode("append").parquet(f"{self.root}/_runs")
 
-    def version(self, table: str) -> int | None:
+    def _read_bucketed(self, table: str) -> DataFrame | None:
         try:
-            log = self.spark.read.parquet(f"{self.root}/{table}/_versions")
+            return self.spark.read.parquet(f"{self.root}/{table}")
         except Exception:  # noqa: BLE001 - table not created yet
             return None
-        m = log.agg(F.max("version").alias("m")).collect()[0]["m"]
-        return None if m is None else int(m)
 
     def read(self, table: str) -> DataFrame | None:
-        v = self.version(table)
-        return None if v is None else self.spark.read.parquet(f"{self.root}/{table}/v={v}")
-
-    def write(self, table: str, df: DataFrame) -> int:
-        v = (self.version(table) or 0) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}/v={v}")
-        self.spark.createDataFrame([(v,)], "version long").write.mode("append").parquet(f"{self.root}/{table}/_versions")
-        return v
+        df = self._read_bucketed(table)
+        return None if df is None else df.drop("bucket")
 
     def upsert(self, table: str, batch: DataFrame, keys: list[str], id_col: str) -> tuple[int, int]:
-        """Upsert ``batch`` into ``table``; returns (inserted, updated)."""
-        cur = self.read(table)
+        """Upsert ``batch`` into ``table``; returns (inserted, updated) for this batch."""
+        bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(self.buckets)).cast("int")
+        b = batch.withColumn("bucket", bucket)
+        cur = self._read_bucketed(table)
         if cur is None:
-            merged = batch.withColumn("action", F.lit("insert"))
+            merged = b.withColumn("action", F.lit("insert"))
         else:
-            merged = upsert(cur.drop("action"), batch.select(*cur.drop("action").columns), keys, id_col=id_col)
-        self.write(table, merged)
-        counts = {r["action"]: r["n"] for r in self.read(table).groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
+            touched = sorted(r[0] for r in b.select("bucket").distinct().collect())  # at most `buckets` ids
+            cur = cur.where(F.col("bucket").isin(touched))
+            merged = upsert(cur, b.select(*cur.columns), keys + ["bucket"], id_col=id_col)
+        staging = f"{self.root}/_staging/{table}/run={self.run_id}"
+        merged.write.mode("overwrite").parquet(staging)
+        staged = self.spark.read.parquet(staging)
+        counts = {r["action"]: r["n"] for r in staged.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
+        self.last_counts[table] = counts
+        (staged.drop("action").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("bucket").parquet(f"{self.root}/{table}"))
         return counts.get("insert", 0), counts.get("update", 0)
 
     def read_rows(self, table: str, exclude_run: int | None = None) -> DataFrame | None:

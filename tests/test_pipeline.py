@@ -15,3 +15,16 @@ def test_pipeline_idempotent(spark, sf_dir):
             assert v == 0, metric
     assert m[(2, "embeddings_generated")] == 0  # checksums unchanged -> nothing re-embedded
     assert m[(2, "media_created")] == 0 and m[(2, "hashtags_linked")] == 0
+
+
+def test_lake_bucketed_upsert_touches_only_batch_buckets(spark, tmp_path):
+    from contentlake.operators.pipeline import Lake
+    lake = Lake(spark, str(tmp_path / "lake"), buckets=8)
+    first = spark.createDataFrame([(f"k{i}", f"id{i}", "v1") for i in range(40)], "k string, id string, v string")
+    assert lake.upsert("t", first, ["k"], "id") == (40, 0)
+    second = spark.createDataFrame([("k3", "other", "v2"), ("k99", "id99", "new")], "k string, id string, v string")
+    assert lake.upsert("t", second, ["k"], "id") == (1, 1)
+    rows = {r["k"]: (r["id"], r["v"]) for r in lake.read("t").collect()}
+    assert len(rows) == 41 and rows["k3"] == ("id3", "v2") and rows["k99"] == ("id99", "new")
+    assert all(rows[f"k{i}"] == (f"id{i}", "v1") for i in range(40) if i != 3)
+    assert lake.append_new("m", spark.createDataFrame([("a", 1), ("a", 1)], "p string, x int"), ["p"]) == 1
