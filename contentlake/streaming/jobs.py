@@ -122,47 +122,33 @@ def session_counts(spark: SparkSession, path: str, gap: str = "30 minutes", dela
 def ingest_stream(spark: SparkSession, landing: str, normalize, keys: list[str], state_dir: str | None = None,
                   files_per_batch: int | None = None) -> DataFrame:
     """Landing JSON-lines files -> per micro-batch normalize, de-duplicate (last wins) and upsert into a
-    Parquet snapshot. The batch id is recorded in a job log; a replayed batch id is skipped (idempotent).
+    bucketed lake table (only the hash buckets a batch touches are rewritten). Each applied batch id
+    is recorded in the lake's run log; a replayed batch id is skipped (idempotent).
     ``files_per_batch`` bounds a micro-batch (default: everything that has landed)."""
     from ..operators.identity import dedupe_last_wins
-    from ..operators.merge import upsert
+    from ..operators.pipeline import Lake
     from ..sources.raw import with_variant
 
     d = state_dir or _run_dir(spark, "ingest")
+    lake = Lake(spark, f"{d}/lake")
     reader = spark.readStream.format("text")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     stream = reader.load(landing)
 
-    def snapshot_path(v: int) -> str:
-        return f"{d}/snapshot/v={v}"
-
-    def latest_version() -> int | None:
-        try:
-            log = spark.read.parquet(f"{d}/job_log")
-        except Exception:  # noqa: BLE001 - no log yet
-            return None
-        row = log.agg(F.max("batch_id").alias("m")).collect()[0]
-        return None if row["m"] is None else int(row["m"])
-
     def process(batch: DataFrame, batch_id: int) -> None:
-        last = latest_version()
-        if last is not None and batch_id <= last:
+        run = batch_id + 1
+        if lake._next_run() > run:
             return  # already applied: replay after a restart
+        lake.run_id = run
         raw = with_variant(batch.select(F.col("value").alias("raw"), F.monotonically_increasing_id().alias("item_seq"))
                            .withColumn("platform", F.lit(None).cast("string"))
                            .withColumn("mode", F.lit("posts")).withColumn("target", F.lit(None).cast("string")))
         fresh = dedupe_last_wins(normalize(raw), keys).drop("first_seq")
-        if last is None:
-            merged = fresh.withColumn("action", F.lit("insert"))
-        else:
-            current = spark.read.parquet(snapshot_path(last)).drop("action")
-            merged = upsert(current, fresh.select(*current.columns), keys)
-        merged.write.mode("overwrite").parquet(snapshot_path(batch_id))
-        spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("append").parquet(f"{d}/job_log")
+        lake.upsert("snapshot", fresh, keys, id_col=keys[-1])
+        lake.end_run()
 
     q = (stream.writeStream.foreachBatch(process).option("checkpointLocation", f"{d}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    v = latest_version()
-    return spark.read.parquet(snapshot_path(v))
+    return lake.read("snapshot")
