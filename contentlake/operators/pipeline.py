@@ -81,7 +81,11 @@ class Lake:
         staged = self.spark.read.parquet(staging)
         counts = {r["action"]: r["n"] for r in staged.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
         self.last_counts[table] = counts
-        (staged.drop("action").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        # Each bucket written by up to `salt` tasks: few files per bucket, no single-task bucket.
+        salt = 4
+        out = staged.drop("action").repartition(self.buckets * salt, "bucket",
+                                                F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(salt)))
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("bucket").parquet(f"{self.root}/{table}"))
         return counts.get("insert", 0), counts.get("update", 0)
 

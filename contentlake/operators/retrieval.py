@@ -390,7 +390,10 @@ def write_inverted_index(docs: DataFrame, path: str, buckets: int = 64, text_col
     """Persist postings (term, source_type, source_id, platform) partitioned by a hash bucket of the
     term. Built once from the whole corpus; lookups then read only the buckets of their terms."""
     idx = doc_terms(docs, text_col).withColumn("bucket", term_bucket(F.col("term"), buckets))
-    idx.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    # Salted by document: a bucket holding a very common term is written by up to `salt` tasks.
+    salt = 8
+    idx.repartition(buckets * salt, "bucket", F.pmod(F.xxhash64("source_id"), F.lit(salt))) \
+       .write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def postings_for(index: DataFrame, questions: DataFrame, buckets: int = 64) -> DataFrame:

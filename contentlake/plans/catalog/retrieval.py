@@ -361,7 +361,7 @@ def ann_ivf_topk(t):
     from ...session import checkpoint_dir
     assigned, centroids = V.ivf_build(vecs, "embedding", n_lists, total_rows=n_rows)
     path = f"{checkpoint_dir(t.spark).rstrip('/')}/ivf-{uuid.uuid4().hex[:12]}"
-    V.ivf_write(assigned, path)
+    V.ivf_write(assigned, path, n_lists)
     assigned = t.spark.read.parquet(path)  # list_id is a partition column: probes prune files
     q = qvec(t)
     ann = V.ivf_search(assigned, centroids, "embedding", q, 10, ["source_type", "source_id"], probes=max(1, n_lists // 3))
