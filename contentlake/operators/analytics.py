@@ -71,10 +71,13 @@ def trending_hashtags(posts: DataFrame, k: int = 10, include_deleted: bool = Fal
 
 
 def tag_engagement_by_platform(posts: DataFrame, engagement: DataFrame, k: int = 12) -> DataFrame:
-    """Flagship: per (platform, tag) posts and total engagement over posts that have engagement."""
-    links = tag_links(live(posts))
+    """Flagship: per (platform, tag) posts and total engagement over posts that have engagement.
+
+    The join runs on posts (one row per post, tags as an array) before the explode, so the join
+    shuffles posts, not post x tag rows; the aggregate after the explode is map-side combined."""
+    p = live(posts).select("post_id", "platform", F.array_distinct("hashtags").alias("tags"))
     eng = engagement.select("post_id", fn.total_engagement().alias("total_engagement"))
-    j = links.join(eng, "post_id")
+    j = p.join(eng, "post_id").select("platform", F.explode("tags").alias("tag"), "total_engagement")
     agg = j.groupBy("platform", "tag").agg(F.count(F.lit(1)).alias("n_posts"),
                                            F.sum("total_engagement").alias("total_engagement"))
     return top_k(agg, [F.col("total_engagement").desc(), F.col("platform"), F.col("tag")], k)
