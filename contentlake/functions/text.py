@@ -103,10 +103,13 @@ def trigrams(text) -> Column:
     return F.array_distinct(F.flatten(grams))
 
 
-# Whitespace as Python's str.strip() sees it (ASCII blanks, separators, C1 next-line).
+# Whitespace as Python's str.strip() sees it (ASCII blanks, separators, C1 next-line), as a regex
+# class and as the explicit character set (derived by rule from str.isspace).
 PY_WS = r"[\s\p{Z}\x1c-\x1f\x85]"
+PY_WS_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def py_strip(x) -> Column:
-    """Strip leading/trailing whitespace with Python ``str.strip()`` semantics."""
-    return F.regexp_replace(_col(x), f"^{PY_WS}+|{PY_WS}+$", "")
+    """Strip leading/trailing whitespace with Python ``str.strip()`` semantics (``btrim`` with the
+    whitespace set: only the ends of the string are touched)."""
+    return F.btrim(_col(x), F.lit(PY_WS_CHARS))
