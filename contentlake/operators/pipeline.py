@@ -235,15 +235,19 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
 
     def do_comments():
         c = _comments(comments_raw)
-        stored = lake.read("posts").select("platform", "platform_post_id", "post_id")
-        # Post reference: URL (watch?v= / status) or bare id, resolved by natural key (K5).
-        ref = F.when(F.col("post_ref").contains("watch?v="), F.split_part("post_ref", F.lit("v="), F.lit(2))) \
-               .otherwise(bare_post_id(F.col("post_ref")))
-        c = c.withColumn("_ref", ref).join(
-            stored.withColumnRenamed("platform_post_id", "_ref"), ["platform", "_ref"], "left")
+        stored = lake.read("posts")
+        # Post reference (K5): a bare id, or a URL -- watch?v=<id>, /status/<id>, /p/<code>/, /reel/<code>/ --
+        # resolved by natural key, else by the stored post URL; unresolved references are kept as given.
+        ref = (F.when(F.col("post_ref").contains("watch?v="),
+                      F.split_part(F.split_part("post_ref", F.lit("v="), F.lit(2)), F.lit("&"), F.lit(1)))
+               .when(F.col("post_ref").rlike("/(p|reel)/[^/?#]+"), F.regexp_extract("post_ref", "/(?:p|reel)/([^/?#]+)", 1))
+               .otherwise(bare_post_id(F.col("post_ref"))))
+        by_id = stored.select("platform", F.col("platform_post_id").alias("_ref"), F.col("post_id").alias("_by_id"))
+        by_url = stored.select("platform", F.col("url").alias("post_ref"), F.col("post_id").alias("_by_url"))
+        c = c.withColumn("_ref", ref).join(by_id, ["platform", "_ref"], "left").join(by_url, ["platform", "post_ref"], "left")
         c = c.withColumn("comment_id", entity_id("platform", "platform_comment_id")) \
              .withColumn("author_id", entity_id("platform", "author_native_id")) \
-             .withColumn("post_id", F.coalesce("post_id", F.col("post_ref")))
+             .withColumn("post_id", F.coalesce("_by_id", "_by_url", F.col("post_ref")))
         # Parent link only when the parent is part of the stored set (D6), on native ids.
         known = c.select(F.col("platform").alias("_pp"), F.col("platform_comment_id").alias("_pn"))
         prev = lake.read("comments")

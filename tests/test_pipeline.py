@@ -28,3 +28,21 @@ def test_lake_bucketed_upsert_touches_only_batch_buckets(spark, tmp_path):
     assert len(rows) == 41 and rows["k3"] == ("id3", "v2") and rows["k99"] == ("id99", "new")
     assert all(rows[f"k{i}"] == (f"id{i}", "v1") for i in range(40) if i != 3)
     assert lake.append_new("m", spark.createDataFrame([("a", 1), ("a", 1)], "p string, x int"), ["p"]) == 1
+
+
+def test_comment_post_refs_resolve(spark, tmp_path):
+    import json
+
+    from contentlake.operators.pipeline import Lake, ingest
+    from contentlake.sources.raw import with_variant
+
+    def raw(items, target):
+        rows = [(json.dumps(x), i, target, "instagram", "posts") for i, x in enumerate(items)]
+        return with_variant(spark.createDataFrame(rows, "raw string, item_seq long, target string, platform string, mode string"))
+    posts = raw([{"id": "111", "shortCode": "ABC", "caption": "hi", "ownerId": "u1", "ownerUsername": "u"}], "acct")
+    by_url = raw([{"id": "c1", "text": "nice", "ownerId": "u2"}], "https://www.instagram.com/p/ABC/")
+    lake = Lake(spark, str(tmp_path / "lake"))
+    rep = ingest(spark, lake, {"instagram": posts}, {"instagram": by_url})
+    assert not rep.errors
+    post_id = lake.read("posts").collect()[0]["post_id"]
+    assert lake.read("comments").collect()[0]["post_id"] == post_id   # resolved through the post URL
