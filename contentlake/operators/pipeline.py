@@ -83,8 +83,8 @@ class Lake:
         self.last_counts[table] = counts
         # Each bucket written by up to `salt` tasks: few files per bucket, no single-task bucket.
         salt = 4
-        out = staged.drop("action").repartition(self.buckets * salt, "bucket",
-                                                F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(salt)))
+        # No explicit partition count: AQE sizes (coalesces or splits) the shuffle to the data.
+        out = staged.drop("action").repartition("bucket", F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(salt)))
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("bucket").parquet(f"{self.root}/{table}"))
         return counts.get("insert", 0), counts.get("update", 0)

@@ -392,7 +392,7 @@ def write_inverted_index(docs: DataFrame, path: str, buckets: int = 64, text_col
     idx = doc_terms(docs, text_col).withColumn("bucket", term_bucket(F.col("term"), buckets))
     # Salted by document: a bucket holding a very common term is written by up to `salt` tasks.
     salt = 8
-    idx.repartition(buckets * salt, "bucket", F.pmod(F.xxhash64("source_id"), F.lit(salt))) \
+    idx.repartition("bucket", F.pmod(F.xxhash64("source_id"), F.lit(salt))) \
        .write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 

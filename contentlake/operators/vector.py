@@ -154,7 +154,7 @@ def ivf_write(assigned: DataFrame, path: str, n_lists: int = 100, salt: int = 8)
     Rows are spread by (list, salt): a list holding a large share of the vectors is written by up
     to ``salt`` tasks, and each task writes few list folders."""
     key = F.pmod(F.xxhash64(*[F.col(c) for c in assigned.columns if c not in ("list_id", "embedding")]), F.lit(salt))
-    assigned.repartition(n_lists * salt, "list_id", key).write.mode("overwrite").partitionBy("list_id").parquet(path)
+    assigned.repartition("list_id", key).write.mode("overwrite").partitionBy("list_id").parquet(path)
 
 
 def ivf_search(assigned: DataFrame, centroids: np.ndarray, vec_col: str, query: Sequence[float], k: int,

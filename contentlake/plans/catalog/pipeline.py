@@ -18,7 +18,7 @@ TABLES = ["authors", "channels", "posts", "videos", "comments", "media", "hashta
 
 def run_pipeline(t, runs: int = 2):
     spark = t.spark
-    lake = Lake(spark, f"{checkpoint_dir(spark).rstrip('/')}/lake-{uuid.uuid4().hex[:12]}")
+    lake = Lake(spark, f"{checkpoint_dir(spark).rstrip('/')}/lake-{uuid.uuid4().hex[:12]}", buckets=16)
     r = raw_items(t)
     posts_raw = {"instagram": r.instagram_posts, "twitter": r.twitter_posts, "youtube": r.youtube_videos}
     comments_raw = {"instagram": r.instagram_comments, "twitter": r.twitter_comments, "youtube": r.youtube_comments}
