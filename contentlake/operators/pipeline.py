@@ -306,10 +306,18 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
         ins, upd = lake.upsert("embeddings", vecs, ["source_id", "source_type", "model"], "source_id")
         rep.counters["embeddings_generated"] = ins + upd
 
+    # Dependency order: authors -> channels -> posts -> videos -> comments; then media, tags, mentions
+    # and engagement depend only on the batch's posts and write different tables, so their Spark
+    # jobs are submitted together; embeddings read the stored posts and comments last.
     for name, fn in (("authors", do_authors), ("channels", do_channels), ("posts", do_posts), ("videos", do_videos),
-                     ("comments", do_comments), ("media", do_media), ("hashtags", do_hashtags),
-                     ("mentions", do_mentions), ("engagement", do_engagement), ("embeddings", do_embeddings)):
+                     ("comments", do_comments)):
         step(name, fn)
+    from concurrent.futures import ThreadPoolExecutor
+    independent = (("media", do_media), ("hashtags", do_hashtags), ("mentions", do_mentions),
+                   ("engagement", do_engagement))
+    with ThreadPoolExecutor(max_workers=len(independent)) as pool:
+        list(pool.map(lambda nf: step(*nf), independent))
+    step("embeddings", do_embeddings)
     rep.errors = rep.errors[:JOB_ERRORS_KEPT]
     lake.end_run()
     return rep
