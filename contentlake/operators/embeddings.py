@@ -46,20 +46,25 @@ def pending(items: DataFrame, existing: DataFrame, model: str) -> DataFrame:
 
 
 class HashingProvider:
-    """X1 default provider: signed feature hashing of word tokens, L2-normalised (offline, deterministic)."""
+    """X1 default provider: signed feature hashing of word tokens, L2-normalised (offline, deterministic).
+
+    Each lower-case word token (letters, digits, underscore) adds +1 or -1 to one bucket: with
+    ``h = md5(token)`` in hex, the bucket is ``int(h[1:9], 16) % dimensions`` and the sign is + when
+    ``int(h[0], 16)`` is even."""
 
     def __init__(self, dimensions: int = 64, model_name: str = "hashing-v1"):
         self.dimensions = dimensions
         self.model_name = model_name
 
     def embed_texts(self, texts: list[str]) -> list[list[float]]:
-        import re
+        import regex
+        word = regex.compile(r"[\p{L}\p{N}_]+")
         out = []
         for t in texts:
             v = np.zeros(self.dimensions)
-            for w in re.findall(r"\w+", (t or "").lower()):
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                v[h % self.dimensions] += 1.0 if (h >> 63) & 1 else -1.0
+            for w in word.findall((t or "").lower()):
+                h = hashlib.md5(w.encode("utf-8")).hexdigest()
+                v[int(h[1:9], 16) % self.dimensions] += 1.0 if int(h[0], 16) % 2 == 0 else -1.0
             n = np.linalg.norm(v)
             out.append((v / n if n else v).tolist())
         return out

@@ -419,13 +419,33 @@ def embed_pending(t):
     return p.select("source_type", "source_id", "checksum", "reason")
 
 
-@register("embed_hashing")
+@register("embed_hashing", f"""
+    with items as (select i.source_type, i.source_id, i.text
+                   from {ITEMS_SQL} i left join {EXISTING_SQL} x on x.source_type = i.source_type and x.source_id = i.source_id
+                   where x.checksum is distinct from sha256(i.text)),
+    toks as (select source_type, source_id, unnest(regexp_extract_all(lower(text), {TOK})) as tok from items),
+    hv as (select source_type, source_id, ('0x' || substr(md5(tok), 2, 8))::bigint % 64 as b,
+             case when ('0x' || substr(md5(tok), 1, 1))::int % 2 = 0 then 1 else -1 end as s from toks),
+    agg as (select source_type, source_id, b, sum(s) as v from hv group by source_type, source_id, b),
+    per as (select source_type, source_id, count(*) filter (where v <> 0) as nnz, max(abs(v)) as top_abs,
+              sum(v * v) as sq from agg group by source_type, source_id),
+    arg as (select a.source_type, a.source_id, min(a.b) as top_bucket from agg a
+            join per p on p.source_type = a.source_type and p.source_id = a.source_id and abs(a.v) = p.top_abs
+            where p.top_abs > 0 group by a.source_type, a.source_id)
+    select i.source_type, i.source_id, 'hashing-v1' as model, 64 as dimensions,
+      cast(coalesce(p.nnz, 0) as bigint) as nnz, cast(coalesce(g.top_bucket, 0) as bigint) as top_bucket,
+      cast(case when coalesce(p.sq, 0) > 0 then 1.0 else 0.0 end as double) as norm2
+    from items i left join per p on p.source_type = i.source_type and p.source_id = i.source_id
+    left join arg g on g.source_type = i.source_type and g.source_id = i.source_id""")
 def embed_hashing(t):
     """Pending items embedded by the offline hashing provider (iterator pandas UDF, Arrow batches)."""
     p = E.pending(E.embeddable_items(t.posts, t.comments), _existing(t), "m1")
     out = E.embed(p, E.HashingProvider(64))
-    return out.select("source_type", "source_id", "model", "dimensions", F.size("vector").alias("n"),
-                      F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"))
+    mags = F.transform("vector", lambda x: F.abs(x))
+    return out.select("source_type", "source_id", "model", "dimensions",
+                      F.size(F.filter("vector", lambda x: x != 0)).cast("bigint").alias("nnz"),
+                      (F.array_position(mags, F.array_max(mags)) - 1).cast("bigint").alias("top_bucket"),
+                      F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm2"))
 
 
 @register("embeddings_upsert", """
