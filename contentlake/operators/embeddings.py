@@ -82,6 +82,8 @@ class HashingProvider:
 
 def embed(items: DataFrame, provider) -> DataFrame:
     """Vectors for the pending items, with model and dimensions recorded."""
+    from ..session import ship_package
+    ship_package(items.sparkSession)  # the provider's UDF runs in executor Python workers
     return items.withColumn("vector", provider.udf()(F.col("text"))) \
                 .withColumn("model", F.lit(provider.model_name)) \
                 .withColumn("dimensions", F.lit(provider.dimensions))

@@ -119,5 +119,7 @@ def stem_udf(words: pd.Series) -> pd.Series:
 
 def vocabulary_stems(doc_terms: DataFrame, term_col: str = "term") -> DataFrame:
     """(term, stem) for the distinct vocabulary of ``doc_terms``."""
+    from ..session import ship_package
+    ship_package(doc_terms.sparkSession)  # the stemmer UDF runs in executor Python workers
     vocab = doc_terms.select(term_col).distinct()
     return vocab.withColumn("stem", stem_udf(F.col(term_col)))

@@ -50,6 +50,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
