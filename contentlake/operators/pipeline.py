@@ -55,6 +55,21 @@ class Lake:
     def end_run(self) -> None:
         self.spark.createDataFrame([(self.run_id,)], "run long").write.mode("append").parquet(f"{self.root}/_runs")
 
+    def job_event(self, seq: int, status: str, records: int | None = None, error: str | None = None) -> None:
+        """Append a job event (running -> succeeded / partial / failed) to ``job_events``."""
+        self.spark.createDataFrame([(self.run_id, seq, status, records, error)],
+                                   "job_id long, event_seq int, status string, records_scraped long, error string") \
+            .write.mode("append").parquet(f"{self.root}/job_events")
+
+    def jobs(self) -> DataFrame | None:
+        """Current state of every job: its last event."""
+        from .merge import latest_status
+        try:
+            ev = self.spark.read.parquet(f"{self.root}/job_events")
+        except Exception:  # noqa: BLE001 - no job yet
+            return None
+        return latest_status(ev, "job_id", "event_seq")
+
     def _read_bucketed(self, table: str) -> DataFrame | None:
         try:
             return self.spark.read.parquet(f"{self.root}/{table}")
@@ -119,8 +134,12 @@ class Report:
         return sum(self.counters.get(k, 0) for k in ("authors_upserted", "channels_upserted", "posts_upserted",
                                                     "videos_upserted", "comments_upserted"))
 
+    steps_ok: int = 0
+
     @property
     def status(self) -> str:
+        if self.errors and self.steps_ok == 0:
+            return "failed"
         return "partial" if self.errors else "succeeded"
 
 
@@ -192,10 +211,12 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
     """Run one batch through every step; returns counters, errors and the job status."""
     rep = Report()
     lake.begin_run()
+    lake.job_event(0, "running")
 
     def step(name: str, fn) -> None:
         try:
             fn()
+            rep.steps_ok += 1
         except Exception as e:  # noqa: BLE001 - isolate the entity, keep going
             rep.errors.append(f"{name}: {type(e).__name__}: {str(e).splitlines()[0][:200]}")
             traceback.print_exc()
@@ -318,6 +339,7 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
     with ThreadPoolExecutor(max_workers=len(independent)) as pool:
         list(pool.map(lambda nf: step(*nf), independent))
     step("embeddings", do_embeddings)
-    rep.errors = rep.errors[:JOB_ERRORS_KEPT]
+    lake.job_event(1, rep.status, rep.total_records if rep.status != "failed" else None,
+                   "; ".join(rep.errors[:JOB_ERRORS_KEPT]) or None)
     lake.end_run()
     return rep

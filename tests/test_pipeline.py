@@ -46,3 +46,19 @@ def test_comment_post_refs_resolve(spark, tmp_path):
     assert not rep.errors
     post_id = lake.read("posts").collect()[0]["post_id"]
     assert lake.read("comments").collect()[0]["post_id"] == post_id   # resolved through the post URL
+
+
+def test_ingest_step_isolation(spark, tmp_path):
+    import json
+
+    from contentlake.operators.pipeline import Lake, ingest
+    from contentlake.sources.raw import with_variant
+    rows = [(json.dumps({"id": "1", "caption": "x #t", "ownerId": "u"}), 0, "acct", "instagram", "posts")]
+    posts = with_variant(spark.createDataFrame(rows, "raw string, item_seq long, target string, platform string, mode string"))
+    broken = spark.createDataFrame([("not a raw item",)], "value string")   # comments step cannot read this
+    lake = Lake(spark, str(tmp_path / "lake"))
+    rep = ingest(spark, lake, {"instagram": posts}, {"instagram": broken})
+    assert rep.status == "partial" and any(e.startswith("authors") or e.startswith("comments") for e in rep.errors)
+    assert lake.read("posts").count() == 1 and lake.read("engagement").count() == 1
+    job = lake.jobs().collect()[0]
+    assert job["status"] == "partial" and job["error"].count("; ") == len(rep.errors) - 1
