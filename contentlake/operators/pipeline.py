@@ -143,8 +143,15 @@ class Report:
         return "partial" if self.errors else "succeeded"
 
 
-def _authors(posts_raw: dict[str, DataFrame], comments_raw: dict[str, DataFrame]) -> DataFrame:
+def _authors(posts_raw: dict[str, DataFrame], comments_raw: dict[str, DataFrame],
+             profiles_raw: dict[str, DataFrame] | None = None) -> DataFrame:
+    from ..sources.raw import first_per_target
     parts = []
+    mods = {"instagram": instagram, "twitter": twitter, "youtube": youtube}
+    for plat, df in (profiles_raw or {}).items():
+        # A profile scrape keeps only the first item of each target.
+        parts.append(mods[plat].author(first_per_target(df)).select("item_seq", "platform", "platform_user_id",
+                                                                   "username"))
     if "instagram" in posts_raw:
         parts.append(instagram.author(posts_raw["instagram"]).select("item_seq", "platform", "platform_user_id", "username"))
     if "twitter" in posts_raw:
@@ -207,8 +214,9 @@ def _comments(comments_raw: dict[str, DataFrame]) -> DataFrame:
 
 
 def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], comments_raw: dict[str, DataFrame],
-           provider=None) -> Report:
-    """Run one batch through every step; returns counters, errors and the job status."""
+           provider=None, profiles_raw: dict[str, DataFrame] | None = None) -> Report:
+    """Run one batch through every step; returns counters, errors and the job status.
+    ``profiles_raw`` (profile scrapes) contribute authors only, first item per target."""
     rep = Report()
     lake.begin_run()
     lake.job_event(0, "running")
@@ -222,7 +230,8 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
             traceback.print_exc()
 
     def do_authors():
-        ins, upd = lake.upsert("authors", _authors(posts_raw, comments_raw), NATURAL_KEYS["authors"], "author_id")
+        ins, upd = lake.upsert("authors", _authors(posts_raw, comments_raw, profiles_raw), NATURAL_KEYS["authors"],
+                               "author_id")
         rep.counters["authors_upserted"] = ins + upd
 
     def do_channels():
@@ -236,9 +245,11 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
         ins, upd = lake.upsert("channels", ch, NATURAL_KEYS["channels"], "channel_id")
         rep.counters["channels_upserted"] = ins + upd
 
-    posts = _posts(posts_raw)
+    posts = _posts(posts_raw) if posts_raw else None
 
     def do_posts():
+        if posts is None:
+            return
         p = posts.drop("media", "mentions")
         ins, upd = lake.upsert("posts", p, NATURAL_KEYS["posts"], "post_id")
         rep.counters["posts_upserted"] = ins + upd
@@ -255,6 +266,8 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
         rep.counters["videos_upserted"] = ins + upd
 
     def do_comments():
+        if not comments_raw:
+            return
         c = _comments(comments_raw)
         stored = lake.read("posts")
         # Post reference (K5): a bare id, or a URL -- watch?v=<id>, /status/<id>, /p/<code>/, /reel/<code>/ --
@@ -283,12 +296,16 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
         rep.counters["comments_upserted"] = ins + upd
 
     def do_media():
+        if posts is None:
+            return
         m = posts.select("post_id", F.explode("media").alias("m")).select(
             "post_id", F.col("m.media_type").alias("media_type"), F.col("m.url").alias("url"),
             F.col("m.order_index").alias("order_index"))
         rep.counters["media_created"] = lake.append_new("media", m, ["post_id", "url"])
 
     def do_hashtags():
+        if posts is None:
+            return
         links = posts.select("post_id", F.explode("hashtags").alias("tag")).where(F.col("tag") != "").distinct()
         tags = links.select("tag").distinct().withColumn("hashtag_id", F.sha2("tag", 256))
         lake.append_new("hashtags", tags, ["tag"])
@@ -296,10 +313,14 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
         rep.counters["hashtags_linked"] = lake.append_new("post_hashtags", l2, ["post_id", "hashtag_id"])
 
     def do_mentions():
+        if posts is None:
+            return
         m = posts.select("post_id", F.explode("mentions").alias("username")).where(F.col("username") != "")
         rep.counters["mentions_created"] = lake.append_new("mentions", m, ["post_id", "username"])
 
     def do_engagement():
+        if not posts_raw:
+            return
         parts = []
         for plat, mod in (("instagram", instagram), ("twitter", twitter), ("youtube", youtube)):
             if plat in posts_raw:
@@ -316,8 +337,13 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
     def do_embeddings():
         if provider is None:
             return
-        p = lake.read("posts").select("post_id", "platform", "caption", "content")
-        c = lake.read("comments").select("comment_id", "platform", "content")
+        sp, sc = lake.read("posts"), lake.read("comments")
+        if sp is None and sc is None:
+            return
+        p = (sp.select("post_id", "platform", "caption", "content") if sp is not None else
+             spark.createDataFrame([], "post_id string, platform string, caption string, content string"))
+        c = (sc.select("comment_id", "platform", "content") if sc is not None else
+             spark.createDataFrame([], "comment_id string, platform string, content string"))
         items = E.embeddable_items(p, c)
         existing = lake.read("embeddings")
         if existing is None:

@@ -62,3 +62,22 @@ def test_ingest_step_isolation(spark, tmp_path):
     assert lake.read("posts").count() == 1 and lake.read("engagement").count() == 1
     job = lake.jobs().collect()[0]
     assert job["status"] == "partial" and job["error"].count("; ") == len(rep.errors) - 1
+
+
+def test_profile_scrape_adds_first_author_only(spark, tmp_path):
+    import json
+
+    from contentlake.operators.pipeline import Lake, ingest
+    from contentlake.sources.raw import with_variant
+
+    def raw(items, mode):
+        rows = [(json.dumps(x), i, "acct", "instagram", mode) for i, x in enumerate(items)]
+        return with_variant(spark.createDataFrame(rows, "raw string, item_seq long, target string, platform string, mode string"))
+    posts = raw([{"id": "p1", "caption": "x", "ownerId": "u1"}], "posts")
+    profiles = raw([{"id": "42", "username": "first"}, {"id": "43", "username": "second"}], "profile")
+    lake = Lake(spark, str(tmp_path / "lake"))
+    from contentlake.operators.embeddings import HashingProvider
+    rep = ingest(spark, lake, {"instagram": posts}, {}, HashingProvider(8), profiles_raw={"instagram": profiles})
+    assert rep.status == "succeeded", rep.errors
+    users = {r["platform_user_id"] for r in lake.read("authors").collect()}
+    assert users == {"u1", "42"}
