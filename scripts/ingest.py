@@ -2,6 +2,7 @@
 
 Usage:
   python scripts/ingest.py LAKE_DIR --posts PLATFORM=GLOB[@TARGET] ... --comments PLATFORM=GLOB@POST_REF ...
+                           [--profiles PLATFORM=GLOB@TARGET ...]
 Example:
   python scripts/ingest.py /shared/lake --posts instagram=landing/ig/*.jsonl@some_account \\
       --comments instagram=landing/ig_c/*.jsonl@https://www.instagram.com/p/CODE/
@@ -29,6 +30,7 @@ def main() -> None:
     ap.add_argument("lake")
     ap.add_argument("--posts", action="append", default=[])
     ap.add_argument("--comments", action="append", default=[])
+    ap.add_argument("--profiles", action="append", default=[], help="PLATFORM=GLOB@TARGET profile scrapes")
     ap.add_argument("--dims", type=int, default=64)
     ap.add_argument("--buckets", type=int, default=64)
     a = ap.parse_args()
@@ -46,7 +48,8 @@ def main() -> None:
             out[plat] = df if plat not in out else batch_union(out[plat], df)
         return out
     lake = Lake(spark, a.lake, buckets=a.buckets)
-    rep = ingest(spark, lake, load(a.posts, "posts"), load(a.comments, "comments"), HashingProvider(a.dims))
+    rep = ingest(spark, lake, load(a.posts, "posts"), load(a.comments, "comments"), HashingProvider(a.dims),
+                 profiles_raw=load(a.profiles, "profile"))
     print(json.dumps({"run": lake.run_id, "status": rep.status, "total_records": rep.total_records,
                       "counters": rep.counters, "errors": rep.errors}))
 
