@@ -21,6 +21,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Broadcast only what is known small; AQE re-plans from real sizes.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # Checkpoint files of intermediates are removed once their RDDs are garbage collected.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -35,6 +37,7 @@ CLUSTER_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
     "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
