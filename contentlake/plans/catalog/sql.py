@@ -11,12 +11,10 @@ from ..safe_sql import safe_sql, schema_catalog
 
 
 def _sql(name: str, text: str, oracle: str | None = None):
-    @register(name, oracle if oracle is not None else text)
     def q(t, _text=text):
         return safe_sql(t.spark, _text, t)
 
-    q.__doc__ = f"guarded SQL: {name}"
-    return q
+    return register(name, oracle if oracle is not None else text)(q)
 
 
 _sql("safe_sql_basic", """

@@ -81,7 +81,11 @@ def register(name: str, oracle: str | None = None):
             return fn(tables(spark, sf_dir))
 
         run.__name__ = name
-        run.__doc__ = fn.__doc__
+        if fn.__doc__:
+            run.__doc__ = fn.__doc__
+        else:
+            from .catalog.descriptions import DESCRIPTIONS
+            run.__doc__ = DESCRIPTIONS.get(name)
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = run
