@@ -403,3 +403,27 @@ def postings_for(index: DataFrame, questions: DataFrame, buckets: int = 64) -> D
     q = questions.select("qid", "term").withColumn("bucket", term_bucket(F.col("term"), buckets))
     needed = sorted(r[0] for r in q.select("bucket").distinct().collect())
     return index.where(F.col("bucket").isin(needed)).join(q, ["bucket", "term"])
+
+
+def keyword_search_indexed(index: DataFrame, docs: DataFrame, query: str, platform: str | None = None,
+                           limit: int = 20, buckets: int = 64) -> DataFrame:
+    """R1 over a persisted inverted index (``write_inverted_index``): the postings of the query's
+    required words (read bucket-pruned) give the candidate documents -- those containing every
+    required word -- and the full web-search predicate is then verified on the candidates' text,
+    so the result equals ``keyword_search``. Queries without a required word scan as usual."""
+    q = parse_websearch(query)
+    required = sorted({g[0].words[0] for g in q.groups if len(g) == 1 and not g[0].negated and not g[0].phrase})
+    if q.empty or not required:
+        return keyword_search(docs, query, platform, limit)
+    spark = docs.sparkSession
+    wanted = spark.createDataFrame([(w,) for w in required], "term string") \
+                  .withColumn("bucket", term_bucket(F.col("term"), buckets))
+    needed = sorted(r[0] for r in wanted.select("bucket").distinct().collect())  # at most len(required)
+    post = index.where(F.col("bucket").isin(needed) & F.col("term").isin(required))
+    cand = (post.groupBy("source_type", "source_id").agg(F.countDistinct("term").alias("_n"))
+                .where(F.col("_n") == len(required)).select("source_type", "source_id"))
+    d = docs if platform is None else docs.where(F.col("platform") == platform)
+    d = d.join(cand, ["source_type", "source_id"], "left_semi")
+    pred, _ = keyword_predicate(q, F.col("content"))
+    hits = d.where(pred).orderBy("source_id").limit(limit)
+    return hits.select(*_hit_cols(F.lit(1.0), "keyword"))

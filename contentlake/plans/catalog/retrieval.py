@@ -60,6 +60,20 @@ def keyword_search(t):
     return RT.keyword_search(t.search_docs, "the tion thon -ther", limit=20).drop("content")
 
 
+@register("keyword_search_indexed", "select source_type, source_id, platform, score, match from " + kw_sql(
+    "list_contains(toks, 'tion') and list_contains(toks, 'thon') and not list_contains(toks, 'ther')"))
+def keyword_search_indexed(t):
+    """R1 at corpus scale: the same query answered from a bucketed inverted index (candidates from the
+    required words' postings, exact verification on their text) -- identical to keyword_search."""
+    import uuid
+
+    from ...session import checkpoint_dir
+    path = f"{checkpoint_dir(t.spark).rstrip('/')}/inverted-{uuid.uuid4().hex[:12]}"
+    RT.write_inverted_index(t.search_docs, path, buckets=64)
+    index = t.spark.read.parquet(path)
+    return RT.keyword_search_indexed(index, t.search_docs, "the tion thon -ther", limit=20).drop("content")
+
+
 @register("keyword_search_or", "select source_type, source_id, platform, score, match from " + kw_sql(
     "(list_contains(toks, 'thre') or list_contains(toks, 'thnt')) and list_contains(toks, 'erin')", 20, "youtube"))
 def keyword_search_or(t):
