@@ -193,3 +193,16 @@ def test_bounds_fall_back(spark):
     assert len(V.query_vectors(vecs, "qid", "v", max_rows=5)) == 5
     with pytest.raises(ValueError):
         V.query_vectors(vecs, "qid", "v", max_rows=4)
+
+
+def test_keyword_search_indexed_equals_scan(spark, tmp_path):
+    texts = ["The cat sat on the mat", "dog and cat play", "big fish swim fast", "a big dog barks",
+             "fish big cat", "cat cat dog fish", "nothing here"]
+    docs = spark.createDataFrame([("post", i, "x", t) for i, t in enumerate(texts)],
+                                 "source_type string, source_id long, platform string, content string")
+    RT.write_inverted_index(docs, str(tmp_path / "idx"), buckets=4)
+    index = spark.read.parquet(str(tmp_path / "idx"))
+    for q in ["cat", "cat -dog", "cat dog fish", '"big fish"', "cat or dog", "fish -big", "big cat"]:
+        a = [r["source_id"] for r in RT.keyword_search(docs, q, limit=50).collect()]
+        b = [r["source_id"] for r in RT.keyword_search_indexed(index, docs, q, limit=50, buckets=4).collect()]
+        assert a == b, q
