@@ -24,12 +24,17 @@ def event_stream(spark: SparkSession, path: str, replays: int = 1) -> DataFrame:
     """Events as a stream (``ts`` cast to TIMESTAMP for watermarks); ``replays`` > 1 unions the
     source with itself to model re-delivered files."""
     schema = spark.read.parquet(path).schema
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    is_dir = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hpath).isDirectory()
     folder, _, name = path.rstrip("/").rpartition("/")
 
     def one():
-        # A file stream source watches a folder; the glob keeps it to this table's files.
-        return (spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-                .withColumn("ts", F.col("ts").cast("timestamp")))
+        # A file stream source watches a folder: a table folder is watched as is; a single file is
+        # watched through its parent folder with a glob that keeps it to this file.
+        reader = spark.readStream.schema(schema)
+        src = reader.parquet(path) if is_dir else reader.option("pathGlobFilter", name).parquet(folder)
+        return src.withColumn("ts", F.col("ts").cast("timestamp"))
 
     out = one()
     for _ in range(replays - 1):
