@@ -43,8 +43,8 @@ def split_words(text: Column) -> Column:
 
 
 def count_of(text: Column, chars: str) -> Column:
-    """How many characters of ``chars`` a text holds."""
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+    """How many characters of the class ``chars`` (as between brackets in a pattern) a text holds."""
+    return F.regexp_count(text, F.lit(f"[{chars}]")).cast("long")
 
 
 def n_tasks(spark: SparkSession) -> int:

@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import language_id, quality_rules
 from .common import begin, table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    begin(spark)
+    docs = table(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = language_id.fit(docs.where(~F.coalesce(held, F.lit(False))).select("text", "lang"))
+    rows = docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"),
+                       language_id.predict(model, F.col("text")).alias("p"))
+    return rows.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"),
+                       F.col("p.accepted").alias("accepted"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     begin(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -17,5 +28,5 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")])
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op5_quality_rules)}
 ORACLES: dict[str, str] = {}
