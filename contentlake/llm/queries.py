@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_rules
+from . import language_id, license_scan, quality_rules
 from .common import begin, table
 
 
@@ -20,6 +20,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("p.accepted").alias("accepted"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    begin(spark)
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     begin(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -28,5 +33,5 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")])
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op5_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_license_scan, op5_quality_rules)}
 ORACLES: dict[str, str] = {}
