@@ -5,10 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, quality_rules
+from . import language_id, license_scan, quality_rules, url_filter
 from .common import begin, table
 
 
+# The rules of the url query.
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    begin(spark)
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    rows, v = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return rows.select("page_id", f"{v}.*")
+
+
+OP1_SQL = """
+with u as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+h as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+r as (select * from (values """ + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES) + """) as t(rh, rp, v)),
+m as (select h.*, (select max(struct_pack(n := length(rh) + length(rp), m := length(rh), r := rh || rp, v := v)) from r
+      where (h.host = rh or ends_with(h.host, '.' || rh)) and starts_with(h.path, rp)) as b from h)
+select page_id, host, path, b.r as rule, coalesce(b.v, 'allow') as verdict from m"""
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     begin(spark)
     docs = table(spark, sf_dir, "documents")
@@ -33,5 +55,5 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")])
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_license_scan, op5_quality_rules)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_license_scan, op5_quality_rules)}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL}
