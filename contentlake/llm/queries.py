@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, quality_rules, url_filter
+from . import bit_sliced_topk, language_id, license_scan, quality_rules, url_filter
 from .common import begin, table
 
 
@@ -55,5 +55,20 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")])
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_license_scan, op5_quality_rules)}
-ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL}
+def op8_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    begin(spark)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return bit_sliced_topk.topk(rows, rows.where(F.col("vec_id") % 100 == 0), 10, "vec_id", "embedding")
+
+
+OP8_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+           where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v::double[], c.v::double[]) as bigint) as score
+      from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10"""
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_license_scan, op5_quality_rules, op8_bit_sliced_topk)}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op8_bit_sliced_topk": OP8_SQL}
