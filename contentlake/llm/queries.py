@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_sliced_topk, language_id, license_scan, quality_rules, url_filter
+from . import best_fit_packing, bit_sliced_topk, language_id, license_scan, quality_rules, url_filter
 from .common import begin, table
 
 
@@ -47,6 +48,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    begin(spark)
+    return best_fit_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     begin(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -70,5 +76,5 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10"""
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_license_scan, op5_quality_rules, op8_bit_sliced_topk)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_license_scan, op4_best_fit_packing, op5_quality_rules, op8_bit_sliced_topk)}
 ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op8_bit_sliced_topk": OP8_SQL}
