@@ -60,7 +60,7 @@ class WordTokenizer:
                 yield self._whole([t])[0]
                 continue
             found = _PRETOKEN.findall(t.lower())
-            new = list(set(found) - self.words.keys())
+            new = list(set(found).difference(self.words))
             if new:
                 self.words.update(zip(new, self._whole(new), strict=True))
             yield b"".join(map(self.words.__getitem__, found))
