@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, bit_sliced_topk, language_id, license_scan, piece_codec, quality_rules, url_filter
+from . import best_fit_packing, bit_sliced_topk, jaccard_join, language_id, license_scan, piece_codec, quality_rules, url_filter
 from .common import begin, table
 
 
@@ -67,6 +67,11 @@ def op8_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_sliced_topk.topk(rows, rows.where(F.col("vec_id") % 100 == 0), 10, "vec_id", "embedding")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    begin(spark)
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     begin(spark)
     return piece_codec.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -82,5 +87,5 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_license_scan, op4_best_fit_packing, op5_quality_rules, op8_bit_sliced_topk,
-                                op10_piece_codec)}
+                                op9_jaccard_join, op10_piece_codec)}
 ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op8_bit_sliced_topk": OP8_SQL}
