@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 400_000
+CACHE = 1_000_000
 
 # Letters, digits and white space of the Latin range, as the tokenizer's pattern sees them.
 _LETTERS, _DIGITS, _BLANKS = r"a-zªµºß-öø-ÿ", r"0-9²³¹¼-¾", r"\t-\r \x85\xa0"
@@ -45,24 +46,29 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.whole = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, pre_tokenizers
+        self.whole, self.single = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # A word that is lower-cased and split already needs neither of those steps again.
+        self.single.normalizer = None
+        self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.words: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+    @staticmethod
+    def _bytes(tokenizer, texts: list[str]) -> list[bytes]:
+        found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.words) > CACHE:
             self.words = {}
         for t in texts:
             if "<|" in t or not _PLAIN.fullmatch(t):
-                yield self._whole([t])[0]
+                yield self._bytes(self.whole, [t])[0]
                 continue
             found = _PRETOKEN.findall(t.lower())
             new = list(set(found).difference(self.words))
             if new:
-                self.words.update(zip(new, self._whole(new), strict=True))
+                self.words.update(zip(new, self._bytes(self.single, new), strict=True))
             yield b"".join(map(self.words.__getitem__, found))
 
 
