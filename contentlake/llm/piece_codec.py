@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 400_000
+CACHE = 1_000_000
 MARK = "▁"
 
 
@@ -72,7 +72,8 @@ class PieceCodec:
         self.order = {sp.id_to_piece(i): -sp.get_score(i) for i in normal}  # the agenda's least comes first
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.pattern = segment_pattern(list(self.ids))
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.decimal = [str(i) for i in range(sp.get_piece_size())]
 
     def merge(self, text: str) -> list[str]:
         """Symbols of a segment after all merges."""
@@ -98,17 +99,21 @@ class PieceCodec:
                 heapq.heappush(agenda, (s, h, i, p))
         return [s for s in syms if s]
 
-    def segment(self, text: str) -> tuple[tuple[int, ...], str]:
+    def segment(self, text: str) -> tuple[int, ...]:
         ids: list[int] = []
         for s in self.merge(text):
             i = self.ids.get(s)
             ids.extend((i,) if i is not None else (self.bytes[b] for b in s.encode()))
-        return tuple(ids), " ".join(map(str, ids))
+        return tuple(ids)
 
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """Ids with the end id, and their decimal form joined by blanks."""
+    def joined(self, ids: list[int]) -> str:
+        """Decimal ids joined by one blank."""
+        return " ".join(map(self.decimal.__getitem__, ids))
+
+    def encode(self, text: str) -> list[int]:
+        """Ids with the end id."""
         if not text:
-            return [self.end], str(self.end)
+            return [self.end]
         marked = MARK + text.replace(" ", MARK)
         parts = self.pattern.findall(marked) if self.pattern else [marked]
         known = self.known
@@ -116,10 +121,9 @@ class PieceCodec:
             known.clear()
         for p in set(parts).difference(known):
             known[p] = self.segment(p)
-        done = list(map(known.__getitem__, parts))
-        ids = list(chain.from_iterable(d[0] for d in done))
+        ids = list(chain.from_iterable(map(known.__getitem__, parts)))
         ids.append(self.end)
-        return ids, " ".join([*(d[1] for d in done), str(self.end)])
+        return ids
 
 
 _CODECS: dict[str, PieceCodec] = {}
@@ -145,12 +149,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text
             checks = codec.library.encode(texts, num_threads=1, add_eos=True)
             rows = []
             for t, check in zip(texts, checks, strict=True):
-                ids, joined = codec.encode(t)
+                ids = codec.encode(t)
                 agreed = ids == check
                 if not agreed:
-                    ids, joined = check, " ".join(map(str, check))
+                    ids = check
                 decoded = codec.library.decode(ids)
-                rows.append((len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(),
+                rows.append((len(ids), hashlib.sha256(codec.joined(ids).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(),
                              agreed, *((ids, decoded) if keep else ())))
             cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), fields.values(), strict=True)] if rows else [
                 pa.array([], k) for k in fields.values()]
