@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, bit_sliced_topk, jaccard_join, language_id, license_scan, piece_codec, quality_rules, url_filter
+from . import best_fit_packing, bit_sliced_topk, jaccard_join, language_id, license_scan, piece_codec, pseudonyms, quality_rules, url_filter
 from .common import begin, table
 
 
@@ -61,6 +61,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")])
 
 
+#: The key of the registered query and of the pipeline; a real run passes its own.
+PSEUDONYM_KEY = b"contentlake-example-key"
+
+
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text with pseudonyms, the number of values and their kinds."""
+    begin(spark)
+    rows, v = pseudonyms.pseudonymize(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+    return rows.select("doc_id", "text", F.size(v).cast("long").alias("n_found"),
+                       F.concat_ws(",", F.sort_array(F.array_distinct(F.transform(v, lambda x: x["kind"])))).alias("kinds"))
+
+
 def op8_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     begin(spark)
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -86,6 +98,7 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10"""
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_license_scan, op4_best_fit_packing, op5_quality_rules, op8_bit_sliced_topk,
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_license_scan, op4_best_fit_packing, op5_quality_rules,
+                                op6_pseudonyms, op8_bit_sliced_topk,
                                 op9_jaccard_join, op10_piece_codec)}
 ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op8_bit_sliced_topk": OP8_SQL}
