@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, bit_sliced_topk, jaccard_join, language_id, license_scan, piece_codec, pseudonyms, quality_rules, url_filter
+from . import best_fit_packing, bit_sliced_topk, jaccard_join, language_id, license_scan, piece_codec, pseudonyms, quality_rules, rule_ensemble, url_filter
 from .common import begin, table
 
 
@@ -73,6 +73,15 @@ def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.concat_ws(",", F.sort_array(F.array_distinct(F.transform(v, lambda x: x["kind"])))).alias("kinds"))
 
 
+def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    begin(spark)
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held = lambda: F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    model = rule_ensemble.fit(docs.where(~held()), labels)
+    rows, v = rule_ensemble.score(docs, model)
+    return rows.select("doc_id", held().alias("held_out"), F.col(v).alias("score"), (F.col(v) >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     begin(spark)
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -99,6 +108,6 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_license_scan, op4_best_fit_packing, op5_quality_rules,
-                                op6_pseudonyms, op8_bit_sliced_topk,
+                                op6_pseudonyms, op7_rule_ensemble, op8_bit_sliced_topk,
                                 op9_jaccard_join, op10_piece_codec)}
 ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op8_bit_sliced_topk": OP8_SQL}
