@@ -1,7 +1,7 @@
 """N-gram Jaccard join with set-relation skipping (operator 9).
 
-A document's set holds the 64-bit hashes of its distinct three-word shingles. Two documents link when
-100 * intersection >= 90 * union (both bounds are parameters). The join has three steps:
+A document's set holds the 64-bit hashes of its distinct shingles (three words unless told otherwise).
+Two documents link when 100 * intersection >= 90 * union (both bounds are parameters). The join has three steps:
 
 1. Index lists by position block. Linked sets of at most s elements differ in at most H(s) of them,
    so if the hash order is cut into H(s) + 1 blocks, at least one block is equal in both. An index
@@ -22,7 +22,7 @@ documents; sets are made again for candidates only, found by a bitmap of fixed s
 false hits of the bitmap cost time, never a result).
 
 Defined results: null and empty texts, and texts without words, have an empty set and are linked with
-nothing (their component is their own id). A text with fewer than three words is one shingle. A null
+nothing (their component is their own id). A text with fewer words than a shingle has is one shingle. A null
 id never becomes a component id unless the component has no other. Rows repeat as given.
 """
 
@@ -38,7 +38,6 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir, materialize
 from .components import components
 
-SHINGLE = 3
 PART_SETS, PART_TOKENS = 500, 2_000_000
 FILTER_BITS = 1 << 25
 #: Sets per block of an index list.
@@ -48,7 +47,8 @@ DERIVE = 0.6
 WORDS = 500_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
+_MULT = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63,
+                              0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,7 +60,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct shingle hashes of a text; word hashes are kept in a table of bounded size."""
 
-    def __init__(self):
+    def __init__(self, n: int):
+        self.n = n
         from xxhash import xxh3_64_intdigest
         self.hash = xxh3_64_intdigest
         self.words: dict[bytes, int] = {}
@@ -75,7 +76,7 @@ class Shingler:
         for w in set(words).difference(known):
             known[w] = self.hash(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        n = min(SHINGLE, len(h))
+        n = min(self.n, len(h))
         with np.errstate(over="ignore"):
             total = sum(h[i:len(h) - n + 1 + i] * _MULT[i] for i in range(n)) + np.uint64(n)
             return np.unique(_mix(total))
@@ -122,13 +123,13 @@ def set_key(tokens: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-_SHINGLER: list[Shingler] = []
+_SHINGLERS: dict[int, Shingler] = {}
 
 
-def _shingler() -> Shingler:
-    if not _SHINGLER:
-        _SHINGLER.append(Shingler())
-    return _SHINGLER[0]
+def _shingler(n: int) -> Shingler:
+    if n not in _SHINGLERS:
+        _SHINGLERS[n] = Shingler(n)
+    return _SHINGLERS[n]
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -137,9 +138,9 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
-def _index(num: int, den: int):
+def _index(num: int, den: int, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = _shingler()
+        make = _shingler(shingle)
         for b in batches:
             sets = [make(t.as_py()) for t in b.column("t")]
             keys = [set_key(s) for s in sets]
@@ -150,7 +151,7 @@ def _index(num: int, den: int):
     return run
 
 
-def _candidate_sets(bitmap: dict[int, bytes]):
+def _candidate_sets(bitmap: dict[int, bytes], shingle: int):
     """Sets of the texts whose key is in the bitmap, each set once per task."""
     buckets = {k: np.frombuffer(v, np.uint8) for k, v in bitmap.items()}
 
@@ -160,7 +161,7 @@ def _candidate_sets(bitmap: dict[int, bytes]):
         return part is not None and bool(part[(bit & 32767) >> 3] >> (bit & 7) & 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, seen = _shingler(), set()
+        make, seen = _shingler(shingle), set()
         for b in batches:
             keys, sets = [], []
             for t in b.column("t"):
@@ -272,14 +273,15 @@ def _join_group(num: int, den: int):
     return run
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", num: int = 90, den: int = 100) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", num: int = 90, den: int = 100,
+         shingle: int = 3) -> DataFrame:
     """``<id_col>, n_shingles, component_id, n_links`` for every row; ``n_links`` counts the different
     sets it links with (copies of its own set are not counted)."""
     spark = docs.sparkSession
     checkpoint_dir(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"))
     kind = docs.schema[id_col].dataType.simpleString()
-    base = materialize(texts.mapInArrow(_index(num, den), f"id {kind}, h1 long, h2 long, size long, sigs array<long>"))
+    base = materialize(texts.mapInArrow(_index(num, den, shingle), f"id {kind}, h1 long, h2 long, size long, sigs array<long>"))
 
     listed = base.select("h1", F.explode("sigs").alias("sig"))
     stars = listed.groupBy("sig").agg(F.min("h1").alias("first"), F.max("h1").alias("last")).where("first < last").select("sig", "first")
@@ -294,7 +296,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", num: int =
     bits = members.select((F.shiftright(bit, 15)).alias("bucket"), bit.bitwiseAND(F.lit(32767)).alias("bit"))
     bitmap = {r[0]: bytes(r[1]) for r in bits.groupBy("bucket").agg(F.bitmap_construct_agg("bit")).collect()}
 
-    sets = texts.select("t").mapInArrow(_candidate_sets(bitmap), "h1 long, h2 long, tokens array<long>").join(members, "h1")
+    sets = texts.select("t").mapInArrow(_candidate_sets(bitmap, shingle), "h1 long, h2 long, tokens array<long>").join(members, "h1")
     part = F.pmod(F.xxhash64("h1", "h2"), F.col("parts")).cast("int")
     # A part meets itself and every other part: the group of parts p <= q.
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
