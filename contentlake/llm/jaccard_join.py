@@ -7,8 +7,12 @@ Two documents link when 100 * intersection >= 90 * union (both bounds are parame
    so if the hash order is cut into H(s) + 1 blocks, at least one block is equal in both. An index
    list is keyed by (size class, block, content of the block); the lists of all other positions are
    skipped. A set is listed under its own size class and the next one, which is as far as a linked
-   set can be. Documents that share a list are candidates; each list gives one star, so its edges are
-   as many as its members, and the stars' components are the clusters inside which links lie.
+   set can be. A few more blocks are made than needed, so that as many of the emptiest may be left
+   out. Shingles that very many documents share are left out of the blocks (whatever is left out of
+   all sets alike, the rest still differs in at most H elements): a common passage makes no
+   candidates. Documents that share a list are candidates; each list gives one star, so its edges
+   are as many as its members, and the stars' components are the clusters inside which links lie.
+   Lists travel as packed arrays, and a list met twice in one task is merged there first.
 2. Sets of a cluster meet in groups of two parts (``PART_SETS`` sets, ``PART_TOKENS`` elements each),
    every pair of parts once. In a group, an inverted index keeps its lists in blocks of sets ordered
    by size; blocks whose sizes are out of reach are skipped. The overlaps of a set are derived
@@ -28,6 +32,7 @@ id never becomes a component id unless the component has no other. Rows repeat a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, materialize
+from .common import n_tasks
 from .components import components
 
 PART_SETS, PART_TOKENS = 500, 2_000_000
@@ -45,6 +51,11 @@ BLOCK = 32
 #: A set at least this similar to a computed one derives its overlaps from it.
 DERIVE = 0.6
 WORDS = 500_000
+#: Shingles count as common if they are in this many of at most about so many sampled documents; at
+#: most so many are kept (0.8 MB). This only shapes the lists: every choice gives the same links.
+COMMON_IN, COMMON_SAMPLE, COMMON_MOST = 4, 8192, 100_000
+#: Entries of index lists that a task gathers before it packs them.
+PACK = 1_000_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MULT = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63,
@@ -98,21 +109,34 @@ def size_classes(size: int, num: int, den: int) -> tuple[int, int, int]:
         low, i = high + 1, i + 1
 
 
-def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
+def block_plan(top: int, num: int, den: int) -> tuple[int, int]:
+    """(blocks, how many of the emptiest may be left out) for sets of at most ``top`` elements. Two linked
+    sets have at least blocks - H equal blocks, and each of the two leaves out at most (blocks - H - 1) / 2."""
+    h = max_difference(top, num, den)
+    if not h:
+        return 1, 0
+    spare = min(h, math.ceil(2 * (h + 1) * math.exp(-top / (h + 1))) + 2)
+    return h + 1 + 2 * spare, spare
+
+
+def signatures(tokens: np.ndarray, common: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of the index lists of a set."""
     if not len(tokens):
         return np.empty(0, np.uint64)
     i, own, following = size_classes(len(tokens), num, den)
+    if len(common):
+        tokens = tokens[common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] != tokens]
     out = []
     with np.errstate(over="ignore"):
         for cls, top in ((i, own), (i + 1, following)):
-            blocks = max_difference(top, num, den) + 1
+            blocks, spare = block_plan(top, num, den)
             if blocks == 1:
                 continue  # linked sets of this class are equal
-            at = ((tokens >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+            at = (((tokens >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
             total = np.zeros(blocks, np.uint64)
-            np.add.at(total, at.astype(np.int64), tokens)
-            out.append(_mix(total * _MULT[1] + np.uint64(cls) * _MULT[0] + np.arange(blocks, dtype=np.uint64) * _MULT[2]))
+            np.add.at(total, at, tokens)
+            key = _mix(total * _MULT[1] + np.uint64(cls) * _MULT[0] + np.arange(blocks, dtype=np.uint64) * _MULT[2])
+            out.append(key[np.argsort(np.bincount(at, minlength=blocks), kind="stable")[spare:]])
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
@@ -138,7 +162,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
-def _index(num: int, den: int, shingle: int):
+def _index(common: np.ndarray, num: int, den: int, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = _shingler(shingle)
         for b in batches:
@@ -146,11 +170,96 @@ def _index(num: int, den: int, shingle: int):
             keys = [set_key(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
-                 pa.array([len(s) for s in sets], pa.int64()), _lists([signatures(s, num, den) for s in sets])],
+                 pa.array([len(s) for s in sets], pa.int64()), _lists([signatures(s, common, num, den) for s in sets])],
                 names=["id", "h1", "h2", "size", "sigs"])
     return run
 
 
+def _common(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles of many documents, from a sample taken by a hash of the text (copies once per task)."""
+    rate = min(1.0, COMMON_SAMPLE / max(texts.count(), 1))
+    some = texts.where(F.col("t").isNotNull() & (F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(rate * 1_000_000))).select("t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, seen = _shingler(shingle), set()
+        for b in batches:
+            sets = {set_key(x): x for x in (make(t.as_py()) for t in b.column("t"))}
+            new = [x for k, x in sets.items() if k not in seen]
+            seen.update(sets)
+            yield pa.RecordBatch.from_arrays([_lists(new)], names=["tokens"])
+
+    found = some.mapInArrow(run, "tokens array<long>").select(F.explode("tokens").alias("token")).groupBy("token").count()
+    rows = found.where(F.col("count") >= COMMON_IN).orderBy(F.desc("count"), "token").limit(COMMON_MOST).collect()
+    return np.sort(np.array([r["token"] for r in rows], np.int64).view(np.uint64))
+
+
+def _stars(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of (list, member) pairs: the lists, the least member of each, and one edge (least, member) for
+    each other member."""
+    order = np.lexsort((key, sig))
+    sig, key = sig[order], key[order]
+    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)
+    least = np.repeat(key[starts], np.diff(np.concatenate([starts, [len(sig)]])))
+    other = least != key
+    return sig[starts], key[starts], least[other], key[other]
+
+
+PACKED = "bucket int, edges boolean, a binary, b binary"
+
+
+def _pack(buckets: int):
+    """Rows (key, lists) -> packed lists by bucket, each list once with its least member, and edges."""
+    def flush(sig: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sig, key, first, other = _stars(sig, key)
+        bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        cuts = np.searchsorted(bucket, np.arange(buckets + 1))  # lists are sorted, and so are their buckets
+        rows = [(b, False, sig[i:j].tobytes(), key[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if i < j]
+        if len(first):
+            rows.append((int(first[0] % buckets), True, first.tobytes(), other.tobytes()))
+        kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                                             names=["bucket", "edges", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs, keys, n = [], [], 0
+        for b in batches:
+            lists = b.column("sigs")
+            sigs.append(lists.flatten().to_numpy().view(np.uint64))
+            keys.append(np.repeat(b.column("h1").to_numpy(), lists.value_lengths().to_numpy()))
+            n += len(sigs[-1])
+            if n > PACK:
+                yield from flush(np.concatenate(sigs), np.concatenate(keys))
+                sigs, keys, n = [], [], 0
+        if n:
+            yield from flush(np.concatenate(sigs), np.concatenate(keys))
+    return run
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows sorted by bucket -> edges ``first, h1``."""
+    def rows(first: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(other, pa.int64())], names=["first", "h1"])
+
+    def stars(parts: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        sig, key = (np.frombuffer(b"".join(p), kind) for p, kind in zip(zip(*parts, strict=True), (np.uint64, np.int64), strict=True))
+        return rows(*_stars(sig, key)[2:])
+
+    at, parts = None, []
+    for b in batches:
+        for r in b.to_pylist():
+            if r["edges"]:
+                yield rows(np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64))
+                continue
+            if r["bucket"] != at and parts:
+                yield stars(parts)
+                parts = []
+            at = r["bucket"]
+            parts.append((r["a"], r["b"]))
+    if parts:
+        yield stars(parts)
+
+
 def _candidate_sets(bitmap: dict[int, bytes], shingle: int):
     """Sets of the texts whose key is in the bitmap, each set once per task."""
     buckets = {k: np.frombuffer(v, np.uint8) for k, v in bitmap.items()}
@@ -281,11 +390,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", num: int =
     checkpoint_dir(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"))
     kind = docs.schema[id_col].dataType.simpleString()
-    base = materialize(texts.mapInArrow(_index(num, den, shingle), f"id {kind}, h1 long, h2 long, size long, sigs array<long>"))
-
-    listed = base.select("h1", F.explode("sigs").alias("sig"))
-    stars = listed.groupBy("sig").agg(F.min("h1").alias("first"), F.max("h1").alias("last")).where("first < last").select("sig", "first")
-    edges = listed.join(stars, "sig").where("h1 <> first").select("first", "h1")
+    base = materialize(texts.mapInArrow(_index(_common(texts, shingle), num, den, shingle),
+                                        f"id {kind}, h1 long, h2 long, size long, sigs array<long>"))
+    tasks = n_tasks(spark)
+    packed = base.select("h1", "sigs").mapInArrow(_pack(4 * tasks), PACKED)
+    edges = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_unpack, "first long, h1 long")
     clusters = components(edges, "first", "h1")  # of first keys: two sets that share one only share a cluster
 
     sized = base.select("h1", "h2", "size").distinct().join(clusters.withColumnRenamed("node", "h1"), "h1")
