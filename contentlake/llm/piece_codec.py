@@ -32,6 +32,9 @@ from pyspark.sql import functions as F
 
 CACHE = 1_000_000
 MARK = "▁"
+#: Up to this length a list is the faster agenda; longer segments use a heap.
+SHORT = 24
+NEVER = float("inf")
 
 
 def segment_pattern(pieces: list[str]) -> re.Pattern | None:
@@ -59,6 +62,17 @@ def segment_pattern(pieces: list[str]) -> re.Pattern | None:
     return re.compile(f"{MARK}*(?:{runs}[^{MARK}{''.join(large)}]+)|{MARK}+", re.DOTALL)
 
 
+class _Known(dict):
+    """Segment -> ids; a segment is encoded when it is first asked for."""
+
+    def __init__(self, codec: PieceCodec):
+        self.codec = codec
+
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        ids = self[text] = self.codec.segment(text)
+        return ids
+
+
 class PieceCodec:
     """Encoder and decoder for one model file."""
 
@@ -72,11 +86,27 @@ class PieceCodec:
         self.order = {sp.id_to_piece(i): -sp.get_score(i) for i in normal}  # the agenda's least comes first
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.pattern = segment_pattern(list(self.ids))
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = _Known(self)
         self.decimal = [str(i) for i in range(sp.get_piece_size())]
 
+    def merge_short(self, text: str) -> list[str]:
+        """As ``merge``, with the agenda as a plain list in order of place: its first least entry is next."""
+        syms, score = list(text), self.order.get
+        agenda = [score(a + b, NEVER) for a, b in zip(syms, syms[1:], strict=False)]
+        while agenda and (least := min(agenda)) < NEVER:
+            i = agenda.index(least)
+            syms[i:i + 2] = [syms[i] + syms[i + 1]]
+            del agenda[i]
+            if i:
+                agenda[i - 1] = score(syms[i - 1] + syms[i], NEVER)
+            if i < len(agenda):
+                agenda[i] = score(syms[i] + syms[i + 1], NEVER)
+        return syms
+
     def merge(self, text: str) -> list[str]:
         """Symbols of a segment after all merges."""
+        if len(text) <= SHORT:
+            return self.merge_short(text)
         syms: list[str] = list(text)
         n, order = len(syms), self.order
         agenda = [(s, i, i + 1, p) for i in range(n - 1) if (s := order.get(p := syms[i] + syms[i + 1])) is not None]
@@ -100,8 +130,12 @@ class PieceCodec:
         return [s for s in syms if s]
 
     def segment(self, text: str) -> tuple[int, ...]:
+        syms = self.merge(text)
+        plain = tuple(map(self.ids.get, syms))
+        if None not in plain:
+            return plain
         ids: list[int] = []
-        for s in self.merge(text):
+        for s in syms:
             i = self.ids.get(s)
             ids.extend((i,) if i is not None else (self.bytes[b] for b in s.encode()))
         return tuple(ids)
@@ -119,8 +153,6 @@ class PieceCodec:
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        for p in set(parts).difference(known):
-            known[p] = self.segment(p)
         ids = list(chain.from_iterable(map(known.__getitem__, parts)))
         ids.append(self.end)
         return ids
