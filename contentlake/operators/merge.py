@@ -54,6 +54,8 @@ def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str], id_col: st
             cols.append(F.when(F.col("_new").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
         else:
             cols.append(F.col(f"o.{c}"))
+    # Columns that only the batch has are added; rows it does not touch have none.
+    cols += [F.col(f"n.{c}") for c in batch.columns if c not in current.columns]
     action = (F.when(F.col("_old").isNull(), F.lit("insert")).when(F.col("_new").isNull(), F.lit("keep"))
               .otherwise(F.lit("update")))
     return j.select(*cols, action.alias("action"))

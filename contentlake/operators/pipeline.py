@@ -10,118 +10,205 @@ changes no id and adds no row.
 from __future__ import annotations
 
 import traceback
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bare_post_id
-from ..schema import JOB_ERRORS_KEPT, NATURAL_KEYS
+from ..schema import JOB_ERRORS_KEPT, NATURAL_KEYS, PlanError
 from . import embeddings as E
 from .identity import dedupe_last_wins, entity_id
-from .merge import insert_new, upsert
+from .merge import insert_new
 from .normalize import instagram, twitter, youtube
 
 
 class Lake:
-    """Parquet tables under one root.
+    """Versioned Parquet tables under one root.
 
-    * Upserted tables are partitioned by ``bucket = pmod(xxhash64(natural key), buckets)``. A batch
-      reads only the buckets its keys fall in (partition pruning), merges them with a full outer
-      join, stages the result and replaces exactly those partitions (dynamic partition overwrite):
-      an upsert costs the touched buckets, not a rewrite of the table.
-    * Insert-only tables (media, hashtags, links, mentions) are append-only: each run writes only
-      its new rows to its own partition ``root/<table>_rows/run=<r>``; a retried run overwrites just
-      its partition."""
+    A table is a folder of change files and a log of versions. Every write puts its rows into a new
+    folder ``root/<table>/data-<id>`` and then adds one version file ``root/<table>/_versions/<n>``
+    that names the live folders: until that file exists, readers see the version before, so a write
+    that fails half-way changes nothing (its folder is removed) and nothing is ever overwritten. The
+    cost of a write is that of its batch.
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+    * ``upsert`` tables are merged on read: of all changes of a key the last one counts, the id and
+      ``created_at`` come from the first, ``updated_at`` from the last. ``compact`` rewrites a table
+      into one folder; ``upsert`` calls it every ``COMPACT_AFTER`` changes.
+    * insert-only tables (media, hashtags, links, mentions) take the rows whose key is new.
+
+    A table that has no version yet is told from the file system; any other error is raised."""
+
+    COMPACT_AFTER = 16
+
+    def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.buckets = buckets
         self.last_counts: dict[str, dict[str, int]] = {}
         self.run_id = self._next_run()
 
-    def _next_run(self) -> int:
+    # --- versions ------------------------------------------------------------------------------------
+
+    def _path(self, *parts: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _names(self, *parts: str) -> list[str]:
+        fs, path = self._path(*parts)
+        return sorted(st.getPath().getName() for st in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _version(self, table: str) -> tuple[int, list[str]]:
+        """(number, live folders) of a table; (0, []) before its first write."""
+        versions = [int(n) for n in self._names(table, "_versions") if n.isdigit()]
+        if not versions:
+            return 0, []
+        fs, path = self._path(table, "_versions", f"{max(versions):010d}")
+        size = fs.getFileStatus(path).getLen()
+        stream = fs.open(path)
         try:
-            m = self.spark.read.parquet(f"{self.root}/_runs").agg(F.max("run").alias("m")).collect()[0]["m"]
-        except Exception:  # noqa: BLE001 - first run
-            m = None
-        return 1 if m is None else int(m) + 1
+            text = bytes(stream.readNBytes(int(size))).decode()
+        finally:
+            stream.close()
+        return max(versions), text.split()
+
+    def _commit(self, table: str, before: int, folders: list[str]) -> None:
+        """Adds the version after ``before``; an existing one means that another writer was faster."""
+        fs, path = self._path(table, "_versions", f"{before + 1:010d}")
+        _, temp = self._path(table, "_versions", f"_{uuid.uuid4().hex}")
+        stream = fs.create(temp, False)
+        stream.write("\n".join(folders).encode())
+        stream.close()
+        if fs.exists(path) or not fs.rename(temp, path):
+            fs.delete(temp, False)
+            raise PlanError(f"table {table} was changed by another writer")
+
+    def _write(self, table: str, rows: DataFrame) -> str:
+        folder = f"data-{uuid.uuid4().hex}"
+        try:
+            rows.write.parquet(f"{self.root}/{table}/{folder}")
+        except Exception:
+            self._remove(table, folder)
+            raise
+        return folder
+
+    def _remove(self, table: str, folder: str) -> None:
+        fs, path = self._path(table, folder)
+        fs.delete(path, True)
+
+    def _rows(self, table: str, folders: list[str]) -> DataFrame:
+        return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.root}/{table}/{f}" for f in folders])
+
+    # --- runs and jobs -------------------------------------------------------------------------------
+
+    def _next_run(self) -> int:
+        _, folders = self._version("_runs")
+        return 1 + (self._rows("_runs", folders).agg(F.max("run")).first()[0] if folders else 0)
 
     def begin_run(self) -> int:
         self.run_id = self._next_run()
         return self.run_id
 
+    def _append(self, table: str, rows: DataFrame) -> None:
+        n, folders = self._version(table)
+        self._commit(table, n, [*folders, self._write(table, rows)])
+
     def end_run(self) -> None:
-        self.spark.createDataFrame([(self.run_id,)], "run long").write.mode("append").parquet(f"{self.root}/_runs")
+        self._append("_runs", self.spark.createDataFrame([(self.run_id,)], "run long"))
 
     def job_event(self, seq: int, status: str, records: int | None = None, error: str | None = None) -> None:
         """Append a job event (running -> succeeded / partial / failed) to ``job_events``."""
-        self.spark.createDataFrame([(self.run_id, seq, status, records, error)],
-                                   "job_id long, event_seq int, status string, records_scraped long, error string") \
-            .write.mode("append").parquet(f"{self.root}/job_events")
+        self._append("job_events", self.spark.createDataFrame(
+            [(self.run_id, seq, status, records, error)],
+            "job_id long, event_seq int, status string, records_scraped long, error string"))
 
     def jobs(self) -> DataFrame | None:
         """Current state of every job: its last event."""
         from .merge import latest_status
-        try:
-            ev = self.spark.read.parquet(f"{self.root}/job_events")
-        except Exception:  # noqa: BLE001 - no job yet
-            return None
-        return latest_status(ev, "job_id", "event_seq")
-
-    def _read_bucketed(self, table: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.root}/{table}")
-        except Exception:  # noqa: BLE001 - table not created yet
-            return None
+        _, folders = self._version("job_events")
+        return latest_status(self._rows("job_events", folders), "job_id", "event_seq") if folders else None
+
+    # --- upserted tables -----------------------------------------------------------------------------
+
+    def _merged(self, table: str, folders: list[str]) -> DataFrame:
+        """Last change per key. Keys and id column travel with the rows, so that any reader can merge."""
+        rows = self._rows(table, folders)
+        keys = rows.schema["_keys"].metadata["keys"]
+        id_col = rows.schema["_keys"].metadata["id"]
+        plain = [c for c in rows.columns if c not in keys and c not in (id_col, "_keys", "_seq", "_at")]
+        agg = [F.max_by(F.struct(*plain), "_seq").alias("_last")] if plain else []
+        first = [] if id_col in keys else [F.min_by(id_col, "_seq").alias(id_col)]
+        out = rows.groupBy(*keys).agg(*first, *agg, F.min("_at").alias("created_at"), F.max("_at").alias("updated_at"),
+                                      F.max("_seq").alias("_seq"))
+        return out.select(*[c if c in keys or c == id_col else F.col(f"_last.{c}") for c in rows.columns
+                            if c not in ("_keys", "_seq", "_at")], "created_at", "updated_at", "_seq")
 
     def read(self, table: str) -> DataFrame | None:
-        df = self._read_bucketed(table)
-        return None if df is None else df.drop("bucket")
+        _, folders = self._version(table)
+        return self._merged(table, folders).drop("_seq") if folders else None
 
     def upsert(self, table: str, batch: DataFrame, keys: list[str], id_col: str) -> tuple[int, int]:
-        """Upsert ``batch`` into ``table``; returns (inserted, updated) for this batch."""
-        bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(self.buckets)).cast("int")
-        b = batch.withColumn("bucket", bucket)
-        cur = self._read_bucketed(table)
-        if cur is None:
-            merged = b.withColumn("action", F.lit("insert"))
-        else:
-            touched = sorted(r[0] for r in b.select("bucket").distinct().collect())  # at most `buckets` ids
-            cur = cur.where(F.col("bucket").isin(touched))
-            merged = upsert(cur, b.select(*cur.columns), keys + ["bucket"], id_col=id_col)
-        staging = f"{self.root}/_staging/{table}/run={self.run_id}"
-        merged.write.mode("overwrite").parquet(staging)
-        staged = self.spark.read.parquet(staging)
-        counts = {r["action"]: r["n"] for r in staged.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
-        self.last_counts[table] = counts
-        # Each bucket written by up to `salt` tasks: few files per bucket, no single-task bucket.
-        salt = 4
-        # No explicit partition count: AQE sizes (coalesces or splits) the shuffle to the data.
-        out = staged.drop("action").repartition("bucket", F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(salt)))
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("bucket").parquet(f"{self.root}/{table}"))
-        return counts.get("insert", 0), counts.get("update", 0)
-
-    def read_rows(self, table: str, exclude_run: int | None = None) -> DataFrame | None:
-        """An insert-only table (optionally without one run's partition)."""
+        """Upsert ``batch`` into ``table``; returns (inserted, updated). A key that occurs twice in the
+        batch is refused. Columns that only the batch has are added to the table."""
+        n, folders = self._version(table)
+        mark = F.lit(None).cast("string").alias("_keys", metadata={"keys": list(keys), "id": id_col})
+        rows = batch.drop("created_at", "updated_at").select("*", mark, F.lit(n + 1).cast("long").alias("_seq"),
+                                                             F.current_timestamp().alias("_at"))
+        folder = self._write(table, rows)
         try:
-            df = self.spark.read.parquet(f"{self.root}/{table}_rows")
-        except Exception:  # noqa: BLE001 - nothing appended yet
-            return None
-        if exclude_run is not None:
-            df = df.where(F.col("run") != exclude_run)
-        return df.drop("run")
+            new = self._rows(table, [folder]).select(*keys)
+            twice = new.groupBy(*keys).count().where("count > 1").limit(1).collect()
+            if twice:
+                raise PlanError(f"{table}: the batch has a key twice: {twice[0].asDict()}")
+            total = new.count()
+            known = new.join(self._rows(table, folders).select(*keys), list(keys), "left_semi").count() if folders else 0
+            self._commit(table, n, [*folders, folder])
+        except Exception:
+            self._remove(table, folder)
+            raise
+        self.last_counts[table] = {"insert": total - known, "update": known}
+        if len(folders) + 1 >= self.COMPACT_AFTER:
+            self.compact(table)
+        return total - known, known
+
+    def compact(self, table: str) -> None:
+        """One folder instead of many changes; both times and ids are kept as two rows where they differ.
+        Folders of earlier versions stay for readers that are under way; ``vacuum`` removes them."""
+        n, folders = self._version(table)
+        rows = self._rows(table, folders)
+        mark = rows.schema["_keys"].metadata
+        merged = self._merged(table, folders)
+        kept = [c for c in merged.columns if c not in ("created_at", "updated_at", "_seq")]
+        tag = F.lit(None).cast("string").alias("_keys", metadata=mark)
+        last = merged.select(*kept, tag, F.col("_seq"), F.col("updated_at").alias("_at"))
+        first = merged.where("created_at <> updated_at").select(*kept, tag, F.lit(0).cast("long").alias("_seq"),
+                                                                F.col("created_at").alias("_at"))
+        self._commit(table, n, [self._write(table, last.unionByName(first))])
+
+    def vacuum(self, table: str) -> int:
+        """Removes folders that the current version does not name; returns how many."""
+        _, live = self._version(table)
+        dead = [f for f in self._names(table) if f.startswith("data-") and f not in live]
+        for f in dead:
+            self._remove(table, f)
+        return len(dead)
+
+    # --- insert-only tables --------------------------------------------------------------------------
+
+    def read_rows(self, table: str) -> DataFrame | None:
+        """An insert-only table."""
+        _, folders = self._version(f"{table}_rows")
+        return self._rows(f"{table}_rows", folders) if folders else None
 
     def append_new(self, table: str, batch: DataFrame, keys: list[str]) -> int:
-        """Insert rows whose key is absent (media by url, mentions by username, tag links): an anti
-        join against earlier runs, written as this run's partition; returns the rows added."""
-        cur = self.read_rows(table, exclude_run=self.run_id)
-        fresh = batch.dropDuplicates(keys) if cur is None else insert_new(cur, batch.select(*cur.columns), keys)[0]
-        part = f"{self.root}/{table}_rows/run={self.run_id}"
-        fresh.write.mode("overwrite").parquet(part)
-        return self.spark.read.parquet(part).count()
+        """Insert rows whose key is absent (media by url, mentions by username, tag links): an anti join
+        with the keys stored before; returns the rows added."""
+        name = f"{table}_rows"
+        n, folders = self._version(name)
+        fresh = insert_new(self._rows(name, folders), batch, keys)[0] if folders else batch.dropDuplicates(keys)
+        folder = self._write(name, fresh)
+        self._commit(name, n, [*folders, folder])
+        return self._rows(name, [folder]).count()
 
 
 @dataclass

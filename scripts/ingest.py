@@ -32,7 +32,6 @@ def main() -> None:
     ap.add_argument("--comments", action="append", default=[])
     ap.add_argument("--profiles", action="append", default=[], help="PLATFORM=GLOB@TARGET profile scrapes")
     ap.add_argument("--dims", type=int, default=64)
-    ap.add_argument("--buckets", type=int, default=64)
     a = ap.parse_args()
     from contentlake.operators.embeddings import HashingProvider
     from contentlake.operators.pipeline import Lake, ingest
@@ -47,7 +46,7 @@ def main() -> None:
             df = read_raw(spark, glob, plat, mode, target)
             out[plat] = df if plat not in out else batch_union(out[plat], df)
         return out
-    lake = Lake(spark, a.lake, buckets=a.buckets)
+    lake = Lake(spark, a.lake)
     rep = ingest(spark, lake, load(a.posts, "posts"), load(a.comments, "comments"), HashingProvider(a.dims),
                  profiles_raw=load(a.profiles, "profile"))
     print(json.dumps({"run": lake.run_id, "status": rep.status, "total_records": rep.total_records,

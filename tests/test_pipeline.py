@@ -17,17 +17,52 @@ def test_pipeline_idempotent(spark, sf_dir):
     assert m[(2, "media_created")] == 0 and m[(2, "hashtags_linked")] == 0
 
 
-def test_lake_bucketed_upsert_touches_only_batch_buckets(spark, tmp_path):
+def test_lake_upsert_merges_on_read(spark, tmp_path):
     from contentlake.operators.pipeline import Lake
-    lake = Lake(spark, str(tmp_path / "lake"), buckets=8)
+    lake = Lake(spark, str(tmp_path / "lake"))
+    assert lake.read("t") is None
     first = spark.createDataFrame([(f"k{i}", f"id{i}", "v1") for i in range(40)], "k string, id string, v string")
     assert lake.upsert("t", first, ["k"], "id") == (40, 0)
-    second = spark.createDataFrame([("k3", "other", "v2"), ("k99", "id99", "new")], "k string, id string, v string")
+    second = spark.createDataFrame([("k3", "other", "v2", 7), ("k99", "id99", "new", 8)], "k string, id string, v string, extra int")
     assert lake.upsert("t", second, ["k"], "id") == (1, 1)
-    rows = {r["k"]: (r["id"], r["v"]) for r in lake.read("t").collect()}
-    assert len(rows) == 41 and rows["k3"] == ("id3", "v2") and rows["k99"] == ("id99", "new")
-    assert all(rows[f"k{i}"] == (f"id{i}", "v1") for i in range(40) if i != 3)
+    for _ in range(2):  # before and after compaction
+        rows = {r["k"]: r for r in lake.read("t").collect()}
+        assert len(rows) == 41 and rows["k3"][:4] == ("k3", "id3", "v2", 7) and rows["k99"]["id"] == "id99"
+        assert rows["k3"]["updated_at"] > rows["k3"]["created_at"] and rows["k5"]["updated_at"] == rows["k5"]["created_at"]
+        assert all((rows[f"k{i}"]["id"], rows[f"k{i}"]["v"]) == (f"id{i}", "v1") for i in range(40) if i != 3)
+        lake.compact("t")
+    assert lake.vacuum("t") == 3 and lake.read("t").count() == 41
     assert lake.append_new("m", spark.createDataFrame([("a", 1), ("a", 1)], "p string, x int"), ["p"]) == 1
+    assert lake.append_new("m", spark.createDataFrame([("a", 2), ("b", 1)], "p string, x int"), ["p"]) == 1
+
+
+def test_lake_loses_nothing_when_a_step_fails(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from contentlake.operators.pipeline import Lake
+    from contentlake.schema import PlanError
+    lake = Lake(spark, str(tmp_path / "lake"))
+    rows = spark.createDataFrame([(i, i) for i in range(100)], "k int, id int")
+    lake.upsert("t", rows, ["k"], "id")
+    lake.append_new("m", rows, ["k"])
+
+    def broken(*_):
+        raise OSError("the store did not answer")
+
+    with monkeypatch.context() as m:
+        m.setattr(lake, "_rows", broken)
+        for attempt in (lambda: lake.upsert("t", rows.limit(6), ["k"], "id"), lambda: lake.read("t"), lambda: lake.append_new("m", rows, ["k"]),
+                        lambda: lake.read_rows("m")):
+            with pytest.raises(OSError):
+                attempt()
+    with pytest.raises(PlanError, match="twice"):
+        lake.upsert("t", rows.union(rows), ["k"], "id")
+    with pytest.raises(Exception, match="(?i)divi"):  # fails while its rows are written
+        spark.conf.set("spark.sql.ansi.enabled", "true")
+        lake.upsert("t", rows.selectExpr("k", "id", "1 / (k - 5) as x"), ["k"], "id")
+    assert lake.read("t").count() == 100 and lake.read_rows("m").count() == 100
+    live = [p.name for p in (tmp_path / "lake" / "t").iterdir() if p.name.startswith("data-")]
+    assert len(live) == 1  # nothing of the failed writes is left
 
 
 def test_comment_post_refs_resolve(spark, tmp_path):
