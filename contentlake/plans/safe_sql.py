@@ -1,9 +1,9 @@
 """Guarded read-only SQL over the registered views (Q1-Q3, Q6).
 
-The guard checks the text (single SELECT/WITH statement) and then Spark's own
-*parsed* plan: no write/DDL node anywhere, and every table reference is a known
-view or one of the query's own CTE names. This needs the classic (py4j)
-session; under Spark Connect it falls back to the textual checks.
+The guard reads Spark's own parsed plan, never the text: every operator of the plan, of its
+subqueries and of its common table expressions must be one that only reads (an allow-list of node
+classes), every relation must be a registered view or a table expression in scope at that place,
+and functions that run code or read files are refused. A plan that cannot be read is refused.
 """
 
 from __future__ import annotations
@@ -18,16 +18,20 @@ from ..sources.bindings import DRIVER_TABLES, Tables
 MODEL_VIEWS = ["posts", "authors", "engagement", "comments", "messages", "chats", "query_logs", "scrape_jobs",
                "saved_searches", "search_docs", "doc_embeddings"]
 KNOWN_VIEWS = set(MODEL_VIEWS) | set(DRIVER_TABLES)
-# --- fixed values: words that may not appear as whole words in the text ---------
-FORBIDDEN_WORDS = ["insert", "update", "delete", "drop", "alter", "truncate", "grant", "revoke", "create"]
-# --------------------------------------------------------------------------------
-WRITE_NODES = re.compile(r"\b(InsertInto\w*|DropTable|DropView|Create\w+|Replace\w+|Alter\w+|DeleteFromTable|"
-                         r"UpdateTable|MergeIntoTable|TruncateTable|AppendData|Overwrite\w+|SetCommand|\w+Command)\b")
+# Node classes of a parsed query that only read.
+READING = frozenset("""
+    Project Filter Aggregate Join LateralJoin Sort GlobalLimit LocalLimit Offset Distinct Union Intersect Except SubqueryAlias
+    OneRowRelation UnresolvedRelation UnresolvedWith UnresolvedSubqueryColumnAliases UnresolvedInlineTable LocalRelation
+    UnresolvedHaving WithWindowDefinition Generate Pivot Unpivot UnresolvedTableValuedFunction UnresolvedHint ResolvedHint Sample
+    UnresolvedTVFAliases UnresolvedOrdinal Deduplicate Window Expand UnionLoop UnionLoopRef RepartitionByExpression""".split())
+# Functions that call other code, or read what is not a registered view.
+REFUSED_FUNCTIONS = frozenset({"reflect", "java_method", "try_reflect", "read_files", "sql_keywords", "input_file_name",
+                               "input_file_block_start", "input_file_block_length"})
 
 
-COSINE = """aggregate(zip_with(embedding, query_embedding, (a, b) -> cast(a as double) * b), 0D, (acc, x) -> acc + x)
-      / (sqrt(aggregate(embedding, 0D, (acc, x) -> acc + cast(x as double) * x))
-         * sqrt(aggregate(query_embedding, 0D, (acc, x) -> acc + cast(x as double) * x)))"""
+COSINE = """try_divide(aggregate(zip_with(embedding, query_embedding, (a, b) -> cast(a as double) * b), 0D, (acc, x) -> acc + x),
+      (sqrt(aggregate(embedding, 0D, (acc, x) -> acc + cast(x as double) * x))
+         * sqrt(aggregate(query_embedding, 0D, (acc, x) -> acc + cast(x as double) * x))))"""
 
 MATCH_EMBEDDINGS = f"""
 CREATE OR REPLACE TEMPORARY FUNCTION match_embeddings(query_embedding ARRAY<FLOAT>, filter_platform STRING)
@@ -48,49 +52,69 @@ def register_views(spark: SparkSession, t: Tables) -> list[str]:
     return sorted(KNOWN_VIEWS)
 
 
-def check_text(sql: str) -> str:
-    text = sql.strip()
-    low = text.lower()
-    if not (low.startswith("select") or low.startswith("with")):
-        raise PlanError("only SELECT/WITH statements are permitted")
-    body = text.rstrip().rstrip(";")
-    if ";" in body:
-        raise PlanError("multiple statements are not permitted")
-    return body
-
-
-def referenced_tables(spark: SparkSession, sql: str) -> tuple[set[str], set[str], str]:
-    """(relations, CTE names, plan class) from Spark's parser."""
-    parser = spark._jsparkSession.sessionState().sqlParser()
-    plan = parser.parsePlan(sql)
-    tree = plan.treeString()
-    rels = {m.group(1).split(",")[-1].strip().strip("`").lower()
-            for m in re.finditer(r"UnresolvedRelation \[([^\]]+)\]", tree)}
-    ctes = set()
-    for m in re.finditer(r"CTE \[([^\]]+)\]", tree):
-        ctes |= {x.strip().strip("`").lower() for x in m.group(1).split(",")}
-    return rels, ctes, plan.getClass().getSimpleName() + "\n" + tree
+def _seq(value) -> list:
+    """Elements of a Scala collection."""
+    out, it = [], value.iterator()
+    while it.hasNext():
+        out.append(it.next())
+    return out
+
+
+class _Reader:
+    """Walks a parsed plan with the names that are visible at each place."""
+
+    def __init__(self, allowed: set[str]):
+        self.allowed = allowed
+
+    def plan(self, node, scope: frozenset[str]) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind not in READING:
+            raise PlanError(f"{kind} is no part of a reading query")
+        if kind == "UnresolvedRelation":
+            name = [x.lower() for x in _seq(node.multipartIdentifier())]
+            if len(name) != 1 or name[0] not in self.allowed | scope:
+                raise PlanError(f"{'.'.join(name)} is no registered view")
+        elif kind == "UnresolvedTableValuedFunction":
+            self.function(_seq(node.name()))
+        elif kind == "UnresolvedWith":
+            recursive = bool(node.allowRecursion())
+            for pair in _seq(node.cteRelations()):
+                name, query = str(pair._1()).lower(), pair._2()
+                # A table expression sees those before it; itself only where recursion is asked for.
+                self.plan(query, scope | {name} if recursive else scope)
+                scope = scope | {name}
+        for e in _seq(node.expressions()):
+            self.expression(e, scope)
+        for child in _seq(node.children()):
+            self.plan(child, scope)
+
+    def expression(self, e, scope: frozenset[str]) -> None:
+        kind = e.getClass().getSimpleName()
+        if kind == "UnresolvedFunction":
+            self.function(_seq(e.nameParts()))
+        elif kind in ("ScalarSubquery", "ListQuery", "Exists", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
+            self.plan(e.plan(), scope)
+        elif kind != "InSubquery" and kind.endswith(("Subquery", "SubqueryExpression")):
+            raise PlanError(f"{kind} is no part of a reading query")
+        for child in _seq(e.children()):
+            self.expression(child, scope)
+
+    @staticmethod
+    def function(parts: list[str]) -> None:
+        if len(parts) != 1 or parts[0].lower() in REFUSED_FUNCTIONS:
+            raise PlanError(f"function {'.'.join(parts)} is not available here")
 
 
 def guard(spark: SparkSession, sql: str, allowed: set[str] | None = None) -> str:
-    """Q1: raise PlanError unless ``sql`` is one read-only query over allowed views."""
-    allowed = {a.lower() for a in (allowed or KNOWN_VIEWS)}
-    body = check_text(sql)
+    """Q1: raise PlanError unless ``sql`` is one SELECT or WITH query that only reads allowed views."""
+    if not re.match(r"\s*(?:select|with)\b", sql, re.IGNORECASE):
+        raise PlanError("a query starts with SELECT or WITH")
     try:
-        rels, ctes, tree = referenced_tables(spark, body)
-    except Exception as e:  # noqa: BLE001 - parse errors and Spark Connect sessions
-        if "PARSE_SYNTAX_ERROR" in str(e) or "ParseException" in type(e).__name__:
-            raise PlanError(f"SQL does not parse: {str(e).splitlines()[0]}") from e
-        m = re.search(r"\b(" + "|".join(FORBIDDEN_WORDS) + r")\b", body, re.IGNORECASE)
-        if m:
-            raise PlanError(f"disallowed keyword {m.group(1)!r}") from e
-        return body
-    if WRITE_NODES.search(tree.split("\n", 1)[0]) or WRITE_NODES.search(tree):
-        raise PlanError("write or DDL statements are not permitted")
-    unknown = rels - allowed - ctes
-    if unknown:
-        raise PlanError(f"unknown table(s): {sorted(unknown)}")
-    return body
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception as e:  # noqa: BLE001 - whatever the parser says, the query is refused
+        raise PlanError(f"the query could not be parsed: {str(e).splitlines()[0]}") from e
+    _Reader({a.lower() for a in (allowed or KNOWN_VIEWS)}).plan(plan, frozenset())
+    return sql.strip().rstrip(";")
 
 
 def safe_sql(spark: SparkSession, sql: str, t: Tables | None = None, args: dict | None = None,

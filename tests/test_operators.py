@@ -206,3 +206,28 @@ def test_keyword_search_indexed_equals_scan(spark, tmp_path):
         a = [r["source_id"] for r in RT.keyword_search(docs, q, limit=50).collect()]
         b = [r["source_id"] for r in RT.keyword_search_indexed(index, docs, q, limit=50, buckets=4).collect()]
         assert a == b, q
+
+
+def test_sql_guard_reads_the_plan(spark, sf_dir):
+    import pytest
+
+    from contentlake.plans.registry import tables
+    from contentlake.plans.safe_sql import guard, register_views
+    from contentlake.schema import PlanError
+    register_views(spark, tables(spark, sf_dir))
+    refused = ["with secret as (select * from secret) select * from secret",
+               "with posts2 as (select * from b), b as (select 1) select * from posts2",
+               "select * from otherdb.posts", "select * from json.`posts`", "select reflect('java.lang.System', 'getenv', 'HOME')",
+               "select try_reflect('java.lang.System', 'getenv', 'HOME')", "select (select max(x) from hidden) from posts",
+               "select * from posts where exists (select 1 from hidden)", "select 1; drop table posts", "create table t as select 1",
+               "select system.builtin.reflect('a', 'b')", "select * from posts join (select * from hidden)", "set x = 1", "from posts select 1"]
+    for sql in refused:
+        with pytest.raises(PlanError):
+            guard(spark, sql)
+    for sql in ["select 1 as CreatedBy", "select 'a;b', 'DropTable', 'insert'", "select 1;", "select `update` from (select 1 as `update`)",
+                "with a as (select * from posts), b as (select * from a) select count(*) from b",
+                "with recursive r as (select 1 as n union all select n + 1 from r where n < 5) select * from r",
+                "with a as (select 1) select * from (with a as (select 2) select * from a) x, posts where post_id in (select post_id from posts)"]:
+        guard(spark, sql)
+    zero = "select * from match_embeddings(array_repeat(cast(0 as float), 64), null) limit 3"
+    assert [r["similarity"] for r in spark.sql(guard(spark, zero)).collect()] == [None] * 3
