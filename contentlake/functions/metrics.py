@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col
+from .text import _col, py_strip
 
 # --- fixed values: raw type -> content type (instagram); short-video limit -----
 INSTAGRAM_TYPE_MAP = {"video": "reel", "clips": "reel", "igtv": "video",
@@ -55,10 +55,10 @@ def has_items(xs) -> Column:
 
 
 def has_text(x) -> Column:
-    return F.coalesce(F.trim(_col(x)) != "", F.lit(False))
+    return F.coalesce(py_strip(x) != "", F.lit(False))
 
 
 def embeddable_text(caption, content) -> Column:
     """Caption, else content; blank becomes NULL (dropped by callers)."""
-    t = F.coalesce(F.nullif(F.trim(_col(caption)), F.lit("")), F.trim(_col(content)))
+    t = F.coalesce(F.nullif(py_strip(caption), F.lit("")), py_strip(content))
     return F.nullif(t, F.lit(""))

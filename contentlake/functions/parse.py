@@ -16,11 +16,17 @@ def vget(v, path: str, typ: str = "string") -> Column:
 
 
 def first_present(v, keys: Sequence[str], typ: str = "string", default=None) -> Column:
-    """First non-null among ``$.key`` paths of a VARIANT, else ``default``."""
-    cols = [vget(v, k if k.startswith("$") else f"$.{k}", typ) for k in keys]
-    if default is not None:
-        cols.append(default if isinstance(default, Column) else F.lit(default))
-    return F.coalesce(*cols) if len(cols) > 1 else cols[0]
+    """First non-null among ``$.key`` paths of a VARIANT, else ``default``. The key is picked before
+    its value is cast: a present value that cannot be cast gives NULL, not the next key."""
+    paths = [k if k.startswith("$") else f"$.{k}" for k in keys]
+    typed, missing = vget(v, paths[-1], typ), F.lit(True)
+    for i, p in reversed(list(enumerate(paths))):
+        there = vget(v, p, "string").isNotNull()
+        missing = missing & ~there
+        typed = F.when(there, vget(v, p, typ)).otherwise(typed) if i < len(paths) - 1 else typed
+    if default is None:
+        return typed
+    return F.when(missing, default if isinstance(default, Column) else F.lit(default)).otherwise(typed)
 
 
 def as_int(x) -> Column:

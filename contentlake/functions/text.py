@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}_]"
 HASHTAG_RE = r"(?<![\p{L}\p{N}_])#([\p{L}\p{N}_]+)"
 MENTION_RE = r"(?<![\p{L}\p{N}_])@([\p{L}\p{N}_]+)"
-URL_RE = r"https?://[^\s<>\"']+"
+URL_RE = r"https?://[^\s\x1c-\x1f\x85\p{Z}<>\"']+"
 URL_TRAILING = ").,"
 ASCII_RE = r"^[\x00-\x7F]*$"
 # -------------------------------------------------------------------------------------
@@ -43,7 +43,7 @@ def urls(text) -> Column:
 def guess_language(text) -> Column:
     """'und' for NULL/blank, 'en' for pure ASCII, else 'und'."""
     t = _col(text)
-    return (F.when(t.isNull() | (F.trim(t) == ""), F.lit("und"))
+    return (F.when(t.isNull() | (py_strip(t) == ""), F.lit("und"))
             .when(t.rlike(ASCII_RE), F.lit("en"))
             .otherwise(F.lit("und")))
 

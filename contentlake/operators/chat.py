@@ -94,57 +94,59 @@ def failed_logs(logs: DataFrame, limit: int = 50, parity: bool = False) -> DataF
     return logs.where(F.col("error").isNotNull()).orderBy(*order).limit(limit)
 
 
-def thread_roots(comments: DataFrame, max_iter: int = 64) -> DataFrame:
+def thread_roots(comments: DataFrame) -> DataFrame:
     """A6 helper: (comment_id, root_id, depth) by pointer jumping: log2(depth) self-joins.
 
-    Each round replaces a node's ancestor by its ancestor's ancestor and flags the rows it moved.
-    Every round is checkpointed into the shared ``spark.checkpoint.dir`` (lineage stays one round
-    long, and survives a lost executor); the driver only counts flagged rows to stop.
-    """
+    A comment whose parent is not there is the root of its own thread. Each round replaces the
+    ancestor of the comments that are still under way by their ancestor's ancestor; only those
+    rows are carried on, and every round is checkpointed into the shared ``spark.checkpoint.dir``.
+    Each round doubles the depth that is resolved, so rows left after log2(rows) + 1 rounds lead
+    into a cycle of parents: they have no root, and their ``root_id`` and ``depth`` are null."""
     from ..session import materialize
-    a = comments.select("comment_id", F.coalesce("parent_comment_id", "comment_id").alias("anc"),
-                        F.when(F.col("parent_comment_id").isNull(), 0).otherwise(1).alias("depth"))
-    for _ in range(max_iter):
-        moved = F.col("y.anc").isNotNull() & (F.col("y.anc") != F.col("x.anc"))
-        nxt = materialize(a.alias("x").join(a.alias("y"), F.col("x.anc") == F.col("y.comment_id"), "left").select(
-            F.col("x.comment_id").alias("comment_id"),
-            F.when(moved, F.col("y.anc")).otherwise(F.col("x.anc")).alias("anc"),
-            (F.col("x.depth") + F.when(moved, F.col("y.depth")).otherwise(0)).alias("depth"),
-            moved.alias("_moved")))
-        a = nxt.drop("_moved")
-        if nxt.where("_moved").limit(1).count() == 0:
-            break
-    return a.select("comment_id", F.col("anc").alias("root_id"), "depth")
+    known = comments.select(F.col("comment_id").alias("parent_comment_id"), F.lit(True).alias("_there"))
+    start = comments.select("comment_id", "parent_comment_id").join(known, "parent_comment_id", "left")
+    open_ = materialize(start.select("comment_id", F.when(F.col("_there"), F.col("parent_comment_id")).alias("anc"),
+                                     F.lit(1).alias("depth")))
+    done = open_.where("anc is null").select("comment_id", F.col("comment_id").alias("root_id"), F.lit(0).alias("depth"))
+    roots = done.select(F.col("comment_id").alias("anc"), F.lit(True).alias("_root"))
+    open_ = open_.where("anc is not null")
+    n = open_.count()
+    for _ in range(n.bit_length() + 1):
+        marked = materialize(open_.join(roots, "anc", "left"))
+        done = done.unionByName(marked.where("_root").select("comment_id", F.col("anc").alias("root_id"), "depth"))
+        open_ = marked.where("_root is null").select("comment_id", "anc", "depth")
+        if open_.isEmpty():
+            return done
+        # The ancestor of a comment under way is under way too, or hangs on a root since this round.
+        steps = marked.select(F.col("comment_id").alias("anc"), F.col("anc").alias("_next"), F.col("depth").alias("_steps")) \
+                      .unionByName(done.where("depth > 0").select(F.col("comment_id").alias("anc"), F.col("root_id").alias("_next"),
+                                                                  F.col("depth").alias("_steps"))).dropDuplicates(["anc"])
+        open_ = open_.join(steps, "anc").select("comment_id", F.col("_next").alias("anc"), (F.col("depth") + F.col("_steps")).alias("depth"))
+    return done.unionByName(open_.select("comment_id", F.lit(None).cast(done.schema["root_id"].dataType).alias("root_id"),
+                                         F.lit(None).cast("int").alias("depth")))
 
 
 def thread_participants(comments: DataFrame) -> DataFrame:
     """A5: distinct authors per thread (root and all replies)."""
     roots = thread_roots(comments)
-    j = comments.select("comment_id", "author").join(roots, "comment_id")
+    j = comments.select("comment_id", "author").join(roots.where("root_id is not null"), "comment_id")
     return j.groupBy("root_id").agg(F.countDistinct("author").alias("participants"),
                                     F.count(F.lit(1)).alias("n_comments"))
 
 
-SKEW_GROUP_ROWS = 1_000_000
-
-
-def threads(comments: DataFrame, skew_safe: bool | None = None) -> DataFrame:
+def threads(comments: DataFrame, bucket: str = "day") -> DataFrame:
     """Thread materialised as rows: each comment with its root, position in time and thread size.
 
-    Thread sizes come from a partially aggregated count. Positions use a per-thread window while
-    the largest thread stays under ``SKEW_GROUP_ROWS``; past it (or with ``skew_safe=True``) rows
-    are numbered by a range-partitioned zip-with-index (``operators.rank``), which spreads a hot
-    thread over many tasks. Only the largest size (one number) is fetched to decide."""
-    roots = thread_roots(comments)
-    j = comments.select("comment_id", "posted_at").join(roots, "comment_id")
-    sizes = j.groupBy("root_id").agg(F.count(F.lit(1)).alias("thread_size"))
-    if skew_safe is None:
-        largest = sizes.agg(F.max("thread_size")).collect()[0][0] or 0
-        skew_safe = largest > SKEW_GROUP_ROWS
-    if skew_safe:
-        from .rank import positions
-        ranked = positions(j, "root_id", ["posted_at", "comment_id"])
-    else:
-        w = Window.partitionBy("root_id").orderBy("posted_at", "comment_id")
-        ranked = j.withColumn("position", F.row_number().over(w))
-    return ranked.join(sizes, "root_id").select("root_id", "comment_id", "depth", "position", "thread_size")
+    A comment's position is the number of rows in earlier time buckets of its thread plus its row
+    number inside (root, bucket): however long a thread is, no task sorts more than one bucket of
+    it. Bucket sizes are partially aggregated counts."""
+    roots = thread_roots(comments).where("root_id is not null")
+    j = comments.select("comment_id", "posted_at", F.date_trunc(bucket, "posted_at").alias("_bucket")).join(roots, "comment_id")
+    sizes = j.groupBy("root_id", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("root_id").orderBy(F.col("_bucket").asc_nulls_first())
+    sizes = sizes.select("root_id", "_bucket", F.sum("_n").over(Window.partitionBy("root_id")).alias("thread_size"),
+                         (F.sum("_n").over(w) - F.col("_n")).alias("_before"))
+    inside = Window.partitionBy("root_id", "_bucket").orderBy("posted_at", "comment_id")
+    ranked = j.withColumn("_at", F.row_number().over(inside)).withColumnRenamed("root_id", "_root").withColumnRenamed("_bucket", "_in")
+    out = ranked.join(sizes, F.col("_root").eqNullSafe(F.col("root_id")) & F.col("_in").eqNullSafe(F.col("_bucket")))
+    return out.select("root_id", "comment_id", "depth", (F.col("_before") + F.col("_at")).alias("position"), "thread_size")

@@ -44,14 +44,13 @@ def post(raw: DataFrame) -> DataFrame:
     """Post with content type map, tag fallback and ordered media."""
     v = F.col("v")
     caption = F.coalesce(sfp(["caption", "text"]), F.lit(""))
-    display = vget(v, "$.displayUrl")
-    video = vget(v, "$.videoUrl")
+    display = F.nullif(vget(v, "$.displayUrl"), F.lit(""))
+    video = F.nullif(vget(v, "$.videoUrl"), F.lit(""))
+    part = lambda c, k: F.nullif(F.try_variant_get(c, f"$.{k}", "string"), F.lit(""))
     children = F.transform(
         F.coalesce(vget(v, "$.childPosts", "array<variant>"), F.array().cast("array<variant>")),
-        lambda c: media_struct(F.when(F.try_variant_get(c, "$.videoUrl", "string").isNotNull(), "video")
-                               .otherwise("image"),
-                               F.coalesce(F.try_variant_get(c, "$.displayUrl", "string"),
-                                          F.try_variant_get(c, "$.videoUrl", "string"))))
+        lambda c: media_struct(F.when(part(c, "videoUrl").isNotNull(), "video").otherwise("image"),
+                               F.coalesce(part(c, "displayUrl"), part(c, "videoUrl"))))
     media = F.concat(
         F.when(display.isNotNull(), F.array(media_struct("image", display))).otherwise(F.array().cast(EMPTY_MEDIA)),
         F.filter(children, lambda m: m["url"].isNotNull()),
@@ -63,7 +62,7 @@ def post(raw: DataFrame) -> DataFrame:
         F.coalesce(fp(["ownerId", "id", "userId", "pk"]), fp(["username"]), F.lit("")).alias("author_native_id"),
         instagram_content_type(F.coalesce(fp(["productType", "type"]), F.lit("feed"))).alias("content_type"),
         F.col("_caption").alias("caption"), F.col("_caption").alias("content"),
-        F.coalesce(fp(["url"]), F.concat(F.lit("https://www.instagram.com/p/"), short, F.lit("/"))).alias("url"),
+        F.coalesce(F.nullif(fp(["url"]), F.lit("")), F.concat(F.lit("https://www.instagram.com/p/"), short, F.lit("/"))).alias("url"),
         explicit_or(hashtags("_caption"), "$.hashtags").alias("hashtags"),
         explicit_or(mentions("_caption"), "$.mentions").alias("mentions"),
         urls("_caption").alias("urls"),

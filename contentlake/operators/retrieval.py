@@ -42,7 +42,7 @@ class Term:
 
 @dataclass(frozen=True)
 class WebQuery:
-    """AND of OR-groups of terms (web-search syntax)."""
+    """OR of AND-groups of terms (web-search syntax: words bind tighter than ``or``)."""
     groups: tuple[tuple[Term, ...], ...] = field(default_factory=tuple)
 
     @property
@@ -55,7 +55,8 @@ def _words(s: str) -> list[str]:
 
 
 def parse_websearch(q: str) -> WebQuery:
-    """Web-search syntax: words AND-ed, ``"a phrase"``, ``or`` between terms, ``-word`` negates.
+    """Web-search syntax: words AND-ed, ``"a phrase"``, ``or`` between groups of words, ``-word``
+    negates; ``a or b c`` is a | (b & c).
 
     Stop words are dropped from plain terms; a phrase keeps its word order.
     """
@@ -73,18 +74,13 @@ def parse_websearch(q: str) -> WebQuery:
             for w in _words(word):
                 if w not in STOP_WORDS:
                     terms.append(Term((w,), bool(neg_w)))
-    groups: list[list[Term]] = []
-    pending_or = False
+    groups: list[list[Term]] = [[]]
     for t in terms:
-        if t == "or":
-            pending_or = bool(groups)
-            continue
-        if pending_or and groups:
+        if t != "or":
             groups[-1].append(t)
-        else:
-            groups.append([t])
-        pending_or = False
-    return WebQuery(tuple(tuple(g) for g in groups))
+        elif groups[-1]:
+            groups.append([])
+    return WebQuery(tuple(tuple(g) for g in groups if g))
 
 
 def _term_pred(t: Term, toks: Column, joined: Column) -> Column:
@@ -102,8 +98,8 @@ def _tokens_pred(q: WebQuery, toks: Column) -> Column:
         gp = None
         for t in g:
             tp = _term_pred(t, toks, joined)
-            gp = tp if gp is None else (gp | tp)
-        pred = gp if pred is None else (pred & gp)
+            gp = tp if gp is None else (gp & tp)
+        pred = gp if pred is None else (pred | gp)
     return pred
 
 
@@ -117,9 +113,13 @@ def keyword_predicate(q: WebQuery, text: Column) -> tuple[Column, Column | None]
     pre = None
     low = F.lower(text)
     for g in q.groups:
-        if len(g) == 1 and not g[0].negated:
-            sub = low.contains(" ".join(g[0].words) if not g[0].phrase else g[0].words[0])
-            pre = sub if pre is None else (pre & sub)
+        has = [low.contains(t.words[0]) for t in g if not t.negated]
+        if not has:
+            return pred, None  # a group of negated words alone implies no substring
+        every = has[0]
+        for c in has[1:]:
+            every = every & c
+        pre = every if pre is None else (pre | every)
     return pred, pre
 
 
@@ -375,8 +375,8 @@ def keyword_search_stemmed(docs: DataFrame, query: str, platform: str | None = N
                 tp = c if tp is None else (tp & c)
             if t.negated:
                 tp = ~tp
-            gp = tp if gp is None else (gp | tp)
-        pred = gp if pred is None else (pred & gp)
+            gp = tp if gp is None else (gp & tp)
+        pred = gp if pred is None else (pred | gp)
     hits = flags.where(pred).select("source_type", "source_id")
     out = d.join(hits, ["source_type", "source_id"], "left_semi").orderBy("source_id").limit(limit)
     return out.select(*_hit_cols(F.lit(1.0), "keyword"))
@@ -412,16 +412,18 @@ def keyword_search_indexed(index: DataFrame, docs: DataFrame, query: str, platfo
     required word -- and the full web-search predicate is then verified on the candidates' text,
     so the result equals ``keyword_search``. Queries without a required word scan as usual."""
     q = parse_websearch(query)
-    required = sorted({g[0].words[0] for g in q.groups if len(g) == 1 and not g[0].negated and not g[0].phrase})
-    if q.empty or not required:
+    # Words that each group requires; a document that holds all words of one group is a candidate.
+    required = [sorted({t.words[0] for t in g if not t.negated and not t.phrase}) for g in q.groups]
+    if q.empty or not all(required):
         return keyword_search(docs, query, platform, limit)
     spark = docs.sparkSession
-    wanted = spark.createDataFrame([(w,) for w in required], "term string") \
-                  .withColumn("bucket", term_bucket(F.col("term"), buckets))
-    needed = sorted(r[0] for r in wanted.select("bucket").distinct().collect())  # at most len(required)
-    post = index.where(F.col("bucket").isin(needed) & F.col("term").isin(required))
-    cand = (post.groupBy("source_type", "source_id").agg(F.countDistinct("term").alias("_n"))
-                .where(F.col("_n") == len(required)).select("source_type", "source_id"))
+    wanted = spark.createDataFrame([(i, len(ws), w) for i, ws in enumerate(required) for w in ws], "grp int, size int, term string")
+    words = sorted({w for ws in required for w in ws})
+    buckets_of = spark.createDataFrame([(w,) for w in words], "term string").select(term_bucket(F.col("term"), buckets).alias("b"))
+    needed = sorted(r[0] for r in buckets_of.distinct().collect())  # at most as many as words
+    post = index.where(F.col("bucket").isin(needed) & F.col("term").isin(words)).join(F.broadcast(wanted), "term")
+    cand = (post.groupBy("source_type", "source_id", "grp", "size").agg(F.countDistinct("term").alias("_n"))
+                .where(F.col("_n") == F.col("size")).select("source_type", "source_id").distinct())
     d = docs if platform is None else docs.where(F.col("platform") == platform)
     d = d.join(cand, ["source_type", "source_id"], "left_semi")
     pred, _ = keyword_predicate(q, F.col("content"))

@@ -75,7 +75,7 @@ def keyword_search_indexed(t):
 
 
 @register("keyword_search_or", "select source_type, source_id, platform, score, match from " + kw_sql(
-    "(list_contains(toks, 'thre') or list_contains(toks, 'thnt')) and list_contains(toks, 'erin')", 20, "youtube"))
+    "list_contains(toks, 'thre') or (list_contains(toks, 'thnt') and list_contains(toks, 'erin'))", 20, "youtube"))
 def keyword_search_or(t):
     """R1: 'thre or thnt erin' on youtube only (platform filter before the match)."""
     return RT.keyword_search(t.search_docs, "thre or thnt erin", platform="youtube", limit=20).drop("content")
