@@ -1,16 +1,20 @@
 """N-gram Jaccard join with set-relation skipping (operator 9).
 
 A document's set holds the 64-bit hashes of its distinct shingles (three words unless told otherwise).
-Two documents link when 100 * intersection >= 90 * union (both bounds are parameters). The join has three steps:
+Two documents link when 100 * intersection >= 90 * union (both bounds are parameters). The join has three steps (t is the least similarity):
 
 1. Index lists by position block. Linked sets of at most s elements differ in at most H(s) of them,
    so if the hash order is cut into H(s) + 1 blocks, at least one block is equal in both. An index
    list is keyed by (size class, block, content of the block); the lists of all other positions are
    skipped. A set is listed under its own size class and the next one, which is as far as a linked
    set can be. A few more blocks are made than needed, so that as many of the emptiest may be left
-   out. Shingles that very many documents share are left out of the blocks (whatever is left out of
-   all sets alike, the rest still differs in at most H elements): a common passage makes no
-   candidates. Documents that share a list are candidates; each list gives one star, so its edges
+   out. Where H is so large that blocks would hold too few elements to tell sets apart, the lists
+   are those of single elements, and a set is listed under its first size - t * size + 3 elements
+   in one order of all elements (positions beyond are skipped): linked sets share three of these
+   lists. Pairs of short lists are counted, and three shared lists make a candidate; a long list
+   makes a star, like a block's list. Shingles that very many documents
+   share are left out of the blocks (whatever is left out of all sets alike, the rest still differs
+   in at most H elements) and come last in that order: a common passage makes no candidates. Documents that share a list are candidates; each list gives one star, so its edges
    are as many as its members, and the stars' components are the clusters inside which links lie.
    Lists travel as packed arrays, and a list met twice in one task is merged there first.
 2. Sets of a cluster meet in groups of two parts (``PART_SETS`` sets, ``PART_TOKENS`` elements each),
@@ -53,7 +57,14 @@ DERIVE = 0.6
 WORDS = 500_000
 #: Shingles count as common if they are in this many of at most about so many sampled documents; at
 #: most so many are kept (0.8 MB). This only shapes the lists: every choice gives the same links.
-COMMON_IN, COMMON_SAMPLE, COMMON_MOST = 4, 8192, 100_000
+COMMON_IN, COMMON_SAMPLE, COMMON_MOST = 4, 16_384, 100_000
+#: Lists of single elements: sets that share this many lists are candidates; a list with more than
+#: ``ALL_PAIRS`` members makes one star of its members instead, whatever else they share.
+SHARED, ALL_PAIRS = 3, 32
+#: Lowest bit of a list's key: one shared list makes a candidate.
+ONE = np.uint64(1)
+#: Blocks with fewer elements than this on average are replaced by lists of single elements.
+LEAST_IN_BLOCK = 7
 #: Entries of index lists that a task gathers before it packs them.
 PACK = 1_000_000
 
@@ -110,11 +121,14 @@ def size_classes(size: int, num: int, den: int) -> tuple[int, int, int]:
 
 
 def block_plan(top: int, num: int, den: int) -> tuple[int, int]:
-    """(blocks, how many of the emptiest may be left out) for sets of at most ``top`` elements. Two linked
-    sets have at least blocks - H equal blocks, and each of the two leaves out at most (blocks - H - 1) / 2."""
+    """(blocks, how many of the emptiest may be left out) for sets of at most ``top`` elements; no blocks
+    if they would hold too few elements each. Two linked sets have at least blocks - H equal blocks,
+    and each of the two leaves out at most (blocks - H - 1) / 2."""
     h = max_difference(top, num, den)
     if not h:
         return 1, 0
+    if top < LEAST_IN_BLOCK * (h + 1):
+        return 0, 0
     spare = min(h, math.ceil(2 * (h + 1) * math.exp(-top / (h + 1))) + 2)
     return h + 1 + 2 * spare, spare
 
@@ -123,20 +137,24 @@ def signatures(tokens: np.ndarray, common: np.ndarray, num: int, den: int) -> np
     """Keys of the index lists of a set."""
     if not len(tokens):
         return np.empty(0, np.uint64)
-    i, own, following = size_classes(len(tokens), num, den)
-    if len(common):
-        tokens = tokens[common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] != tokens]
+    size, (i, own, following) = len(tokens), size_classes(len(tokens), num, den)
+    often = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens if len(common) else np.zeros(size, bool)
+    rare = tokens[~often]
     out = []
     with np.errstate(over="ignore"):
         for cls, top in ((i, own), (i + 1, following)):
             blocks, spare = block_plan(top, num, den)
-            if blocks == 1:
-                continue  # linked sets of this class are equal
-            at = (((tokens >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
-            total = np.zeros(blocks, np.uint64)
-            np.add.at(total, at, tokens)
-            key = _mix(total * _MULT[1] + np.uint64(cls) * _MULT[0] + np.arange(blocks, dtype=np.uint64) * _MULT[2])
-            out.append(key[np.argsort(np.bincount(at, minlength=blocks), kind="stable")[spare:]])
+            if blocks == 0:
+                # In one order of all elements, two linked sets have ``hits`` of these first elements in common.
+                hits = SHARED if top * num * num // (den * den) > SHARED else 1
+                first = np.concatenate([rare, tokens[often]])[:size - -(-size * num // den) + hits]
+                out.append(_mix(first + _MULT[3]) & ~ONE if hits > 1 else _mix(first + _MULT[4]) | ONE)
+            elif blocks > 1:  # linked sets of a class without differences are equal
+                at = (((rare >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
+                total = np.zeros(blocks, np.uint64)
+                np.add.at(total, at, rare)
+                key = _mix(total * _MULT[1] + np.uint64(cls) * _MULT[0] + np.arange(blocks, dtype=np.uint64) * _MULT[2])
+                out.append(key[np.argsort(np.bincount(at, minlength=blocks), kind="stable")[spare:]] | ONE)
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
@@ -193,24 +211,48 @@ def _common(texts: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(np.array([r["token"] for r in rows], np.int64).view(np.uint64))
 
 
-def _stars(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of (list, member) pairs: the lists, the least member of each, and one edge (least, member) for
-    each other member."""
+def _lists_of(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(list, member) pairs sorted, each once; where each list starts, and how many members it has."""
     order = np.lexsort((key, sig))
     sig, key = sig[order], key[order]
+    if len(sig):
+        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])])
+        sig, key = sig[new], key[new]
     starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)
-    least = np.repeat(key[starts], np.diff(np.concatenate([starts, [len(sig)]])))
-    other = least != key
-    return sig[starts], key[starts], least[other], key[other]
+    return sig, key, starts, np.diff(np.concatenate([starts, [len(sig)]]))
+
+
+def _stars(sig: np.ndarray, key: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (least member, other member) of the lists that make stars."""
+    star = np.repeat(((sig[starts] & ONE) > 0) | (n > ALL_PAIRS), n)
+    least = np.repeat(key[starts], n)
+    other = star & (least != key)
+    return least[other], key[other]
+
+
+def _pairs(sig: np.ndarray, key: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of the members of the other lists, which are short."""
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for size in range(2, ALL_PAIRS + 1):
+        at = starts[(n == size) & ((sig[starts] & ONE) == 0)]
+        i, j = np.triu_indices(size, 1)
+        a.append(key[(at[:, None] + i).ravel()])
+        b.append(key[(at[:, None] + j).ravel()])
+    return np.concatenate(a), np.concatenate(b)
 
 
 PACKED = "bucket int, edges boolean, a binary, b binary"
 
 
 def _pack(buckets: int):
-    """Rows (key, lists) -> packed lists by bucket, each list once with its least member, and edges."""
+    """Rows (key, lists) -> packed lists by bucket, and edges. Of a list that is long in this task alone
+    its star and its first members travel on: enough for the next step to see that it is long."""
     def flush(sig: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
-        sig, key, first, other = _stars(sig, key)
+        sig, key, starts, n = _lists_of(sig, key)
+        first, other = _stars(sig, key, starts, n)
+        place = np.arange(len(sig)) - np.repeat(starts, n)
+        kept = place < np.repeat(np.where((sig[starts] & ONE) > 0, 1, ALL_PAIRS + 1), n)
+        sig, key = sig[kept], key[kept]
         bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))  # lists are sorted, and so are their buckets
         rows = [(b, False, sig[i:j].tobytes(), key[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if i < j]
@@ -237,27 +279,29 @@ def _pack(buckets: int):
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed rows sorted by bucket -> edges ``first, h1``."""
-    def rows(first: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(other, pa.int64())], names=["first", "h1"])
+    """Packed rows sorted by bucket -> ``first, h1, hits``: stars' edges count as enough hits, pairs as one."""
+    def rows(edges: tuple[np.ndarray, np.ndarray], hits: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(edges[0], pa.int64()), pa.array(edges[1], pa.int64()),
+                                           pa.array(np.full(len(edges[0]), hits), pa.int64())], names=["first", "h1", "hits"])
 
-    def stars(parts: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        sig, key = (np.frombuffer(b"".join(p), kind) for p, kind in zip(zip(*parts, strict=True), (np.uint64, np.int64), strict=True))
-        return rows(*_stars(sig, key)[2:])
+    def bucket(parts: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        found = _lists_of(*(np.frombuffer(b"".join(p), kind) for p, kind in zip(zip(*parts, strict=True), (np.uint64, np.int64), strict=True)))
+        yield rows(_stars(*found), SHARED)
+        yield rows(_pairs(*found), 1)
 
     at, parts = None, []
     for b in batches:
         for r in b.to_pylist():
             if r["edges"]:
-                yield rows(np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64))
+                yield rows((np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64)), SHARED)
                 continue
             if r["bucket"] != at and parts:
-                yield stars(parts)
+                yield from bucket(parts)
                 parts = []
             at = r["bucket"]
             parts.append((r["a"], r["b"]))
     if parts:
-        yield stars(parts)
+        yield from bucket(parts)
 
 
 def _candidate_sets(bitmap: dict[int, bytes], shingle: int):
@@ -394,7 +438,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", num: int =
                                         f"id {kind}, h1 long, h2 long, size long, sigs array<long>"))
     tasks = n_tasks(spark)
     packed = base.select("h1", "sigs").mapInArrow(_pack(4 * tasks), PACKED)
-    edges = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_unpack, "first long, h1 long")
+    edges = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_unpack, "first long, h1 long, hits long")
+    edges = edges.groupBy("first", "h1").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= SHARED)
     clusters = components(edges, "first", "h1")  # of first keys: two sets that share one only share a cluster
 
     sized = base.select("h1", "h2", "size").distinct().join(clusters.withColumnRenamed("node", "h1"), "h1")
