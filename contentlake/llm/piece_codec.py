@@ -24,7 +24,8 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
+from operator import concat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -92,7 +93,7 @@ class PieceCodec:
     def merge_short(self, text: str) -> list[str]:
         """As ``merge``, with the agenda as a plain list in order of place: its first least entry is next."""
         syms, score = list(text), self.order.get
-        agenda = [score(a + b, NEVER) for a, b in zip(syms, syms[1:], strict=False)]
+        agenda = list(map(score, map(concat, text, text[1:]), repeat(NEVER)))
         while agenda and (least := min(agenda)) < NEVER:
             i = agenda.index(least)
             syms[i:i + 2] = [syms[i] + syms[i + 1]]
