@@ -50,7 +50,10 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang:
         F.substring(F.col(text), (1 + F.pmod(F.shiftright(h, 8), F.greatest(F.length(text) - chars, F.lit(1)))).cast("int"),
                     F.lit(chars)).alias("t"))
     top = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(max_languages)
-    rows = rows.dropDuplicates(["l", "h"]).withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h")))
+    # The least hashes of each language, first within sixteen parts of it: no task gets a whole language.
+    part = Window.partitionBy("l", F.pmod("h", F.lit(16))).orderBy("h")
+    rows = rows.dropDuplicates(["l", "h"]).withColumn("r", F.row_number().over(part)).where(F.col("r") <= docs_per_lang)
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h")))
     picked = rows.where(F.col("r") <= docs_per_lang).join(F.broadcast(top), "l", "left_semi")
     parts: dict[str, list[tuple[int, str]]] = {}
     for r in picked.select("l", "r", "t").collect():
