@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...functions import (as_int, hashtags, instagram_content_type, mentions, parse_ts, py_strip, urls,
+from ...functions import (as_int, first_present, hashtags, instagram_content_type, mentions, parse_ts, py_strip, urls,
                           vget)
 from .common import EMPTY_MEDIA, explicit_or, flag, fp, indexed, media_struct, sfp
 
@@ -77,17 +77,13 @@ def post(raw: DataFrame) -> DataFrame:
     )
 
 
-def first_present_v(v, keys, typ="string"):
-    return F.coalesce(*[F.try_variant_get(v, f"$.{k}", typ) for k in keys])
-
-
 def comment(raw: DataFrame) -> DataFrame:
     """N3 + S4: root comments and their nested replies, flattened; a reply's parent is its root."""
     v = F.col("v")
     replies = vget(v, "$.replies", "array<variant>")
     child = vget(v, "$.childComments", "array<variant>")
     nested = F.when(F.size(replies) > 0, replies).otherwise(F.coalesce(child, F.array().cast("array<variant>")))
-    root_id = first_present_v(v, ["id", "commentId"])
+    root_id = first_present(v, ["id", "commentId"])
     roots = raw.select("item_seq", "target", F.col("v").alias("c"), F.lit(None).cast("string").alias("parent_native_id"),
                        F.lit(0).alias("reply_pos"))
     reps = raw.select("item_seq", "target", F.posexplode(nested).alias("reply_pos", "c"),
@@ -95,19 +91,19 @@ def comment(raw: DataFrame) -> DataFrame:
               .select("item_seq", "target", "c", "parent_native_id", (F.col("reply_pos") + 1).alias("reply_pos"))
     allc = roots.unionByName(reps)
     c = F.col("c")
-    text = F.coalesce(py_strip(first_present_v(c, ["text", "content"])), F.lit(""))
+    text = F.coalesce(py_strip(first_present(c, ["text", "content"])), F.lit(""))
     return allc.select(
         "item_seq", "reply_pos", F.lit(PLATFORM).alias("platform"),
-        F.coalesce(first_present_v(c, ["id", "commentId"]), F.lit("")).alias("platform_comment_id"),
+        F.coalesce(first_present(c, ["id", "commentId"]), F.lit("")).alias("platform_comment_id"),
         F.col("target").alias("post_ref"),
-        F.coalesce(first_present_v(c, ["ownerId", "id", "userId", "pk"]), F.lit("")).alias("author_native_id"),
+        F.coalesce(first_present(c, ["ownerId", "id", "userId", "pk"]), F.lit("")).alias("author_native_id"),
         "parent_native_id",
         F.when(text == "", F.lit("(no text)")).otherwise(text).alias("content"),
-        first_present_v(c, ["likesCount", "likeCount"], "bigint").alias("likes"),
-        first_present_v(c, ["repliesCount", "replyCount"], "bigint").alias("reply_count"),
+        first_present(c, ["likesCount", "likeCount"], "bigint").alias("likes"),
+        first_present(c, ["repliesCount", "replyCount"], "bigint").alias("reply_count"),
         hashtags(text).alias("hashtags"), mentions(text).alias("mentions"),
-        parse_ts(first_present_v(c, ["timestamp", "createdAt"])).alias("posted_at"),
-        first_present_v(c, ["ownerUsername", "username"]).alias("owner_username"),
+        parse_ts(first_present(c, ["timestamp", "createdAt"])).alias("posted_at"),
+        first_present(c, ["ownerUsername", "username"]).alias("owner_username"),
     )
 
 

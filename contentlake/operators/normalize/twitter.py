@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ...functions import hashtags, lower_list, mentions, parse_ts_native, py_strip, twitter_content_type, urls
+from ...functions import first_present, hashtags, lower_list, mentions, parse_ts_native, py_strip, twitter_content_type, urls
 from ...functions.metrics import TWITTER_VIDEO_TYPES
 from .common import EMPTY_MEDIA, indexed, media_struct
-from .instagram import first_present_v
 
 PLATFORM = "twitter"
 
@@ -22,20 +21,20 @@ def author(raw: DataFrame) -> DataFrame:
     """N5."""
     return raw.withColumn("a", _author_obj()).select(
         "item_seq", F.lit(PLATFORM).alias("platform"),
-        F.coalesce(first_present_v(F.col("a"), ["id", "userId", "restId"]), F.lit("")).alias("platform_user_id"),
-        F.coalesce(py_strip(first_present_v(F.col("a"), ["userName", "username", "screen_name"])), F.lit("unknown"))
+        F.coalesce(first_present(F.col("a"), ["id", "userId", "restId"]), F.lit("")).alias("platform_user_id"),
+        F.coalesce(py_strip(first_present(F.col("a"), ["userName", "username", "screen_name"])), F.lit("unknown"))
         .alias("username"),
-        first_present_v(F.col("a"), ["name", "displayName"]).alias("display_name"),
-        first_present_v(F.col("a"), ["description", "bio"]).alias("bio"),
+        first_present(F.col("a"), ["name", "displayName"]).alias("display_name"),
+        first_present(F.col("a"), ["description", "bio"]).alias("bio"),
         F.try_variant_get(F.col("a"), "$.location", "string").alias("location"),
         F.try_variant_get(F.col("a"), "$.url", "string").alias("external_url"),
-        F.concat(F.lit("https://x.com/"), F.coalesce(first_present_v(F.col("a"), ["userName", "username"]), F.lit("")))
+        F.concat(F.lit("https://x.com/"), F.coalesce(first_present(F.col("a"), ["userName", "username"]), F.lit("")))
         .alias("profile_url"),
-        F.coalesce(first_present_v(F.col("a"), ["isVerified", "isBlueVerified", "verified"], "boolean"), F.lit(False))
+        F.coalesce(first_present(F.col("a"), ["isVerified", "isBlueVerified", "verified"], "boolean"), F.lit(False))
         .alias("is_verified"),
-        first_present_v(F.col("a"), ["followers", "followersCount"], "bigint").alias("follower_count"),
-        first_present_v(F.col("a"), ["following", "followingCount"], "bigint").alias("following_count"),
-        first_present_v(F.col("a"), ["statusesCount", "tweetsCount"], "bigint").alias("post_count"),
+        first_present(F.col("a"), ["followers", "followersCount"], "bigint").alias("follower_count"),
+        first_present(F.col("a"), ["following", "followingCount"], "bigint").alias("following_count"),
+        first_present(F.col("a"), ["statusesCount", "tweetsCount"], "bigint").alias("post_count"),
     ).drop("a")
 
 
@@ -50,7 +49,7 @@ def _entity_list(path: str, field: str) -> Column:
 def post(raw: DataFrame) -> DataFrame:
     """Entity lists beat extraction when non-empty; retweet > quote > tweet; media fallback."""
     v = F.col("v")
-    text = F.coalesce(py_strip(first_present_v(v, ["fullText", "text"])), F.lit(""))
+    text = F.coalesce(py_strip(first_present(v, ["fullText", "text"])), F.lit(""))
     media_items = F.try_variant_get(v, "$.media", "array<variant>")
     ext_items = F.try_variant_get(v, "$.extendedEntities.media", "array<variant>")
     items = F.when(F.size(media_items) > 0, media_items).otherwise(
@@ -65,43 +64,43 @@ def post(raw: DataFrame) -> DataFrame:
     a = _author_obj()
     return raw.withColumn("_text", text).select(
         "item_seq", F.lit(PLATFORM).alias("platform"),
-        F.coalesce(first_present_v(v, ["id", "tweetId"]), F.lit("")).alias("platform_post_id"),
-        F.coalesce(first_present_v(a, ["id", "userId", "restId"]), F.lit("")).alias("author_native_id"),
-        twitter_content_type(first_present_v(v, ["isRetweet"], "boolean"),
-                             first_present_v(v, ["isQuote"], "boolean")).alias("content_type"),
+        F.coalesce(first_present(v, ["id", "tweetId"]), F.lit("")).alias("platform_post_id"),
+        F.coalesce(first_present(a, ["id", "userId", "restId"]), F.lit("")).alias("author_native_id"),
+        twitter_content_type(first_present(v, ["isRetweet"], "boolean"),
+                             first_present(v, ["isQuote"], "boolean")).alias("content_type"),
         F.col("_text").alias("caption"), F.col("_text").alias("content"),
         F.try_variant_get(v, "$.lang", "string").alias("language"),
-        first_present_v(v, ["url", "twitterUrl"]).alias("url"),
+        first_present(v, ["url", "twitterUrl"]).alias("url"),
         lower_list(F.when(F.size(tags) > 0, tags).otherwise(hashtags("_text"))).alias("hashtags"),
         lower_list(F.when(F.size(ments) > 0, ments).otherwise(mentions("_text"))).alias("mentions"),
         F.when(F.size(links) > 0, links).otherwise(urls("_text")).alias("urls"),
         indexed(F.coalesce(media, F.array().cast(EMPTY_MEDIA))).alias("media"),
-        parse_ts_native(first_present_v(v, ["createdAt", "created_at"])).alias("posted_at"),
-        first_present_v(v, ["retweetCount", "retweet_count"], "bigint").alias("retweet_count"),
-        first_present_v(v, ["replyCount", "reply_count"], "bigint").alias("reply_count"),
-        first_present_v(v, ["likeCount", "favorite_count"], "bigint").alias("like_count"),
-        first_present_v(v, ["quoteCount", "quote_count"], "bigint").alias("quote_count"),
-        first_present_v(v, ["viewCount", "views"], "bigint").alias("view_count"),
+        parse_ts_native(first_present(v, ["createdAt", "created_at"])).alias("posted_at"),
+        first_present(v, ["retweetCount", "retweet_count"], "bigint").alias("retweet_count"),
+        first_present(v, ["replyCount", "reply_count"], "bigint").alias("reply_count"),
+        first_present(v, ["likeCount", "favorite_count"], "bigint").alias("like_count"),
+        first_present(v, ["quoteCount", "quote_count"], "bigint").alias("quote_count"),
+        first_present(v, ["viewCount", "views"], "bigint").alias("view_count"),
     )
 
 
 def comment(raw: DataFrame, root_ids: Column | None = None) -> DataFrame:
     """N7 + S5: conversation search results minus the root post (by id or bare id)."""
     v = F.col("v")
-    text = F.coalesce(py_strip(first_present_v(v, ["fullText", "text"])), F.lit(""))
+    text = F.coalesce(py_strip(first_present(v, ["fullText", "text"])), F.lit(""))
     a = _author_obj()
-    cid = F.coalesce(first_present_v(v, ["id", "tweetId"]), F.lit(""))
+    cid = F.coalesce(first_present(v, ["id", "tweetId"]), F.lit(""))
     out = raw.withColumn("_text", text).select(
         "item_seq", F.lit(PLATFORM).alias("platform"), cid.alias("platform_comment_id"),
         F.col("target").alias("post_ref"),
-        F.coalesce(first_present_v(a, ["id", "userId", "restId"]), F.lit("")).alias("author_native_id"),
+        F.coalesce(first_present(a, ["id", "userId", "restId"]), F.lit("")).alias("author_native_id"),
         F.try_variant_get(v, "$.inReplyToId", "string").alias("parent_native_id"),
         F.when(F.col("_text") == "", F.lit("(no text)")).otherwise(F.col("_text")).alias("content"),
         F.try_variant_get(v, "$.lang", "string").alias("language"),
-        first_present_v(v, ["likeCount", "favorite_count"], "bigint").alias("likes"),
-        first_present_v(v, ["replyCount", "reply_count"], "bigint").alias("reply_count"),
+        first_present(v, ["likeCount", "favorite_count"], "bigint").alias("likes"),
+        first_present(v, ["replyCount", "reply_count"], "bigint").alias("reply_count"),
         hashtags("_text").alias("hashtags"), mentions("_text").alias("mentions"),
-        parse_ts_native(first_present_v(v, ["createdAt", "created_at"])).alias("posted_at"),
+        parse_ts_native(first_present(v, ["createdAt", "created_at"])).alias("posted_at"),
     )
     return out
 

@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...functions import hashtags, lower_list, mentions, parse_ts, py_strip, urls, youtube_content_type
+from ...functions import first_present, hashtags, lower_list, mentions, parse_ts, py_strip, urls, youtube_content_type
 from ...functions.parse import variant_duration
 from .common import EMPTY_MEDIA, indexed, media_struct
-from .instagram import first_present_v
 
 PLATFORM = "youtube"
 
 
 def _channel_id():
-    return F.coalesce(first_present_v(F.col("v"), ["channelId", "channelUrl"]), F.lit(""))
+    return F.coalesce(first_present(F.col("v"), ["channelId", "channelUrl"]), F.lit(""))
 
 
 def author(raw: DataFrame) -> DataFrame:
@@ -23,13 +22,13 @@ def author(raw: DataFrame) -> DataFrame:
     cid = _channel_id()
     return raw.select(
         "item_seq", F.lit(PLATFORM).alias("platform"), cid.alias("platform_user_id"),
-        F.coalesce(py_strip(first_present_v(v, ["channelName", "channelUsername"])), F.lit("unknown")).alias("username"),
+        F.coalesce(py_strip(first_present(v, ["channelName", "channelUsername"])), F.lit("unknown")).alias("username"),
         F.try_variant_get(v, "$.channelName", "string").alias("display_name"),
         F.coalesce(F.try_variant_get(v, "$.channelUrl", "string"),
                    F.concat(F.lit("https://www.youtube.com/channel/"), cid)).alias("profile_url"),
         F.coalesce(F.try_variant_get(v, "$.channelIsVerified", "boolean"), F.lit(False)).alias("is_verified"),
-        first_present_v(v, ["numberOfSubscribers", "subscriberCount"], "bigint").alias("follower_count"),
-        first_present_v(v, ["channelTotalVideos", "videoCount"], "bigint").alias("post_count"),
+        first_present(v, ["numberOfSubscribers", "subscriberCount"], "bigint").alias("follower_count"),
+        first_present(v, ["channelTotalVideos", "videoCount"], "bigint").alias("post_count"),
     )
 
 
@@ -41,9 +40,9 @@ def channel(raw: DataFrame) -> DataFrame:
         _channel_id().alias("author_native_id"),
         F.coalesce(py_strip(F.try_variant_get(v, "$.channelName", "string")), F.lit("unknown")).alias("name"),
         F.try_variant_get(v, "$.channelDescription", "string").alias("description"),
-        first_present_v(v, ["numberOfSubscribers", "subscriberCount"], "bigint").alias("subscriber_count"),
-        first_present_v(v, ["channelTotalVideos", "videoCount"], "bigint").alias("video_count"),
-        first_present_v(v, ["channelTotalViews", "channelViewCount"], "bigint").alias("total_views"),
+        first_present(v, ["numberOfSubscribers", "subscriberCount"], "bigint").alias("subscriber_count"),
+        first_present(v, ["channelTotalVideos", "videoCount"], "bigint").alias("video_count"),
+        first_present(v, ["channelTotalViews", "channelViewCount"], "bigint").alias("total_views"),
         F.try_variant_get(v, "$.channelLocation", "string").alias("country"),
     )
 
@@ -51,14 +50,14 @@ def channel(raw: DataFrame) -> DataFrame:
 def post(raw: DataFrame) -> DataFrame:
     """Short when duration <= 60 s, else (or unknown) video."""
     v = F.col("v")
-    desc = F.coalesce(py_strip(first_present_v(v, ["text", "description"])), F.lit(""))
-    vurl = first_present_v(v, ["url", "videoUrl"])
+    desc = F.coalesce(py_strip(first_present(v, ["text", "description"])), F.lit(""))
+    vurl = first_present(v, ["url", "videoUrl"])
     dur = variant_duration(v, "$.duration")
     media = F.when(vurl.isNotNull(), F.array(media_struct("video", vurl))).otherwise(F.array().cast(EMPTY_MEDIA))
     explicit = F.try_variant_get(v, "$.hashtags", "array<string>")
     return raw.withColumn("_desc", desc).withColumn("_dur", dur).select(
         "item_seq", F.lit(PLATFORM).alias("platform"),
-        F.coalesce(first_present_v(v, ["id", "videoId"]), F.lit("")).alias("platform_post_id"),
+        F.coalesce(first_present(v, ["id", "videoId"]), F.lit("")).alias("platform_post_id"),
         _channel_id().alias("author_native_id"),
         youtube_content_type(F.col("_dur")).alias("content_type"),
         F.coalesce(py_strip(F.try_variant_get(v, "$.title", "string")), F.lit("")).alias("caption"),
@@ -66,8 +65,8 @@ def post(raw: DataFrame) -> DataFrame:
         lower_list(F.when(F.size(explicit) > 0, explicit).otherwise(hashtags("_desc"))).alias("hashtags"),
         lower_list(mentions("_desc")).alias("mentions"), urls("_desc").alias("urls"),
         indexed(media).alias("media"),
-        parse_ts(first_present_v(v, ["date", "uploadDate"])).alias("posted_at"),
-        first_present_v(v, ["viewCount", "views"], "bigint").alias("view_count"),
+        parse_ts(first_present(v, ["date", "uploadDate"])).alias("posted_at"),
+        first_present(v, ["viewCount", "views"], "bigint").alias("view_count"),
         F.try_variant_get(v, "$.likes", "bigint").alias("like_count"),
         F.try_variant_get(v, "$.commentsCount", "bigint").alias("comments_count"),
         F.col("_dur").alias("duration_seconds"),
@@ -77,32 +76,32 @@ def post(raw: DataFrame) -> DataFrame:
 def video(raw: DataFrame) -> DataFrame:
     """The same item also yields the video row (linked to its post by natural key)."""
     v = F.col("v")
-    vid = F.coalesce(first_present_v(v, ["id", "videoId"]), F.lit(""))
+    vid = F.coalesce(first_present(v, ["id", "videoId"]), F.lit(""))
     return raw.select(
         "item_seq", F.lit(PLATFORM).alias("platform"), vid.alias("platform_video_id"),
         _channel_id().alias("channel_native_id"), vid.alias("post_native_id"),
         F.coalesce(py_strip(F.try_variant_get(v, "$.title", "string")), F.lit("")).alias("title"),
-        F.coalesce(py_strip(first_present_v(v, ["text", "description"])), F.lit("")).alias("description"),
+        F.coalesce(py_strip(first_present(v, ["text", "description"])), F.lit("")).alias("description"),
         F.try_variant_get(v, "$.transcript", "string").alias("transcript"),
         variant_duration(v, "$.duration").alias("duration_seconds"),
         F.try_variant_get(v, "$.thumbnailUrl", "string").alias("thumbnail_url"),
-        first_present_v(v, ["url", "videoUrl"]).alias("video_url"),
-        parse_ts(first_present_v(v, ["date", "uploadDate"])).alias("published_at"),
+        first_present(v, ["url", "videoUrl"]).alias("video_url"),
+        parse_ts(first_present(v, ["date", "uploadDate"])).alias("published_at"),
     )
 
 
 def comment(raw: DataFrame) -> DataFrame:
     """parent = parentCommentId only when isReply."""
     v = F.col("v")
-    text = F.coalesce(py_strip(first_present_v(v, ["text", "comment"])), F.lit(""))
+    text = F.coalesce(py_strip(first_present(v, ["text", "comment"])), F.lit(""))
     is_reply = F.coalesce(F.try_variant_get(v, "$.isReply", "boolean"), F.lit(False))
     return raw.withColumn("_text", text).select(
         "item_seq", F.lit(PLATFORM).alias("platform"),
-        F.coalesce(first_present_v(v, ["id", "cid"]), F.lit("")).alias("platform_comment_id"),
+        F.coalesce(first_present(v, ["id", "cid"]), F.lit("")).alias("platform_comment_id"),
         F.col("target").alias("post_ref"),
         F.when(is_reply, F.try_variant_get(v, "$.parentCommentId", "string")).alias("parent_native_id"),
         F.when(F.col("_text") == "", F.lit("(no text)")).otherwise(F.col("_text")).alias("content"),
-        first_present_v(v, ["voteCount", "likesCount"], "bigint").alias("likes"),
+        first_present(v, ["voteCount", "likesCount"], "bigint").alias("likes"),
         F.try_variant_get(v, "$.replyCount", "bigint").alias("reply_count"),
         hashtags("_text").alias("hashtags"), mentions("_text").alias("mentions"),
         parse_ts(F.try_variant_get(v, "$.publishedAt", "string")).alias("posted_at"),
