@@ -12,12 +12,14 @@ from __future__ import annotations
 import traceback
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bare_post_id
 from ..schema import JOB_ERRORS_KEPT, NATURAL_KEYS, PlanError
+from ..sources.raw import objects_only
 from . import embeddings as E
 from .identity import dedupe_last_wins, entity_id
 from .merge import insert_new
@@ -128,6 +130,18 @@ class Lake:
         _, folders = self._version("job_events")
         return latest_status(self._rows("job_events", folders), "job_id", "event_seq") if folders else None
 
+    def quarantine(self, bad: DataFrame) -> int:
+        """Keeps items that cannot be normalized, with their reason; returns how many."""
+        name = "quarantine_rows"
+        n, folders = self._version(name)
+        folder = self._write(name, bad.select("platform", "target", "raw", "reason", F.lit(self.run_id).alias("run")))
+        count = self._rows(name, [folder]).count()
+        if count:
+            self._commit(name, n, [*folders, folder])
+        else:
+            self._remove(name, folder)
+        return count
+
     # --- upserted tables -----------------------------------------------------------------------------
 
     def _merged(self, table: str, folders: list[str]) -> DataFrame:
@@ -307,11 +321,27 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
     rep = Report()
     lake.begin_run()
     lake.job_event(0, "running")
+    split: list[DataFrame] = []
+
+    def good_items(raws: dict[str, DataFrame] | None) -> dict[str, DataFrame]:
+        out = {}
+        for plat, raw in (raws or {}).items():
+            if {"v", "raw"} <= set(raw.columns):  # any other frame fails in the steps that read it
+                raw, bad = objects_only(raw)
+                split.append(bad.select(F.lit(plat).alias("platform"), "target", "raw", "reason"))
+            out[plat] = raw
+        return out
+
+    posts_raw, comments_raw, profiles_raw = good_items(posts_raw), good_items(comments_raw), good_items(profiles_raw)
+
+    def do_quarantine():
+        if split:
+            rep.counters["quarantined"] = lake.quarantine(reduce(DataFrame.unionByName, split))
 
     def step(name: str, fn) -> None:
         try:
             fn()
-            rep.steps_ok += 1
+            rep.steps_ok += name != "quarantine"
         except Exception as e:  # noqa: BLE001 - isolate the entity, keep going
             rep.errors.append(f"{name}: {type(e).__name__}: {str(e).splitlines()[0][:200]}")
             traceback.print_exc()
@@ -443,7 +473,7 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
     # Dependency order: authors -> channels -> posts -> videos -> comments; then media, tags, mentions
     # and engagement depend only on the batch's posts and write different tables, so their Spark
     # jobs are submitted together; embeddings read the stored posts and comments last.
-    for name, fn in (("authors", do_authors), ("channels", do_channels), ("posts", do_posts), ("videos", do_videos),
+    for name, fn in (("quarantine", do_quarantine), ("authors", do_authors), ("channels", do_channels), ("posts", do_posts), ("videos", do_videos),
                      ("comments", do_comments)):
         step(name, fn)
     from concurrent.futures import ThreadPoolExecutor

@@ -97,6 +97,7 @@ def _pipeline_oracle() -> str:
         parts.append(f"select {run}, 'total_records', sum(n) from sizes "
                      "where tbl in ('authors', 'channels', 'posts', 'videos', 'comments')")
         parts.append(f"select {run}, 'errors', 0")
+        parts.append(f"select {run}, 'quarantined', 0")
     body = "\n  union all ".join(parts)
     return f"with sizes as ({SIZES})\nselect run, metric, cast(value as bigint) as value from (\n  {body})"
 

@@ -26,24 +26,36 @@ def with_variant(df: DataFrame, raw: str = "raw") -> DataFrame:
     return df.withColumn("v", F.try_parse_json(F.col(raw)))
 
 
+def scrape_order(df: DataFrame) -> DataFrame:
+    """``item_seq`` of rows read from landing files, a struct that sorts in scrape order: when the file
+    landed, its path, the place of the block in the file, the row in the block. Row ids alone follow
+    the order in which Spark plans files, not the order in which they came."""
+    m = F.col("_metadata")
+    return df.withColumn("item_seq", F.struct(m["file_modification_time"].alias("landed"), m["file_path"].alias("path"),
+                                              m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row")))
+
+
 def read_raw(spark, path: str, platform: str, mode: str, target: str | None = None,
              fmt: str = "text") -> DataFrame:
-    """Landing files as raw items. ``fmt`` text = JSON lines; json/parquet need a ``raw`` column or
-    are re-serialised row by row."""
+    """Landing files as raw items in scrape order. ``fmt`` text = JSON lines; json/parquet need a
+    ``raw`` column or are re-serialised row by row."""
     check_scrape_mode(platform, mode)
     if fmt == "text":
-        df = spark.read.text(path).withColumnRenamed("value", "raw")
-    elif fmt == "json":
-        src = spark.read.json(path)
-        df = src.select(F.to_json(F.struct(*src.columns)).alias("raw"))
-    elif fmt == "parquet":
-        src = spark.read.parquet(path)
-        df = src.select("raw") if "raw" in src.columns else src.select(F.to_json(F.struct(*src.columns)).alias("raw"))
+        df = spark.read.text(path).select(F.col("value").alias("raw"), "_metadata")
+    elif fmt in ("json", "parquet"):
+        src = getattr(spark.read, fmt)(path)
+        raw = F.col("raw") if fmt == "parquet" and "raw" in src.columns else F.to_json(F.struct(*src.columns)).alias("raw")
+        df = src.select(raw, "_metadata")
     else:
         raise ValueError(f"unsupported raw format {fmt!r}")
-    df = df.withColumn("item_seq", F.monotonically_increasing_id())
-    return with_variant(df.select(F.lit(platform).alias("platform"), F.lit(mode).alias("mode"),
-                                  F.lit(target).cast("string").alias("target"), "item_seq", "raw"))
+    return with_variant(scrape_order(df).select(F.lit(platform).alias("platform"), F.lit(mode).alias("mode"),
+                                                F.lit(target).cast("string").alias("target"), "item_seq", "raw"))
+
+
+def objects_only(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items that are JSON objects, and the rest with a ``reason``: text that does not parse, and JSON
+    that is no object, normalize to nothing."""
+    return quarantine_split(raw, {"not_an_object": F.schema_of_variant("v").startswith("OBJECT")})
 
 
 def _json(**fields: Column) -> Column:

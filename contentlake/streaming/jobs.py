@@ -126,30 +126,34 @@ def session_counts(spark: SparkSession, path: str, gap: str = "30 minutes", dela
 
 def ingest_stream(spark: SparkSession, landing: str, normalize, keys: list[str], state_dir: str | None = None,
                   files_per_batch: int | None = None) -> DataFrame:
-    """Landing JSON-lines files -> per micro-batch normalize, de-duplicate (last wins) and upsert into a
-    bucketed lake table (only the hash buckets a batch touches are rewritten). Each applied batch id
-    is recorded in the lake's run log; a replayed batch id is skipped (idempotent).
+    """Landing JSON-lines files -> per micro-batch split off bad items, normalize, de-duplicate (last in
+    scrape order wins) and upsert into a lake table (the batch is added as one change). Each applied
+    batch id is recorded in the lake's run log; a replayed batch id is skipped (idempotent).
     ``files_per_batch`` bounds a micro-batch (default: everything that has landed)."""
     from ..operators.identity import dedupe_last_wins
     from ..operators.pipeline import Lake
-    from ..sources.raw import with_variant
+    from ..sources.raw import objects_only, scrape_order, with_variant
 
     d = state_dir or _run_dir(spark, "ingest")
     lake = Lake(spark, f"{d}/lake")
     reader = spark.readStream.format("text")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    stream = reader.load(landing)
+    stream = scrape_order(reader.load(landing).select("value", "_metadata")).drop("_metadata")
 
     def process(batch: DataFrame, batch_id: int) -> None:
         run = batch_id + 1
         if lake._next_run() > run:
             return  # already applied: replay after a restart
         lake.run_id = run
-        raw = with_variant(batch.select(F.col("value").alias("raw"), F.monotonically_increasing_id().alias("item_seq"))
+        raw = with_variant(batch.select(F.col("value").alias("raw"), "item_seq")
                            .withColumn("platform", F.lit(None).cast("string"))
                            .withColumn("mode", F.lit("posts")).withColumn("target", F.lit(None).cast("string")))
-        fresh = dedupe_last_wins(normalize(raw), keys).drop("first_seq")
+        good, bad = objects_only(raw)
+        lake.quarantine(bad)
+        fresh = dedupe_last_wins(normalize(good), keys).drop("first_seq")
+        if "item_seq" in fresh.columns:
+            fresh = fresh.withColumn("item_seq", F.col("item_seq").cast("string"))  # its order is settled
         lake.upsert("snapshot", fresh, keys, id_col=keys[-1])
         lake.end_run()
 

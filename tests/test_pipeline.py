@@ -116,3 +116,29 @@ def test_profile_scrape_adds_first_author_only(spark, tmp_path):
     assert rep.status == "succeeded", rep.errors
     users = {r["platform_user_id"] for r in lake.read("authors").collect()}
     assert users == {"u1", "42"}
+
+
+def test_landing_order_and_quarantine(spark, tmp_path):
+    import json
+    import os
+
+    from contentlake.operators.pipeline import Lake, ingest
+    from contentlake.sources.raw import read_raw
+    old = [json.dumps({"id": "p1", "caption": "old", "ownerId": "u"}), "{broken", "[1, 2]", "7", "null"]
+    new = [json.dumps({"id": f"q{i}", "caption": "x" * 200, "ownerId": "u"}) for i in range(300)] + [
+        json.dumps({"id": "p1", "caption": "new", "ownerId": "u"}), json.dumps({"id": "p1", "caption": "newest", "ownerId": "u"})]
+    for n, (name, lines) in enumerate((("z-old", old), ("a-new", new))):  # the older file is small and sorts last
+        (tmp_path / name).write_text("\n".join(lines))
+        os.utime(tmp_path / name, (1_700_000_000 + n, 1_700_000_000 + n))
+    for split in ("128m", "4k"):  # also with files cut into many pieces
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            lake = Lake(spark, str(tmp_path / f"lake-{split}"))
+            rep = ingest(spark, lake, {"instagram": read_raw(spark, f"{tmp_path}/*-*[wd]", "instagram", "posts", target="acct")}, {})
+            assert not rep.errors and rep.counters["quarantined"] == 4
+            posts = {r["platform_post_id"]: r["caption"] for r in lake.read("posts").collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert posts["p1"] == "newest" and len(posts) == 301 and "" not in posts
+        bad = {r["raw"]: r["reason"] for r in lake.read_rows("quarantine").collect()}
+        assert bad == {"{broken": "malformed_json", "[1, 2]": "not_an_object", "7": "not_an_object", "null": "not_an_object"}
