@@ -296,19 +296,29 @@ def doc_terms(docs: DataFrame, text_col: str = "content") -> DataFrame:
                        F.explode(F.array_distinct(fn.tokens(text_col))).alias("term"))
 
 
+def question_words(text) -> Column:
+    """All words of a question, each once, without stop words."""
+    return F.array_except(F.array_distinct(fn.tokens(text)), F.array(*[F.lit(w) for w in STOP_WORDS]))
+
+
 def keyword_batch(docs: DataFrame, questions: DataFrame, limit: int) -> DataFrame:
-    """R7 keyword side: questions (qid, term) equi-joined to the inverted index; ``limit`` per question by id.
-
-    When the batch's distinct terms are bounded, each document keeps only its tokens in that set
-    (an ``InSet`` lookup per token) before the explode, so only matching postings are produced."""
-    terms = bounded_keys(questions, "term")
-    if terms is not None:
-        toks = F.array_distinct(fn.tokens("content"))
-        idx = docs.select("source_type", "source_id", "platform",
-                          F.explode(F.filter(toks, lambda x: x.isin(*terms))).alias("term"))
-    else:
-        idx = doc_terms(docs)
-    j = idx.join(questions.select("qid", "term"), "term")
+    """R7 keyword side: documents that hold every word of a question (qid, words); ``limit`` per question
+    by id. A question without words finds nothing.
+
+    One pass over the texts keeps, per document, the words that any question asks for. A question is
+    joined on its rarest word alone, and the other words are verified on the candidates, so a common
+    word never multiplies rows."""
+    from ..session import materialize
+    asked = questions.where(F.size("words") > 0).select("qid", "words")
+    terms = asked.select(F.explode("words").alias("term")).distinct()
+    have = materialize(doc_terms(docs).join(terms, "term").groupBy("source_type", "source_id", "platform")
+                       .agg(F.collect_set("term").alias("have")))
+    found = have.select("source_type", "source_id", "platform", "have", F.explode("have").alias("term"))
+    freq = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    words = asked.select("qid", "words", F.explode("words").alias("term")).join(freq, "term", "left")
+    rare = words.groupBy("qid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r"), F.first("words").alias("words"))
+    rare = rare.where("r.df > 0").select("qid", "words", F.col("r.term").alias("term"))
+    j = found.join(rare, "term").where(F.size(F.array_except("words", "have")) == 0)
     w = Window.partitionBy("qid").orderBy(F.col("source_id"))
     ranked = j.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
     return ranked.select("qid", "source_type", F.col("source_id").cast("string").alias("source_id"), "platform",
