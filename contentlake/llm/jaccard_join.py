@@ -9,10 +9,10 @@ Two documents link when 100 * intersection >= 90 * union (both bounds are parame
    skipped. A set is listed under its own size class and the next one, which is as far as a linked
    set can be. A few more blocks are made than needed, so that as many of the emptiest may be left
    out. Where H is so large that blocks would hold too few elements to tell sets apart, the lists
-   are those of single elements, and a set is listed under its first size - t * size + 3 elements
-   in one order of all elements (positions beyond are skipped): linked sets share three of these
-   lists. Pairs of short lists are counted, and three shared lists make a candidate; a long list
-   makes a star, like a block's list. Shingles that very many documents
+   are those of single elements, and a set is listed under its first size - t * size + 12 elements
+   in one order of all elements (positions beyond are skipped): linked sets share twelve of these
+   lists (three, with small sets and as many fewer elements). Pairs of short lists are counted, and
+   so many shared lists make a candidate; a long list makes a star, like a block's list. Shingles that very many documents
    share are left out of the blocks (whatever is left out of all sets alike, the rest still differs
    in at most H elements) and come last in that order: a common passage makes no candidates. Documents that share a list are candidates; each list gives one star, so its edges
    are as many as its members, and the stars' components are the clusters inside which links lie.
@@ -58,11 +58,12 @@ WORDS = 500_000
 #: Shingles count as common if they are in this many of at most about so many sampled documents; at
 #: most so many are kept (0.8 MB). This only shapes the lists: every choice gives the same links.
 COMMON_IN, COMMON_SAMPLE, COMMON_MOST = 4, 16_384, 100_000
-#: Lists of single elements: sets that share this many lists are candidates; a list with more than
-#: ``ALL_PAIRS`` members makes one star of its members instead, whatever else they share.
-SHARED, ALL_PAIRS = 3, 32
-#: Lowest bit of a list's key: one shared list makes a candidate.
-ONE = np.uint64(1)
+#: Lists of single elements: large sets that share ``SHARED`` lists are candidates, small ones that
+#: share a quarter as many. A list with more than ``ALL_PAIRS`` members makes one star of its members
+#: instead, whatever else they share.
+SHARED, ALL_PAIRS = 12, 64
+#: The two lowest bits of a list's key: how many shared lists make a candidate (all, a quarter, one).
+KIND, MANY, FEW, ONE = map(np.uint64, (3, 0, 1, 2))
 #: Blocks with fewer elements than this on average are replaced by lists of single elements.
 LEAST_IN_BLOCK = 7
 #: Entries of index lists that a task gathers before it packs them.
@@ -146,15 +147,16 @@ def signatures(tokens: np.ndarray, common: np.ndarray, num: int, den: int) -> np
             blocks, spare = block_plan(top, num, den)
             if blocks == 0:
                 # In one order of all elements, two linked sets have ``hits`` of these first elements in common.
-                hits = SHARED if top * num * num // (den * den) > SHARED else 1
+                least = top * num * num // (den * den)  # no linked pair of this class has a smaller overlap
+                hits, kind = next((h, k) for h, k in ((SHARED, MANY), (SHARED // 4, FEW), (1, ONE)) if least > h or k == ONE)
                 first = np.concatenate([rare, tokens[often]])[:size - -(-size * num // den) + hits]
-                out.append(_mix(first + _MULT[3]) & ~ONE if hits > 1 else _mix(first + _MULT[4]) | ONE)
+                out.append(_mix(first + _MULT[3 + int(kind)]) & ~KIND | kind)
             elif blocks > 1:  # linked sets of a class without differences are equal
                 at = (((rare >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
                 total = np.zeros(blocks, np.uint64)
                 np.add.at(total, at, rare)
                 key = _mix(total * _MULT[1] + np.uint64(cls) * _MULT[0] + np.arange(blocks, dtype=np.uint64) * _MULT[2])
-                out.append(key[np.argsort(np.bincount(at, minlength=blocks), kind="stable")[spare:]] | ONE)
+                out.append(key[np.argsort(np.bincount(at, minlength=blocks), kind="stable")[spare:]] & ~KIND | ONE)
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
@@ -224,17 +226,17 @@ def _lists_of(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _stars(sig: np.ndarray, key: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (least member, other member) of the lists that make stars."""
-    star = np.repeat(((sig[starts] & ONE) > 0) | (n > ALL_PAIRS), n)
+    star = np.repeat((sig[starts] & KIND == ONE) | (n > ALL_PAIRS), n)
     least = np.repeat(key[starts], n)
     other = star & (least != key)
     return least[other], key[other]
 
 
-def _pairs(sig: np.ndarray, key: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of the members of the other lists, which are short."""
+def _pairs(kind: np.uint64, sig: np.ndarray, key: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of the members of the short lists of one kind."""
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for size in range(2, ALL_PAIRS + 1):
-        at = starts[(n == size) & ((sig[starts] & ONE) == 0)]
+        at = starts[(n == size) & (sig[starts] & KIND == kind)]
         i, j = np.triu_indices(size, 1)
         a.append(key[(at[:, None] + i).ravel()])
         b.append(key[(at[:, None] + j).ravel()])
@@ -251,7 +253,7 @@ def _pack(buckets: int):
         sig, key, starts, n = _lists_of(sig, key)
         first, other = _stars(sig, key, starts, n)
         place = np.arange(len(sig)) - np.repeat(starts, n)
-        kept = place < np.repeat(np.where((sig[starts] & ONE) > 0, 1, ALL_PAIRS + 1), n)
+        kept = place < np.repeat(np.where(sig[starts] & KIND == ONE, 1, ALL_PAIRS + 1), n)
         sig, key = sig[kept], key[kept]
         bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))  # lists are sorted, and so are their buckets
@@ -279,7 +281,7 @@ def _pack(buckets: int):
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed rows sorted by bucket -> ``first, h1, hits``: stars' edges count as enough hits, pairs as one."""
+    """Packed rows sorted by bucket -> ``first, h1, hits``: stars' edges count as enough hits, pairs as their share."""
     def rows(edges: tuple[np.ndarray, np.ndarray], hits: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(edges[0], pa.int64()), pa.array(edges[1], pa.int64()),
                                            pa.array(np.full(len(edges[0]), hits), pa.int64())], names=["first", "h1", "hits"])
@@ -287,7 +289,8 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def bucket(parts: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         found = _lists_of(*(np.frombuffer(b"".join(p), kind) for p, kind in zip(zip(*parts, strict=True), (np.uint64, np.int64), strict=True)))
         yield rows(_stars(*found), SHARED)
-        yield rows(_pairs(*found), 1)
+        yield rows(_pairs(MANY, *found), 1)
+        yield rows(_pairs(FEW, *found), 4)
 
     at, parts = None, []
     for b in batches:
