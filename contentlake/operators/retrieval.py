@@ -139,23 +139,6 @@ def keyword_search(docs: DataFrame, query: str, platform: str | None = None, lim
     return hits.select(*_hit_cols(F.lit(1.0), "keyword", text_col))
 
 
-MAX_PUSHED_KEYS = 10_000
-
-
-def bounded_keys(df: DataFrame, col: str, max_n: int = MAX_PUSHED_KEYS) -> list | None:
-    """The distinct values of ``col`` when there are at most ``max_n`` of them, else None.
-
-    Candidate sets after a top-k cut are small by construction; their keys become an ``IN`` filter
-    pushed into the big table's scan (row-group skipping) instead of a join over the whole table.
-    Past the bound the caller falls back to a plain join."""
-    vals = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(max_n + 1).collect()]
-    return None if len(vals) > max_n else vals
-
-
-def restrict(big: DataFrame, col: str, keys: list | None) -> DataFrame:
-    return big if keys is None else big.where(F.col(col).isin(keys))
-
-
 def _hit_cols(score: Column, match: str, text_col: str = "content") -> list[Column]:
     return [F.col("source_type"), F.col("source_id").cast("string").alias("source_id"), F.col("platform"),
             F.col(text_col).alias("content"), score.cast("double").alias("score"), F.lit(match).alias("match")]
@@ -165,10 +148,9 @@ def semantic_search(vectors: DataFrame, docs: DataFrame, query_vec, platform: st
                     limit: int = 20) -> DataFrame:
     """R2: top ``limit`` by cosine similarity, joined to their document text."""
     where = (F.col("platform") == platform) if platform is not None else None
-    from ..session import materialize
-    top = materialize(vector.cosine_topk(vectors, "embedding", query_vec, limit, ["source_type", "source_id"], where))
-    d = restrict(docs, "source_id", bounded_keys(top, "source_id"))
-    j = top.join(d.select("source_type", "source_id", "platform", "content"), ["source_type", "source_id"])
+    top = vector.cosine_topk(vectors, "embedding", query_vec, limit, ["source_type", "source_id"], where)
+    # ``top`` has at most ``limit`` rows: the documents are scanned once, without a shuffle.
+    j = docs.select("source_type", "source_id", "platform", "content").join(F.broadcast(top), ["source_type", "source_id"])
     return j.select(*_hit_cols(F.col("similarity"), "semantic"))
 
 
@@ -206,19 +188,14 @@ class Filters:
 def filter_context(hits: DataFrame, posts: DataFrame, authors: DataFrame, engagement: DataFrame) -> DataFrame:
     """Left-join each post hit with its post, author and engagement (one join each, not N lookups)."""
     from ..session import materialize
-    hits = materialize(hits)  # candidates are computed once, then used for key push-down and the join
-    ids = bounded_keys(hits.where(F.col("source_type") == "post"), "source_id")
-    if ids is not None:  # push the candidate ids into the post and engagement scans
-        key_type = dict(posts.dtypes)["post_id"]
-        ids = [int(x) if key_type in ("bigint", "int") else x for x in ids if str(x).lstrip("-").isdigit()
-               or key_type not in ("bigint", "int")]
-    posts = restrict(posts, "post_id", ids)
-    engagement = restrict(engagement, "post_id", ids)
-    p = posts.select(F.col("post_id").cast("string").alias("_pid"), "content_type", "hashtags", "posted_at",
-                     "author_id", F.col("deleted_at").alias("_deleted"))
-    authors = restrict(authors, "author_id", bounded_keys(p, "author_id") if ids is not None else None)
+    hits = materialize(hits)  # computed once, used for the semi joins and the join
+    wanted = hits.where(F.col("source_type") == "post").select(F.col("source_id").alias("_wanted")).distinct()
+    of_hits = lambda df, c: df.join(wanted, F.col(c) == F.col("_wanted"), "left_semi")
+    p = of_hits(posts.select(F.col("post_id").cast("string").alias("_pid"), "content_type", "hashtags", "posted_at",
+                             "author_id", F.col("deleted_at").alias("_deleted")), "_pid")
     a = authors.select(F.col("author_id").alias("_aid"), F.col("username").alias("author_username"))
-    e = engagement.select(F.col("post_id").cast("string").alias("_eid"), F.col("likes").alias("_likes"))
+    a = a.join(p.select(F.col("author_id").alias("_aid")).distinct(), "_aid", "left_semi")
+    e = of_hits(engagement.select(F.col("post_id").cast("string").alias("_eid"), F.col("likes").alias("_likes")), "_eid")
     j = hits.join(p, (F.col("source_type") == "post") & (F.col("source_id") == F.col("_pid")), "left")
     j = j.join(a, F.col("author_id") == F.col("_aid"), "left")
     return j.join(e, F.col("source_id") == F.col("_eid"), "left")

@@ -19,6 +19,8 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 MAX_QUERY_BYTES = 64 * 1024 * 1024
+#: Scores held at once by a task (64 MB): queries meet a batch of rows in blocks of this many cells.
+SCORE_CELLS = 8 * 1024 * 1024
 
 
 def _normalise(q: np.ndarray) -> np.ndarray:
@@ -56,17 +58,19 @@ def _topk_fn(queries: np.ndarray, qids: Sequence, k: int, key_cols: list[str], v
             m = vals.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dims)
             norms = np.linalg.norm(m, axis=1)
             norms[norms == 0] = np.nan
-            sims = (m @ qn.T) / norms[:, None]
             keys = b2.select(key_cols)
-            for j in range(len(qids)):
-                s = np.nan_to_num(sims[:, j], nan=-np.inf)
-                if len(s) > k:
-                    kth = np.partition(-s, k - 1)[k - 1]
-                    idx = np.nonzero(s >= -kth)[0]
-                else:
-                    idx = np.arange(len(s))
-                cand = keys.take(pa.array(idx)).to_pandas().assign(similarity=sims[idx, j])
-                best[j] = keep_top(cand if best[j] is None else pd.concat([best[j], cand], ignore_index=True))
+            step = max(1, SCORE_CELLS // len(m))
+            for first in range(0, len(qids), step):
+                sims = (m @ qn[first:first + step].T) / norms[:, None]
+                for i in range(sims.shape[1]):
+                    s, j = np.nan_to_num(sims[:, i], nan=-np.inf), first + i
+                    if len(s) > k:
+                        kth = np.partition(-s, k - 1)[k - 1]
+                        idx = np.nonzero(s >= -kth)[0]
+                    else:
+                        idx = np.arange(len(s))
+                    cand = keys.take(pa.array(idx)).to_pandas().assign(similarity=sims[idx, i])
+                    best[j] = keep_top(cand if best[j] is None else pd.concat([best[j], cand], ignore_index=True))
         for j, q in enumerate(qids):
             if best[j] is not None and len(best[j]):
                 out = best[j].assign(qid=np.int64(q))
@@ -140,7 +144,8 @@ def ivf_build(df: DataFrame, vec_col: str, n_lists: int, seed: int = 42, max_ite
 
     norm = F.sqrt(F.aggregate(F.col(vec_col), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     unit = F.transform(F.col(vec_col), lambda x: x.cast("double") / norm)
-    feats = df.withColumn("features", array_to_vector(unit))
+    # A zero vector has no direction and thus no list: cosine similarity to it is undefined.
+    feats = df.where(norm > 0).withColumn("features", array_to_vector(unit))
     n = total_rows if total_rows is not None else df.count()
     train = feats.sample(fraction=max_train_rows / n, seed=seed) if n > max_train_rows else feats
     model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="list_id").fit(train)

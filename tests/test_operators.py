@@ -177,17 +177,6 @@ def test_read_raw_landing(spark, tmp_path):
         read_raw(spark, str(tmp_path), "youtube", "hashtag")
 
 
-def test_bounds_fall_back(spark):
-    df = spark.range(50).withColumnRenamed("id", "k")
-    assert RT.bounded_keys(df, "k", max_n=100) is not None and len(RT.bounded_keys(df, "k", max_n=100)) == 50
-    assert RT.bounded_keys(df, "k", max_n=10) is None                  # past the bound: caller joins instead
-    assert RT.restrict(df, "k", None).count() == 50 and RT.restrict(df, "k", [1, 2]).count() == 2
-    vecs = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(5)], "qid long, v array<double>")
-    assert len(V.query_vectors(vecs, "qid", "v", max_rows=5)) == 5
-    with pytest.raises(ValueError):
-        V.query_vectors(vecs, "qid", "v", max_rows=4)
-
-
 def test_keyword_search_indexed_equals_scan(spark, tmp_path):
     texts = ["The cat sat on the mat", "dog and cat play", "big fish swim fast", "a big dog barks",
              "fish big cat", "cat cat dog fish", "nothing here"]
