@@ -70,14 +70,16 @@ def trending_hashtags(posts: DataFrame, k: int = 10, include_deleted: bool = Fal
     return top_k(counts, [F.col("n_posts").desc(), F.col("tag")], k)
 
 
-def tag_engagement_by_platform(posts: DataFrame, engagement: DataFrame, k: int = 12) -> DataFrame:
+def tag_engagement_by_platform(posts: DataFrame, engagement: DataFrame, k: int = 12, text: str | None = None) -> DataFrame:
     """Flagship: per (platform, tag) posts and total engagement over posts that have engagement.
 
-    The join runs on posts (one row per post, tags as an array) before the explode, so the join
-    shuffles posts, not post x tag rows; the aggregate after the explode is map-side combined."""
-    p = live(posts).select("post_id", "platform", F.array_distinct("hashtags").alias("tags"))
+    The join runs on posts (one row per post) before the tags are exploded, so it moves posts, not
+    post x tag rows; the aggregate after the explode is map-side combined. With ``text`` the tags
+    are extracted from that column, after the join: only posts that have engagement are searched."""
+    tags = F.array_distinct("hashtags") if text is None else fn.hashtags(text)
+    p = live(posts).select("post_id", "platform", *(["hashtags"] if text is None else [text]))
     eng = engagement.select("post_id", fn.total_engagement().alias("total_engagement"))
-    j = p.join(eng, "post_id").select("platform", F.explode("tags").alias("tag"), "total_engagement")
+    j = p.join(eng, "post_id").select("platform", F.explode_outer(tags).alias("tag"), "total_engagement").where("tag is not null")
     agg = j.groupBy("platform", "tag").agg(F.count(F.lit(1)).alias("n_posts"),
                                            F.sum("total_engagement").alias("total_engagement"))
     return top_k(agg, [F.col("total_engagement").desc(), F.col("platform"), F.col("tag")], k)

@@ -17,7 +17,7 @@ TOTAL_SQL = "cast(coalesce(e.likes,0)+coalesce(e.shares,0)+coalesce(e.comments_c
     group by p.platform, t.tag order by total_engagement desc, platform, tag limit 12""")
 def tag_engagement_by_platform(t):
     """Flagship: hashtags (F4) of live posts joined to engagement (J2), summed per platform and tag."""
-    return A.tag_engagement_by_platform(t.posts, t.engagement, 12)
+    return A.tag_engagement_by_platform(t.posts, t.engagement, 12, text="caption")
 
 
 @register("trending_hashtags", """

@@ -127,14 +127,11 @@ def posts_by_hashtag(t):
       from {NORM_POSTS_SQL} p join (select unnest({KEYWORDS}) as kw) k on contains(lower(p.caption), lower(k.kw)))
     where rn <= 5""")
 def posts_by_keyword(t):
-    """Case-insensitive substring match per keyword, 5 per keyword (one filter per keyword, no cross join)."""
+    """Case-insensitive substring match per keyword, 5 per keyword; one pass over the posts for all keywords."""
     from pyspark.sql.window import Window
-    p = _norm_posts(t)
-    out = None
-    for kw in KEYWORDS:
-        part = p.where(F.lower("caption").contains(kw.lower())).select(F.lit(kw).alias("kw"), "platform",
-                                                                        "platform_post_id", "item_seq")
-        out = part if out is None else out.unionByName(part)
+    low = F.lower("caption")
+    found = F.array_compact(F.array(*[F.when(low.contains(kw.lower()), F.lit(kw)) for kw in KEYWORDS]))
+    out = _norm_posts(t).select(F.explode_outer(found).alias("kw"), "platform", "platform_post_id", "item_seq").where("kw is not null")
     w = Window.partitionBy("kw").orderBy("item_seq")
     return out.withColumn("rn", F.row_number().over(w)).where("rn <= 5").drop("rn")
 
