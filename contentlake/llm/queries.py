@@ -61,6 +61,43 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")])
 
 
+#: The whole method in SQL, for label tables within the bound of the holdout sample.
+OP5_SQL = f"""
+with t as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+w as (select *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from t),
+g as (select rid, i, array_to_string(list_slice(w, i, i + 4), ' ') as g from (select rid, w, unnest(range(1, len(w) - 3)) as i from w)),
+r as (select rid, i, lag(i) over (partition by rid order by i) as before
+      from (select rid, i, count(*) over (partition by rid, g) as n from g) where n > 1),
+c as (select rid, sum(least(5, coalesce(i - before, 5))) as n_repeat_words from r group by rid),
+s as (select w.rid, doc_id, t, cast(len(w) as bigint) as n_words,
+        cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+        cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+        cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, len(l) as n_lines, len(list_distinct(w)) as n_distinct,
+        length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) as n_upper, length(t) - length(replace(t, '!', '')) as n_exclaim,
+        cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words from w left join c on c.rid = w.rid),
+v as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+        case {" ".join(f"when n_words <= {x} then {i}" for i, x in enumerate(quality_rules.STRATA))} else {len(quality_rules.STRATA)} end as stratum,
+        [coalesce(n_symbols / nullif(word_chars, 0), 0.0), coalesce(n_dup_lines / nullif(n_lines, 0), 0.0),
+         coalesce(n_repeat_words / nullif(n_words, 0), 0.0), 1.0 - coalesce(n_distinct / nullif(n_words, 0), 1.0),
+         coalesce(n_upper / nullif(word_chars, 0), 0.0), coalesce(n_exclaim / nullif(word_chars, 0), 0.0)]::double[] as x from s),
+names as (select unnest(['symbols', 'dup_lines', 'repeats', 'same_words', 'capitals', 'shouting']) as rule, unnest(range(1, 7)) as j),
+good as (select distinct t, stratum, x from v where not base_failed and doc_id in (select doc_id from labels where quality is not null
+      group by doc_id having min(quality) = 1)),
+k as (select stratum, j, rule, c, count(*) as n, count(*) filter (where x[j] > c) as k
+      from good, names, (select unnest({list(quality_rules.GRID)}::double[]) as c) group by all),
+tails as (select stratum, j, rule, c, case when k > n * p then 1.0 else list_sum(list_transform(range(0, k + 1), lambda i:
+        exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p)))) end as tail
+      from (select *, 0.01::double / 6 as p from k)),
+cuts as (select stratum, j, rule, min(c) as cut from tails
+      where tail <= 0.05::double / {6 * len(quality_rules.GRID) * (len(quality_rules.STRATA) + 1)} group by all),
+fired as (select rid, string_agg(rule, ',' order by j) as rejected_by from v join cuts on cuts.stratum = v.stratum
+      where x[j] > cut group by rid)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and rejected_by is null as kept, coalesce(rejected_by, '') as rejected_by
+from v left join fired on fired.rid = v.rid"""
+
+
 #: The key of the registered query and of the pipeline; a real run passes its own.
 PSEUDONYM_KEY = b"contentlake-example-key"
 
@@ -110,4 +147,4 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_license_scan, op4_best_fit_packing, op5_quality_rules,
                                 op6_pseudonyms, op7_rule_ensemble, op8_bit_sliced_topk,
                                 op9_jaccard_join, op10_piece_codec)}
-ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op8_bit_sliced_topk": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op5_quality_rules": OP5_SQL, "op8_bit_sliced_topk": OP8_SQL}
