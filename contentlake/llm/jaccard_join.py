@@ -48,7 +48,7 @@ from ..session import checkpoint_dir, materialize
 from .common import n_tasks
 from .components import components
 
-PART_SETS, PART_TOKENS = 500, 2_000_000
+PART_SETS, PART_TOKENS = 1000, 1_000_000
 FILTER_BITS = 1 << 25
 #: Sets per block of an index list.
 BLOCK = 32
@@ -56,8 +56,8 @@ BLOCK = 32
 DERIVE = 0.6
 WORDS = 500_000
 #: Shingles count as common if they are in this many of at most about so many sampled documents; at
-#: most so many are kept (0.8 MB). This only shapes the lists: every choice gives the same links.
-COMMON_IN, COMMON_SAMPLE, COMMON_MOST = 4, 16_384, 100_000
+#: most so many are kept (1.6 MB). This only shapes the lists: every choice gives the same links.
+COMMON_IN, COMMON_SAMPLE, COMMON_MOST = 2, 16_384, 200_000
 #: Lists of single elements: large sets that share ``SHARED`` lists are candidates, small ones that
 #: share a quarter as many. A list with more than ``ALL_PAIRS`` members makes one star of its members
 #: instead, whatever else they share.
