@@ -105,6 +105,6 @@ def stream_ingest(t):
         return instagram.post(raw).select("item_seq", "platform", "platform_post_id", "caption", "content_type",
                                           "likes_count")
 
-    # One file per micro-batch keeps the three landings in arrival order (last write wins).
-    snap = S.ingest_stream(spark, f"{base}/*", norm, ["platform", "platform_post_id"], files_per_batch=1)
+    # The three landings may share a micro-batch: items are ordered by when and where they landed.
+    snap = S.ingest_stream(spark, f"{base}/*", norm, ["platform", "platform_post_id"])
     return snap.select("platform", "platform_post_id", "caption", "content_type", "likes_count")

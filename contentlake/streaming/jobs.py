@@ -139,14 +139,14 @@ def ingest_stream(spark: SparkSession, landing: str, normalize, keys: list[str],
     reader = spark.readStream.format("text")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    stream = scrape_order(reader.load(landing).select("value", "_metadata")).drop("_metadata")
+    stream = reader.load(landing).select("value", "_metadata")
 
     def process(batch: DataFrame, batch_id: int) -> None:
         run = batch_id + 1
         if lake._next_run() > run:
             return  # already applied: replay after a restart
         lake.run_id = run
-        raw = with_variant(batch.select(F.col("value").alias("raw"), "item_seq")
+        raw = with_variant(scrape_order(batch).select(F.col("value").alias("raw"), "item_seq")
                            .withColumn("platform", F.lit(None).cast("string"))
                            .withColumn("mode", F.lit("posts")).withColumn("target", F.lit(None).cast("string")))
         good, bad = objects_only(raw)
