@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 1_000_000
+CACHE = 500_000
 
 # Letters, digits and white space of the Latin range, as the tokenizer's pattern sees them.
 _LETTERS, _DIGITS, _BLANKS = r"a-zªµºß-öø-ÿ", r"0-9²³¹¼-¾", r"\t-\r \x85\xa0"

@@ -54,7 +54,7 @@ FILTER_BITS = 1 << 25
 BLOCK = 32
 #: A set at least this similar to a computed one derives its overlaps from it.
 DERIVE = 0.6
-WORDS = 500_000
+WORDS = 250_000
 #: Shingles count as common if they are in this many of at most about so many sampled documents; at
 #: most so many are kept (1.6 MB). This only shapes the lists: every choice gives the same links.
 COMMON_IN, COMMON_SAMPLE, COMMON_MOST = 2, 16_384, 200_000
