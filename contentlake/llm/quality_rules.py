@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import free_name
 from .text_stats import with_stats
 
@@ -67,20 +68,13 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).when(k == 0, F.exp(n * F.log(F.lit(q)))).otherwise(terms)
 
 
-def holdout(docs: DataFrame, labels: DataFrame, id_col: str, text: str, max_holdout: int, n_labels: int | None = None) -> DataFrame:
-    """Statistics of good labelled texts, exact copies once: columns ``s`` (struct).
+def holdout(rows: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
+    """Statistics of all good labelled texts, exact copies once: columns ``s`` (struct).
 
-    ``max_holdout`` bounds the sample: with more labels than that, documents are taken by a hash of
-    their id at the matching rate. Statistics are computed before the shuffle, so that only small
-    rows move."""
+    ``rows`` holds ``g_id``, ``h`` (hash of the text) and ``s`` of every document: statistics are
+    computed before the shuffle, so that only small rows move."""
     good = (labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull())
             .groupBy(F.col(id_col).alias("g_id")).agg(F.min("quality").alias("g")).where("g = 1").select("g_id"))
-    n = labels.count() if n_labels is None else n_labels
-    rate = min(1.0, max_holdout / max(n, 1))
-    rows = docs.select(F.col(id_col).alias("g_id"), F.col(text).alias("g_text"))
-    if rate < 1:
-        rows = rows.where(F.pmod(F.xxhash64("g_id"), F.lit(1_000_000)) < int(rate * 1_000_000))
-    rows = with_stats(rows, "g_text", "s").select("g_id", F.xxhash64("g_text").alias("h"), "s")
     return rows.join(good, "g_id", "left_semi").groupBy("h").agg(F.min("s").alias("s")).select("s")
 
 
@@ -106,15 +100,23 @@ def certify(good: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFra
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", risk: float = 0.01,
-          delta: float = 0.05, max_holdout: int = 50_000) -> tuple[DataFrame, str]:
+          delta: float = 0.05, columns: list[str] | None = None) -> tuple[DataFrame, str]:
     """``docs`` with one more struct column (its name is returned): the counts of ``STATS``,
     ``base_failed``, ``rejected_by`` (comma-joined rule names, '' if none) and ``kept``.
 
-    The table of cutoffs has one row per stratum (four), so it is broadcast."""
+    ``columns`` names the columns of ``docs`` to return (all by default). Without the text among them
+    the statistics are written once, and cutoffs and verdicts are taken from that table; with it they
+    are computed for each of the two, so that no text is written. The table of cutoffs has one row per
+    stratum (four), so it is broadcast."""
     name = free_name(docs, "verdict")
-    cuts = certify(holdout(docs, labels, id_col, text, max_holdout), risk, delta)
+    columns = docs.columns if columns is None else columns
     s, st, cut = f"{name}_s", f"{name}_stratum", f"{name}_cut"
-    rows = with_stats(docs, text, s).withColumn(st, stratum_of(F.col(s)))
+    h, g_id = free_name(docs, f"{name}_h"), free_name(docs, f"{name}_id")
+    rows = with_stats(docs, text, s).select(*columns, s, F.col(id_col).alias(g_id), F.xxhash64(text).alias(h))
+    if text not in columns:
+        rows = materialize(rows)
+    cuts = certify(holdout(rows.select(F.col(g_id).alias("g_id"), F.col(h).alias("h"), F.col(s).alias("s")), labels, id_col), risk, delta)
+    rows = rows.withColumn(st, stratum_of(F.col(s)))
     cuts = cuts.select(F.col("stratum").alias(st), F.col("cut").alias(cut))
     rows = rows.join(F.broadcast(cuts), st, "left")
     fired = F.array_compact(F.array(*[F.when(v > F.col(cut)[r], F.lit(r)) for r, v in rule_values(F.col(s)).items()]))
@@ -122,7 +124,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
                                           F.concat_ws(",", fired).alias("rejected_by")))
     v = F.col(name)
     rows = rows.withColumn(name, v.withField("kept", ~v["base_failed"] & (v["rejected_by"] == "")))
-    return rows.select(*docs.columns, name), name
+    return rows.select(*columns, name), name
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:

@@ -56,12 +56,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     begin(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rows, v = quality_rules.judge(docs, labels)
+    rows, v = quality_rules.judge(docs, labels, columns=["doc_id"])
     return rows.select("doc_id", *[F.col(v)[c].alias(c) for c in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")])
 
 
-#: The whole method in SQL, for label tables within the bound of the holdout sample.
+#: The whole method in SQL.
 OP5_SQL = f"""
 with t as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
 w as (select *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w,
