@@ -12,6 +12,11 @@ account numbers by their remainder. Card and account numbers get their check dig
 number stays valid; dates stay dates between 1900 and 2099 (cycle walking); e-mail addresses keep
 their shape and last label; keys and passwords keep their prefixes.
 
+Where a card or account number may run on into a number or word beside it, its shorter forms are
+tried too, and then every later start. A row of digit groups that is no card number may pass the
+check digit in one of these forms by chance, and is then replaced. The permutation of each value can
+be inverted; ``back`` finds the values of a text anew, and may cut such a row differently.
+
 Defined results: a null text stays null, a text without values is unchanged. Rows repeat as given.
 Added columns never replace a column of the input. A single-character value cannot be hidden by a
 permutation of its format; no pattern here accepts one.
@@ -21,7 +26,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -185,19 +190,87 @@ def secret(value: str, key: bytes, back: bool = False) -> str | None:
     return head + permute_text(body, key, "secret", alphabet, back)
 
 
-#: Order matters: a span taken by an earlier kind is not looked at again.
-PATTERNS: tuple[tuple[str, str, Callable[..., str | None]], ...] = (
+#: Digit groups in which card numbers are written: these are looked for first, so that a date, code or
+#: other number beside a card is not taken for a part of it.
+_CARD_GROUPS = ({(n,) for n in range(13, 20)} | {(4, 4, 4, n) for n in range(1, 5)} | {(4, 4, 4, 4, n) for n in range(1, 4)}
+                | {(4, 6, 5), (4, 6, 4), (4, 5, 6), (4, 4, 5), (6, 13), (8, 8)})
+
+
+_GROUP = re.compile(r"[0-9]+")
+#: Up to 19 whole groups of digits from the start of one, if they have 13 digits at least.
+_CARD = r"(?<![\d.])(?=\d(?:[ -]?\d){12})\d{1,19}(?!\d)(?:[ -]\d{1,19}(?!\d)){0,18}"
+
+
+def _card_runs(m: re.Match, usual: bool) -> Iterator[tuple[int, int]]:
+    """First groups of the match with 13 to 19 digits, the longest first: those in the groups of a card
+    number, or all others that no hyphen joins to a number or word."""
+    a, sizes, found = m.start(), (), []
+    for g in _GROUP.finditer(m.string, a, m.end()):
+        b = g.end()
+        sizes += (b - g.start(),)
+        if sum(sizes) > 19:
+            break
+        if sum(sizes) >= 13 and (sizes in _CARD_GROUPS) == usual and (usual or "-" not in (m.string[a - 1:a], m.string[b:b + 1])):
+            found.append((a, b))
+    return reversed(found)
+
+
+def _card_spans(m: re.Match) -> Iterator[tuple[int, int]]:
+    return _card_runs(m, True)
+
+
+def _other_card_spans(m: re.Match) -> Iterator[tuple[int, int]]:
+    return _card_runs(m, False)
+
+
+_IBAN = r"\b[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
+
+
+#: Length of the account numbers of each country (ISO 13616).
+_IBAN_LENGTHS = {country: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
+
+
+def _iban_spans(m: re.Match) -> Iterator[tuple[int, int]]:
+    """The match, then its prefixes of the same form that end before a blank, the longest first."""
+    a, b = m.span()
+    while b > a:
+        if m.re.fullmatch(m.string, a, b):
+            yield a, b
+        b = m.string.rfind(" ", a, b)
+
+
+def _national_iban_spans(m: re.Match) -> Iterator[tuple[int, int]]:
+    """Those of its country's length: a number or word beside an account is not taken for a part of it."""
+    n = _IBAN_LENGTHS.get(m.group(0)[:2])
+    return ((a, b) for a, b in _iban_spans(m) if n == b - a - m.string.count(" ", a, b))
+
+
+def _whole(m: re.Match) -> Iterator[tuple[int, int]]:
+    yield m.span()
+
+
+#: Kind, pattern, pseudonym, and the spans of a match that may be values in order of preference. Order
+#: matters: a span taken by an earlier entry is not looked at again.
+PATTERNS: tuple[tuple[str, str, Callable[..., str | None], Callable[[re.Match], Iterator[tuple[int, int]]]], ...] = (
     ("secret", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\b(?:gh[pousr]_|sk-|xox[abprs]-)[0-9A-Za-z-]{16,}"
-               r"|(?i:\b(?:api[_-]?key|token|passw(?:or)?d|secret)\s*[=:]\s*[\"']?)[0-9A-Za-z+/_-]{8,}", secret),
-    ("email", r"\b[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}\b", email),
-    ("iban", r"\b[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", iban),
-    ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)", ip),
-    ("date", r"(?<!\d)(?:\d{4}([-/])\d\d\1\d\d|\d\d([./-])\d\d\2\d{4})(?!\d)", date),
-    ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])", card),
-    ("ssn", r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])", ssn),
+               r"|(?i:\b(?:api[_-]?key|token|passw(?:or)?d|secret)\s*[=:]\s*[\"']?)[0-9A-Za-z+/_-]{8,}", secret, _whole),
+    ("email", r"\b[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}\b", email, _whole),
+    ("iban", _IBAN, iban, _national_iban_spans),
+    ("iban", _IBAN, iban, _iban_spans),
+    ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)", ip, _whole),
+    ("date", r"(?<!\d)(?:\d{4}([-/])\d\d\1\d\d|\d\d([./-])\d\d\2\d{4})(?!\d)", date, _whole),
+    ("card", _CARD, card, _card_spans),
+    ("card", _CARD, card, _other_card_spans),
+    ("ssn", r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])", ssn, _whole),
     ("phone", r"(?<![\w.+-])(?:\+\d{1,3}[\s.-]?)?(?:\(\d{2,4}\)[\s.-]?|\d{2,4}[\s.-])\d{3,4}[\s.-]?\d{3,4}(?![\w-])"
-              r"|(?<![\w+])\+\d{8,14}(?!\d)", phone),
+              r"|(?<![\w+])\+\d{8,14}(?!\d)", phone, _whole),
 )
+#: Kinds searched on behind every match, whose length has no bound; others from the next start if the match is no value.
+BEHIND = ("secret", "email")
 #: No pattern fits a text without one of these.
 _HINT = re.compile(r"\d{2}|@|(?i:passw|token|secret|api[_-]?key)|sk-|xox|gh[pousr]_")
 
@@ -205,7 +278,7 @@ _HINT = re.compile(r"\d{2}|@|(?i:passw|token|secret|api[_-]?key)|sk-|xox|gh[pous
 class Pseudonymizer:
     def __init__(self, key: bytes):
         self.key = key
-        self.patterns = [(kind, re.compile(p, re.ASCII), f) for kind, p, f in PATTERNS]
+        self.patterns = [(kind, re.compile(p, re.ASCII), f, cut) for kind, p, f, cut in PATTERNS]
 
     def __call__(self, text: str | None, back: bool = False) -> tuple[str | None, list[tuple[int, int, str]]]:
         """The text with pseudonyms, and the spans (start, end, kind) of the values."""
@@ -213,15 +286,18 @@ class Pseudonymizer:
             return text, []
         spans: list[tuple[int, int, str, str]] = []
         taken = bytearray(len(text))
-        for kind, pattern, make in self.patterns:
-            for m in pattern.finditer(text):
-                a, b = m.span()
-                if 1 in taken[a:b]:
-                    continue
-                new = make(m.group(0), self.key, back)
-                if new is not None:
-                    spans.append((a, b, kind, new))
-                    taken[a:b] = b"\1" * (b - a)
+        for kind, pattern, make, cut in self.patterns:
+            at = 0
+            while m := pattern.search(text, at):
+                at = m.end() if kind in BEHIND else m.start() + 1
+                for a, b in cut(m):
+                    if 1 in taken[a:b]:
+                        continue
+                    new = make(text[a:b], self.key, back)
+                    if new is not None:
+                        spans.append((a, b, kind, new))
+                        taken[a:b] = b"\1" * (b - a)
+                        at = max(at, b)
         spans.sort()
         out, last = [], 0
         for a, b, _, new in spans:

@@ -279,6 +279,27 @@ def test_pseudonyms_keep_formats_and_invert():
     assert p("card 4041894974608796, 1.2.3.4.5, 2001-02-30, 999.1.1.1")[1] == []
 
 
+def test_pseudonyms_beside_numbers_and_words():
+    p = pseudonyms.Pseudonymizer(b"key")
+    for number in ("4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005", "4222222222222"):
+        alone = p(number)[0]
+        assert alone != number
+        for before, after in itertools.product(("", "12 ", "123 ", "2027-", "n 7 "), ("", " 12/27", " 123", " 1 2 3", "-123", " 2027", " 555 55 5", "-exp")):
+            out, spans = p(before + number + after)
+            # The same pseudonym everywhere, but for groups of 4-4-4-4-3, one number of 19 digits if that is valid.
+            assert out == before + alone + after or before + number + after == number + " 123" and len(spans) == 1, (before, number, after, out)
+    for number in ("BE68 5390 0754 7034", "BE68539007547034", "NL91 ABNA 0417 1643 00", "DE89 3704 0044 0532 0130 00"):
+        alone = p(number)[0]
+        assert alone != number
+        for before, after in itertools.product(("", "QX70 ", "EUR 100 "), ("", " EUR 100", " EUR", " 100", " ABCD EFGH", " EUROS", " X")):
+            assert p(before + number + after)[0] == before + alone + after, (before, number, after)
+    two = p("BE68 5390 0754 7034 NL91 ABNA 0417 1643 00")
+    assert two[0] == f"{p('BE68 5390 0754 7034')[0]} {p('NL91 ABNA 0417 1643 00')[0]}" and len(two[1]) == 2
+    assert [s[2] for s in p("4111 1111 1111 1111 988-555-2485")[1]] == ["card", "phone"]
+    assert p("0.4111111111111111 and 41111111111111111111 and 4111111111111112 12")[1] == []
+    p("1 " * 20_000 + "1" * 100_000 + "A" * 100_000 + " AB12" * 20_000)  # in linear time
+
+
 def test_feistel_is_a_permutation():
     for radices in ([10, 10], [10, 10, 10], [26, 10], [2, 3, 5]):
         every = list(itertools.product(*map(range, radices)))
