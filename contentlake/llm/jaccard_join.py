@@ -41,11 +41,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, materialize
-from .common import n_tasks
+from .common import free_name, n_tasks
 from .components import components
 
 PART_SETS, PART_TOKENS = 1000, 1_000_000
@@ -433,10 +433,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", num: int =
          shingle: int = 3) -> DataFrame:
     """``<id_col>, n_shingles, component_id, n_links`` for every row; ``n_links`` counts the different
     sets it links with (copies of its own set are not counted)."""
+    rows = _components(docs, F.col(id_col), docs.schema[id_col].dataType.simpleString(), text, num, den, shingle)
+    least = rows.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("id").alias("component_id"))
+    rows = rows.join(least, "component", "left")
+    return rows.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"),
+                       F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _components(docs: DataFrame, key: Column, kind: str, text: str, num: int, den: int, shingle: int) -> DataFrame:
+    """``id`` (the key, of type ``kind``), ``size``, ``set``, ``component`` and ``n_links`` of every row; the component
+    of an empty set is null."""
     spark = docs.sparkSession
     checkpoint_dir(spark)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"))
-    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(key.alias("id"), F.col(text).alias("t"))
     base = materialize(texts.mapInArrow(_index(_common(texts, shingle), num, den, shingle),
                                         f"id {kind}, h1 long, h2 long, size long, sigs array<long>"))
     tasks = n_tasks(spark)
@@ -466,17 +475,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", num: int =
     name = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     rows = base.select("id", "size", F.when(F.col("size") > 0, F.concat(name("h1"), name("h2"))).alias("set"))
     rows = rows.join(label.join(degree, "set", "left"), "set", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "set"))
-    least = rows.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("id").alias("component_id"))
-    rows = rows.join(least, "component", "left")
-    return rows.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"),
-                       F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.withColumn("component", F.coalesce("component", "set"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", num: int = 90, den: int = 100, shingle: int = 3) -> DataFrame:
     """One document of each component, the one with the smallest id, with its own columns. Rows with a
-    null id all stay; of rows that share the smallest id one stays."""
-    first = join(docs, id_col, **kw).where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("kept_id")).distinct()
-    with_id = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    kept = with_id.join(first, F.col(id_col) == F.col("kept_id"), "left_semi")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    null id all stay; of a component's rows that share the smallest id the text with the smallest hash
+    stays. Rows that share an id and are in different components are treated apart, and so are
+    different texts without words, which are linked with nothing."""
+    row, kind = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")), docs.schema[id_col].dataType.simpleString()
+    rows = _components(docs, row, f"struct<id: {kind}, h: bigint>", text, num, den, shingle).where(F.col("id.id").isNotNull())
+    first = rows.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("id").alias("id")).select("id.*")
+    first = first.unionByName(rows.where(F.col("component").isNull()).select("id.*"))
+    h = free_name(docs, "text_hash")
+    with_id = docs.where(F.col(id_col).isNotNull()).withColumn(h, F.xxhash64(text))
+    first = first.select(F.col("id").alias("kept_id"), F.col("h").alias("kept_hash"))
+    kept = with_id.join(first, (F.col(id_col) == F.col("kept_id")) & (F.col(h) == F.col("kept_hash")), "left_semi")
+    return kept.dropDuplicates([id_col, h]).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

@@ -423,6 +423,15 @@ def test_keep_one_of_each_group(spark, edge, none):
     assert len(rows(jaccard_join.join(edge))) == len(EDGE)
 
 
+def test_keep_one_treats_rows_that_share_an_id_apart(spark):
+    docs = [(1, "a b c d e f", "x"), (2, "A b c d e f", "copy of 1"), (2, "quite another text of its own", "y"), (2, "and a third one beside it", "z"),
+            (3, "and a third one beside it", "copy of 2"), (2, "quite another text of its own", "y"), (4, None, "n"), (4, "", "e"), (4, "", "e"), (None, "a b c d e f", "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, text_hash string").repartition(3)
+    got = jaccard_join.keep_one(df)
+    assert got.columns == df.columns
+    assert Counter(map(tuple, got.collect())) == Counter({docs[0]: 1, docs[2]: 1, docs[3]: 1, docs[6]: 1, docs[7]: 1, docs[9]: 1})
+
+
 def test_components(spark):
     r = random.Random(6)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)]
