@@ -356,11 +356,10 @@ class BlockedIndex:
         return np.bincount(self.postings[at], minlength=self.n)
 
 
-def linked(sets: list[np.ndarray], parts: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(set, sets it links with) for sets in order of size; sets of one part are compared only if the
-    group has no other part."""
+def linked(sets: list[np.ndarray], parts: np.ndarray, one_part: bool, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(set, sets it links with) for sets in order of size; sets of one part are compared only in
+    that part's own group (``one_part``)."""
     index, sizes = BlockedIndex(sets), np.array([len(s) for s in sets])
-    one_part = len(np.unique(parts)) == 1
     todo = np.ones(len(sets), bool)
     done: dict[int, tuple[np.ndarray, int, int]] = {}
     at, overlap = 0, None
@@ -408,6 +407,7 @@ def _join_group(num: int, den: int):
         sets = [flat[offsets[n]:offsets[n + 1]] for n in keep]
         names = [f"{int(h1[n]) & (1 << 64) - 1:016x}{int(h2[n]) & (1 << 64) - 1:016x}" for n in keep]
         root = list(range(len(keep)))
+        one_part = t.column("p")[0] == t.column("q")[0]
 
         def find(i: int) -> int:
             while root[i] != i:
@@ -416,8 +416,9 @@ def _join_group(num: int, den: int):
             return i
 
         links = np.zeros(len(keep), np.int64)
-        if len(keep) > 1:
-            for i, others in linked(sets, part[keep], num, den):
+        # In a group of two parts one may have no sets: the pairs of the other belong to its own group.
+        if len(keep) > 1 and (one_part or len(np.unique(part[keep])) > 1):
+            for i, others in linked(sets, part[keep], one_part, num, den):
                 links[i] = len(others)
                 for j in others.tolist():
                     root[find(j)] = find(i)

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from contentlake.llm import (best_fit_packing, bit_sliced_topk, jaccard_join, language_id, license_scan, piece_codec, pseudonyms,
@@ -416,6 +417,17 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, shingle, num, den,
     assert got == brute_components(docs, shingle, num, den)
 
 
+def test_links_count_once_where_a_part_has_no_sets():
+    run = jaccard_join._join_group(90, 100)
+    links = {}
+    for p, q, parts in ((0, 0, [0, 0]), (0, 1, [0, 0]), (1, 1, [1, 1]), (0, 1, [0, 1])):
+        out = run(pa.table({"h1": [1, 2], "h2": [1, 2], "tokens": [list(range(60)), list(range(61))], "part": parts, "root": [1, 1],
+                            "p": [p, p], "q": [q, q]}))
+        links[p, q, *parts] = out.column("links").to_pylist()
+    # The pair of one part counts in that part's own group, not again beside a part without sets.
+    assert links == {(0, 0, 0, 0): [1, 1], (0, 1, 0, 0): [], (1, 1, 1, 1): [1, 1], (0, 1, 0, 1): [1, 1]}
+
+
 def test_keep_one_of_each_group(spark, edge, none):
     docs = spark.createDataFrame([(3, "a b c d e f"), (2, "A b c d e f"), (9, "other"), (None, "x"), (2, "A b c d e f"), (4, None)], "doc_id long, text string")
     assert sorted(map(str, (x["doc_id"] for x in rows(jaccard_join.keep_one(docs))))) == ["2", "4", "9", "None"]
