@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, bit_sliced_topk, jaccard_join, language_id, license_scan, piece_codec, pseudonyms, quality_rules, rule_ensemble, url_filter
+from . import (best_fit_packing, bit_sliced_topk, curriculum, importance_resampling, jaccard_join, language_id, license_scan,
+               piece_codec, prefix_trie, pseudonyms, quality_rules, rule_ensemble, url_filter)
 from .common import begin, table
 
 
@@ -144,7 +145,90 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10"""
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per node of the trie over all rebuilt conversations: its smallest member, depth, parent's smallest
+    member, numbers of members, children and leaves, words saved in its subtree, digest of the members that end there."""
+    begin(spark)
+    return prefix_trie.build(table(spark, sf_dir, "conversations"))
+
+
+_BIT = "case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end"
+for _ in range(7):
+    _BIT = f"list_transform([{_BIT}], lambda c: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)[1]"
+
+#: crc32 of a number's decimal digits: one fold over the digits, eight bits each.
+CRC_SQL = """xor(4294967295::ubigint, list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split({x}::varchar, ''), lambda d: ascii(d)::ubigint)),
+      lambda a, b: list_transform([xor(a, b)], lambda c: """ + _BIT + """)[1]))"""
+
+OP11_SQL = f"""
+with t as (select conv_id, coalesce(text, '') as text, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as g, turn
+           from conversations where conv_id is not null),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, g) as pos from t),
+c as (select conv_id, count(*) as n, conv_id - conv_id % 20 as base, cast({CRC_SQL.format(x='conv_id')} % 4 as bigint) as h from t group by conv_id),
+k as (select c.*, least(c.h, coalesce(b.n, 0)) as head from c left join c b on b.conv_id = c.base),
+r as (select k.conv_id, o.pos as i, text, g from k join o on o.conv_id = k.base and o.pos <= k.h
+      union all select k.conv_id, head + pos - h, text, g from k join o on o.conv_id = k.conv_id and o.pos > k.h),
+p as (select conv_id, i, len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) as words,
+        string_agg(g, '') over (partition by conv_id order by i) as path from r
+      union all select conv_id, 0, 0, '' from k),
+m as (select conv_id, max(i) as len from p group by conv_id),
+n as (select path, min(conv_id) as conv_id, any_value(i) as depth, count(*) as n_convs, any_value(words) as words from p group by path),
+e as (select path, sha256(string_agg(m.conv_id::varchar, ',' order by m.conv_id)) as sha from p join m on m.conv_id = p.conv_id and m.len = p.i group by path),
+d as (select left(path, 32 * (depth - 1)::bigint) as path, count(*) as n_children from n where depth > 0 group by all),
+f as (select n.*, coalesce(d.n_children, 0) as n_children from n left join d on d.path = n.path),
+s as (select left(path, 32 * a::bigint) as path, sum((n_convs - 1) * words) as saved, count(*) filter (where n_children = 0) as leaves
+      from (select *, unnest(range(0, depth + 1)) as a from f) group by all)
+select f.conv_id, cast(f.depth as bigint) as depth, u.conv_id as parent_conv_id, f.n_convs, f.n_children, s.leaves as n_leaves,
+  cast(s.saved as bigint) as saved_tokens, coalesce(e.sha, sha256('')) as ends_sha256
+from f join s on s.path = f.path left join e on e.path = f.path
+left join n u on f.depth > 0 and u.path = left(f.path, 32 * (f.depth - 1)::bigint)"""
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its n-gram features, weight towards the benchmark's texts, noisy score and place in the draw."""
+    begin(spark)
+    rows, v = importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), columns=["doc_id"])
+    return rows.select("doc_id", *[F.col(v)[c].alias(c) for c in ("n_features", "weight", "score", "rank")])
+
+
+#: Schedules of weight 1 (falling), 2 (level) and 3 (rising).
+SCHEDULES = (((0, 1.5), (1, 0.5)), ((0, 2), (1, 2)), ((0, 2), (1, 4)))
+
+
+def op13_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its source's target, the words that the mix takes of it and the token position of its first copy."""
+    begin(spark)
+    rows, v = curriculum.mix(table(spark, sf_dir, "documents"), SCHEDULES, columns=["doc_id"])
+    return rows.select("doc_id", *[F.col(v)[c].alias(c) for c in ("size", "source_size", "target", "taken")],
+                       F.floor(F.col(v)["position"]).cast("long").alias("position"))
+
+
+OP13_SQL = """
+with d as (select doc_id, source, coalesce(doc_id::varchar, '') as id, md5('13:' || coalesce(doc_id::varchar, '')) as h,
+             len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) as size from documents),
+z as (select source, sum(size) as z from d group by source),
+w as (select *, (row_number() over (order by source nulls last) - 1) % 3 as choice, sum(z) over () as total from z),
+c as (select *, choice + 1 as w, 3 * z as cap, sum(choice + 1) over () as w_all from w),
+o as (select *, coalesce(sum(cap) over x, 0) as cap_before, coalesce(sum(w) over x, 0) as w_before from c
+      window x as (order by cap / w, source rows between unbounded preceding and 1 preceding)),
+l as (select total - cap_before as rest, w_all - w_before as open_w from o
+      where not cap * (w_all - w_before) < (total - cap_before) * w order by cap / w, source limit 1),
+t as (select source, z, choice, least(cap::double, rest::double * w / open_w) as target from o, l),
+y as (select sum(target) filter (where choice = 0) as y0, sum(target) filter (where choice = 1) as y1, sum(target) filter (where choice = 2) as y2 from t),
+s as (select d.*, z, choice, target, coalesce(sum(size) over (partition by d.source order by h, id, size rows between unbounded preceding and 1 preceding), 0) as start
+      from d join t on t.source is not distinct from d.source),
+a as (select *, cast(list_sum(list_transform(range(0, 3), lambda e: greatest(0, least(size, floor(target + 0.5) - e * z - start)))) as bigint) as taken from s),
+u as (select *, least(greatest(case choice when 0 then 2 * g / greatest(1.5 + sqrt(greatest(2.25 - 2 * g, 0)), 1e-300) when 1 then 2 * (2 * g) / (2.0 + 2.0)
+             else 2 * (3 * g) / (2.0 + sqrt(4.0 + 4.0 * (3 * g))) end, 0), 1) as u
+      from (select *, least(start / nullif(target, 0), 1) as g from a))
+select doc_id, size, cast(z as bigint) as source_size, target, taken,
+  case when taken > 0 then cast(floor(coalesce(y0, 0) * (1.5 * u - 0.5 * u * u) + coalesce(y1, 0) * (2 * u) / 2 + coalesce(y2, 0) * (2 * u + u * u) / 3) as bigint) end as position
+from u, y"""
+
+
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_license_scan, op4_best_fit_packing, op5_quality_rules,
                                 op6_pseudonyms, op7_rule_ensemble, op8_bit_sliced_topk,
-                                op9_jaccard_join, op10_piece_codec)}
-ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op5_quality_rules": OP5_SQL, "op8_bit_sliced_topk": OP8_SQL}
+                                op9_jaccard_join, op10_piece_codec, op11_prefix_trie, op12_importance_resampling,
+                                op13_curriculum_mix)}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op5_quality_rules": OP5_SQL, "op8_bit_sliced_topk": OP8_SQL, "op11_prefix_trie": OP11_SQL,
+                           "op13_curriculum_mix": OP13_SQL}
