@@ -168,8 +168,10 @@ def mix(docs: DataFrame, schedules: Sequence[Knots], most: int = 3, seed: int =
     j = j.withColumn("copies", F.transform("copies", timed)).withColumn("copies", F.transform("copies", placed))
     first = F.get(F.col("copies"), F.lit(0))["position"]
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
-    out = j.select("row.*", F.struct("size", "source_size", "target", taken.alias("taken"), first.alias("position"), "copies").alias(v))
-    return out.orderBy(F.col(v)["position"].asc_nulls_last(), F.col(v)["size"]), v
+    j = j.withColumn("taken", taken).withColumn("position", first)
+    # The order hash spreads the documents without a position over ranges.
+    j = j.orderBy(F.col("position").asc_nulls_last(), "order")
+    return j.select("row.*", F.struct("size", "source_size", "target", "taken", "position", "copies").alias(v)), v
 
 
 def in_order(mixed: DataFrame, v: str) -> DataFrame:
