@@ -124,8 +124,12 @@ def keyword_predicate(q: WebQuery, text: Column) -> tuple[Column, Column | None]
 
 
 def keyword_search(docs: DataFrame, query: str, platform: str | None = None, limit: int = 20,
-                   text_col: str = "content") -> DataFrame:
-    """Web-search match over the full text; platform filter first; score 1.0; ordered by id."""
+                   text_col: str = "content", stemmed: bool = True) -> DataFrame:
+    """Web-search match over the full text, by English stems and phrase positions (``text_index``) or, with
+    ``stemmed=False``, by exact words; platform filter first; score 1.0; ordered by id (K12)."""
+    if stemmed:
+        from .text_index import search_texts
+        return search_texts(docs, query, platform, limit, text_col)
     q = parse_websearch(query)
     d = docs
     if platform is not None:
@@ -333,42 +337,6 @@ def question_context(hits: DataFrame, docs: DataFrame, max_hits: int = 8, snippe
                     F.array_join(F.transform("xs", lambda x: x["src"]), ",").alias("sources"))
 
 
-def keyword_search_stemmed(docs: DataFrame, query: str, platform: str | None = None, limit: int = 20) -> DataFrame:
-    """R1 with English stemming: query words and document words compared by stem.
-
-    Documents -> distinct (doc, term) -> join the vocabulary's stems (stemmed once) -> one row per
-    doc with a flag per query stem -> the web-search predicate over the flags. Phrases are matched as
-    all-of their stems."""
-    from .stemmer import stem, vocabulary_stems
-    q = parse_websearch(query)
-    d = docs if platform is None else docs.where(F.col("platform") == platform)
-    if q.empty:
-        return d.limit(0).select(*_hit_cols(F.lit(1.0), "keyword"))
-    terms = doc_terms(d)
-    stems = vocabulary_stems(terms)
-    ts = terms.join(stems, "term")
-    wanted = sorted({stem(w) for g in q.groups for t in g for w in t.words if w not in STOP_WORDS})
-    flags = ts.groupBy("source_type", "source_id").agg(
-        *[F.max(F.when(F.col("stem") == w, 1).otherwise(0)).alias(f"_s{i}") for i, w in enumerate(wanted)])
-    idx = {w: i for i, w in enumerate(wanted)}
-    pred = None
-    for g in q.groups:
-        gp = None
-        for t in g:
-            ws = [w for w in t.words if w not in STOP_WORDS]
-            tp = None
-            for w in ws:
-                c = F.col(f"_s{idx[stem(w)]}") == 1
-                tp = c if tp is None else (tp & c)
-            if t.negated:
-                tp = ~tp
-            gp = tp if gp is None else (gp & tp)
-        pred = gp if pred is None else (pred | gp)
-    hits = flags.where(pred).select("source_type", "source_id")
-    out = d.join(hits, ["source_type", "source_id"], "left_semi").orderBy("source_id").limit(limit)
-    return out.select(*_hit_cols(F.lit(1.0), "keyword"))
-
-
 def term_bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
@@ -390,29 +358,3 @@ def postings_for(index: DataFrame, questions: DataFrame, buckets: int = 64) -> D
     q = questions.select("qid", "term").withColumn("bucket", term_bucket(F.col("term"), buckets))
     needed = sorted(r[0] for r in q.select("bucket").distinct().collect())
     return index.where(F.col("bucket").isin(needed)).join(q, ["bucket", "term"])
-
-
-def keyword_search_indexed(index: DataFrame, docs: DataFrame, query: str, platform: str | None = None,
-                           limit: int = 20, buckets: int = 64) -> DataFrame:
-    """R1 over a persisted inverted index (``write_inverted_index``): the postings of the query's
-    required words (read bucket-pruned) give the candidate documents -- those containing every
-    required word -- and the full web-search predicate is then verified on the candidates' text,
-    so the result equals ``keyword_search``. Queries without a required word scan as usual."""
-    q = parse_websearch(query)
-    # Words that each group requires; a document that holds all words of one group is a candidate.
-    required = [sorted({t.words[0] for t in g if not t.negated and not t.phrase}) for g in q.groups]
-    if q.empty or not all(required):
-        return keyword_search(docs, query, platform, limit)
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame([(i, len(ws), w) for i, ws in enumerate(required) for w in ws], "grp int, size int, term string")
-    words = sorted({w for ws in required for w in ws})
-    buckets_of = spark.createDataFrame([(w,) for w in words], "term string").select(term_bucket(F.col("term"), buckets).alias("b"))
-    needed = sorted(r[0] for r in buckets_of.distinct().collect())  # at most as many as words
-    post = index.where(F.col("bucket").isin(needed) & F.col("term").isin(words)).join(F.broadcast(wanted), "term")
-    cand = (post.groupBy("source_type", "source_id", "grp", "size").agg(F.countDistinct("term").alias("_n"))
-                .where(F.col("_n") == F.col("size")).select("source_type", "source_id").distinct())
-    d = docs if platform is None else docs.where(F.col("platform") == platform)
-    d = d.join(cand, ["source_type", "source_id"], "left_semi")
-    pred, _ = keyword_predicate(q, F.col("content"))
-    hits = d.where(pred).orderBy("source_id").limit(limit)
-    return hits.select(*_hit_cols(F.lit(1.0), "keyword"))

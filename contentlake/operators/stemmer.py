@@ -1,120 +1,127 @@
-"""English stemming for keyword search (R1 stemmed), after M. F. Porter, "An algorithm for suffix
-stripping" (1980).
+"""English stems for keyword search (R1): the Snowball English stemmer, after its published description.
 
-Only the *distinct vocabulary* goes through Python (a pandas UDF over Arrow batches); documents get
-their stems by an equi-join of (token -> stem), so text is never processed row by row in Python.
+Stems are computed per distinct word: a worker keeps the stems of the words that it has met (bounded), and
+a batch is looked up word by word. Words with a digit or an underscore have no stem but themselves; letters
+beyond a-z count as consonants. Tokens hold no apostrophes, so the rules for them are left out.
 """
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-# --- fixed values: suffix rules of the published algorithm -----------------------
-STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"),
-         ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"),
-         ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"),
-         ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
-STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
-STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate",
-         "iti", "ous", "ive", "ize"]
-# ----------------------------------------------------------------------------------
-
-
-def _cons(w: str, i: int) -> bool:
-    c = w[i]
-    if c in "aeiou":
-        return False
-    if c == "y":
-        return i == 0 or not _cons(w, i - 1)
-    return True
-
-
-def _measure(s: str) -> int:
-    n, i, L = 0, 0, len(s)
-    while i < L and _cons(s, i):
-        i += 1
-    while i < L:
-        while i < L and not _cons(s, i):
-            i += 1
-        if i >= L:
-            break
-        while i < L and _cons(s, i):
-            i += 1
-        n += 1
-    return n
+from pyspark.sql.types import ArrayType, StringType
 
+# --- fixed values: the tables of the published algorithm ----------------------------
+WHOLE = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli",
+         "early": "earli", "only": "onli", "singly": "singl", "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas",
+         "cosmos": "cosmos", "bias": "bias", "andes": "andes"}
+KEPT = ("inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed")
+FIRST_REGION = ("gener", "commun", "arsen")
+STEP2 = {"tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize",
+         "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al", "fulness": "ful", "ousli": "ous",
+         "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "ogi": "og", "fulli": "ful", "lessli": "less", "li": ""}
+STEP3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
+STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion")
+DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
+LI_ENDINGS = "cdeghkmnrt"
+# ------------------------------------------------------------------------------------
 
-def _has_vowel(s: str) -> bool:
-    return any(not _cons(s, i) for i in range(len(s)))
+REGION = re.compile(r"[^aeiouy]*[aeiouy]+[^aeiouy]")
+VOWEL = re.compile(r"[aeiouy]")
+SHORT = re.compile(r"(?:[^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$")
+PLAIN = re.compile(r"[\d_]")
 
 
-def _double_c(s: str) -> bool:
-    return len(s) >= 2 and s[-1] == s[-2] and _cons(s, len(s) - 1)
-
-
-def _cvc(s: str) -> bool:
-    return (len(s) >= 3 and _cons(s, len(s) - 3) and not _cons(s, len(s) - 2) and _cons(s, len(s) - 1)
-            and s[-1] not in "wxy")
-
-
-def _replace(w: str, rules, min_m: int) -> str:
-    for suf, rep in sorted(rules, key=lambda r: -len(r[0])):
-        if w.endswith(suf):
-            stem = w[: -len(suf)]
-            return stem + rep if _measure(stem) > min_m else w
-    return w
+def _longest(word: str, suffixes) -> str:
+    return max((s for s in suffixes if word.endswith(s)), key=len, default="")
 
 
 def stem(word: str) -> str:
-    """Porter stem of one lower-case word (non-ASCII words are returned unchanged)."""
-    w = word
-    if len(w) <= 2 or not w.isascii() or not w.isalpha():
-        return w
-    if w.endswith("sses") or w.endswith("ies"):
+    """The stem of one lower-case word."""
+    if word in WHOLE:
+        return WHOLE[word]
+    if len(word) <= 2 or PLAIN.search(word):
+        return word
+    w = re.sub(r"([aeiouy])y", r"\1Y", re.sub("^y", "Y", word))
+
+    def region(start: int) -> int:
+        m = REGION.match(w, start)
+        return m.end() if m else len(w)
+
+    known = next((p for p in FIRST_REGION if w.startswith(p)), None)
+    r1 = len(known) if known else region(0)
+    r2 = region(r1)
+
+    # Plurals.
+    end = _longest(w, ("sses", "ied", "ies", "s", "us", "ss"))
+    if end == "sses":
         w = w[:-2]
-    elif w.endswith("s") and not w.endswith("ss"):
+    elif end in ("ied", "ies"):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif end == "s" and VOWEL.search(w[:-2]):
         w = w[:-1]
-    again = False
-    if w.endswith("eed"):
-        if _measure(w[:-3]) > 0:
-            w = w[:-1]
-    elif w.endswith("ed") and _has_vowel(w[:-2]):
-        w, again = w[:-2], True
-    elif w.endswith("ing") and _has_vowel(w[:-3]):
-        w, again = w[:-3], True
-    if again:
+    if w in KEPT:
+        return w
+
+    # Past forms and participles.
+    end = _longest(w, ("eed", "eedly", "ed", "edly", "ing", "ingly"))
+    if end in ("eed", "eedly"):
+        if len(w) - len(end) >= r1:
+            w = w[:-len(end)] + "ee"
+    elif end and VOWEL.search(w[:-len(end)]):
+        w = w[:-len(end)]
         if w.endswith(("at", "bl", "iz")):
             w += "e"
-        elif _double_c(w) and w[-1] not in "lsz":
+        elif w.endswith(DOUBLES):
             w = w[:-1]
-        elif _measure(w) == 1 and _cvc(w):
+        elif r1 >= len(w) and SHORT.search(w):
             w += "e"
-    if w.endswith("y") and _has_vowel(w[:-1]):
+    if len(w) > 2 and w[-1] in "yY" and not VOWEL.match(w[-2]):
         w = w[:-1] + "i"
-    w = _replace(w, STEP2, 0)
-    w = _replace(w, STEP3, 0)
-    for suf in sorted(STEP4, key=len, reverse=True):
-        if w.endswith(suf):
-            s = w[: -len(suf)]
-            if _measure(s) > 1 and (suf != "ion" or (s and s[-1] in "st")):
-                w = s
-            break
+
+    end = _longest(w, STEP2)
+    if end and len(w) - len(end) >= r1:
+        before = w[:-len(end)]
+        if (end != "ogi" or before.endswith("l")) and (end != "li" or before[-1:] in tuple(LI_ENDINGS)):
+            w = before + STEP2[end]
+    end = _longest(w, STEP3)
+    if end and len(w) - len(end) >= r1 and (end != "ative" or len(w) - len(end) >= r2):
+        w = w[:-len(end)] + STEP3[end]
+    end = _longest(w, STEP4)
+    if end and len(w) - len(end) >= r2 and (end != "ion" or w[:-3].endswith(("s", "t"))):
+        w = w[:-len(end)]
     if w.endswith("e"):
-        s = w[:-1]
-        m = _measure(s)
-        if m > 1 or (m == 1 and not _cvc(s)):
-            w = s
-    if _measure(w) > 1 and _double_c(w) and w.endswith("l"):
+        if len(w) - 1 >= r2 or (len(w) - 1 >= r1 and not SHORT.search(w[:-1])):
+            w = w[:-1]
+    elif w.endswith("ll") and len(w) - 1 >= r2:
         w = w[:-1]
-    return w
+    return w.replace("Y", "y")
+
+
+#: A stem differs from its word in the last two letters of the stem at most.
+def common_prefix(stem_: str) -> str:
+    """What every word with this stem begins with."""
+    return stem_[:max(1, len(stem_) - 2)]
+
+
+@lru_cache(maxsize=200_000)
+def cached_stem(word: str) -> str:
+    return stem(word)
 
 
 @F.pandas_udf(StringType())
 def stem_udf(words: pd.Series) -> pd.Series:
-    return words.map(lambda x: None if x is None else stem(x))
+    return words.map(lambda x: None if x is None else cached_stem(x))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def stems_udf(words: pd.Series) -> pd.Series:
+    """Stems of the words of an array, in place."""
+    return words.map(lambda xs: None if xs is None else [cached_stem(x) for x in xs])
 
 
 def vocabulary_stems(doc_terms: DataFrame, term_col: str = "term") -> DataFrame:

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from ... import functions as fn
 from ...operators import embeddings as E
 from ...operators import retrieval as RT
+from ...operators import text_index as TI
+from ...operators import trigrams as TG
 from ...operators import vector as V
 from ..registry import register
+from . import stem_oracle  # noqa: F401 - declares the oracle's views of stems
 
 QVEC_ID = 7
 TOK = r"'[\p{L}\p{N}_]+'"
@@ -45,51 +48,79 @@ def semantic_topk_platform(t):
                       F.round("similarity", 6).alias("similarity"))
 
 
-def kw_sql(where: str, limit: int = 20, platform: str | None = None, source: str = "search_docs") -> str:
+def kw_sql(where: str, limit: int = 20, platform: str | None = None, source: str = "stem_docs") -> str:
     pf = f" and platform = '{platform}'" if platform else ""
     return f"""(select source_type, cast(source_id as varchar) as source_id, platform, content, cast(1.0 as double) as score, 'keyword' as match
-      from (select * from (select *, regexp_extract_all(lower(content), {TOK}) as toks,
-                   ' ' || array_to_string(regexp_extract_all(lower(content), {TOK}), ' ') || ' ' as joined from {source})
-            where ({where}){pf} order by source_id limit {limit}))"""
+      from (select * from {source} where ({where}){pf} order by source_id limit {limit}))"""
+
+
+def phrase_sql(*words: tuple[str, int]) -> str:
+    at = " and ".join(f"stems[i + {k}] = '{w}'" for w, k in words)
+    return f"len(list_filter(range(1, len(stems) + 1), lambda i: coalesce({at}, false))) > 0"
 
 
 @register("keyword_search", "select source_type, source_id, platform, score, match from " + kw_sql(
-    "list_contains(toks, 'tion') and list_contains(toks, 'thon') and not list_contains(toks, 'ther')"))
+    "list_contains(stems, 'tion') and list_contains(stems, 'thon') and not list_contains(stems, 'ther')"))
 def keyword_search(t):
-    """R1: 'tion thon -ther' (AND, NOT); stop words ignored; ordered by id."""
+    """R1: 'tion thon -ther' by stems (AND, NOT); stop words ignored; ordered by id."""
     return RT.keyword_search(t.search_docs, "the tion thon -ther", limit=20).drop("content")
 
 
-@register("keyword_search_indexed", "select source_type, source_id, platform, score, match from " + kw_sql(
-    "list_contains(toks, 'tion') and list_contains(toks, 'thon') and not list_contains(toks, 'ther')"))
-def keyword_search_indexed(t):
-    """R1 at corpus scale: the same query answered from a bucketed inverted index (candidates from the
-    required words' postings, exact verification on their text) -- identical to keyword_search."""
+@register("keyword_search_stemmed", "select source_type, source_id, platform, score, match from " + kw_sql(
+    "(list_contains(stems, 'tion') and list_contains(stems, 'thon') and not list_contains(stems, 'ther')) or list_contains(stems, 'erti')"))
+def keyword_search_stemmed(t):
+    """Other forms of the words: 'tioning thonly -thers or erties' finds every form of each."""
+    return RT.keyword_search(t.search_docs, "the tioning thonly -thers or erties", limit=20).drop("content")
+
+
+def _index(t) -> str:
     import uuid
 
     from ...session import checkpoint_dir
-    path = f"{checkpoint_dir(t.spark).rstrip('/')}/inverted-{uuid.uuid4().hex[:12]}"
-    RT.write_inverted_index(t.search_docs, path, buckets=64)
-    index = t.spark.read.parquet(path)
-    return RT.keyword_search_indexed(index, t.search_docs, "the tion thon -ther", limit=20).drop("content")
+    path = f"{checkpoint_dir(t.spark).rstrip('/')}/positions-{uuid.uuid4().hex[:12]}"
+    TI.write_index(t.search_docs, path)
+    return t.spark.read.parquet(path)
+
+
+@register("keyword_search_indexed", "select source_type, source_id, platform, score, match from " + kw_sql(
+    "(list_contains(stems, 'tion') and list_contains(stems, 'thon') and not list_contains(stems, 'ther')) or "
+    + phrase_sql(("erin", 0), ("thnt", 1)), 50))
+def keyword_search_indexed(t):
+    """R1 at corpus scale: words, a negated word and a phrase answered from a positional index of stems; texts
+    are read for the hits alone."""
+    return TI.search_index(_index(t), t.search_docs, 'the tion thon -ther or "erin thnts"', limit=50).drop("content")
+
+
+@register("positional_index", """
+    select stem, count(*) as n_docs, cast(sum(n) as bigint) as n_places, min(first) as first_place, max(last) as last_place
+    from (select stem, source_id, count(*) as n, min(i) - 1 as first, max(i) - 1 as last
+          from (select source_id, unnest(stems) as stem, generate_subscripts(stems, 1) as i from stem_docs) where stem is not null group by stem, source_id)
+    group by stem""")
+def positional_index(t):
+    """The written index itself, stem by stem: documents, places, first and last place."""
+    p = _index(t)
+    return p.groupBy("stem").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("positions").cast("long")).alias("n_places"),
+                                 F.min(F.get("positions", F.lit(0))).cast("long").alias("first_place"),
+                                 F.max(F.element_at("positions", -1)).cast("long").alias("last_place"))
 
 
 @register("keyword_search_or", "select source_type, source_id, platform, score, match from " + kw_sql(
-    "list_contains(toks, 'thre') or (list_contains(toks, 'thnt') and list_contains(toks, 'erin'))", 20, "youtube"))
+    "list_contains(stems, 'thre') or (list_contains(stems, 'thnt') and list_contains(stems, 'erin'))", 20, "youtube"))
 def keyword_search_or(t):
     """R1: 'thre or thnt erin' on youtube only (platform filter before the match)."""
     return RT.keyword_search(t.search_docs, "thre or thnt erin", platform="youtube", limit=20).drop("content")
 
 
 @register("keyword_search_phrase", "select source_type, source_id, platform, score, match from " + kw_sql(
-    "instr(joined, ' tion of ') > 0 and not list_contains(toks, 'ther')", 25))
+    "((" + phrase_sql(("er", 0), ("re", 1)) + ") and not list_contains(stems, 'ther')) or (" + phrase_sql(("nd", 0), ("er", 1)) + ") or ("
+    + phrase_sql(("st", 0), ("er", 2)) + ")", 25))
 def keyword_search_phrase(t):
-    """A quoted phrase (word order and adjacency) with a negated word."""
-    return RT.keyword_search(t.search_docs, '"tion of" -ther', limit=25).drop("content")
+    """Quoted phrases (stems at the phrase's distances, a stop word between two of them) with a negated word."""
+    return RT.keyword_search(t.search_docs, '"er re" -ther or "nd er" or "st the er"', limit=25).drop("content")
 
 
 HYB_SQL = f"""
-    with kw as {kw_sql("list_contains(toks, 'tion') and list_contains(toks, 'thon')", 20)},
+    with kw as {kw_sql("list_contains(stems, 'tion') and list_contains(stems, 'thon')", 20)},
     se as (select s.source_type, s.source_id, d.platform, d.content, s.similarity as score
            from {sem_sql(20)} s join (select source_type, cast(source_id as varchar) as source_id, platform, content
                                       from search_docs) d on d.source_type = s.source_type and d.source_id = s.source_id),
@@ -115,8 +146,8 @@ def hybrid_search(t):
     with ok as (select cast(p.post_id as varchar) as source_id from posts p
                 where coalesce(list_contains(p.hashtags, 'en'), false) and coalesce(p.posted_at >= timestamp '2024-01-03', false)),
     kw as (select source_type, cast(source_id as varchar) as source_id, platform, cast(1.0 as double) as score from (
-             select * from (select *, regexp_extract_all(lower(content), {TOK}) as toks from search_docs)
-             where list_contains(toks, 'tion') and list_contains(toks, 'thon')
+             select * from stem_docs
+             where list_contains(stems, 'tion') and list_contains(stems, 'thon')
                and cast(source_id as varchar) in (select source_id from ok) order by source_id limit 10)),
     se as (select source_type, cast(source_id as varchar) as source_id, platform,
              list_cosine_similarity(embedding, (select cast(embedding as double[]) from embeddings where vec_id = {QVEC_ID})) as score
@@ -138,12 +169,9 @@ def hybrid_search_prefiltered(t):
     return h.select("source_type", "source_id", "platform", F.round("score", 6).alias("score"), "match")
 
 
-COMMENT_DOCS = """(select 'comment' as source_type, comment_id as source_id, platform, content from comments)"""
-
 FILTER_HITS_SQL = HYB_SQL + f""",
     chits as (select source_type, source_id, platform, cast(1.0 as double) as score, 'keyword' as match
-              from (select *, regexp_extract_all(lower(content), {TOK}) as toks from {COMMENT_DOCS})
-              where list_contains(toks, 'tion') order by source_id limit 10),
+              from stem_comments where list_contains(stems, 'tion') order by source_id limit 10),
     hits as (select source_type, source_id, platform, score, match from merged
              union all select * from chits),
     ctx as (select h.*, p.post_id as pid, p.content_type, p.hashtags, p.posted_at, a.username, e.post_id as eid, e.likes
@@ -202,12 +230,6 @@ def join_filter_context(t):
     return ctx.select("source_type", "source_id", "content_type", "author_username", F.col("_likes").alias("likes"))
 
 
-@register("keyword_search_stemmed")
-def keyword_search_stemmed(t):
-    """R1 with English stems (Porter): 'tions thons' finds documents with 'tion' and 'thon' forms."""
-    return RT.keyword_search_stemmed(t.search_docs, "the tions thons -thers", limit=20).drop("content")
-
-
 # --------------------------------------------------------------------------- batch questions
 QUESTIONS_SQL = f"""(select item_id as qid, list_filter(list_distinct(regexp_extract_all(lower(text), {TOK})),
                       lambda x: not list_contains([{", ".join(f"'{w}'" for w in RT.STOP_WORDS)}], x)) as words from benchmark)"""
@@ -524,3 +546,39 @@ def trigram_similarity(t):
     a = t.authors.select("author_id", "username",
                          F.round(E.trigram_similarity(F.col("username"), F.lit("customer 42")), 6).alias("similarity"))
     return a.orderBy(F.col("similarity").desc(), "author_id").limit(10)
+
+
+def _trigram_index(t, df, id_col: str, text_col: str):
+    import uuid
+
+    from ...session import checkpoint_dir
+    path = f"{checkpoint_dir(t.spark).rstrip('/')}/trigrams-{uuid.uuid4().hex[:12]}"
+    TG.write_index(df, path, id_col, text_col)
+    return TG.open_index(t.spark, path)
+
+
+@register("trigram_pairs", f"""
+    with s as (select min(author_id) as id, username, count(*) as n_rows, any_value({TRI_SQL.format(x='username')}) as g from authors
+               where username is not null group by username)
+    select a.id as author_id, b.id as other_id, a.username, b.username as other_username, a.n_rows, b.n_rows as other_rows,
+      round(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) as similarity
+    from s a join s b on a.id < b.id and 4 * len(list_intersect(a.g, b.g)) >= 3 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))""")
+def trigram_pairs(t):
+    """All pairs of different usernames at trigram similarity 0.75, by a prefix-filtered set join."""
+    p = TG.similar_pairs(_trigram_index(t, t.authors, "author_id", "username"), 3, 4)
+    return p.select(F.col("id").alias("author_id"), F.col("id2").alias("other_id"), F.col("text").alias("username"),
+                    F.col("text2").alias("other_username"), "n_rows", F.col("n_rows2").alias("other_rows"), F.round("similarity", 6).alias("similarity"))
+
+
+@register("trigram_lookup", f"""
+    with s as (select min(post_id) as id, caption, count(*) as n_rows, any_value({TRI_SQL.format(x='caption')}) as g from posts
+               where caption is not null group by caption),
+    q as (select item_id, {TRI_SQL.format(x='text')} as g from benchmark where text is not null)
+    select q.item_id, s.id as post_id, s.n_rows,
+      round(len(list_intersect(s.g, q.g)) / (len(s.g) + len(q.g) - len(list_intersect(s.g, q.g))), 6) as similarity
+    from q join s on len(s.g) > 0 and len(q.g) > 0 and 5 * len(list_intersect(s.g, q.g)) >= 2 * (len(s.g) + len(q.g) - len(list_intersect(s.g, q.g)))""")
+def trigram_lookup(t):
+    """For every benchmark text the post captions at trigram similarity 0.4, from the trigram index."""
+    idx = _trigram_index(t, t.posts, "post_id", "caption")
+    p = TG.lookup(idx, t.benchmark, 2, 5, "item_id", "text")
+    return p.select(F.col("id2").alias("item_id"), F.col("id").alias("post_id"), "n_rows", F.round("similarity", 6).alias("similarity"))

@@ -105,23 +105,29 @@ def test_keyword_search_brute_force(spark):
     assert got == [i for i, (_, _, _, t) in enumerate(docs) if match(t)]
 
 
-def test_porter_stem():
-    from contentlake.operators.stemmer import stem
+def test_english_stems():
+    from contentlake.operators.stemmer import common_prefix, stem
     cases = {"caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre",
              "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop",
              "filing": "file", "happy": "happi", "relational": "relat", "conditional": "condit",
-             "generalization": "gener", "hopeful": "hope", "goodness": "good", "revival": "reviv",
-             "adjustment": "adjust", "adoption": "adopt", "controll": "control", "running": "run"}
+             "generalization": "general", "hopeful": "hope", "goodness": "good", "revival": "reviv",
+             "adjustment": "adjust", "adoption": "adopt", "controll": "control", "running": "run",
+             "consistency": "consist", "consolingly": "consol", "conspiracy": "conspiraci", "knackeries": "knackeri", "ties": "tie",
+             "cries": "cri", "dying": "die", "says": "say", "enjoy": "enjoy", "generously": "generous", "hoping": "hope", "gas": "gas",
+             "kiwis": "kiwi", "proceeding": "proceed", "apology": "apolog", "abilities": "abil", "possibly": "possibl", "skies": "sky",
+             "exceedingly": "exceed", "youth": "youth", "by": "by", "x2s": "x2s", "a_ing": "a_ing", "éclairs": "éclair"}
     for w, exp in cases.items():
         assert stem(w) == exp, (w, stem(w), exp)
+        assert w.startswith(common_prefix(exp))
 
 
-def test_keyword_search_stemmed(spark):
+def test_keyword_search_by_stems(spark):
     docs = spark.createDataFrame([("post", 1, "x", "Running nations"), ("post", 2, "x", "the runner"),
-                                  ("post", 3, "x", "a nation runs")],
+                                  ("post", 3, "y", "a nation runs")],
                                  "source_type string, source_id long, platform string, content string")
-    got = [int(r["source_id"]) for r in RT.keyword_search_stemmed(docs, "run nation").collect()]
-    assert got == [1, 3]
+    ids = lambda q, **k: [int(r["source_id"]) for r in RT.keyword_search(docs, q, **k).collect()]
+    assert ids("run nation") == [1, 3] and ids("run nation", platform="y") == [3] and ids("run nation", stemmed=False) == []
+    assert ids('"ran nation"') == [] and ids('"runs nation"') == [1] and ids('"the of"') == ids("the") == ids("") == []
 
 
 def test_upsert_prefer_non_null(spark):
@@ -177,17 +183,37 @@ def test_read_raw_landing(spark, tmp_path):
         read_raw(spark, str(tmp_path), "youtube", "hashtag")
 
 
-def test_keyword_search_indexed_equals_scan(spark, tmp_path):
-    texts = ["The cat sat on the mat", "dog and cat play", "big fish swim fast", "a big dog barks",
-             "fish big cat", "cat cat dog fish", "nothing here"]
-    docs = spark.createDataFrame([("post", i, "x", t) for i, t in enumerate(texts)],
+def test_keyword_search_over_index_equals_scan_and_brute_force(spark, tmp_path):
+    import random
+    import re
+
+    from contentlake.operators import text_index as TI
+    from contentlake.operators.stemmer import stem
+    r = random.Random(11)
+    words = ["cat", "cats", "dog", "dogs", "the", "of", "big", "fish", "fishing", "running", "run", "über", "x2"]
+    texts = [" ".join(r.choice(words) + r.choice(["", "", ",", "."]) for _ in range(r.randrange(0, 25))) for _ in range(120)] + [None, "", "THE of"]
+    docs = spark.createDataFrame([("post", i, "xy"[i % 2], t) for i, t in enumerate(texts)],
                                  "source_type string, source_id long, platform string, content string")
-    RT.write_inverted_index(docs, str(tmp_path / "idx"), buckets=4)
+    TI.write_index(docs, str(tmp_path / "idx"), buckets=4)
     index = spark.read.parquet(str(tmp_path / "idx"))
-    for q in ["cat", "cat -dog", "cat dog fish", '"big fish"', "cat or dog", "fish -big", "big cat"]:
-        a = [r["source_id"] for r in RT.keyword_search(docs, q, limit=50).collect()]
-        b = [r["source_id"] for r in RT.keyword_search_indexed(index, docs, q, limit=50, buckets=4).collect()]
-        assert a == b, q
+
+    def held(text):
+        return [None if w in RT.STOP_WORDS else stem(w) for w in re.findall(r"\w+", (text or "").lower())]
+
+    def at(xs, ws):
+        return any(all(i + k < len(xs) and xs[i + k] == s for s, k in ws) for i in range(len(xs)))
+
+    def plain(q, platform=None):
+        groups = TI._terms(RT.parse_websearch(q))
+        return [i for i, t in enumerate(texts) if groups and platform in (None, "xy"[i % 2])
+                and any(all(at(held(t), ws) != neg for neg, ws in g) for g in groups)]
+
+    for q, p in [("cat", None), ("cats -dogs", None), ("cat dog fished", "x"), ('"big fish"', None), ("cat or dog", "y"), ("fish -big", None),
+                 ('"cat of the dog"', None), ('"cat the dog" -"big run"', None), ("-cat", None), ("-cat or fish", None), ("the", None),
+                 ('"runs cat dogs" or ÜBER', None), ("x2", None), ("nothing", None)]:
+        a = [int(x["source_id"]) for x in RT.keyword_search(docs, q, p, limit=500).collect()]
+        b = [int(x["source_id"]) for x in TI.search_index(index, docs, q, p, limit=500, buckets=4).collect()]
+        assert a == b == plain(q, p), q
 
 
 def test_sql_guard_reads_the_plan(spark, sf_dir):
