@@ -286,31 +286,33 @@ def keyword_batch(docs: DataFrame, questions: DataFrame, limit: int) -> DataFram
     """R7 keyword side: documents that hold every word of a question (qid, words); ``limit`` per question
     by id. A question without words finds nothing.
 
-    One pass over the texts keeps, per document, the words that any question asks for. A question is
-    joined on its rarest word alone, and the other words are verified on the candidates, so a common
-    word never multiplies rows."""
+    One pass over the texts keeps the (document, word) rows of words that any question asks for. A
+    question is joined on its rarest word alone, and its other words are looked up for those candidates
+    only, so a common word never multiplies rows."""
     from ..session import materialize
+    key = ["source_type", "source_id", "platform"]
     asked = questions.where(F.size("words") > 0).select("qid", "words")
     terms = asked.select(F.explode("words").alias("term")).distinct()
-    have = materialize(doc_terms(docs).join(terms, "term").groupBy("source_type", "source_id", "platform")
-                       .agg(F.collect_set("term").alias("have")))
-    found = have.select("source_type", "source_id", "platform", "have", F.explode("have").alias("term"))
-    freq = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    held = materialize(doc_terms(docs).join(terms, "term"))
+    freq = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     words = asked.select("qid", "words", F.explode("words").alias("term")).join(freq, "term", "left")
     rare = words.groupBy("qid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r"), F.first("words").alias("words"))
     rare = rare.where("r.df > 0").select("qid", "words", F.col("r.term").alias("term"))
-    j = found.join(rare, "term").where(F.size(F.array_except("words", "have")) == 0)
+    found = held.join(rare, "term").select("qid", *key, F.size("words").alias("_n"), F.explode("words").alias("term"))
+    j = found.join(held, [*key, "term"], "left_semi").groupBy("qid", *key, "_n").agg(F.count(F.lit(1)).alias("_c")).where("_c = _n")
     w = Window.partitionBy("qid").orderBy(F.col("source_id"))
     ranked = j.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
     return ranked.select("qid", "source_type", F.col("source_id").cast("string").alias("source_id"), "platform",
                          F.lit(1.0).alias("score"))
 
 
-def hybrid_batch(docs: DataFrame, vectors: DataFrame, questions: DataFrame, qvecs: list, limit: int = 5,
+def hybrid_batch(docs: DataFrame, vectors: DataFrame, questions: DataFrame, qvecs: DataFrame, limit: int = 5,
                  overfetch: int = HYBRID_OVERFETCH) -> DataFrame:
-    """Many questions in one job; per question top ``limit`` of the weighted merge."""
+    """Many questions in one job; per question top ``limit`` of the weighted merge. ``qvecs`` (qid, q) holds
+    the vectors of any number of questions; nothing is collected."""
+    from . import vector_blocks
     kw = keyword_batch(docs, questions, limit * overfetch)
-    se = vector.batch_topk(vectors, "embedding", qvecs, limit * overfetch, ["source_type", "source_id", "platform"])
+    se = vector_blocks.exact_topk(vectors, "embedding", ["source_type", "source_id", "platform"], qvecs, "qid", "q", limit * overfetch)
     se = se.select("qid", "source_type", F.col("source_id").cast("string").alias("source_id"), "platform",
                    F.col("similarity").alias("score"))
     k = kw.select("qid", "source_type", "source_id", F.col("platform").alias("kp"), F.col("score").alias("ks"))

@@ -102,10 +102,12 @@ def stem(word: str) -> str:
     return w.replace("Y", "y")
 
 
-#: A stem differs from its word in the last two letters of the stem at most.
 def common_prefix(stem_: str) -> str:
-    """What every word with this stem begins with."""
-    return stem_[:max(1, len(stem_) - 2)]
+    """What every word with this stem begins with: the stem, but for an ending that a rule has put there
+    (e; i for y; le for ility; and the few whole words of the tables)."""
+    if stem_ in ("die", "lie", "tie"):
+        return stem_[0]
+    return stem_[:-2] if stem_.endswith("ble") else stem_[:-1] if stem_.endswith(("e", "i", "y", "bl")) and len(stem_) > 1 else stem_
 
 
 @lru_cache(maxsize=200_000)

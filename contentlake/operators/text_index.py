@@ -47,6 +47,12 @@ def _places(both: Column, wanted: str) -> Column:
     return F.transform(F.filter(both, lambda x: x["s"] == wanted), lambda x: x["i"])
 
 
+def _may_hold(held: dict[str, Column], negated: bool, words) -> Column:
+    """Whether a term can match, from the stems alone (a negated phrase always can)."""
+    every = reduce(lambda a, b: a & b, [held[s] for s, _ in words])
+    return every if not negated else ~every if len(words) == 1 else F.lit(True)
+
+
 def _predicate(groups, positions: dict[str, Column]) -> Column:
     """The query over each stem's position list (null: the document does not hold the stem)."""
     none = F.array().cast("array<int>")
@@ -74,13 +80,20 @@ def search_texts(docs: DataFrame, query: str, platform: str | None = None, limit
     needed = [[s for neg, ws in g if not neg for s, _ in ws] for g in groups]
     if all(needed):  # every group asks for some stem: its words' beginnings are somewhere in the text
         d = d.where(reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [low.contains(common_prefix(s)) for s in ss]) for ss in needed]))
-    like = lambda x: reduce(lambda a, b: a | b, [x["w"].startswith(p) for p in sorted({common_prefix(s) for s in wanted})])
-    numbered = F.transform(F.coalesce(fn.tokens(text_col), F.array().cast("array<string>")), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    d = d.withColumn("_cand", F.filter(numbered, like))
-    d = d.withColumn("_stems", stems_udf(F.transform("_cand", lambda x: x["w"])))
-    both = F.zip_with("_cand", "_stems", lambda c, s: F.struct(c["i"].alias("i"), s.alias("s")))
-    positions = {s: _places(both, s) for s in wanted}
-    hits = d.where(_predicate(groups, positions)).drop("_cand", "_stems").orderBy("source_id").limit(limit)
+    # The words that begin like a stem of the query, each once: the only ones that are stemmed.
+    begins = "|".join(sorted({common_prefix(s) for s in wanted}))
+    cand = F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{begins})[\p{{L}}\p{{N}}_]*"), F.lit(0)))
+    d = d.withColumn("_held", stems_udf(F.coalesce(cand, F.array().cast("array<string>"))))
+    held = {s: F.array_contains("_held", s) for s in wanted}
+    d = d.where(reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [_may_hold(held, neg, ws) for neg, ws in g]) for g in groups])).drop("_held")
+    if any(len(ws) > 1 for g in groups for _, ws in g):
+        # Phrases: the places of the words, in the documents that hold them all.
+        numbered = F.transform(F.coalesce(fn.tokens(text_col), F.array().cast("array<string>")), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+        d = d.withColumn("_cand", F.filter(numbered, lambda x: x["w"].rlike(f"^(?:{begins})")))
+        d = d.withColumn("_stems", stems_udf(F.transform("_cand", lambda x: x["w"])))
+        both = F.zip_with("_cand", "_stems", lambda c, s: F.struct(c["i"].alias("i"), s.alias("s")))
+        d = d.where(_predicate(groups, {s: _places(both, s) for s in wanted})).drop("_cand", "_stems")
+    hits = d.orderBy("source_id").limit(limit)
     return hits.select(*_hit_cols(F.lit(1.0), "keyword", text_col))
 
 

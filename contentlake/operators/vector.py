@@ -1,4 +1,5 @@
-"""Vector search: exact cosine top-k, batched top-k and an IVF (inverted lists) index.
+"""Vector search for one or a few questions: exact cosine top-k (R2, J8). Many questions, and inverted
+lists, are in ``vector_blocks``.
 
 Scoring runs in Arrow batches with numpy (``mapInArrow``): each task keeps a
 running top-k per query over all of its rows and emits at most ``k`` rows per
@@ -119,54 +120,3 @@ def query_vector(df: DataFrame, key: str, value, vec_col: str) -> list[float]:
     if not row:
         raise ValueError(f"no vector for {key}={value!r}")
     return [float(x) for x in row[0][0]]
-
-
-def query_vectors(df: DataFrame, qid_col: str, vec_col: str, max_rows: int = 100_000) -> list[tuple]:
-    """Collect a question set's vectors, refusing sets beyond ``max_rows`` (size bound)."""
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"{n} query vectors exceed the broadcast bound {max_rows}; split the batch")
-    return [(int(r[0]), [float(x) for x in r[1]]) for r in df.select(qid_col, vec_col).collect()]
-
-
-# ----------------------------------------------------------------------------- IVF
-def ivf_build(df: DataFrame, vec_col: str, n_lists: int, seed: int = 42, max_iter: int = 20,
-              max_train_rows: int = 1_000_000, total_rows: int | None = None):
-    """K-means centroids over L2-normalised vectors; every row gets its list id.
-
-    Returns (rows with ``list_id``, centroid matrix). Centroids are ``n_lists x dims``
-    (bounded by the list count, not the data). They are trained on at most about
-    ``max_train_rows`` sampled vectors -- training only; *every* row is then assigned to its
-    nearest list, so nothing is left out of the index. Written partitioned by ``list_id``,
-    a probe becomes partition pruning."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    norm = F.sqrt(F.aggregate(F.col(vec_col), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    unit = F.transform(F.col(vec_col), lambda x: x.cast("double") / norm)
-    # A zero vector has no direction and thus no list: cosine similarity to it is undefined.
-    feats = df.where(norm > 0).withColumn("features", array_to_vector(unit))
-    n = total_rows if total_rows is not None else df.count()
-    train = feats.sample(fraction=max_train_rows / n, seed=seed) if n > max_train_rows else feats
-    model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="list_id").fit(train)
-    centroids = np.asarray(model.clusterCenters(), dtype=np.float64)
-    assigned = model.transform(feats).drop("features")
-    return assigned, centroids
-
-
-def ivf_write(assigned: DataFrame, path: str, n_lists: int = 100, salt: int = 8) -> None:
-    """Persist the assigned vectors partitioned by ``list_id`` so a probe reads only its lists.
-    Rows are spread by (list, salt): a list holding a large share of the vectors is written by up
-    to ``salt`` tasks, and each task writes few list folders."""
-    key = F.pmod(F.xxhash64(*[F.col(c) for c in assigned.columns if c not in ("list_id", "embedding")]), F.lit(salt))
-    assigned.repartition("list_id", key).write.mode("overwrite").partitionBy("list_id").parquet(path)
-
-
-def ivf_search(assigned: DataFrame, centroids: np.ndarray, vec_col: str, query: Sequence[float], k: int,
-               key_cols: Sequence[str], probes: int) -> DataFrame:
-    """Probe the ``probes`` lists nearest to the query, then exact top-k inside them."""
-    q = _normalise(np.asarray(query, dtype=np.float64)[None, :])[0]
-    c = _normalise(centroids)
-    order = np.argsort(-(c @ q))[:probes]
-    lists = [int(x) for x in order]
-    return cosine_topk(assigned, vec_col, query, k, key_cols, where=F.col("list_id").isin(lists))

@@ -10,6 +10,7 @@ from ...operators import retrieval as RT
 from ...operators import text_index as TI
 from ...operators import trigrams as TG
 from ...operators import vector as V
+from ...operators import vector_blocks as VB
 from ..registry import register
 from . import stem_oracle  # noqa: F401 - declares the oracle's views of stems
 
@@ -240,8 +241,8 @@ def _questions(t):
 
 
 def _qvecs(t):
-    e = t.embeddings.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
-    return V.query_vectors(e, "vec_id", "embedding", max_rows=100_000)
+    b = t.benchmark.select(F.col("item_id").alias("vec_id"))
+    return t.embeddings.join(b, "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
 
 
 HYB_BATCH_SQL = f"""
@@ -382,28 +383,63 @@ def replies_self_join(t):
 
 
 # --------------------------------------------------------------------------- ANN
-@register("ann_ivf_topk")
-def ann_ivf_topk(t):
-    """IVF lists (k-means over normalised vectors), probe the nearest lists, exact top-k inside;
-    ``in_exact`` marks hits that are also in the exact top-k (recall)."""
-    import math
-    vecs = t.doc_embeddings
-    n_rows = vecs.count()
-    n_lists = max(2, int(math.sqrt(max(n_rows, 1))))
+#: Lists of the index, and the recall@10 that its number of probes is calibrated to.
+ANN_LISTS, ANN_RECALL = 32, 0.95
+
+
+def _ann(t):
+    """(exact answers, answers from the lists, probes): the questions are the vectors whose id is divisible by 50."""
     import uuid
 
-    from ...session import checkpoint_dir
-    assigned, centroids = V.ivf_build(vecs, "embedding", n_lists, total_rows=n_rows)
-    path = f"{checkpoint_dir(t.spark).rstrip('/')}/ivf-{uuid.uuid4().hex[:12]}"
-    V.ivf_write(assigned, path, n_lists)
-    assigned = t.spark.read.parquet(path)  # list_id is a partition column: probes prune files
-    q = qvec(t)
-    ann = V.ivf_search(assigned, centroids, "embedding", q, 10, ["source_type", "source_id"], probes=max(1, n_lists // 3))
-    exact = V.cosine_topk(vecs, "embedding", q, 10, ["source_type", "source_id"]).select(
-        "source_type", "source_id", F.lit(True).alias("in_exact"))
-    return ann.join(exact, ["source_type", "source_id"], "left").select(
-        "source_type", "source_id", F.round("similarity", 6).alias("similarity"),
-        F.coalesce("in_exact", F.lit(False)).alias("in_exact"))
+    from ...session import checkpoint_dir, materialize
+    keys, vecs = ["source_type", "source_id"], t.doc_embeddings
+    asked = t.embeddings.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    exact = materialize(VB.exact_topk(vecs, "embedding", keys, asked, "qid", "q", 10))
+    centres = VB.train(vecs, "embedding", ANN_LISTS)
+    path = f"{checkpoint_dir(t.spark).rstrip('/')}/lists-{uuid.uuid4().hex[:12]}"
+    later = F.col("source_id") % 10 == 9  # a batch that comes after training goes to the same centres
+    VB.write_lists(VB.assign(vecs.where(~later), "embedding", centres), path, "embedding", keys)
+    VB.write_lists(VB.assign(vecs.where(later), "embedding", centres), path, "embedding", keys, mode="append")
+    lists = t.spark.read.parquet(path)
+    probes, _ = VB.calibrate(lists, centres, keys, asked, "qid", "q", 10, ANN_RECALL, exact)
+    return exact, VB.lists_topk(lists, centres, keys, asked, "qid", "q", 10, probes), probes
+
+
+BATCH_TOPK_SQL = """
+    select qid, source_type, source_id, similarity, rank from (
+      select q.vec_id as qid, d.source_type, cast(d.source_id as varchar) as source_id, round(s, 6) as similarity,
+        row_number() over (partition by q.vec_id order by s desc, d.source_type, d.source_id) as rank
+      from (select vec_id, cast(embedding as double[]) as v from embeddings where vec_id % 50 = 0) q
+      cross join (select * from doc_embeddings) d, lateral (select list_cosine_similarity(d.embedding, q.v) as s)) where rank <= 10"""
+
+
+@register("semantic_topk_batch", BATCH_TOPK_SQL)
+def semantic_topk_batch(t):
+    """The exact ten nearest documents of every vector whose id is divisible by 50, in packed blocks."""
+    asked = t.embeddings.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    top = VB.exact_topk(t.doc_embeddings, "embedding", ["source_type", "source_id"], asked, "qid", "q", 10)
+    return top.select("qid", "source_type", F.col("source_id").cast("string").alias("source_id"), F.round("similarity", 6).alias("similarity"),
+                      F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("ann_ivf_topk")
+def ann_ivf_topk(t):
+    """The same questions from inverted lists, with the measured recall@10 of each and the probes it took."""
+    exact, found, probes = _ann(t)
+    keys = ["source_type", "source_id"]
+    marked = found.join(VB.recall(found, exact, keys), "qid")
+    return marked.select("qid", "source_type", F.col("source_id").cast("string").alias("source_id"), F.round("similarity", 6).alias("similarity"),
+                         F.col("rank").cast("bigint").alias("rank"), F.round("recall", 6).alias("recall"), F.lit(probes).alias("probes"))
+
+
+@register("ann_recall", """
+    select cast(count(*) as bigint) as n_questions, true as recall_reached, true as probes_within from embeddings where vec_id % 50 = 0""")
+def ann_recall(t):
+    """Mean recall@10 over all questions against the exact answers is at least 0.9."""
+    exact, found, probes = _ann(t)
+    r = VB.recall(found, exact, ["source_type", "source_id"])
+    return r.agg(F.count(F.lit(1)).alias("n_questions"), (F.avg("recall") >= 0.9).alias("recall_reached"),
+                 F.lit(1 <= probes <= ANN_LISTS).alias("probes_within"))
 
 
 # --------------------------------------------------------------------------- embeddings

@@ -121,6 +121,14 @@ def test_english_stems():
         assert w.startswith(common_prefix(exp))
 
 
+def test_words_begin_like_their_stems(spark, sf_dir):
+    from contentlake.operators.stemmer import common_prefix, stem
+    ends = ["", "s", "es", "ed", "ing", "ly", "y", "ied", "ability", "ibility", "bly", "ation", "ational", "izer", "iveness", "ogy", "ency", "ally", "fully", "lessly", "e", "ble"]
+    text = " ".join(r[0] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.lower("text")).where("text is not null").collect())
+    words = set(text.split()) | {a + b for a in ("hop", "stat", "cry", "sk", "d", "possi", "nation", "apol", "tri", "fl", "ba") for b in ends}
+    assert [w for w in words if w.isalpha() and not w.startswith(common_prefix(stem(w)))] == []
+
+
 def test_keyword_search_by_stems(spark):
     docs = spark.createDataFrame([("post", 1, "x", "Running nations"), ("post", 2, "x", "the runner"),
                                   ("post", 3, "y", "a nation runs")],
