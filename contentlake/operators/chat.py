@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import display_title
 from ..schema import HISTORY_FETCH, MAX_HISTORY_TURNS, PROMPT_LOG_CHARS
+from .order_stats import statistics
 
 
 def history(messages: DataFrame, limit: int = 200) -> DataFrame:
@@ -134,19 +135,12 @@ def thread_participants(comments: DataFrame) -> DataFrame:
                                     F.count(F.lit(1)).alias("n_comments"))
 
 
-def threads(comments: DataFrame, bucket: str = "day") -> DataFrame:
+def threads(comments: DataFrame, ranges: int | None = None) -> DataFrame:
     """Thread materialised as rows: each comment with its root, position in time and thread size.
 
-    A comment's position is the number of rows in earlier time buckets of its thread plus its row
-    number inside (root, bucket): however long a thread is, no task sorts more than one bucket of
-    it. Bucket sizes are partially aggregated counts."""
+    Positions come from ranges of (root, time, comment): a thread that holds a third of all comments is cut
+    into as many ranges as it needs, even if all its comments have one time or none."""
     roots = thread_roots(comments).where("root_id is not null")
-    j = comments.select("comment_id", "posted_at", F.date_trunc(bucket, "posted_at").alias("_bucket")).join(roots, "comment_id")
-    sizes = j.groupBy("root_id", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("root_id").orderBy(F.col("_bucket").asc_nulls_first())
-    sizes = sizes.select("root_id", "_bucket", F.sum("_n").over(Window.partitionBy("root_id")).alias("thread_size"),
-                         (F.sum("_n").over(w) - F.col("_n")).alias("_before"))
-    inside = Window.partitionBy("root_id", "_bucket").orderBy("posted_at", "comment_id")
-    ranked = j.withColumn("_at", F.row_number().over(inside)).withColumnRenamed("root_id", "_root").withColumnRenamed("_bucket", "_in")
-    out = ranked.join(sizes, F.col("_root").eqNullSafe(F.col("root_id")) & F.col("_in").eqNullSafe(F.col("_bucket")))
-    return out.select("root_id", "comment_id", "depth", (F.col("_before") + F.col("_at")).alias("position"), "thread_size")
+    j = comments.select("comment_id", "posted_at").join(roots, "comment_id")
+    out = statistics(j, ["root_id"], [("posted_at", True)], ["comment_id"], position="position", group_size="thread_size", ranges=ranges)
+    return out.select("root_id", "comment_id", "depth", "position", "thread_size")
