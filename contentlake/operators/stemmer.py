@@ -110,7 +110,7 @@ def common_prefix(stem_: str) -> str:
     return stem_[:-2] if stem_.endswith("ble") else stem_[:-1] if stem_.endswith(("e", "i", "y", "bl")) and len(stem_) > 1 else stem_
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=500_000)
 def cached_stem(word: str) -> str:
     return stem(word)
 

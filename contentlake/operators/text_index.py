@@ -16,17 +16,20 @@ A null text holds no words and matches negated terms only. A query without terms
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..session import ship_package
+from ..session import checkpoint_dir, ship_package
 from .retrieval import STOP_WORDS, WebQuery, _hit_cols, parse_websearch
 from .stemmer import cached_stem, common_prefix, stem, stems_udf
 
 BUCKETS = 64
+#: Places of words that a task collects before it passes them on.
+PLACES = 100_000
 KEY = ["source_type", "source_id"]
 
 
@@ -111,18 +114,27 @@ def postings(docs: DataFrame, text_col: str = "content") -> DataFrame:
     def index(batches):
         import pyarrow as pa
         for b in batches:
-            at, stems, places = [], [], []
-            for row, words in enumerate(b.column(len(keys)).to_pylist()):
+            at, stems, places, n = [], [], [], 0
+
+            def packed():
+                take = pa.array(at, pa.int32())
+                return pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), *(b.column(i).take(take) for i in range(len(keys))),
+                                                   pa.array(places, pa.list_(pa.int32()))], names=["stem", *keys, "positions"])
+
+            for row, words in enumerate(b.column(len(keys))):  # one text at a time, whatever the batch holds
                 held: dict[str, list[int]] = {}
-                for i, w in enumerate(words or ()):
+                for i, w in enumerate(words.as_py() or ()):
                     if w not in stop:
                         held.setdefault(cached_stem(w), []).append(i)
+                        n += 1
                 at += [row] * len(held)
                 stems += held
                 places += held.values()
-            take = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), *(b.column(i).take(take) for i in range(len(keys))),
-                                              pa.array(places, pa.list_(pa.int32()))], names=["stem", *keys, "positions"])
+                if n > PLACES:
+                    yield packed()
+                    at, stems, places, n = [], [], [], 0
+            if at:
+                yield packed()
 
     rows = docs.select(*keys, fn.tokens(text_col).alias("words"))
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
@@ -131,7 +143,12 @@ def postings(docs: DataFrame, text_col: str = "content") -> DataFrame:
 
 def write_index(docs: DataFrame, path: str, buckets: int = BUCKETS, text_col: str = "content") -> None:
     """Store the postings of ``docs``, partitioned by a hash bucket of the stem and sorted by stem inside."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")  # long texts travel in small batches
     rows = postings(docs, text_col).withColumn("bucket", stem_bucket("stem", buckets))
+    # Written once as they come: the cut into ranges reads its rows twice, for the borders and for the rows.
+    staged = f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/postings-{uuid.uuid4().hex[:12]}"
+    rows.write.parquet(staged)
+    rows = docs.sparkSession.read.parquet(staged)
     rows.repartitionByRange("bucket", "stem", F.xxhash64("source_id")).sortWithinPartitions("bucket", "stem") \
         .write.mode("overwrite").partitionBy("bucket").parquet(path)
 

@@ -5,7 +5,9 @@ two texts' sets. The threshold is a fraction ``num / den``. No step looks at all
 
 * every set is sorted by one order of all trigrams, the rarest first (exact frequencies of the whole
   table); two sets at the threshold share a trigram among the first ``n - ceil(t * n) + 1`` of each, and at
-  least ``k`` among the first ``k - 1`` more (prefix filter with a count filter of ``LEAST`` shared trigrams),
+  least ``k`` among the first ``k - 1`` more (prefix filter with a count filter of ``least`` shared trigrams:
+  more of them suit long texts and low thresholds, one suits short texts, where a longer prefix would reach
+  trigrams that all of them share),
 * the smaller set has at least ``t`` times the trigrams of the larger (length filter), and what stands before
   and after a shared trigram in both bounds the overlap (position filter),
 * what is left is verified by the sets themselves.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 
 #: Shared trigrams that a candidate pair needs among the prefixes (fewer where a pair needs fewer at all).
-LEAST = 3
+LEAST_PAIRS, LEAST_LOOKUP = 1, 4
 
 
 @dataclass(frozen=True)
@@ -92,7 +94,7 @@ def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, num: int, den
             .drop("_both", "_all", "grams", "grams2")
 
 
-def similar_pairs(index: TrigramIndex, num: int, den: int, least: int = LEAST) -> DataFrame:
+def similar_pairs(index: TrigramIndex, num: int, den: int, least: int = LEAST_PAIRS) -> DataFrame:
     """All pairs of different texts of the index at ``num / den``, each once (id < id2), with both texts, how
     many rows hold each (n_rows, n_rows2) and their similarity."""
     p = _prefix(index.postings, num, den, least)
@@ -100,7 +102,7 @@ def similar_pairs(index: TrigramIndex, num: int, den: int, least: int = LEAST) -
     return _verified(_candidates(p, q, num, den, least, once=True), index.sets, index.sets, num, den)
 
 
-def lookup(index: TrigramIndex, questions: DataFrame, num: int, den: int, id_col: str, text_col: str, least: int = LEAST) -> DataFrame:
+def lookup(index: TrigramIndex, questions: DataFrame, num: int, den: int, id_col: str, text_col: str, least: int = LEAST_LOOKUP) -> DataFrame:
     """Per question (id_col, text_col; ids are keys) the texts of the index at ``num / den``: question as id2,
     text2, n2."""
     asked = questions.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
