@@ -7,8 +7,8 @@ that of ``retrieval.parse_websearch``.
 
 ``search_texts`` reads the texts once and shuffles nothing: only tokens that begin like a stem of the query
 are stemmed. ``write_index`` stores one row per (stem, document) with the sorted positions, dealt out by
-ranges of (bucket, stem, document), so a stem in a third of all documents is written by many tasks, and rows
-of a stem lie together in few files. ``search_index`` reads the buckets of the query's stems only; phrases
+buckets of stems and parts of the documents, so a stem in a third of all documents is written by many tasks,
+and rows of a stem lie together in each file. ``search_index`` reads the buckets of the query's stems only; phrases
 are intersections of shifted position lists.
 
 A null text holds no words and matches negated terms only. A query without terms finds nothing.
@@ -16,14 +16,13 @@ A null text holds no words and matches negated terms only. A query without terms
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..session import checkpoint_dir, ship_package
+from ..session import ship_package
 from .retrieval import STOP_WORDS, WebQuery, _hit_cols, parse_websearch
 from .stemmer import cached_stem, common_prefix, stem, stems_udf
 
@@ -145,11 +144,10 @@ def write_index(docs: DataFrame, path: str, buckets: int = BUCKETS, text_col: st
     """Store the postings of ``docs``, partitioned by a hash bucket of the stem and sorted by stem inside."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")  # long texts travel in small batches
     rows = postings(docs, text_col).withColumn("bucket", stem_bucket("stem", buckets))
-    # Written once as they come: the cut into ranges reads its rows twice, for the borders and for the rows.
-    staged = f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/postings-{uuid.uuid4().hex[:12]}"
-    rows.write.parquet(staged)
-    rows = docs.sparkSession.read.parquet(staged)
-    rows.repartitionByRange("bucket", "stem", F.xxhash64("source_id")).sortWithinPartitions("bucket", "stem") \
+    # Dealt out by (bucket, part of the documents): the parts grow with the tasks, so a bucket with a stem that a
+    # third of all documents hold is written by many of them, and the texts are read and stemmed once.
+    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    rows.repartition("bucket", F.pmod(F.xxhash64("source_id"), F.lit(parts))).sortWithinPartitions("bucket", "stem") \
         .write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
