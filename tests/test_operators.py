@@ -8,6 +8,7 @@ from contentlake.operators import identity as I
 from contentlake.operators import merge as M
 from contentlake.operators import retrieval as RT
 from contentlake.operators import vector as V
+from contentlake.operators import vector_blocks as VB
 from contentlake.schema import PlanError, check_scrape_mode
 
 
@@ -56,9 +57,11 @@ def test_cosine_topk_matches_brute_force(spark):
     got = [r["id"] for r in V.cosine_topk(df, "v", q.tolist(), 7, ["id"]).collect()]
     sims = (m @ q) / (np.linalg.norm(m, axis=1) * np.linalg.norm(q))
     assert got == list(np.argsort(-sims)[:7])
-    assigned, cents = V.ivf_build(df, "v", 4)
-    full = [r["id"] for r in V.ivf_search(assigned, cents, "v", q.tolist(), 7, ["id"], probes=4).collect()]
-    assert full == got  # probing every list is exact
+    asked = spark.createDataFrame([(1, q.tolist())], "qid long, q array<double>")
+    cents = VB.train(df, "v", 4)
+    lists = VB.pack(VB.assign(df, "v", cents), "v", ["id"], "list_id")
+    full = VB.lists_topk(lists, cents, ["id"], asked, "qid", "q", 7, probes=4)
+    assert [r["id"] for r in full.orderBy("rank").collect()] == got  # probing every list is exact
 
 
 def test_scrape_modes():
