@@ -11,14 +11,19 @@ sums, themselves bit slices, are searched from the most significant slice downwa
 largest sum; rows within the quantisation error of it are the boundary, and their scores are
 computed exactly. Each block yields at most k rows per query, and the k best of all blocks remain.
 
-Queries travel in blocks of ``query_block`` rows and meet every row block (a stated query set
-against all rows). A task holds one row block and one query block.
-
-Defined results: a vector that is null, empty or holds a null or non-finite component, or one of
-2^30 / scale or more in size, takes no part; nor does a row without an id. Vectors are compared only
-with vectors of the same length. Rows that repeat (id and vector) count once; a query's own id is no
-candidate. Ties go to the smaller id. Inner products must fit in 64 bits, as they do below 2^30 at
-fewer than eight components, or at 2^20 at any length up to 2^22.
+The rows of a block and a run of query blocks meet in one task, sorted so that the rows come first: the
+index of a block is built once for ``passes`` query blocks, which then stream past it in batches.
+
+The slices hold components below 2^20 in size. A row with a larger one is kept beside them: it is a
+boundary row of every query, and its score is computed exactly, in limbs of 20 bits. So is every score
+of a query with such a component.
+
+Defined results: a vector that is null, empty or holds a null or non-finite component (before or after
+scaling) takes no part; nor does a row without an id. Vectors are compared only with vectors of the same
+length. Rows that repeat (id and vector) are stored once with their number, and each of them
+counts as a candidate; rows with the query's own id are no candidates. Query rows that share an id are one query,
+whose pairs are ranked together. Ties go to the smaller id. A score beyond 64 bits is given as the
+nearest long, but ranked by its exact value.
 """
 
 from __future__ import annotations
@@ -33,14 +38,44 @@ from pyspark.sql.window import Window
 
 #: Lowest slices left to the exact step.
 DROP = 2
-LIMIT = 1 << 30
+#: Sizes of components from here on are not sliced; a limb has as many bits.
+LIMB = 20
+LIMIT = 1 << LIMB
+LONG = 1 << 63
 
 
-def quantise(vector: Column, scale: int) -> Column:
-    """Array of longs, or null if the vector takes no part."""
-    v = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * scale < LIMIT))
-    return F.when((F.size(vector) > 0) & fine, v)
+def usable(vector: Column, scale: int) -> Column:
+    """Whether the vector takes part."""
+    scaled = lambda x: F.abs(x.cast("double")) * F.lit(float(scale))
+    return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & (scaled(x) < F.lit(float("inf")))), F.lit(False))
+
+
+def limbs(v: np.ndarray) -> list[np.ndarray]:
+    """Whole-numbered doubles as limbs of ``LIMB`` bits, lowest first; the last one has the sign."""
+    out = []
+    while np.abs(v).max(initial=0) >= LIMIT:
+        high = np.floor(v / LIMIT)  # exact, as LIMIT is a power of two
+        out.append((v - high * LIMIT).astype(np.int64))
+        v = high
+    return [*out, v.astype(np.int64)]
+
+
+def dots(rows: list[np.ndarray], query: list[np.ndarray]) -> list[int]:
+    """Inner products of every row with the query, each given in limbs, as Python integers."""
+    total = np.zeros(len(rows[0]), dtype=object)
+    for i, a in enumerate(rows):
+        for j, b in enumerate(query):
+            total += (a @ b).astype(object) << LIMB * (i + j)
+    return total.tolist()
+
+
+def beyond(score: int) -> bytes:
+    """Orders scores that are given as the same longest long: empty within 64 bits."""
+    if -LONG < score < LONG - 1:
+        return b""
+    size = abs(score).to_bytes((abs(score).bit_length() + 7) // 8, "big")
+    key = len(size).to_bytes(2, "big") + size
+    return key if score > 0 else bytes(255 - x for x in key)
 
 
 def _slices(x: np.ndarray) -> np.ndarray:
@@ -111,77 +146,122 @@ def _kth(sums: list[np.ndarray | None], k: int, rows: np.ndarray) -> int:
     return value
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(position of the query, ids, exact scores) of each query's k best rows of one block."""
-    low = x.min(axis=0)
-    slices = _slices(x - low)[DROP:]
-    bits, dims = len(slices), x.shape[1]
-    everything = np.packbits(np.ones(len(x), np.uint8))
-    for n in range(len(q)):
-        own = np.packbits((ids != q_ids[n]).astype(np.uint8)) & everything
+class Block:
+    """The index of one block: bit slices of the rows within range, limbs of the others."""
+
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, v: np.ndarray):
+        wide = (np.abs(v) >= LIMIT).any(axis=1)
+        self.v, self.ids, self.copies, self.x = v, ids[~wide], copies[~wide], v[~wide].astype(np.int64)
+        self.every_id, self.every_copies = ids, copies
+        self.wide_ids, self.wide_copies, self.wide = ids[wide], copies[wide], limbs(v[wide]) if wide.any() else []
+        self.slices = _slices(self.x - self.x.min(axis=0))[DROP:] if len(self.x) else None
+        self.everything = np.packbits(np.ones(len(self.x), np.uint8))
+
+    def boundary(self, q_id: int, q: np.ndarray, k: int) -> np.ndarray:
+        """Positions of the sliced rows that may be among the k best."""
+        own = np.packbits((self.ids != q_id).astype(np.uint8)) & self.everything
         if not own.any():
-            continue
+            return np.zeros(0, np.int64)
         bins: dict[int, list[np.ndarray]] = {}
         for sign in (1, -1):
-            size = np.maximum(q[n] * sign, 0)
+            size = np.maximum(q * sign, 0)
             for i in range(int(size.max()).bit_length()):
                 on = np.flatnonzero(size >> i & 1)
                 if len(on):
-                    for j in range(bits):
-                        s = slices[j][on]
+                    for j in range(len(self.slices)):
+                        s = self.slices[j][on]
                         bins.setdefault(i + j, []).append(s if sign == 1 else ~s)
         sums = _add(bins) if bins else []
         # A left-out part is between 0 and 2^DROP - 1 in each dimension: the sums are off by less than this.
-        error = (int(np.abs(q[n]).sum()) * ((1 << DROP) - 1) >> DROP) + 1
-        rows = _at_least(sums, _kth(sums, k, own) - error, everything) & own
-        at = np.flatnonzero(np.unpackbits(rows, count=len(x)))
-        score = x[at] @ q[n]
-        best = np.lexsort((ids[at], -score))[:k]
-        yield n, ids[at][best], score[best]
-
-
-OUT = pa.schema([("query_id", pa.int64()), ("query_no", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    a = column.combine_chunks()
-    return a.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(a), -1)
+        error = (int(np.abs(q).sum()) * ((1 << DROP) - 1) >> DROP) + 1
+        rows = _at_least(sums, _kth(sums, k, own) - error, self.everything) & own
+        return np.flatnonzero(np.unpackbits(rows, count=len(self.x)))
+
+    def search(self, q_id: int, q: np.ndarray, k: int) -> tuple[list[int], list[int]]:
+        """Ids and exact scores of the query's k best rows, copies included."""
+        if (np.abs(q) >= LIMIT).any():
+            found = zip(self.every_id.tolist(), dots(limbs(self.v), limbs(q)), self.every_copies.tolist(), strict=True)
+        else:
+            whole = q.astype(np.int64)
+            at = self.boundary(q_id, whole, k) if len(self.x) else np.zeros(0, np.int64)
+            score = self.x[at] @ whole
+            at = at[best := np.lexsort((self.ids[at], -score))[:k]]
+            found = list(zip(self.ids[at].tolist(), score[best].tolist(), self.copies[at].tolist(), strict=True))
+            if self.wide:
+                found += zip(self.wide_ids.tolist(), dots(self.wide, [whole]), self.wide_copies.tolist(), strict=True)
+        ids, scores = [], []
+        for score, i, n in sorted((-score, i, n) for i, score, n in found if i != q_id):
+            n = min(n, k - len(ids))
+            ids += [i] * n
+            scores += [-score] * n
+            if len(ids) == k:
+                break
+        return ids, scores
+
+
+OUT = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.int64()), ("beyond", pa.binary())])
+KEY = ("dims", "block", "pass")
+
+
+def _matrix(column: pa.Array, scale: int) -> np.ndarray:
+    return np.floor(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) * float(scale))
+
+
+def _search(k: int, scale: int):
+    """Arrow function over partitions sorted by ``KEY`` and ``is_query``: a block's rows, then its queries."""
+    def answers(block: Block, part: pa.RecordBatch) -> pa.RecordBatch:
+        q = _matrix(part.column("v"), scale)
+        out: tuple[list, list, list] = [], [], []
+        for n, q_id in enumerate(part.column("id").to_pylist()):
+            ids, scores = block.search(q_id, q[n], k)
+            for column, values in zip(out, ([q_id] * len(ids), ids, scores), strict=True):
+                column += values
+        score = [max(-LONG, min(LONG - 1, x)) for x in out[2]]
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(score, pa.int64()),
+                                           pa.array(map(beyond, out[2]), pa.binary())], schema=OUT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, block = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*KEY, "is_query")])
+            starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1)] if batch.num_rows else []
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                part = batch.slice(a, b - a)
+                now = tuple(part.column(c)[0].as_py() for c in KEY)
+                if now != key:
+                    key, held, block = now, [], None
+                if not part.column("is_query")[0].as_py():
+                    held.append(part)
+                elif held or block:
+                    if block is None:
+                        block = Block(*(np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in held]) for c in ("id", "copies")),
+                                      np.concatenate([_matrix(p.column("v"), scale) for p in held]))
+                        held = []
+                    yield answers(block, part)
+
+    return run
 
 
 def topk(rows: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, scale: int = 1024, block: int = 16384,
-         query_block: int = 512) -> DataFrame:
-    """``query_id, rank, <id_col>, score``: the k best rows of every query. ``block`` and
-    ``query_block`` bound what a task holds."""
-    spark = rows.sparkSession
-
+         query_block: int = 512, passes: int = 16) -> DataFrame:
+    """``query_id, rank, <id_col>, score``: the k best rows of every query. ``block`` bounds the rows that a
+    task holds; they are copied once for every ``passes * query_block`` queries."""
     def prepared(df: DataFrame) -> DataFrame:
-        v = df.select(F.col(id_col).cast("long").alias("id"), quantise(F.col(vector), scale).alias("v"))
-        return v.where(F.col("id").isNotNull() & F.col("v").isNotNull()).distinct()
-
-    def blocks(df: DataFrame, size: int) -> tuple[DataFrame, int]:
-        # The number of blocks follows from the table's length; a hash deals rows to them evenly.
-        n = max(1, -(-df.count() // size))
-        v = prepared(df)
-        return v.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")).withColumn("dims", F.size("v")), n
-
-    x, n_x = blocks(rows, block)
-    q, n_q = blocks(queries, query_block)
-    q = q.withColumn("query_no", F.xxhash64("id", "v"))
-    x = x.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    q = q.withColumnRenamed("block", "q_block").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_x - 1))))
-
-    def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return OUT.empty_table()
-        out = []
-        ids, q_ids, q_no = (t.column(c).to_numpy() for t, c in ((left, "id"), (right, "id"), (right, "query_no")))
-        for n, found, score in search_block(ids, _matrix(left.column("v")), q_ids, _matrix(right.column("v")), k):
-            out.append(pa.table([np.full(len(found), q_ids[n]), np.full(len(found), q_no[n]), found, score], schema=OUT))
-        return pa.concat_tables(out) if out else OUT.empty_table()
-
-    keys = ("dims", "block", "q_block")
-    search.__annotations__ = {"key": tuple, "left": pa.Table, "right": pa.Table, "return": pa.Table}
-    found = x.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(search, "query_id long, query_no long, id long, score long")
-    w = Window.partitionBy("query_id", "query_no").orderBy(F.desc("score"), "id")
+        kind = df.schema[vector].dataType.elementType.simpleString()
+        v = F.col(vector) if kind in ("float", "double") else F.col(vector).cast("array<double>")
+        v = df.where(F.col(id_col).isNotNull() & usable(v, scale)).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+        return v.groupBy("id", "v").agg(F.count(F.lit(1)).alias("copies")).withColumn("dims", F.size("v"))
+
+    # The numbers of blocks follow from the tables' lengths; a hash deals rows to them evenly.
+    n_rows, n_passes = (max(1, -(-df.count() // size)) for df, size in ((rows, block), (queries, passes * query_block)))
+    deal = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    x = prepared(rows).withColumn("is_query", F.lit(False)).withColumn("block", deal(n_rows)).withColumn("pass", every(n_passes))
+    # A query given in n rows has each of its pairs n times.
+    q = prepared(queries).withColumn("copies", F.explode(F.array_repeat("copies", F.least("copies", F.lit(k)).cast("int"))))
+    q = q.withColumn("is_query", F.lit(True)).withColumn("pass", deal(n_passes)).withColumn("block", every(n_rows))
+    both = x.unionByName(q).repartition(*KEY).sortWithinPartitions(*KEY, "is_query")
+    found = both.mapInArrow(_search(k, scale), "query_id long, id long, score long, beyond binary")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "id")
     best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

@@ -347,6 +347,33 @@ def test_rule_ensemble_edge_cases(spark, edge, none):
 
 # 8 -------------------------------------------------------------------------------------------------
 
+def check_topk(df, vectors, every, block):
+    """Against a list of all rows: copies are candidates of their own, and a query's rows are ranked together."""
+    got = Counter((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in rows(
+        bit_sliced_topk.topk(df, df.where(f"vec_id % {every} = 0"), 10, "vec_id", "embedding", block=block, query_block=8, passes=2)))
+    fine = [(i, [math.floor(1024 * float(np.float32(c))) for c in x]) for i, x in vectors
+            if i is not None and x and all(c is not None and math.isfinite(c) for c in x)]
+    want = Counter()
+    for q in {i for i, _ in fine if i % every == 0}:
+        s = sorted((-sum(a * b for a, b in zip(v, x, strict=True)), i) for n, v in fine if n == q
+                   for i, x in fine if i != q and len(x) == len(v))
+        want.update((q, n + 1, i, max(-2 ** 63, min(2 ** 63 - 1, -score))) for n, (score, i) in enumerate(s[:10]))
+    assert got == want
+
+
+@pytest.mark.parametrize("block", [3, 4000])
+def test_bit_sliced_topk_of_large_components_and_copies(spark, block):
+    schema = "vec_id long, embedding array<float>"
+    probe = [(0, [1.0, 2.0]), (1, [2e6, 0.0]), (2, [0.5, 0.5]), (2, [0.5, 0.5]), (3, [0.25, 0.0])]
+    got = rows(bit_sliced_topk.topk(spark.createDataFrame(probe, schema), spark.createDataFrame(probe[:1], schema), 10, "vec_id", "embedding", block=block))
+    assert [(x["rank"], x["vec_id"]) for x in sorted(got, key=lambda x: x["rank"])] == [(1, 1), (2, 2), (3, 2), (4, 3)]
+    r = np.random.default_rng(4)
+    vectors = [(i, (r.normal(0, 1, 3) * 10.0 ** r.integers(-2, 5)).astype("f4").tolist()) for i in range(60)]
+    vectors += [(60 + i, (r.normal(0, 1, 3) * 10.0 ** r.integers(5, 30)).astype("f4").tolist()) for i in range(25)]
+    vectors += [vectors[5]] * 30 + [vectors[70]] * 3 + [vectors[0]] * 2 + [(10, [1.0, -2.0, 3e7]), (90, [3e38, -3e38, 1e30])]
+    check_topk(spark.createDataFrame(vectors, schema).repartition(4), vectors, 5, block)
+
+
 @pytest.mark.parametrize("block", [16, 4000])
 def test_bit_sliced_topk_equals_brute_force(spark, block):
     r = np.random.default_rng(2)
@@ -355,15 +382,7 @@ def test_bit_sliced_topk_equals_brute_force(spark, block):
     vectors = [(i, x.tolist()) for i, x in enumerate(v)] + [(300, None), (301, []), (302, [0.1, None, 0.1, 0.1, 0.1]), (303, [math.nan] * 5),
                (304, [math.inf] * 5), (None, [0.1] * 5), (305, [0.5, 0.5]), (310, [0.25, -0.5]), (7, v[7].tolist())]
     df = spark.createDataFrame([(i, x, "own") for i, x in vectors], "vec_id long, embedding array<float>, rank string")
-    got = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in rows(
-        bit_sliced_topk.topk(df, df.where("vec_id % 10 = 0"), 10, "vec_id", "embedding", block=block, query_block=8))}
-    fine = {i: [math.floor(1024 * float(np.float32(c))) for c in x] for i, x in vectors
-            if i is not None and x and all(c is not None and math.isfinite(c) for c in x)}
-    want = {}
-    for q in (i for i in fine if i % 10 == 0):
-        s = sorted((-sum(a * b for a, b in zip(fine[q], x, strict=True)), i) for i, x in fine.items() if i != q and len(x) == len(fine[q]))
-        want |= {(q, n + 1): (i, -score) for n, (score, i) in enumerate(s[:10])}
-    assert got == want
+    check_topk(df, vectors, 10, block)
     assert rows(bit_sliced_topk.topk(df.limit(0), df.limit(0), 10, "vec_id", "embedding")) == []
 
 
