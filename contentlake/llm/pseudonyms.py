@@ -9,8 +9,13 @@ halves, and ten rounds of an alternating Feistel network add a keyed hash of one
 What counts as a value is validated first: card numbers by their check digit, addresses by the range
 of their parts, dates by the calendar, telephone numbers by their shape and digit count, bank
 account numbers by their remainder. Card and account numbers get their check digits anew, so a valid
-number stays valid; dates stay dates between 1900 and 2099 (cycle walking); e-mail addresses keep
-their shape and last label; keys and passwords keep their prefixes.
+number stays valid; dates stay dates between 1900 and 2099 that are written alike (cycle walking); social security
+numbers are permuted among the valid areas, groups and serials; e-mail addresses keep
+their shape and last label; keys and passwords keep their prefixes. Letters stay in their block of letters
+(``BLOCKS``); those of other blocks stay as they are.
+
+Every pattern takes time linear in the text. Not looked for: telephone numbers without any separator
+or leading plus, dates in words, names.
 
 Where a card or account number may run on into a number or word beside it, its shorter forms are
 tried too, and then every later start. A row of digit groups that is no card number may pass the
@@ -25,6 +30,7 @@ permutation of its format; no pattern here accepts one.
 from __future__ import annotations
 
 import datetime as dt
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
@@ -77,18 +83,32 @@ def permute(digits: list[int], radices: list[int], key: bytes, kind: str, back:
     return _digits(a, radices[:h]) + _digits(b, radices[h:])
 
 
-_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_DIGITS, _UPPER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: First and last code points of digits and of the letters of one case or script.
+BLOCKS = tuple(range(a, b + 1) for a, b in (
+    (0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xDE), (0xDF, 0xF6), (0xF8, 0xFF), (0x100, 0x17F), (0x391, 0x3A1),
+    (0x3A3, 0x3A9), (0x3B1, 0x3C9), (0x410, 0x42F), (0x430, 0x44F), (0x5D0, 0x5EA), (0x620, 0x63F), (0x641, 0x64A), (0x3041, 0x3096),
+    (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)))
+
+
+#: Longer values are permuted by parts of as many characters, each in its own way: big numbers take quadratic time.
+PART = 256
 
 
 def permute_text(value: str, key: bytes, kind: str, alphabet: str | None = None, back: bool = False) -> str:
-    """Permutes a string: digits stay digits, letters stay letters of their case (or, with an
+    """Permutes a string: digits stay digits, letters stay letters of their block (or, with an
     ``alphabet``, all of its characters mix); other characters stay where they are."""
-    sets = [alphabet if alphabet and c in alphabet else next((s for s in (_DIGITS, _LOWER, _UPPER) if c in s), None) for c in value]
+    mixed = [ord(c) for c in alphabet or ""]
+    block = {c: mixed if ord(c) in mixed else next((s for s in BLOCKS if ord(c) in s), None) for c in set(value)}
+    sets = [block[c] for c in value]
     at = [i for i, s in enumerate(sets) if s]
-    new = permute([sets[i].index(value[i]) for i in at], [len(sets[i]) for i in at], key, kind, back)
+    new = []
+    for a in range(0, len(at), PART):
+        part = at[a:a + PART]
+        new += permute([sets[i].index(ord(value[i])) for i in part], [len(sets[i]) for i in part], key, f"{kind}{a or ''}", back)
     out = list(value)
     for i, d in zip(at, new, strict=True):
-        out[i] = sets[i][d]
+        out[i] = chr(sets[i][d])
     return "".join(out)
 
 
@@ -117,6 +137,19 @@ def ip(value: str, key: bytes, back: bool = False) -> str | None:
     return ".".join(map(str, permute([int(p) for p in parts], [256] * 4, key, "ip", back)))
 
 
+def ip6(value: str, key: bytes, back: bool = False) -> str | None:
+    """At least five hex digits; letters of both cases become small ones."""
+    if sum(c != ":" for c in value) < 5:
+        return None
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return None
+    large = value == value.upper() and value != value.lower()
+    new = permute_text(value.lower(), key, "ip6", "0123456789abcdef", back)
+    return new.upper() if large else new
+
+
 def phone(value: str, key: bytes, back: bool = False) -> str | None:
     head = re.match(r"\+\d{1,3}(?=[\s(.-])", value)
     head = head.group(0) if head else ""
@@ -127,8 +160,10 @@ def phone(value: str, key: bytes, back: bool = False) -> str | None:
 
 
 def ssn(value: str, key: bytes, back: bool = False) -> str | None:
-    d = [int(c) for c in value if c in _DIGITS]
-    return _onto(value, permute(d, [10] * len(d), key, "ssn", back))
+    """Numbered by valid area (1 to 899 without 666), group (1 to 99) and serial (1 to 9999)."""
+    area, group, serial = (int(p) for p in value.split("-"))
+    area, group, serial = permute([area - 1 - (area > 666), group - 1, serial - 1], [898, 99, 9999], key, "ssn", back)
+    return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
 def _mod97(text: str) -> int:
@@ -145,33 +180,34 @@ def iban(value: str, key: bytes, back: bool = False) -> str | None:
 
 
 _FIRST, _DAYS = dt.date(1900, 1, 1).toordinal(), (dt.date(2100, 1, 1) - dt.date(1900, 1, 1)).days
-_FORMS = ((re.compile(r"(\d{4})([-/])(\d\d)\2(\d\d)"), (0, 2, 3), "{0:04d}{s}{1:02d}{s}{2:02d}"),
-          (re.compile(r"(\d\d)([./-])(\d\d)\2(\d{4})"), (3, 2, 0), "{2:02d}{s}{1:02d}{s}{0:04d}"))
+_YEAR_FIRST = re.compile(r"(\d{4})([-/])(\d\d)\2(\d\d)")
+_YEAR_LAST = re.compile(r"(\d\d?)([./-])(\d\d?)\2(\d{4})")
 
 
 def date(value: str, key: bytes, back: bool = False) -> str | None:
-    for form, order, shape in _FORMS:
-        if m := form.fullmatch(value):
-            g = m.groups()
-            y, mo, d = (int(g[i]) for i in order)
-            swapped = mo > 12 and order[0] == 3  # month before day
-            if swapped:
-                mo, d = d, mo
-            try:
-                n = dt.date(y, mo, d).toordinal() - _FIRST
-            except ValueError:
-                return None
-            if not 0 <= n < _DAYS:
-                return None
-            while True:  # walk until the number is a day of the range, and one whose order is as clear
-                n = _number(permute(_digits(n, [300, 300]), [300, 300], key, "date" + ("s" if swapped else ""), back), [300, 300])[0]
-                if n < _DAYS:
-                    new = dt.date.fromordinal(n + _FIRST)
-                    if not swapped or new.day > 12:
-                        break
-            parts = (new.year, new.day, new.month) if swapped else (new.year, new.month, new.day)
-            return shape.format(*parts, s=g[1])
-    return None
+    """Year first, or day or month first; a part written with one digit keeps one."""
+    if m := _YEAR_FIRST.fullmatch(value):
+        (year, sep, month, day), swapped = m.groups(), False
+    elif m := _YEAR_LAST.fullmatch(value):
+        day, sep, month, year = m.groups()
+        if swapped := int(month) > 12:  # month before day
+            day, month = month, day
+    else:
+        return None
+    try:
+        n = dt.date(int(year), int(month), int(day)).toordinal() - _FIRST
+    except ValueError:
+        return None
+    if not 0 <= n < _DAYS:
+        return None
+    while True:  # walk until the number is a day of the range that is written alike, and whose order is as clear
+        n = _number(permute(_digits(n, [300, 300]), [300, 300], key, "date" + ("s" if swapped else ""), back), [300, 300])[0]
+        if n < _DAYS:
+            new = dt.date.fromordinal(n + _FIRST)
+            if (not swapped or new.day > 12) and len(str(new.day)) <= len(day) and len(str(new.month)) <= len(month):
+                break
+    y, mo, d = f"{new.year:04d}", f"{new.month:0{len(month)}d}", f"{new.day:0{len(day)}d}"
+    return sep.join((y, mo, d) if value.startswith(year + sep) else (mo, d, y) if swapped else (d, mo, y))
 
 
 def email(value: str, key: bytes, back: bool = False) -> str | None:
@@ -253,16 +289,24 @@ def _whole(m: re.Match) -> Iterator[tuple[int, int]]:
     yield m.span()
 
 
+def _email_spans(m: re.Match) -> Iterator[tuple[int, int]]:
+    """From the first letter or digit of the local part, if it has one."""
+    at = next((i for i in range(m.start(), m.string.index("@", m.start())) if m.string[i].isalnum()), None)
+    return iter(() if at is None else ((at, m.end()),))
+
+
 #: Kind, pattern, pseudonym, and the spans of a match that may be values in order of preference. Order
 #: matters: a span taken by an earlier entry is not looked at again.
 PATTERNS: tuple[tuple[str, str, Callable[..., str | None], Callable[[re.Match], Iterator[tuple[int, int]]]], ...] = (
     ("secret", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\b(?:gh[pousr]_|sk-|xox[abprs]-)[0-9A-Za-z-]{16,}"
                r"|(?i:\b(?:api[_-]?key|token|passw(?:or)?d|secret)\s*[=:]\s*[\"']?)[0-9A-Za-z+/_-]{8,}", secret, _whole),
-    ("email", r"\b[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}\b", email, _whole),
+    # Whole runs of a local part's characters, each looked at once; letters of all scripts.
+    ("email", r"(?<![\w.%+-])[\w.%+-]++@(?:[\w-]++\.)+[A-Za-z]{2,}+", email, _email_spans),
     ("iban", _IBAN, iban, _national_iban_spans),
     ("iban", _IBAN, iban, _iban_spans),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)", ip, _whole),
-    ("date", r"(?<!\d)(?:\d{4}([-/])\d\d\1\d\d|\d\d([./-])\d\d\2\d{4})(?!\d)", date, _whole),
+    ("ip", r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}|:)(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])", ip6, _whole),
+    ("date", r"(?<!\d)(?:\d{4}([-/])\d\d\1\d\d|\d\d?([./-])\d\d?\2\d{4})(?!\d)", date, _whole),
     ("card", _CARD, card, _card_spans),
     ("card", _CARD, card, _other_card_spans),
     ("ssn", r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])", ssn, _whole),
@@ -271,22 +315,27 @@ PATTERNS: tuple[tuple[str, str, Callable[..., str | None], Callable[[re.Match],
 )
 #: Kinds searched on behind every match, whose length has no bound; others from the next start if the match is no value.
 BEHIND = ("secret", "email")
-#: No pattern fits a text without one of these.
-_HINT = re.compile(r"\d{2}|@|(?i:passw|token|secret|api[_-]?key)|sk-|xox|gh[pousr]_")
+#: No pattern of a kind fits a text without this (a test holds the patterns' shortest matches against it).
+HINTS = {"secret": r"AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|(?i:passw|token|secret|api[_-]?key)", "email": "@", "ip": r"\d\.\d|:[0-9A-Fa-f]{0,4}:",
+         "date": r"\d[./-]\d"} | dict.fromkeys(("iban", "card", "ssn", "phone"), r"\d\d")
 
 
 class Pseudonymizer:
     def __init__(self, key: bytes):
         self.key = key
-        self.patterns = [(kind, re.compile(p, re.ASCII), f, cut) for kind, p, f, cut in PATTERNS]
+        self.hints = {kind: re.compile(p, re.ASCII) for kind, p in HINTS.items()}
+        self.patterns = [(kind, re.compile(p, 0 if kind == "email" else re.ASCII), f, cut) for kind, p, f, cut in PATTERNS]
 
     def __call__(self, text: str | None, back: bool = False) -> tuple[str | None, list[tuple[int, int, str]]]:
         """The text with pseudonyms, and the spans (start, end, kind) of the values."""
-        if not text or not _HINT.search(text):
+        if not text:
             return text, []
+        kinds = {kind for kind, hint in self.hints.items() if hint.search(text)}
         spans: list[tuple[int, int, str, str]] = []
         taken = bytearray(len(text))
         for kind, pattern, make, cut in self.patterns:
+            if kind not in kinds:
+                continue
             at = 0
             while m := pattern.search(text, at):
                 at = m.end() if kind in BEHIND else m.start() + 1
