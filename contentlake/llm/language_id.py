@@ -39,24 +39,23 @@ class LanguageModel:
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = 256, chars: int = 512,
-        max_languages: int = 64) -> LanguageModel:
-    """Dictionaries from at most ``docs_per_lang`` * ``chars`` characters for each of the at most
-    ``max_languages`` languages with the most rows: this bound (about 128 KB a language) is all that
-    reaches the driver. Rows are taken in the order of a hash of their text, and each gives a span
+        spans: int = 16384) -> LanguageModel:
+    """Dictionaries of all languages, each from at most ``docs_per_lang`` spans of ``chars`` characters, and
+    from fewer (one at least) where the languages would share more than ``spans`` (8 million characters):
+    this is all that reaches the driver. Rows are taken in the order of a hash of their text, and each gives a span
     at a place that the hash decides; equal texts count once."""
     h = F.xxhash64(text)
     rows = train.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(
         F.col(lang).alias("l"), h.alias("h"),
         F.substring(F.col(text), (1 + F.pmod(F.shiftright(h, 8), F.greatest(F.length(text) - chars, F.lit(1)))).cast("int"),
                     F.lit(chars)).alias("t"))
-    top = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(max_languages)
+    docs_per_lang = max(1, min(docs_per_lang, spans // max(1, rows.select("l").distinct().count())))
     # The least hashes of each language, first within sixteen parts of it: no task gets a whole language.
     part = Window.partitionBy("l", F.pmod("h", F.lit(16))).orderBy("h")
     rows = rows.dropDuplicates(["l", "h"]).withColumn("r", F.row_number().over(part)).where(F.col("r") <= docs_per_lang)
     rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h")))
-    picked = rows.where(F.col("r") <= docs_per_lang).join(F.broadcast(top), "l", "left_semi")
     parts: dict[str, list[tuple[int, str]]] = {}
-    for r in picked.select("l", "r", "t").collect():
+    for r in rows.where(F.col("r") <= docs_per_lang).select("l", "r", "t").collect():
         parts.setdefault(r["l"], []).append((r["r"], r["t"]))
     langs = tuple(sorted(parts))
     return LanguageModel(langs, tuple("\n".join(t for _, t in sorted(parts[k])).lower().encode() for k in langs))

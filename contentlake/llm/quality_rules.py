@@ -1,13 +1,15 @@
 """Quality rules with risk-controlled cutoffs (operator 5), DataFrame functions only.
 
-Every rule rejects a text whose statistic lies above a cutoff. The cutoffs are chosen per stratum
-(band of text length) from labelled good documents: for each cutoff of a fixed grid, the false
-rejections among n good holdout texts are counted, and the cutoff is certified only if the exact
-binomial test shows that its false-rejection rate is at most ``risk / rules`` -- that is, if
-P(Binomial(n, risk / rules) <= false rejections) <= delta / tests, where tests counts every
-(rule, stratum, cutoff) tried (Bonferroni). This is the Clopper-Pearson upper bound written as a
-test. By the union bound, with probability 1 - delta no stratum loses more than ``risk`` of its good
-documents. A stratum whose holdout is too small certifies nothing and rejects nothing.
+Every rule rejects a text whose statistic lies above a cutoff. The cutoffs of all rules stand on one
+ladder of steps from lax to strict, fixed beforehand, so the texts rejected at a step are among those of the next. Per
+stratum (band of text length), a step is tested on labelled good documents: among n good holdout texts, those that
+any rule rejects are counted, and the step is certified if the exact
+binomial test shows that the joint false-rejection rate is at most ``risk`` -- that is, if
+P(Binomial(n, risk) <= false rejections) <= delta / strata (Bonferroni over the strata). This is the
+Clopper-Pearson upper bound written as a test. The steps are tested in order and the first failure
+ends the sequence: by fixed-sequence testing this needs no correction over steps, and by the union
+bound, with probability 1 - delta no stratum loses more than ``risk`` of its good
+documents. A stratum whose holdout is too small (under 436 texts at the defaults) certifies nothing and rejects nothing.
 
 Defined results: null and empty texts have all counts 0; they fail the base rule (fewer than 10
 words). Rows repeat as they are given. Labels that are null are ignored; a document with both
@@ -24,8 +26,16 @@ from ..session import materialize
 from .common import free_name
 from .text_stats import with_stats
 
-#: Cutoffs tried for every ratio, the same for all data: part of the multiple-testing count.
-GRID = (0.0, 0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3, 0.45, 0.6, 0.8)
+#: Cutoffs of every rule by step, the same for all data.
+LADDER = {
+    "symbols": (0.8, 0.5, 0.3, 0.2, 0.12, 0.08, 0.05, 0.03, 0.02, 0.01, 0.005),
+    "dup_lines": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1),
+    "repeats": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15),
+    "same_words": (0.995, 0.99, 0.985, 0.98, 0.975, 0.97, 0.965, 0.96, 0.955, 0.95, 0.945),
+    "capitals": (0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2),
+    "shouting": (0.8, 0.5, 0.3, 0.2, 0.12, 0.08, 0.05, 0.03, 0.02, 0.01, 0.005),
+}
+STEPS = len(LADDER["symbols"])
 #: Upper word counts of the strata; the last stratum has no upper end.
 STRATA = (100, 300, 1000)
 
@@ -79,24 +89,26 @@ def holdout(rows: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
 
 
 def certify(good: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """One row per stratum with a struct of certified cutoffs per rule (null: the rule stays silent).
+    """One row per stratum with a struct of certified cutoffs per rule (null: the rules stay silent).
 
-    One aggregation counts every (rule, cutoff) at once; its result has at most as many rows as there
-    are strata."""
+    One aggregation counts the joint rejections of all steps at once; its result has at most as many rows
+    as there are strata."""
     rules = rule_values(F.col("s"))
-    rows = good.where(~base_failed(F.col("s"))).select(stratum_of(F.col("s")).alias("stratum"),
-                                                       *[v.alias(k) for k, v in rules.items()])
+    step = F.lit(0)  # steps that reject the text are the last ones
+    for i in reversed(range(STEPS)):
+        hit = F.lit(False)
+        for r, v in rules.items():
+            hit = hit | (v > LADDER[r][i])
+        step = F.when(hit, F.lit(STEPS - i)).otherwise(step)
+    rows = good.where(~base_failed(F.col("s"))).select(stratum_of(F.col("s")).alias("stratum"), step.alias("strict"))
     counts = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[
-        F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r in rules for i, c in enumerate(GRID)])
-    tests = len(rules) * len(GRID) * (len(STRATA) + 1)
-    level, p = delta / tests, risk / len(rules)
-
-    def lowest(r: str) -> Column:
-        tried = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"{r}_{i}").alias("k")) for i, c in enumerate(GRID)])
-        ok = F.filter(tried, lambda x: binomial_cdf(x["k"], F.col("n"), p) <= level)
-        return F.array_min(F.transform(ok, lambda x: x["c"]))
-
-    return counts.select("stratum", F.struct(*[lowest(r).alias(r) for r in rules]).alias("cut"))
+        F.count_if(F.col("strict") >= STEPS - i).alias(f"k{i}") for i in range(STEPS)])
+    level = delta / (len(STRATA) + 1)
+    failed = F.array(*[binomial_cdf(F.col(f"k{i}"), F.col("n"), risk) > level for i in range(STEPS)])
+    first = F.array_position(failed, True)
+    certified = counts.select("stratum", F.when(first == 0, F.lit(STEPS)).otherwise(first - 1).cast("int").alias("step"))
+    return certified.select("stratum", F.struct(*[
+        F.when(F.col("step") > 0, F.get(F.array(*map(F.lit, LADDER[r])), F.col("step") - 1)).alias(r) for r in rules]).alias("cut"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", risk: float = 0.01,

@@ -85,13 +85,15 @@ v as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_fail
 names as (select unnest(['symbols', 'dup_lines', 'repeats', 'same_words', 'capitals', 'shouting']) as rule, unnest(range(1, 7)) as j),
 good as (select distinct t, stratum, x from v where not base_failed and doc_id in (select doc_id from labels where quality is not null
       group by doc_id having min(quality) = 1)),
-k as (select stratum, j, rule, c, count(*) as n, count(*) filter (where x[j] > c) as k
-      from good, names, (select unnest({list(quality_rules.GRID)}::double[]) as c) group by all),
-tails as (select stratum, j, rule, c, case when k > n * p then 1.0 else list_sum(list_transform(range(0, k + 1), lambda i:
+ladder as (select unnest(range(1, {quality_rules.STEPS + 1})) as step, unnest({[list(x) for x in zip(*quality_rules.LADDER.values(), strict=True)]}::double[][]) as c),
+k as (select stratum, step, count(*) as n,
+        count(*) filter (where list_bool_or(list_transform(range(1, 7), lambda j: x[j] > c[j]))) as k from good, ladder group by all),
+tails as (select stratum, step, case when k > n * p then 1.0 else list_sum(list_transform(range(0, k + 1), lambda i:
         exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p)))) end as tail
-      from (select *, 0.01::double / 6 as p from k)),
-cuts as (select stratum, j, rule, min(c) as cut from tails
-      where tail <= 0.05::double / {6 * len(quality_rules.GRID) * (len(quality_rules.STRATA) + 1)} group by all),
+      from (select *, 0.01::double as p from k)),
+certified as (select stratum, coalesce(min(step) filter (where tail > 0.05::double / {len(quality_rules.STRATA) + 1}) - 1, {quality_rules.STEPS}) as step
+      from tails group by stratum),
+cuts as (select stratum, j, rule, c[j] as cut from certified join ladder using (step), names),
 fired as (select rid, string_agg(rule, ',' order by j) as rejected_by from v join cuts on cuts.stratum = v.stratum
       where x[j] > cut group by rid)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
