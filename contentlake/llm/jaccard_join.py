@@ -11,12 +11,18 @@ Two documents link when 100 * intersection >= 90 * union (both bounds are parame
    out. Where H is so large that blocks would hold too few elements to tell sets apart, the lists
    are those of single elements, and a set is listed under its first size - t * size + 12 elements
    in one order of all elements (positions beyond are skipped): linked sets share twelve of these
-   lists (three, with small sets and as many fewer elements). Pairs of short lists are counted, and
-   so many shared lists make a candidate; a long list makes a star, like a block's list. Shingles that very many documents
-   share are left out of the blocks (whatever is left out of all sets alike, the rest still differs
-   in at most H elements) and come last in that order: a common passage makes no candidates. Documents that share a list are candidates; each list gives one star, so its edges
-   are as many as its members, and the stars' components are the clusters inside which links lie.
-   Lists travel as packed arrays, and a list met twice in one task is merged there first.
+   lists (three, with small sets and as many fewer elements). Pairs of such lists are counted, and
+   so many shared lists make a candidate; a block's list makes a star. Shingles that very many sampled
+   documents share are left out of the blocks (whatever is left out of all sets alike, the rest still
+   differs in at most H elements) and come last in that order.
+   A list of more than ``ALL_PAIRS`` members makes no candidates in this first round: its members go on
+   to a second one. A linked pair of which one set has no long list was found in the first round. For
+   the sets of the second round, the lists of all their elements are counted over all of these sets;
+   they are then listed under single elements anew, in the order: elements of short lists, of long
+   ones, common ones. A passage that many documents share thus makes no candidates, however
+   many passages there are, unless a document has little else; only then a long list makes a star.
+   The components of all candidates are the clusters inside which links lie. Lists travel as packed
+   arrays, and a list met twice in one task is merged there first.
 2. Sets of a cluster meet in groups of two parts (``PART_SETS`` sets, ``PART_TOKENS`` elements each),
    every pair of parts once. In a group, an inverted index keeps its lists in blocks of sets ordered
    by size; blocks whose sizes are out of reach are skipped. The overlaps of a set are derived
@@ -59,11 +65,13 @@ WORDS = 250_000
 #: most so many are kept (1.6 MB). This only shapes the lists: every choice gives the same links.
 COMMON_IN, COMMON_SAMPLE, COMMON_MOST = 2, 16_384, 200_000
 #: Lists of single elements: large sets that share ``SHARED`` lists are candidates, small ones that
-#: share a quarter as many. A list with more than ``ALL_PAIRS`` members makes one star of its members
-#: instead, whatever else they share.
+#: share a quarter as many. The members of a list with more than ``ALL_PAIRS`` members are listed anew
+#: in a second round; a list that is as long there makes one star of its members, whatever else they share.
 SHARED, ALL_PAIRS = 12, 64
 #: The two lowest bits of a list's key: how many shared lists make a candidate (all, a quarter, one).
 KIND, MANY, FEW, ONE = map(np.uint64, (3, 0, 1, 2))
+#: What becomes of long lists: their members go to the second round, are told so, or make stars.
+FIRST, COUNT, LAST = range(3)
 #: Blocks with fewer elements than this on average are replaced by lists of single elements.
 LEAST_IN_BLOCK = 7
 #: Entries of index lists that a task gathers before it packs them.
@@ -134,23 +142,35 @@ def block_plan(top: int, num: int, den: int) -> tuple[int, int]:
     return h + 1 + 2 * spare, spare
 
 
+def _element_lists(ordered: np.ndarray, top: int, num: int, den: int) -> np.ndarray:
+    """Keys of the lists of a set's first elements: two linked sets of at most ``top`` elements have
+    ``hits`` of these in common, whatever the order of all elements is."""
+    size, least = len(ordered), top * num * num // (den * den)  # no linked pair of this class has a smaller overlap
+    hits, kind = next((h, k) for h, k in ((SHARED, MANY), (SHARED // 4, FEW), (1, ONE)) if least > h or k == ONE)
+    first = ordered[:size - -(-size * num // den) + hits]
+    return _mix(first + _MULT[3 + int(kind)]) & ~KIND | kind
+
+
+def _is_in(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which tokens are in the sorted array ``known``."""
+    if not len(known):
+        return np.zeros(len(tokens), bool)
+    return known[np.minimum(np.searchsorted(known, tokens), len(known) - 1)] == tokens
+
+
 def signatures(tokens: np.ndarray, common: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of the index lists of a set."""
     if not len(tokens):
         return np.empty(0, np.uint64)
     size, (i, own, following) = len(tokens), size_classes(len(tokens), num, den)
-    often = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens if len(common) else np.zeros(size, bool)
+    often = _is_in(tokens, common)
     rare = tokens[~often]
     out = []
     with np.errstate(over="ignore"):
         for cls, top in ((i, own), (i + 1, following)):
             blocks, spare = block_plan(top, num, den)
             if blocks == 0:
-                # In one order of all elements, two linked sets have ``hits`` of these first elements in common.
-                least = top * num * num // (den * den)  # no linked pair of this class has a smaller overlap
-                hits, kind = next((h, k) for h, k in ((SHARED, MANY), (SHARED // 4, FEW), (1, ONE)) if least > h or k == ONE)
-                first = np.concatenate([rare, tokens[often]])[:size - -(-size * num // den) + hits]
-                out.append(_mix(first + _MULT[3 + int(kind)]) & ~KIND | kind)
+                out.append(_element_lists(np.concatenate([rare, tokens[often]]), top, num, den))
             elif blocks > 1:  # linked sets of a class without differences are equal
                 at = (((rare >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
                 total = np.zeros(blocks, np.uint64)
@@ -160,6 +180,16 @@ def signatures(tokens: np.ndarray, common: np.ndarray, num: int, den: int) -> np
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
+def ranked_signatures(tokens: np.ndarray, long: np.ndarray, common: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys of the index lists of a set in the second round; ``long``: elements whose lists are long."""
+    with np.errstate(over="ignore"):
+        rank = _is_in(tokens, np.unique(long)).astype(np.int8)
+        rank[_is_in(tokens, common) & (rank > 0)] = 2
+        ordered = tokens[np.argsort(rank, kind="stable")]
+        out = [_element_lists(ordered, top, num, den) for top in size_classes(len(tokens), num, den)[1:] if max_difference(top, num, den)]
+    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+
+
 def set_key(tokens: np.ndarray) -> tuple[int, int]:
     """Two 64-bit keys of a set."""
     with np.errstate(over="ignore"):
@@ -224,14 +254,23 @@ def _lists_of(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return sig, key, starts, np.diff(np.concatenate([starts, [len(sig)]]))
 
 
-def _stars(sig: np.ndarray, key: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _stars(sig: np.ndarray, key: np.ndarray, starts: np.ndarray, n: np.ndarray, mode: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (least member, other member) of the lists that make stars."""
-    star = np.repeat((sig[starts] & KIND == ONE) | (n > ALL_PAIRS), n)
+    star = np.repeat((n > ALL_PAIRS) | (sig[starts] & KIND == ONE) if mode == LAST else (n <= ALL_PAIRS) & (sig[starts] & KIND == ONE), n)
     least = np.repeat(key[starts], n)
     other = star & (least != key)
     return least[other], key[other]
 
 
+def _long(sig: np.ndarray, key: np.ndarray, starts: np.ndarray, n: np.ndarray, mode: int) -> tuple[np.ndarray, np.ndarray]:
+    """What is told of the long lists: their (list, member) pairs, or their members alone."""
+    long = np.repeat(n > ALL_PAIRS, n)
+    if mode == COUNT:
+        return sig[long].view(np.int64), key[long]
+    members = np.unique(key[long])
+    return members, members
+
+
 def _pairs(kind: np.uint64, sig: np.ndarray, key: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of the members of the short lists of one kind."""
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -246,14 +285,14 @@ def _pairs(kind: np.uint64, sig: np.ndarray, key: np.ndarray, starts: np.ndarray
 PACKED = "bucket int, edges boolean, a binary, b binary"
 
 
-def _pack(buckets: int):
-    """Rows (key, lists) -> packed lists by bucket, and edges. Of a list that is long in this task alone
-    its star and its first members travel on: enough for the next step to see that it is long."""
+def _pack(buckets: int, mode: int):
+    """Rows (key, lists) -> packed lists by bucket, and edges. What becomes of a list that is long in this
+    task alone is told here; its first members travel on, enough for the next step to see that it is long."""
     def flush(sig: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
         sig, key, starts, n = _lists_of(sig, key)
-        first, other = _stars(sig, key, starts, n)
+        first, other = (_stars if mode == LAST else _long)(sig, key, starts, n, mode)
         place = np.arange(len(sig)) - np.repeat(starts, n)
-        kept = place < np.repeat(np.where(sig[starts] & KIND == ONE, 1, ALL_PAIRS + 1), n)
+        kept = place < np.repeat(np.where((sig[starts] & KIND == ONE) & (mode == LAST), 1, ALL_PAIRS + 1), n)
         sig, key = sig[kept], key[kept]
         bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))  # lists are sorted, and so are their buckets
@@ -280,31 +319,56 @@ def _pack(buckets: int):
     return run
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed rows sorted by bucket -> ``first, h1, hits``: stars' edges count as enough hits, pairs as their share."""
+def _unpack(mode: int):
+    """Packed rows sorted by bucket -> ``first, h1, hits``: stars' edges count as enough hits, pairs as their
+    share. Of long lists, FIRST gives (member, member, -1), COUNT (list, member, 0) and nothing else."""
+    told = {FIRST: -1, COUNT: 0, LAST: SHARED}[mode]
+
     def rows(edges: tuple[np.ndarray, np.ndarray], hits: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(edges[0], pa.int64()), pa.array(edges[1], pa.int64()),
                                            pa.array(np.full(len(edges[0]), hits), pa.int64())], names=["first", "h1", "hits"])
 
     def bucket(parts: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         found = _lists_of(*(np.frombuffer(b"".join(p), kind) for p, kind in zip(zip(*parts, strict=True), (np.uint64, np.int64), strict=True)))
-        yield rows(_stars(*found), SHARED)
-        yield rows(_pairs(MANY, *found), 1)
-        yield rows(_pairs(FEW, *found), 4)
-
-    at, parts = None, []
-    for b in batches:
-        for r in b.to_pylist():
-            if r["edges"]:
-                yield rows((np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64)), SHARED)
-                continue
-            if r["bucket"] != at and parts:
-                yield from bucket(parts)
-                parts = []
-            at = r["bucket"]
-            parts.append((r["a"], r["b"]))
-    if parts:
-        yield from bucket(parts)
+        if mode != LAST:
+            yield rows(_long(*found, mode), told)
+        if mode != COUNT:
+            yield rows(_stars(*found, mode), SHARED)
+            yield rows(_pairs(MANY, *found), 1)
+            yield rows(_pairs(FEW, *found), 4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts = None, []
+        for b in batches:
+            for r in b.to_pylist():
+                if r["edges"]:
+                    yield rows((np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64)), told)
+                    continue
+                if r["bucket"] != at and parts:
+                    yield from bucket(parts)
+                    parts = []
+                at = r["bucket"]
+                parts.append((r["a"], r["b"]))
+        if parts:
+            yield from bucket(parts)
+    return run
+
+
+def _met(members: DataFrame, mode: int) -> DataFrame:
+    """``first, h1, hits`` of the lists of ``members`` (``h1, sigs``)."""
+    tasks = n_tasks(members.sparkSession)
+    packed = members.mapInArrow(_pack(4 * tasks, mode), PACKED)
+    return packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_unpack(mode), "first long, h1 long, hits long")
+
+
+def _rank(common: np.ndarray, num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sigs = [ranked_signatures(np.array(t, np.int64).view(np.uint64), np.array(n, np.int64).view(np.uint64), common, num, den)
+                    for t, n in ((t.values.to_numpy(), n.values.to_numpy() if n.is_valid else [])
+                                 for t, n in zip(b.column("tokens"), b.column("long"), strict=True))]
+            yield pa.RecordBatch.from_arrays([b.column("h1"), _lists(sigs)], names=["h1", "sigs"])
+    return run
 
 
 def _candidate_sets(bitmap: dict[int, bytes], shingle: int):
@@ -441,29 +505,44 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", num: int =
                        F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def _candidates(texts: DataFrame, base: DataFrame, common: np.ndarray, num: int, den: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(``h1, h2, tokens`` of the sets that may have links, each once a task; candidate pairs ``first, h1``)."""
+    met = _met(base.select("h1", "sigs"), FIRST).groupBy("first", "h1").agg(F.sum("hits").alias("hits"))
+    met = materialize(met.where((F.col("hits") >= SHARED) | (F.col("hits") < 0)))
+    edges, again = met.where("hits > 0").select("first", "h1"), met.where("hits < 0").select("h1")
+
+    nodes = met.select(F.explode(F.array("first", "h1")).alias("h1"))
+    bit = F.pmod("h1", F.lit(FILTER_BITS))
+    bits = nodes.select((F.shiftright(bit, 15)).alias("bucket"), bit.bitwiseAND(F.lit(32767)).alias("bit"))
+    bitmap = {r[0]: bytes(r[1]) for r in bits.groupBy("bucket").agg(F.bitmap_construct_agg("bit")).collect()}
+    sets = materialize(texts.select("t").mapInArrow(_candidate_sets(bitmap, shingle), "h1 long, h2 long, tokens array<long>"))
+
+    if not again.isEmpty():
+        some = sets.select("h1", "tokens").join(again, "h1")
+        long = _met(some.select("h1", F.col("tokens").alias("sigs")), COUNT).groupBy("h1").agg(F.collect_list("first").alias("long"))
+        ranked = some.join(long, "h1", "left").mapInArrow(_rank(common, num, den), "h1 long, sigs array<long>")
+        more = _met(ranked, LAST).groupBy("first", "h1").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= SHARED)
+        edges = edges.unionByName(more.select("first", "h1"))
+    return sets, edges
+
+
 def _components(docs: DataFrame, key: Column, kind: str, text: str, num: int, den: int, shingle: int) -> DataFrame:
     """``id`` (the key, of type ``kind``), ``size``, ``set``, ``component`` and ``n_links`` of every row; the component
     of an empty set is null."""
     spark = docs.sparkSession
     checkpoint_dir(spark)
     texts = docs.select(key.alias("id"), F.col(text).alias("t"))
-    base = materialize(texts.mapInArrow(_index(_common(texts, shingle), num, den, shingle),
-                                        f"id {kind}, h1 long, h2 long, size long, sigs array<long>"))
-    tasks = n_tasks(spark)
-    packed = base.select("h1", "sigs").mapInArrow(_pack(4 * tasks), PACKED)
-    edges = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_unpack, "first long, h1 long, hits long")
-    edges = edges.groupBy("first", "h1").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= SHARED)
+    common = _common(texts, shingle)
+    base = materialize(texts.mapInArrow(_index(common, num, den, shingle), f"id {kind}, h1 long, h2 long, size long, sigs array<long>"))
+    sets, edges = _candidates(texts, base, common, num, den, shingle)
     clusters = components(edges, "first", "h1")  # of first keys: two sets that share one only share a cluster
 
     sized = base.select("h1", "h2", "size").distinct().join(clusters.withColumnRenamed("node", "h1"), "h1")
     parts = sized.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / PART_SETS), F.ceil(F.sum("size") / PART_TOKENS))
                                       .cast("int").alias("parts"))
     members = materialize(clusters.join(parts, "root").select(F.col("node").alias("h1"), "root", "parts"))
-    bit = F.pmod("h1", F.lit(FILTER_BITS))
-    bits = members.select((F.shiftright(bit, 15)).alias("bucket"), bit.bitwiseAND(F.lit(32767)).alias("bit"))
-    bitmap = {r[0]: bytes(r[1]) for r in bits.groupBy("bucket").agg(F.bitmap_construct_agg("bit")).collect()}
 
-    sets = texts.select("t").mapInArrow(_candidate_sets(bitmap, shingle), "h1 long, h2 long, tokens array<long>").join(members, "h1")
+    sets = sets.join(members, "h1")
     part = F.pmod(F.xxhash64("h1", "h2"), F.col("parts")).cast("int")
     # A part meets itself and every other part: the group of parts p <= q.
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))

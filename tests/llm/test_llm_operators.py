@@ -544,6 +544,29 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, shingle, num, den,
     assert got == brute_components(docs, shingle, num, den)
 
 
+@pytest.mark.parametrize("shingle,num", [(3, 90), (5, 80)])
+def test_shared_passages_join_no_documents(spark, monkeypatch, shingle, num):
+    """Many passages that each many documents share, of which the sample sees few: no cluster grows
+    from them, also where near copies and documents of passages alone lie among them."""
+    monkeypatch.setattr(jaccard_join, "COMMON_SAMPLE", 15)
+    found, components = [], jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda *a: found.append(components(*a)) or found[-1])
+    r = random.Random(shingle)
+    passages = [" ".join(f"p{i}_{j}" for j in range(50)) for i in range(30)]
+    texts = [" ".join([f"{w}{i}" for w in "abcdefghijklmnopqrstuvwxyz" for i in r.sample(range(10_000), 4)] + r.sample(passages, 2)) for _ in range(1500)]
+    texts += [t + " one more" for t in texts[:30]]
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    got = Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in rows(jaccard_join.join(df, num=num, den=100, shingle=shingle)))
+    assert got == Counter((i, len(t.split()) - shingle + 1, i - 1500 if i >= 1500 else i) for i, t in docs)
+    assert max(x["count"] for x in found[0].groupBy("root").count().collect()) <= 64
+    # Documents of passages alone do join through them; the links are right all the same.
+    docs = [(i, " ".join(r.sample(passages[:4], 2) + [f"own{i % 150}"] * (i % 3 > 0))) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    got = Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in rows(jaccard_join.join(df, num=num, den=100, shingle=shingle)))
+    assert got == brute_components(docs, shingle, num, 100)
+
+
 def test_links_count_once_where_a_part_has_no_sets():
     run = jaccard_join._join_group(90, 100)
     links = {}
