@@ -76,6 +76,8 @@ FIRST, COUNT, LAST = range(3)
 LEAST_IN_BLOCK = 7
 #: Entries of index lists that a task gathers before it packs them.
 PACK = 1_000_000
+#: Entries of a bucket of index lists, as long as there are no more than four buckets a task.
+BUCKET = 50_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MULT = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63,
@@ -354,10 +356,10 @@ def _unpack(mode: int):
     return run
 
 
-def _met(members: DataFrame, mode: int) -> DataFrame:
-    """``first, h1, hits`` of the lists of ``members`` (``h1, sigs``)."""
+def _met(members: DataFrame, mode: int, entries: int) -> DataFrame:
+    """``first, h1, hits`` of the lists of ``members`` (``h1, sigs``), which have about so many entries."""
     tasks = n_tasks(members.sparkSession)
-    packed = members.mapInArrow(_pack(4 * tasks, mode), PACKED)
+    packed = members.mapInArrow(_pack(max(1, min(4 * tasks, entries // BUCKET)), mode), PACKED)
     return packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_unpack(mode), "first long, h1 long, hits long")
 
 
@@ -409,7 +411,10 @@ class BlockedIndex:
         key = tokens * self.blocks + where // BLOCK
         order = np.argsort(key, kind="stable")
         self.postings = where[order]
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=len(vocabulary) * self.blocks))])
+        filled, n = np.unique(key, return_counts=True)
+        self.starts = np.zeros(len(vocabulary) * self.blocks + 1, np.int32)  # most lists are empty in most blocks
+        self.starts[filled + 1] = n
+        np.cumsum(self.starts, out=self.starts)
         self.n = len(sets)
 
     def count(self, tokens: np.ndarray, first: int, last: int) -> np.ndarray:
@@ -507,7 +512,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", num: int =
 
 def _candidates(texts: DataFrame, base: DataFrame, common: np.ndarray, num: int, den: int, shingle: int) -> tuple[DataFrame, DataFrame]:
     """(``h1, h2, tokens`` of the sets that may have links, each once a task; candidate pairs ``first, h1``)."""
-    met = _met(base.select("h1", "sigs"), FIRST).groupBy("first", "h1").agg(F.sum("hits").alias("hits"))
+    def entries(of: DataFrame, lists: str) -> int:
+        return of.agg(F.coalesce(F.sum(F.size(lists).cast("long")), F.lit(0))).first()[0]
+
+    n = entries(base, "sigs")
+    met = _met(base.select("h1", "sigs"), FIRST, n).groupBy("first", "h1").agg(F.sum("hits").alias("hits"))
     met = materialize(met.where((F.col("hits") >= SHARED) | (F.col("hits") < 0)))
     edges, again = met.where("hits > 0").select("first", "h1"), met.where("hits < 0").select("h1")
 
@@ -519,9 +528,9 @@ def _candidates(texts: DataFrame, base: DataFrame, common: np.ndarray, num: int,
 
     if not again.isEmpty():
         some = sets.select("h1", "tokens").join(again, "h1")
-        long = _met(some.select("h1", F.col("tokens").alias("sigs")), COUNT).groupBy("h1").agg(F.collect_list("first").alias("long"))
+        long = _met(some.select("h1", F.col("tokens").alias("sigs")), COUNT, entries(sets, "tokens")).groupBy("h1").agg(F.collect_list("first").alias("long"))
         ranked = some.join(long, "h1", "left").mapInArrow(_rank(common, num, den), "h1 long, sigs array<long>")
-        more = _met(ranked, LAST).groupBy("first", "h1").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= SHARED)
+        more = _met(ranked, LAST, n).groupBy("first", "h1").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= SHARED)
         edges = edges.unionByName(more.select("first", "h1"))
     return sets, edges
 
