@@ -19,8 +19,8 @@ Two documents link when 100 * intersection >= 90 * union (both bounds are parame
    to a second one. A linked pair of which one set has no long list was found in the first round. For
    the sets of the second round, the lists of all their elements are counted over all of these sets;
    they are then listed under single elements anew, in the order: elements of short lists, of long
-   ones, common ones. A passage that many documents share thus makes no candidates, however
-   many passages there are, unless a document has little else; only then a long list makes a star.
+   ones, common ones. Passages that many documents share thus make few candidates, however many
+   passages there are; a long list makes a star only where a document has little else.
    The components of all candidates are the clusters inside which links lie. Lists travel as packed
    arrays, and a list met twice in one task is merged there first.
 2. Sets of a cluster meet in groups of two parts (``PART_SETS`` sets, ``PART_TOKENS`` elements each),
