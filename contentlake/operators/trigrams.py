@@ -1,86 +1,196 @@
 """Fuzzy text (E7): a trigram index with a set-similarity join.
 
-A text's trigrams are those of its padded words (``functions.trigrams``); similarity is the Jaccard index of
-two texts' sets. The threshold is a fraction ``num / den``. No step looks at all pairs:
-
-* every set is sorted by one order of all trigrams, the rarest first (exact frequencies of the whole
-  table); two sets at the threshold share a trigram among the first ``n - ceil(t * n) + 1`` of each, and at
-  least ``k`` among the first ``k - 1`` more (prefix filter with a count filter of ``least`` shared trigrams:
-  more of them suit long texts and low thresholds, one suits short texts, where a longer prefix would reach
-  trigrams that all of them share),
+A text's trigrams are those of its padded words (``functions.trigrams``), each held as one number (three code
+points of 21 bits); similarity is the Jaccard index of two texts' sets. The threshold is a fraction
+``num / den``. No step looks at all pairs:
+
+* every set is sorted by one order of all trigrams, the rarest first (counts of the whole table by ``BINS``
+  hash bins, so their number does not grow); of the trigrams that two sets at the threshold share, the k-th
+  is among the first ``n - ceil(t * n) + k`` of each (prefix filter),
 * the smaller set has at least ``t`` times the trigrams of the larger (length filter), and what stands before
   and after a shared trigram in both bounds the overlap (position filter),
 * what is left is verified by the sets themselves.
 
+``lookup`` needs ``least`` shared trigrams among the prefixes (count filter). Two bitmaps of 64 bits bound the
+difference of two sets before a candidate pair leaves the join.
+
 Equal texts are one entry with a number of rows: a text that a third of all rows hold is compared once.
-Trigrams that many texts share come last in every set, so they are in few prefixes; where texts hold nothing
-else, the join on one trigram is split by Spark's skew join.
 
-The index is two written tables: ``sets`` (id, text, n_rows, n, grams) and ``postings`` (gram, id, n, pos),
-dealt out and sorted by ranges of (gram, id). Null texts and texts without a letter or digit have no
-trigrams: they are not in the index and similar to nothing.
+The index is three written tables: ``sets`` (id, text, n_rows, n, grams), ``counts`` (bin, c) and ``postings``
+(gram, ids, ns, places): each task writes the postings of its texts in runs sorted by trigram, one row for all
+texts of a run that hold it, so nothing but the texts is shuffled. Null texts and texts without a letter or
+digit have no trigrams: they are not in the index and similar to nothing.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from .. import functions as fn
+from ..session import ship_package
 
-#: Shared trigrams that a candidate pair needs among the prefixes (fewer where a pair needs fewer at all).
-LEAST_PAIRS, LEAST_LOOKUP = 1, 4
+#: Shared trigrams that a candidate pair of a lookup needs among the prefixes (fewer where it needs fewer at all).
+LEAST_LOOKUP = 4
+#: The same for pairs.
+LEAST_PAIRS = 1
+#: Hash bins in which trigrams are counted.
+BINS = 1 << 18
+#: Postings that a task collects before it writes them as one run.
+RUN = 1_000_000
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class TrigramIndex:
     sets: DataFrame
     postings: DataFrame
+    counts: DataFrame
 
 
 def _ceil(a, b: int) -> Column:
     return F.expr(f"({a} + {b} - 1) div {b}")
 
 
-def _ordered(texts: DataFrame, frequency: DataFrame, id_col: str) -> DataFrame:
-    """(id, n, grams): each text's trigrams, the rarest of the index first (unknown ones before all)."""
-    grams = texts.select(id_col, F.explode(fn.trigrams("text")).alias("gram")).join(frequency, "gram", "left")
-    order = F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("gram"))))
-    return grams.groupBy(id_col).agg(order.alias("xs")).select(id_col, F.size("xs").cast("long").alias("n"), F.transform("xs", lambda x: x["gram"]).alias("grams"))
-
-
-def frequencies(sets: DataFrame) -> DataFrame:
-    return sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+def _hash(grams: np.ndarray, bits: int) -> np.ndarray:
+    return ((grams.astype(np.uint64) * MIX) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, values) of an Arrow array of lists of numbers."""
+    return np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def _numbers(padded: pa.Array) -> pa.Array:
+    """Ascending distinct trigrams of words that have three spaces around them."""
+    out, ends = [], [0]
+    for x in padded:
+        u = np.frombuffer(x.as_py().encode("utf-32-le"), np.uint32).astype(np.int64)
+        a, b, c = u[:-2], u[1:-1], u[2:]
+        grams = np.unique((a << 42 | b << 21 | c)[(b != 32) | ((a == 32) & (c != 32))])
+        out.append(grams)
+        ends.append(ends[-1] + len(grams))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out) if out else [], pa.int64()))
+
+
+def _with_grams(texts: DataFrame) -> DataFrame:
+    """Adds n and grams to rows with a text; those without a trigram go."""
+    ship_package(texts.sparkSession)
+    texts.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")  # long texts travel in small batches
+    padded = F.concat(F.lit("   "), F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "   "), F.lit("   "))
+    return texts.withColumn("grams", _numbers(padded)).withColumn("n", F.size("grams").cast("long")).where("n > 0")
+
+
+def _counted(sets: DataFrame) -> DataFrame:
+    """(bin, c): how many sets hold a trigram of the bin, counted once for each such trigram."""
+    def count(batches):
+        c = np.zeros(BINS, np.int64)
+        for b in batches:
+            c += np.bincount(_hash(_flat(b.column(0))[1], 18), minlength=BINS)
+        held = np.flatnonzero(c)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(c[held])], names=["bin", "c"])
+
+    return sets.select("grams").mapInArrow(count, "bin long, c long").groupBy("bin").agg(F.sum("c").alias("c"))
+
+
+def _weights(counts: DataFrame) -> np.ndarray:
+    """The counts by bin: at most ``BINS`` numbers, whatever the table's size."""
+    out, rows = np.zeros(BINS, np.int64), counts.toPandas()
+    out[rows["bin"].to_numpy(np.int64)] = rows["c"].to_numpy(np.int64)
+    return out
+
+
+def _order(lengths: np.ndarray, grams: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Permutation that sorts each set of ``grams`` by the index's order, the rarest first."""
+    return np.lexsort((grams, weights[_hash(grams, 18)], np.repeat(np.arange(len(lengths)), lengths)))
+
+
+def _ranked(sets: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(id, n, grams, b0, b1): trigrams in the index's order, and bitmaps of 64 hash bits each."""
+    def rank(batches):
+        for b in batches:
+            lists = b.column(2)
+            lengths, grams = _flat(lists)
+            ends = np.concatenate(([0], np.cumsum(lengths)))
+            grams = grams[_order(lengths, grams, weights)]
+            bits = _hash(grams, 7)
+            one = np.uint64(1) << (bits & 63).astype(np.uint64)
+            maps = [np.bitwise_or.reduceat(np.where(bits >> 6 == k, one, np.uint64(0)), ends[:-1]).view(np.int64) for k in (0, 1)] if len(lists) else [[], []]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(grams)),
+                                              *(pa.array(m, pa.int64()) for m in maps)], names=["id", "n", "grams", "b0", "b1"])
+
+    return sets.select("id", "n", "grams").mapInArrow(rank, f"id {sets.schema['id'].dataType.simpleString()}, n long, grams array<long>, b0 long, b1 long")
+
+
+def _postings(sets: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(gram, ids, ns, places): runs of the postings of some texts each, sorted by trigram."""
+    def run(held):
+        ids = pa.concat_arrays([h[0] for h in held])
+        lengths, grams = (np.concatenate([h[i] for h in held]) for i in (1, 2))
+        texts, starts = np.repeat(np.arange(len(lengths)), lengths), np.cumsum(lengths) - lengths
+        places = np.arange(len(grams)) - np.repeat(starts, lengths)
+        grams = grams[_order(lengths, grams, weights)]
+        by = np.argsort(grams, kind="stable")
+        grams, texts = grams[by], texts[by]
+        first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+        at = pa.array(np.append(first, len(grams)), pa.int32())
+        lists = [ids.take(pa.array(texts)), pa.array(lengths[texts], pa.int32()), pa.array(places[by], pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array(grams[first]), *(pa.ListArray.from_arrays(at, x) for x in lists)], names=["gram", "ids", "ns", "places"])
+
+    def index(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append((b.column(0), *_flat(b.column(1))))
+            size += len(held[-1][2])
+            if size >= RUN:
+                yield run(held)
+                held, size = [], 0
+        if size:
+            yield run(held)
+
+    kind = sets.schema["id"].dataType.simpleString()
+    return sets.select("id", "grams").mapInArrow(index, f"gram long, ids array<{kind}>, ns array<int>, places array<int>")
 
 
 def write_index(df: DataFrame, path: str, id_col: str, text_col: str) -> None:
     """Store the index of the distinct texts; the smallest id stands for rows with the same text."""
+    spark = df.sparkSession
     texts = df.where(F.col(text_col).isNotNull()).groupBy(F.col(text_col).alias("text")) \
               .agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("n_rows"))
-    texts.write.mode("overwrite").parquet(f"{path}/texts")
-    texts = df.sparkSession.read.parquet(f"{path}/texts")
-    df_of = texts.select(F.explode(fn.trigrams("text")).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    sets = _ordered(texts, df_of, "id").join(texts, "id")
-    sets.select("id", "text", "n_rows", "n", "grams").write.mode("overwrite").parquet(f"{path}/sets")
-    rows = df.sparkSession.read.parquet(f"{path}/sets").select("id", "n", F.posexplode("grams").alias("pos", "gram"))
-    rows.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    _with_grams(texts).select("id", "text", "n_rows", "n", "grams").write.mode("overwrite").parquet(f"{path}/sets")
+    sets = spark.read.parquet(f"{path}/sets")
+    _counted(sets).write.mode("overwrite").parquet(f"{path}/counts")
+    _postings(sets, _weights(spark.read.parquet(f"{path}/counts"))).write.mode("overwrite").parquet(f"{path}/postings")
 
 
 def open_index(spark: SparkSession, path: str) -> TrigramIndex:
-    return TrigramIndex(spark.read.parquet(f"{path}/sets"), spark.read.parquet(f"{path}/postings"))
+    return TrigramIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("sets", "postings", "counts")))
 
 
 def _prefix(postings: DataFrame, num: int, den: int, least: int) -> DataFrame:
-    return postings.where(F.col("pos") < F.col("n") - _ceil(f"n * {num}", den) + least)
+    """(gram, id, n, pos) of the first trigrams of each set."""
+    rows = postings.select("gram", F.inline(F.arrays_zip("ids", "ns", "places"))).toDF("gram", "id", "n", "pos")
+    return rows.where(F.col("pos") < F.col("n") - _ceil(f"n * {num}", den) + least)
+
+
+def _need(num: int, den: int) -> Column:
+    return _ceil(f"(n + n2) * {num}", num + den)
+
+
+def _sizes_fit(num: int, den: int) -> Column:
+    return F.least("n", "n2") * den >= F.greatest("n", "n2") * num
 
 
-def _candidates(a: DataFrame, b: DataFrame, num: int, den: int, least: int, once: bool = False) -> DataFrame:
-    """(id, id2) of rows (gram, id, n, pos) and (gram, id2, n2, pos2) that pass the filters; ``once``: id < id2."""
-    need = _ceil(f"(n + n2) * {num}", num + den)
+def _candidates(a: DataFrame, b: DataFrame, num: int, den: int, least: int) -> DataFrame:
+    """(id, id2) of rows (gram, id, n, pos) and (gram, id2, n2, pos2) that pass the filters."""
+    need = _need(num, den)
     rest = F.least("pos", "pos2") + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
-    j = a.join(b, "gram").where(F.col("id") < F.col("id2") if once else F.lit(True)).where((F.least("n", "n2") * den >= F.greatest("n", "n2") * num) & (rest >= need))
+    j = a.join(b, "gram").where(_sizes_fit(num, den) & (rest >= need))
     shared = j.groupBy("id", "id2", "n", "n2").agg(F.count(F.lit(1)).alias("c"))
     return shared.where(F.col("c") >= F.least(F.lit(least), need)).select("id", "id2")
 
@@ -97,16 +207,24 @@ def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, num: int, den
 def similar_pairs(index: TrigramIndex, num: int, den: int, least: int = LEAST_PAIRS) -> DataFrame:
     """All pairs of different texts of the index at ``num / den``, each once (id < id2), with both texts, how
     many rows hold each (n_rows, n_rows2) and their similarity."""
-    p = _prefix(index.postings, num, den, least)
-    q = p.select("gram", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
-    return _verified(_candidates(p, q, num, den, least, once=True), index.sets, index.sets, num, den)
+    rows = _prefix(index.postings, num, den, least).withColumn("d", F.lit(1)).join(_ranked(index.sets, _weights(index.counts)).select("id", "b0", "b1"), "id")
+    r = rows.withColumnsRenamed({c: f"{c}2" for c in ("id", "n", "pos", "b0", "b1")})
+    need = _need(num, den)
+    rest = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) - 1 + F.col("d")
+    apart = sum(F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"b{k}2"))) for k in (0, 1))
+    j = rows.join(r, ["gram", "d"]).where((F.col("id") < F.col("id2")) & _sizes_fit(num, den) & (rest >= need)
+                                         & (apart <= F.col("n") + F.col("n2") - 2 * need))
+    return _verified(j.select("id", "id2").distinct(), index.sets, index.sets, num, den)
 
 
 def lookup(index: TrigramIndex, questions: DataFrame, num: int, den: int, id_col: str, text_col: str, least: int = LEAST_LOOKUP) -> DataFrame:
     """Per question (id_col, text_col; ids are keys) the texts of the index at ``num / den``: question as id2,
     text2, n2."""
-    asked = questions.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    sets = _ordered(asked, frequencies(index.sets), "id").join(asked, "id")
-    q = sets.select(F.col("id").alias("id2"), F.col("n").alias("n2"), F.posexplode("grams").alias("pos2", "gram"))
+    asked = _with_grams(questions.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")) \
+        .select("id", "n", "grams", "text")
+    q = _ranked(asked, _weights(index.counts)).select(F.col("id").alias("id2"), F.col("n").alias("n2"), F.posexplode("grams").alias("pos2", "gram"))
     q = q.where(F.col("pos2") < F.col("n2") - _ceil(f"n2 * {num}", den) + least)
-    return _verified(_candidates(_prefix(index.postings, num, den, least), q, num, den, least), index.sets, sets, num, den)
+    # Texts that are too short or too long for every question stay where they are.
+    least_n, most_n = asked.agg(F.min("n"), F.max("n")).first()
+    fits = (F.col("n") * den >= F.lit(least_n) * num) & (F.col("n") * num <= F.lit(most_n) * den)
+    return _verified(_candidates(_prefix(index.postings, num, den, least).where(fits), q, num, den, least), index.sets.where(fits), asked, num, den)

@@ -56,3 +56,22 @@ def test_empty_index(spark, tmp_path):
     path = str(tmp_path / "e")
     TG.write_index(spark.createDataFrame([], "id long, name string"), path, "id", "name")
     assert TG.similar_pairs(TG.open_index(spark, path), 1, 2).collect() == []
+
+
+def test_postings_are_runs_and_lookup_finds_from_them(spark, tmp_path):
+    r = random.Random(7)
+    words = ["red", "green", "blue", "İz", "ñandú", "77", "ab", "x"]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randrange(1, 9)))) for i in range(500)]
+    path = str(tmp_path / "r")
+    TG.write_index(spark.createDataFrame(rows, "id long, name string").repartition(2), path, "id", "name")
+    index = TG.open_index(spark, path)
+    # One row for all texts of a run that hold a trigram, not one for each trigram of each text.
+    n = {x["id"]: x["n"] for x in index.sets.collect()}
+    held = index.postings.collect()
+    assert sum(len(x["ids"]) for x in held) == sum(n.values()) > 10 * len(held)
+    places = sorted((i, p) for x in held for i, p in zip(x["ids"], x["places"]))
+    assert places == sorted((i, p) for i in n for p in range(n[i]))
+    texts = {x["id"]: x["text"] for x in index.sets.collect()}
+    asked = [(1, "red ñandú 77"), (2, "green"), (3, "x x blue ab")]
+    got = {(x["id2"], x["id"]) for x in TG.lookup(index, spark.createDataFrame(asked, "q long, t string"), 2, 5, "q", "t").collect()}
+    assert got == {(q, i) for q, t in asked for i in texts if near(grams(t), grams(texts[i]), 2, 5)}
