@@ -11,8 +11,10 @@ points of 21 bits); similarity is the Jaccard index of two texts' sets. The thre
   and after a shared trigram in both bounds the overlap (position filter),
 * what is left is verified by the sets themselves.
 
-``lookup`` needs ``least`` shared trigrams among the prefixes (count filter). Two bitmaps of 64 bits bound the
-difference of two sets before a candidate pair leaves the join.
+``lookup`` needs ``least`` shared trigrams among the prefixes (count filter). ``similar_pairs`` lists texts by
+their first shared trigram; a list of more than ``longest`` texts is told apart by the next shared trigram
+of each, and so on, so that lists stay short where many texts are made of few trigrams. Two bitmaps of 64
+bits bound the difference of two sets before a candidate pair leaves its list.
 
 Equal texts are one entry with a number of rows: a text that a third of all rows hold is compared once.
 
@@ -24,7 +26,9 @@ digit have no trigrams: they are not in the index and similar to nothing.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +36,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from ..session import ship_package
+from ..session import checkpoint_dir, ship_package
 
 #: Shared trigrams that a candidate pair of a lookup needs among the prefixes (fewer where it needs fewer at all).
 LEAST_LOOKUP = 4
-#: The same for pairs.
-LEAST_PAIRS = 1
+#: Texts in a list of ``similar_pairs`` before it is told apart by a further trigram.
+LONGEST = 512
+#: A list is told apart only if it has more texts than this many times the further trigrams of one.
+SPLIT = 16
 #: Hash bins in which trigrams are counted.
 BINS = 1 << 18
 #: Postings that a task collects before it writes them as one run.
@@ -204,15 +210,47 @@ def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, num: int, den
             .drop("_both", "_all", "grams", "grams2")
 
 
-def similar_pairs(index: TrigramIndex, num: int, den: int, least: int = LEAST_PAIRS) -> DataFrame:
+def _lists(index: TrigramIndex, num: int, den: int, longest: int) -> DataFrame:
+    """(sig, id, n, pos, d): each text in lists by the first d trigrams that it shares with another, pos being the
+    place of the last of them. A long list is told apart by the next trigram where that at least halves the pairs
+    to compare; texts that are all alike stay in one list."""
+    spark = index.sets.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/lists-{uuid.uuid4().hex[:12]}"
+
+    def stored(df: DataFrame, name: str) -> DataFrame:  # its size is known when it is joined
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    grams, least, d, kept = _ranked(index.sets, _weights(index.counts)).select("id", "grams"), _ceil(f"n * {num}", den), 1, []
+    rows = stored(_prefix(index.postings, num, den, 1).select(F.col("gram").alias("sig"), "id", "n", "pos"), "1")
+    while True:
+        # Trigrams by which a row may go on: the next shared one is among them, if there is one.
+        rows = rows.withColumn("more", F.greatest(F.lit(0), F.least(F.col("n"), F.col("n") - least + d + 1) - F.col("pos") - 1))
+        long = stored(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.sum("more").alias("m"))
+                      .where((F.col("c") > longest) & (F.col("c") * F.col("c") > SPLIT * F.col("m"))).select("sig", "c"), f"{d}-long")
+        nexts = rows.join(long, "sig", "left_semi").join(grams, "id").select(
+            F.col("sig").alias("up"), "id", "n", "pos", F.posexplode(F.expr("slice(grams, cast(pos + 2 as int), cast(more as int))")).alias("i", "gram"))
+        nexts = stored(nexts.select("up", F.xxhash64("up", "gram").alias("sig"), "id", "n", (F.col("pos") + F.col("i") + 1).alias("pos")), f"{d + 1}")
+        pairs = nexts.groupBy("up", "sig").agg(F.count(F.lit(1)).alias("k")).groupBy("up").agg(F.sum(F.col("k") * F.col("k")).alias("s"))
+        apart = stored(long.join(pairs, F.col("sig") == F.col("up")).where("2 * s < c * c").select("sig"), f"{d}-apart")
+        found = apart.take(1)
+        # Two sets that need no more than d shared trigrams may share no other: those rows stay in their list, too.
+        stay = rows.join(apart, "sig", "left_semi").where(least <= d) if found else None
+        kept += [x.drop("more").withColumn("d", F.lit(d)) for x in (rows.join(apart, "sig", "left_anti"), stay) if x is not None]
+        if not found:
+            return reduce(DataFrame.unionByName, kept)
+        rows, d = nexts.join(apart.withColumnRenamed("sig", "up"), "up", "left_semi").drop("up"), d + 1
+
+
+def similar_pairs(index: TrigramIndex, num: int, den: int, longest: int = LONGEST) -> DataFrame:
     """All pairs of different texts of the index at ``num / den``, each once (id < id2), with both texts, how
     many rows hold each (n_rows, n_rows2) and their similarity."""
-    rows = _prefix(index.postings, num, den, least).withColumn("d", F.lit(1)).join(_ranked(index.sets, _weights(index.counts)).select("id", "b0", "b1"), "id")
+    rows = _lists(index, num, den, longest).join(_ranked(index.sets, _weights(index.counts)).select("id", "b0", "b1"), "id")
     r = rows.withColumnsRenamed({c: f"{c}2" for c in ("id", "n", "pos", "b0", "b1")})
     need = _need(num, den)
     rest = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) - 1 + F.col("d")
     apart = sum(F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"b{k}2"))) for k in (0, 1))
-    j = rows.join(r, ["gram", "d"]).where((F.col("id") < F.col("id2")) & _sizes_fit(num, den) & (rest >= need)
+    j = rows.join(r, ["sig", "d"]).where((F.col("id") < F.col("id2")) & _sizes_fit(num, den) & (rest >= need)
                                          & (apart <= F.col("n") + F.col("n2") - 2 * need))
     return _verified(j.select("id", "id2").distinct(), index.sets, index.sets, num, den)
 

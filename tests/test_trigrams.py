@@ -75,3 +75,19 @@ def test_postings_are_runs_and_lookup_finds_from_them(spark, tmp_path):
     asked = [(1, "red ñandú 77"), (2, "green"), (3, "x x blue ab")]
     got = {(x["id2"], x["id"]) for x in TG.lookup(index, spark.createDataFrame(asked, "q long, t string"), 2, 5, "q", "t").collect()}
     assert got == {(q, i) for q, t in asked for i in texts if near(grams(t), grams(texts[i]), 2, 5)}
+
+
+def test_long_lists_are_told_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(TG, "SPLIT", 1)  # small lists, too
+    r = random.Random(3)
+    rows = list(enumerate(sorted({"Customer#" + "".join(r.choice("012") for _ in range(11)) for _ in range(1000)})))
+    path = str(tmp_path / "l")
+    TG.write_index(spark.createDataFrame(rows, "id long, name string").repartition(2), path, "id", "name")
+    index = TG.open_index(spark, path)
+    plain = TG._prefix(index.postings, 3, 4, 1).groupBy("gram").count().selectExpr("sum(count * count)").first()[0]
+    lists = TG._lists(index, 3, 4, 10).groupBy("sig", "d").count().selectExpr("sum(count * count)").first()[0]
+    assert lists < plain
+    sets = [grams(t) for _, t in rows]
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if near(sets[a], sets[b], 3, 4)}
+    got = TG.similar_pairs(index, 3, 4, 10).select("id", "id2").collect()
+    assert len(got) == len(want) > 100 and {(x["id"], x["id2"]) for x in got} == want
