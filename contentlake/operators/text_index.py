@@ -6,10 +6,11 @@ distances they have in the phrase (stop words inside a phrase count for the dist
 that of ``retrieval.parse_websearch``.
 
 ``search_texts`` reads the texts once and shuffles nothing: only tokens that begin like a stem of the query
-are stemmed. ``write_index`` stores one row per (stem, document) with the sorted positions, dealt out by
-buckets of stems and parts of the documents, so a stem in a third of all documents is written by many tasks,
-and rows of a stem lie together in each file. ``search_index`` reads the buckets of the query's stems only; phrases
-are intersections of shifted position lists.
+are stemmed. ``write_index`` stores runs: a task collects the words of some documents and keeps one row per stem
+with the documents that hold it and their sorted positions. Each task writes its runs by buckets of stems, without a
+shuffle: a stem in a third of all documents is written by all tasks, and rows of a stem lie together in each file.
+``entries`` gives one row per (stem, document). ``search_index`` reads the buckets of the query's stems only;
+phrases are intersections of shifted position lists.
 
 A null text holds no words and matches negated terms only. A query without terms finds nothing.
 """
@@ -27,8 +28,8 @@ from .retrieval import STOP_WORDS, WebQuery, _hit_cols, parse_websearch
 from .stemmer import cached_stem, common_prefix, stem, stems_udf
 
 BUCKETS = 64
-#: Places of words that a task collects before it passes them on.
-PLACES = 100_000
+#: Places of words that a task collects before it passes them on as a run.
+PLACES = 1_000_000
 KEY = ["source_type", "source_id"]
 
 
@@ -105,50 +106,74 @@ def stem_bucket(col, buckets: int) -> Column:
 
 
 def postings(docs: DataFrame, text_col: str = "content") -> DataFrame:
-    """(stem, source_type, source_id, platform, positions): one row per stem that a document holds."""
+    """(stem, source_type, source_id, platform, positions): for each run and stem the documents that hold it,
+    as lists of equal length."""
     ship_package(docs.sparkSession)
     stop = frozenset(STOP_WORDS)
     keys = [*KEY, "platform"]
 
     def index(batches):
+        import numpy as np
         import pyarrow as pa
+
+        codes: dict[str, int] = {}  # of the run's stems
+
+        def code(word: str) -> int:
+            return -1 if word in stop else codes.setdefault(cached_stem(word), len(codes))
+
+        def packed(held):
+            rows = [pa.concat_arrays([h[0][k] for h in held]) for k in range(len(keys))]
+            at = np.cumsum([0] + [len(h[0][0]) for h in held])
+            text = np.concatenate([h[1] + a for h, a in zip(held, at)])
+            place, stem_ = (np.concatenate([h[i] for h in held]) for i in (2, 3))
+            by = np.argsort(stem_, kind="stable")  # documents and positions are in order
+            text, place, stem_ = text[by], place[by], stem_[by]
+            new = np.concatenate(([True], stem_[1:] != stem_[:-1]))
+            entry = np.flatnonzero(new | np.concatenate(([True], text[1:] != text[:-1])))
+            first = np.flatnonzero(new[entry])
+            ends = lambda starts, n: pa.array(np.append(starts, n), pa.int32())
+            places = pa.ListArray.from_arrays(ends(entry, len(place)), pa.array(place, pa.int32()))
+            take = pa.array(text[entry])
+            words = pa.array(list(codes), pa.string()).take(pa.array(stem_[entry[first]]))
+            lists = [pa.ListArray.from_arrays(ends(first, len(entry)), x) for x in (*(r.take(take) for r in rows), places)]
+            return pa.RecordBatch.from_arrays([words, *lists], names=["stem", *keys, "positions"])
+
+        held, n = [], 0
         for b in batches:
-            at, stems, places, n = [], [], [], 0
-
-            def packed():
-                take = pa.array(at, pa.int32())
-                return pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), *(b.column(i).take(take) for i in range(len(keys))),
-                                                   pa.array(places, pa.list_(pa.int32()))], names=["stem", *keys, "positions"])
-
-            for row, words in enumerate(b.column(len(keys))):  # one text at a time, whatever the batch holds
-                held: dict[str, list[int]] = {}
-                for i, w in enumerate(words.as_py() or ()):
-                    if w not in stop:
-                        held.setdefault(cached_stem(w), []).append(i)
-                        n += 1
-                at += [row] * len(held)
-                stems += held
-                places += held.values()
-                if n > PLACES:
-                    yield packed()
-                    at, stems, places, n = [], [], [], 0
-            if at:
-                yield packed()
-
-    rows = docs.select(*keys, fn.tokens(text_col).alias("words"))
+            words = b.column(len(keys))
+            lengths = np.diff(words.offsets.to_numpy())
+            each = words.flatten().dictionary_encode()  # each word of the batch is stemmed once
+            stem_ = np.array([code(w) for w in each.dictionary.to_pylist()], np.int64)[each.indices.to_numpy()]
+            text = np.repeat(np.arange(len(lengths)), lengths)
+            place = np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            kept = stem_ >= 0
+            held.append(([b.column(i) for i in range(len(keys))], text[kept], place[kept], stem_[kept]))
+            n += int(kept.sum())
+            if n > PLACES:
+                yield packed(held)
+                held, n = [], 0
+                codes.clear()
+        if n:
+            yield packed(held)
+
+    rows = docs.select(*keys, F.coalesce(fn.tokens(text_col), F.array().cast("array<string>")).alias("words"))
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInArrow(index, f"stem string, {', '.join(f'{k} {types[k]}' for k in keys)}, positions array<int>")
+    return rows.mapInArrow(index, f"stem string, {', '.join(f'{k} array<{types[k]}>' for k in keys)}, positions array<array<int>>")
+
+
+def entries(index: DataFrame) -> DataFrame:
+    """(stem, source_type, source_id, platform, positions) of an index: one row per stem that a document holds."""
+    lists = [*KEY, "platform", "positions"]
+    return index.select("stem", F.inline(F.arrays_zip(*lists))).toDF("stem", *lists)
 
 
 def write_index(docs: DataFrame, path: str, buckets: int = BUCKETS, text_col: str = "content") -> None:
     """Store the postings of ``docs``, partitioned by a hash bucket of the stem and sorted by stem inside."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")  # long texts travel in small batches
     rows = postings(docs, text_col).withColumn("bucket", stem_bucket("stem", buckets))
-    # Dealt out by (bucket, part of the documents): the parts grow with the tasks, so a bucket with a stem that a
-    # third of all documents hold is written by many of them, and the texts are read and stemmed once.
-    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
-    rows.repartition("bucket", F.pmod(F.xxhash64("source_id"), F.lit(parts))).sortWithinPartitions("bucket", "stem") \
-        .write.mode("overwrite").partitionBy("bucket").parquet(path)
+    # Each task writes its own runs: nothing is shuffled, and a bucket with a stem that a third of all documents
+    # hold is written by all tasks.
+    rows.sortWithinPartitions("bucket", "stem").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def matching(index: DataFrame, query: str, platform: str | None = None, buckets: int = BUCKETS) -> DataFrame | None:
@@ -158,12 +183,12 @@ def matching(index: DataFrame, query: str, platform: str | None = None, buckets:
     if any(all(neg for neg, _ in g) for g in groups):
         return None
     wanted = sorted({s for g in groups for _, ws in g for s, _ in ws})
-    rows = index if platform is None else index.where(F.col("platform") == platform)
     if not wanted:
-        return rows.select(*KEY).limit(0)
+        return entries(index).select(*KEY).limit(0)
     spark = index.sparkSession
     numbers = spark.createDataFrame([(s,) for s in wanted], "s string").select(stem_bucket("s", buckets)).distinct().collect()
-    rows = rows.where(F.col("bucket").isin([r[0] for r in numbers]) & F.col("stem").isin(wanted))  # at most one bucket per stem of the query
+    rows = entries(index.where(F.col("bucket").isin([r[0] for r in numbers]) & F.col("stem").isin(wanted)))  # at most one bucket per stem of the query
+    rows = rows if platform is None else rows.where(F.col("platform") == platform)
     held = rows.groupBy(*KEY).agg(*[F.first(F.when(F.col("stem") == s, F.col("positions")), ignorenulls=True).alias(f"_p{i}")
                                     for i, s in enumerate(wanted)])
     return held.where(_predicate(groups, {s: F.col(f"_p{i}") for i, s in enumerate(wanted)})).select(*KEY)

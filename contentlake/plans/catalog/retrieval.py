@@ -99,7 +99,7 @@ def keyword_search_indexed(t):
     group by stem""")
 def positional_index(t):
     """The written index itself, stem by stem: documents, places, first and last place."""
-    p = _index(t)
+    p = TI.entries(_index(t))
     return p.groupBy("stem").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("positions").cast("long")).alias("n_places"),
                                  F.min(F.get("positions", F.lit(0))).cast("long").alias("first_place"),
                                  F.max(F.element_at("positions", -1)).cast("long").alias("last_place"))

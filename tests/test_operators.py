@@ -227,6 +227,22 @@ def test_keyword_search_over_index_equals_scan_and_brute_force(spark, tmp_path):
         assert a == b == plain(q, p), q
 
 
+def test_index_keeps_runs_and_nothing_is_lost(spark, tmp_path, monkeypatch):
+    from contentlake.operators import text_index as TI
+    texts = ["cats and a cat", None, "", "the of", "x2 cat Über", "dogs dog cat dog"] * 40
+    docs = spark.createDataFrame([(None if i == 7 else "post", i // 2, None if i == 4 else "x", t) for i, t in enumerate(texts)],
+                                 "source_type string, source_id long, platform string, content string").coalesce(1)
+    want = sorted(((s, k, i // 2, p, at) for i, t in enumerate(texts) for k, p in [(None if i == 7 else "post", None if i == 4 else "x")] for s, at in
+                   ({"cat": [0, 3]}, {}, {}, {}, {"x2": [0], "cat": [1], "über": [2]}, {"dog": [0, 1, 3], "cat": [2]})[i % 6].items()), key=str)
+    for places in (TI.PLACES, 3):
+        monkeypatch.setattr(TI, "PLACES", places)
+        TI.write_index(docs, str(tmp_path / f"i{places}"), buckets=4)
+        index = spark.read.parquet(str(tmp_path / f"i{places}"))
+        assert sorted((tuple(r) for r in TI.entries(index).collect()), key=str) == want
+        if places > 3:
+            assert index.count() == 4 < len(want)  # one row a stem, not one for each document
+
+
 def test_sql_guard_reads_the_plan(spark, sf_dir):
     import pytest
 
