@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bare_post_id
 from ..schema import JOB_ERRORS_KEPT, NATURAL_KEYS, PlanError
+from ..session import checkpoint_dir
 from ..sources.raw import objects_only
 from . import embeddings as E
 from .identity import dedupe_last_wins, entity_id
@@ -144,11 +145,17 @@ class Lake:
 
     # --- upserted tables -----------------------------------------------------------------------------
 
-    def _merged(self, table: str, folders: list[str]) -> DataFrame:
-        """Last change per key. Keys and id column travel with the rows, so that any reader can merge."""
+    def _merged(self, table: str, folders: list[str], columns: list[str] | None = None) -> DataFrame:
+        """Last change per key. Keys and id column travel with the rows, so that any reader can merge. Of other
+        columns only the given ones are merged (all, if None): what nobody reads is not shuffled."""
         rows = self._rows(table, folders)
-        keys = rows.schema["_keys"].metadata["keys"]
-        id_col = rows.schema["_keys"].metadata["id"]
+        mark = rows.schema["_keys"].metadata
+        keys, id_col = mark["keys"], mark["id"]
+        if columns is not None:
+            rows = rows.select(*[c for c in rows.columns if c in {*columns, *keys, id_col, "_keys", "_seq", "_at"}])
+        if len(folders) == 1 and not mark.get("compacted"):  # one batch, which has no key twice
+            return rows.select(*[c for c in rows.columns if c not in ("_keys", "_seq", "_at")], F.col("_at").alias("created_at"),
+                               F.col("_at").alias("updated_at"), "_seq")
         plain = [c for c in rows.columns if c not in keys and c not in (id_col, "_keys", "_seq", "_at")]
         agg = [F.max_by(F.struct(*plain), "_seq").alias("_last")] if plain else []
         first = [] if id_col in keys else [F.min_by(id_col, "_seq").alias(id_col)]
@@ -157,9 +164,9 @@ class Lake:
         return out.select(*[c if c in keys or c == id_col else F.col(f"_last.{c}") for c in rows.columns
                             if c not in ("_keys", "_seq", "_at")], "created_at", "updated_at", "_seq")
 
-    def read(self, table: str) -> DataFrame | None:
+    def read(self, table: str, columns: list[str] | None = None) -> DataFrame | None:
         _, folders = self._version(table)
-        return self._merged(table, folders).drop("_seq") if folders else None
+        return self._merged(table, folders, columns).drop("_seq") if folders else None
 
     def upsert(self, table: str, batch: DataFrame, keys: list[str], id_col: str) -> tuple[int, int]:
         """Upsert ``batch`` into ``table``; returns (inserted, updated). A key that occurs twice in the
@@ -193,7 +200,7 @@ class Lake:
         mark = rows.schema["_keys"].metadata
         merged = self._merged(table, folders)
         kept = [c for c in merged.columns if c not in ("created_at", "updated_at", "_seq")]
-        tag = F.lit(None).cast("string").alias("_keys", metadata=mark)
+        tag = F.lit(None).cast("string").alias("_keys", metadata=mark | {"compacted": True})
         last = merged.select(*kept, tag, F.col("_seq"), F.col("updated_at").alias("_at"))
         first = merged.where("created_at <> updated_at").select(*kept, tag, F.lit(0).cast("long").alias("_seq"),
                                                                 F.col("created_at").alias("_at"))
@@ -281,9 +288,11 @@ def _authors(posts_raw: dict[str, DataFrame], comments_raw: dict[str, DataFrame]
                     "username")
 
 
-def _posts(posts_raw: dict[str, DataFrame]) -> DataFrame:
+def _posts(posts_raw: dict[str, DataFrame], columns: list[str] | None = None) -> DataFrame:
+    """The batch's posts, one per key, with their ids and the given columns (all, if None): the others are not shuffled."""
     cols = ["item_seq", "platform", "platform_post_id", "author_native_id", "content_type", "caption", "content",
             "url", "hashtags", "mentions", "urls", "media", "posted_at"]
+    cols = [c for c in cols if columns is None or c in {*columns, *cols[:4]}]
     parts = []
     for plat, mod in (("instagram", instagram), ("twitter", twitter), ("youtube", youtube)):
         if plat in posts_raw:
@@ -291,15 +300,25 @@ def _posts(posts_raw: dict[str, DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    d = dedupe_last_wins(out, NATURAL_KEYS["posts"]).drop("first_seq")
+    keys, path = NATURAL_KEYS["posts"], f"{checkpoint_dir(out.sparkSession).rstrip('/')}/twice-{uuid.uuid4().hex[:12]}"
+    if columns is None:
+        # Rows with texts are not shuffled unless their key comes twice.
+        out.groupBy(*keys).count().where("count > 1").select(*[F.col(k).alias(f"_{k}") for k in keys]).write.parquet(path)
+        twice = out.sparkSession.read.parquet(path)
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        d = out.join(twice, same, "left_anti").unionByName(dedupe_last_wins(out.join(twice, same, "left_semi"), keys).drop("first_seq"))
+    else:
+        d = dedupe_last_wins(out, keys).drop("first_seq")
     return d.select(entity_id("platform", "platform_post_id").alias("post_id"),
                     entity_id("platform", "author_native_id").alias("author_id"), *[c for c in cols[1:]
                                                                                    if c != "author_native_id"])
 
 
-def _comments(comments_raw: dict[str, DataFrame]) -> DataFrame:
+def _comments(comments_raw: dict[str, DataFrame], columns: list[str] | None = None) -> DataFrame:
+    """The batch's comments, one per key, with the given columns (all, if None): the others are not shuffled."""
     cols = ["item_seq", "platform", "platform_comment_id", "post_ref", "author_native_id", "parent_native_id",
             "content", "likes", "posted_at"]
+    cols = [c for c in cols if columns is None or c in {*columns, *cols[:3]}]
     parts = []
     if "instagram" in comments_raw:
         parts.append(instagram.comment(comments_raw["instagram"]).select(*cols))
@@ -362,19 +381,19 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
         ins, upd = lake.upsert("channels", ch, NATURAL_KEYS["channels"], "channel_id")
         rep.counters["channels_upserted"] = ins + upd
 
-    posts = _posts(posts_raw) if posts_raw else None
-
     def do_posts():
-        if posts is None:
+        if not posts_raw:
             return
-        p = posts.drop("media", "mentions")
+        p = _posts(posts_raw).drop("media", "mentions")
         ins, upd = lake.upsert("posts", p, NATURAL_KEYS["posts"], "post_id")
         rep.counters["posts_upserted"] = ins + upd
 
     def do_videos():
         if "youtube" not in posts_raw:
             return
-        v = dedupe_last_wins(youtube.video(posts_raw["youtube"]), NATURAL_KEYS["videos"]).drop("first_seq")
+        v = youtube.video(posts_raw["youtube"]).select("item_seq", "platform", "platform_video_id", "channel_native_id", "post_native_id",
+                                                       "title", "duration_seconds", "video_url", "published_at")
+        v = dedupe_last_wins(v, NATURAL_KEYS["videos"]).drop("first_seq")
         v = v.select(entity_id("platform", "platform_video_id").alias("video_id"),
                      entity_id("platform", "channel_native_id").alias("channel_id"),
                      entity_id("platform", "post_native_id").alias("post_id"), "platform", "platform_video_id",
@@ -385,8 +404,9 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
     def do_comments():
         if not comments_raw:
             return
-        c = _comments(comments_raw)
-        stored = lake.read("posts")
+        # References are resolved on rows without texts, which join the comments by their key in the end.
+        c = _comments(comments_raw, ["post_ref", "parent_native_id"])
+        stored = lake.read("posts", ["url"])
         # Post reference (K5): a bare id, or a URL -- watch?v=<id>, /status/<id>, /p/<code>/, /reel/<code>/ --
         # resolved by natural key, else by the stored post URL; unresolved references are kept as given.
         ref = (F.when(F.col("post_ref").contains("watch?v="),
@@ -396,43 +416,45 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
         by_id = stored.select("platform", F.col("platform_post_id").alias("_ref"), F.col("post_id").alias("_by_id"))
         by_url = stored.select("platform", F.col("url").alias("post_ref"), F.col("post_id").alias("_by_url"))
         c = c.withColumn("_ref", ref).join(by_id, ["platform", "_ref"], "left").join(by_url, ["platform", "post_ref"], "left")
-        c = c.withColumn("comment_id", entity_id("platform", "platform_comment_id")) \
-             .withColumn("author_id", entity_id("platform", "author_native_id")) \
-             .withColumn("post_id", F.coalesce("_by_id", "_by_url", F.col("post_ref")))
+        c = c.withColumn("post_id", F.coalesce("_by_id", "_by_url", F.col("post_ref")))
         # Parent link only when the parent is part of the stored set (D6), on native ids.
-        known = c.select(F.col("platform").alias("_pp"), F.col("platform_comment_id").alias("_pn"))
-        prev = lake.read("comments")
+        known = _comments(comments_raw, []).select(F.col("platform").alias("_pp"), F.col("platform_comment_id").alias("_pn"))
+        prev = lake.read("comments", [])
         if prev is not None:
             known = known.unionByName(prev.select(F.col("platform").alias("_pp"), F.col("platform_comment_id").alias("_pn")))
         known = known.distinct()
         c = c.join(known, (F.col("platform") == F.col("_pp")) & (F.col("parent_native_id") == F.col("_pn")), "left") \
              .withColumn("parent_comment_id", F.when(F.col("_pn").isNotNull(), entity_id("platform", "parent_native_id")))
+        c = c.select(*NATURAL_KEYS["comments"], "post_id", "parent_comment_id")
+        c = _comments(comments_raw, ["author_native_id", "content", "likes", "posted_at"]).join(c, NATURAL_KEYS["comments"]) \
+            .withColumn("comment_id", entity_id("platform", "platform_comment_id")) \
+            .withColumn("author_id", entity_id("platform", "author_native_id"))
         c = c.select("comment_id", "platform", "platform_comment_id", "post_id", "author_id", "parent_comment_id",
                      "content", "likes", "posted_at")
         ins, upd = lake.upsert("comments", c, NATURAL_KEYS["comments"], "comment_id")
         rep.counters["comments_upserted"] = ins + upd
 
     def do_media():
-        if posts is None:
+        if not posts_raw:
             return
-        m = posts.select("post_id", F.explode("media").alias("m")).select(
+        m = _posts(posts_raw, ["media"]).select("post_id", F.explode("media").alias("m")).select(
             "post_id", F.col("m.media_type").alias("media_type"), F.col("m.url").alias("url"),
             F.col("m.order_index").alias("order_index"))
         rep.counters["media_created"] = lake.append_new("media", m, ["post_id", "url"])
 
     def do_hashtags():
-        if posts is None:
+        if not posts_raw:
             return
-        links = posts.select("post_id", F.explode("hashtags").alias("tag")).where(F.col("tag") != "").distinct()
+        links = _posts(posts_raw, ["hashtags"]).select("post_id", F.explode("hashtags").alias("tag")).where(F.col("tag") != "").distinct()
         tags = links.select("tag").distinct().withColumn("hashtag_id", F.sha2("tag", 256))
         lake.append_new("hashtags", tags, ["tag"])
         l2 = links.withColumn("hashtag_id", F.sha2("tag", 256)).select("post_id", "hashtag_id")
         rep.counters["hashtags_linked"] = lake.append_new("post_hashtags", l2, ["post_id", "hashtag_id"])
 
     def do_mentions():
-        if posts is None:
+        if not posts_raw:
             return
-        m = posts.select("post_id", F.explode("mentions").alias("username")).where(F.col("username") != "")
+        m = _posts(posts_raw, ["mentions"]).select("post_id", F.explode("mentions").alias("username")).where(F.col("username") != "")
         rep.counters["mentions_created"] = lake.append_new("mentions", m, ["post_id", "username"])
 
     def do_engagement():
@@ -441,7 +463,9 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
         parts = []
         for plat, mod in (("instagram", instagram), ("twitter", twitter), ("youtube", youtube)):
             if plat in posts_raw:
-                p = dedupe_last_wins(mod.post(posts_raw[plat]), NATURAL_KEYS["posts"]).drop("first_seq")
+                p = mod.post(posts_raw[plat])
+                p = p.select("item_seq", *NATURAL_KEYS["posts"], *[x for x in p.columns if x.endswith("_count")])  # texts are not shuffled
+                p = dedupe_last_wins(p, NATURAL_KEYS["posts"]).drop("first_seq")
                 parts.append(mod.engagement(p))
         e = parts[0]
         for p in parts[1:]:
@@ -454,7 +478,7 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
     def do_embeddings():
         if provider is None:
             return
-        sp, sc = lake.read("posts"), lake.read("comments")
+        sp, sc = lake.read("posts", ["caption", "content"]), lake.read("comments", ["content"])
         if sp is None and sc is None:
             return
         p = (sp.select("post_id", "platform", "caption", "content") if sp is not None else
@@ -462,7 +486,7 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
         c = (sc.select("comment_id", "platform", "content") if sc is not None else
              spark.createDataFrame([], "comment_id string, platform string, content string"))
         items = E.embeddable_items(p, c)
-        existing = lake.read("embeddings")
+        existing = lake.read("embeddings", ["checksum"])
         if existing is None:
             existing = spark.createDataFrame([], "source_type string, source_id string, model string, checksum string")
         pend = E.pending(items, existing.select("source_type", "source_id", "model", "checksum"), provider.model_name)

@@ -142,3 +142,24 @@ def test_landing_order_and_quarantine(spark, tmp_path):
         assert posts["p1"] == "newest" and len(posts) == 301 and "" not in posts
         bad = {r["raw"]: r["reason"] for r in lake.read_rows("quarantine").collect()}
         assert bad == {"{broken": "malformed_json", "[1, 2]": "not_an_object", "7": "not_an_object", "null": "not_an_object"}
+
+
+def test_lake_reads_only_what_is_asked_for(spark, tmp_path):
+    from contentlake.operators.pipeline import Lake
+    lake = Lake(spark, str(tmp_path / "lake"))
+    rows = spark.createDataFrame([(f"k{i}", f"id{i}", "v1", "long text") for i in range(20)], "k string, id string, v string, text string")
+    lake.upsert("t", rows, ["k"], "id")
+
+    def shuffles(df):
+        return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+
+    one = lake.read("t", ["v"])
+    assert not shuffles(one) and not shuffles(lake.read("t"))  # one batch has no key twice
+    assert one.columns == ["k", "id", "v", "created_at", "updated_at"] and one.count() == 20
+    lake.upsert("t", rows.where("k < 'k2'").selectExpr("k", "'other' as id", "'v2' as v", "text"), ["k"], "id")
+    for _ in range(2):  # before and after compaction, where a changed key has two rows in one folder
+        two = lake.read("t", ["v"])
+        assert shuffles(two) and "text" not in two.columns
+        got = {r["k"]: (r["id"], r["v"], r["updated_at"] > r["created_at"]) for r in two.collect()}
+        assert got == {f"k{i}": (f"id{i}", "v2", True) if f"k{i}" < "k2" else (f"id{i}", "v1", False) for i in range(20)}
+        lake.compact("t")
