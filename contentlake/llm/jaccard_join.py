@@ -33,7 +33,9 @@ Two documents link when 100 * intersection >= 90 * union (both bounds are parame
 
 Exact copies (equal sets) are one set throughout. The lists, not the sets, are shuffled for all
 documents; sets are made again for candidates only, found by a bitmap of fixed size (``FILTER_BITS``:
-false hits of the bitmap cost time, never a result).
+false hits of the bitmap cost time, never a result). Such bitmaps also keep the sets without long lists
+out of the second round's shuffle, and ``keep_one`` shuffles only the documents whose key may go or come
+twice; the others stay where they are read.
 
 Defined results: null and empty texts, and texts without words, have an empty set and are linked with
 nothing (their component is their own id). A text with fewer words than a shingle has is one shingle. A null
@@ -373,6 +375,27 @@ def _rank(common: np.ndarray, num: int, den: int):
     return run
 
 
+def _bitmap(keys: DataFrame) -> dict[int, bytes]:
+    """The bits of the 64-bit ``key`` of all rows, by bucket of 2^15 bits; ``FILTER_BITS`` at most."""
+    bit = F.pmod("key", F.lit(FILTER_BITS))
+    bits = keys.select((F.shiftright(bit, 15)).alias("bucket"), bit.bitwiseAND(F.lit(32767)).alias("bit"))
+    return {r[0]: bytes(r[1]) for r in bits.groupBy("bucket").agg(F.bitmap_construct_agg("bit")).collect()}
+
+
+def _hit(bitmap: dict[int, bytes]):
+    """Column function: whether the bit of a 64-bit key is in the bitmap."""
+    @F.arrow_udf("boolean")
+    def hit(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        buckets = np.zeros((FILTER_BITS >> 15, 1 << 12), np.uint8)
+        for k, v in bitmap.items():
+            buckets[k] = np.frombuffer(v, np.uint8)
+        flat = buckets.ravel()
+        for keys in batches:
+            bit = keys.to_numpy(zero_copy_only=False) % FILTER_BITS
+            yield pa.array((flat[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool))
+    return hit
+
+
 def _candidate_sets(bitmap: dict[int, bytes], shingle: int):
     """Sets of the texts whose key is in the bitmap, each set once per task."""
     buckets = {k: np.frombuffer(v, np.uint8) for k, v in bitmap.items()}
@@ -520,14 +543,12 @@ def _candidates(texts: DataFrame, base: DataFrame, common: np.ndarray, num: int,
     met = materialize(met.where((F.col("hits") >= SHARED) | (F.col("hits") < 0)))
     edges, again = met.where("hits > 0").select("first", "h1"), met.where("hits < 0").select("h1")
 
-    nodes = met.select(F.explode(F.array("first", "h1")).alias("h1"))
-    bit = F.pmod("h1", F.lit(FILTER_BITS))
-    bits = nodes.select((F.shiftright(bit, 15)).alias("bucket"), bit.bitwiseAND(F.lit(32767)).alias("bit"))
-    bitmap = {r[0]: bytes(r[1]) for r in bits.groupBy("bucket").agg(F.bitmap_construct_agg("bit")).collect()}
+    bitmap = _bitmap(met.select(F.explode(F.array("first", "h1")).alias("key")))
     sets = materialize(texts.select("t").mapInArrow(_candidate_sets(bitmap, shingle), "h1 long, h2 long, tokens array<long>"))
 
     if not again.isEmpty():
-        some = sets.select("h1", "tokens").join(again, "h1")
+        # The bitmap leaves most other sets where they are, the join the rest of them.
+        some = sets.where(_hit(_bitmap(again.withColumnRenamed("h1", "key")))(F.col("h1"))).select("h1", "tokens").join(again, "h1")
         long = _met(some.select("h1", F.col("tokens").alias("sigs")), COUNT, entries(sets, "tokens")).groupBy("h1").agg(F.collect_list("first").alias("long"))
         ranked = some.join(long, "h1", "left").mapInArrow(_rank(common, num, den), "h1 long, sigs array<long>")
         more = _met(ranked, LAST, n).groupBy("first", "h1").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= SHARED)
@@ -574,10 +595,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", num: i
     different texts without words, which are linked with nothing."""
     row, kind = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")), docs.schema[id_col].dataType.simpleString()
     rows = _components(docs, row, f"struct<id: {kind}, h: bigint>", text, num, den, shingle).where(F.col("id.id").isNotNull())
-    first = rows.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("id").alias("id")).select("id.*")
-    first = first.unionByName(rows.where(F.col("component").isNull()).select("id.*"))
+    keys = materialize(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("component")))
+    first = keys.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("id").alias("id")).select("id", F.lit(True).alias("first"))
+    goes = F.col("component").isNotNull() & F.col("first").isNull()
+    odd = keys.join(first, "id", "left").where(goes | (F.col("n") > 1)).select(F.col("id.id").alias("odd_id"), F.col("id.h").alias("odd_hash"), goes.alias("goes"))
+    odd = materialize(odd)
+    # Only rows whose key goes or comes twice need their likes; the bitmap finds them, and a few others.
+    hit = _hit(_bitmap(odd.select(F.xxhash64("odd_id", "odd_hash").alias("key"))))(F.xxhash64(id_col, F.xxhash64(text)))
     h = free_name(docs, "text_hash")
-    with_id = docs.where(F.col(id_col).isNotNull()).withColumn(h, F.xxhash64(text))
-    first = first.select(F.col("id").alias("kept_id"), F.col("h").alias("kept_hash"))
-    kept = with_id.join(first, (F.col(id_col) == F.col("kept_id")) & (F.col(h) == F.col("kept_hash")), "left_semi")
-    return kept.dropDuplicates([id_col, h]).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    some = docs.where(F.col(id_col).isNotNull() & hit).withColumn(h, F.xxhash64(text))
+    kept = some.join(odd.where("goes"), (F.col(id_col) == F.col("odd_id")) & (F.col(h) == F.col("odd_hash")), "left_anti")
+    return kept.dropDuplicates([id_col, h]).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull() | ~hit))

@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from contentlake.llm import (best_fit_packing, bit_sliced_topk, jaccard_join, language_id, license_scan, piece_codec, pseudonyms,
                              quality_rules, queries, rule_ensemble, text_stats, url_filter)
@@ -594,6 +595,43 @@ def test_keep_one_treats_rows_that_share_an_id_apart(spark):
     assert Counter(map(tuple, got.collect())) == Counter({docs[0]: 1, docs[2]: 1, docs[3]: 1, docs[6]: 1, docs[7]: 1, docs[9]: 1})
 
 
+@pytest.mark.parametrize("every", [False, True])
+def test_keep_one_equals_brute_force(spark, monkeypatch, every):
+    """Also if the bitmap hits every key."""
+    if every:
+        monkeypatch.setattr(jaccard_join, "_hit", lambda bitmap: lambda key: key.isNotNull())
+    docs = near_copies(21)
+    docs += [docs[7], docs[50], (-5, docs[90][1]), (-5, docs[90][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    want = brute_components(docs, 5, 80, 100)
+    got = Counter(x["doc_id"] for x in rows(jaccard_join.keep_one(df, num=80, den=100, shingle=5)))
+    assert got == Counter(d for (d, _, least), n in want.items() for _ in range(n if d is None else d == least))
+
+
+def test_keep_one_leaves_documents_without_copies_where_they_are(spark):
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randrange(10_000)}" for _ in range(30)) for _ in range(400)]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(1000, texts[0]), (1, texts[1])]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(docs, 4), "doc_id long, text string")
+    was = {d: p for p, part in enumerate(df.rdd.glom().collect()) for d, _ in part}
+    got = {x["doc_id"]: x["p"] for x in rows(jaccard_join.keep_one(df).withColumn("p", F.spark_partition_id()))}
+    assert set(got) == set(range(400))
+    stayed = {(was[d], p) for d, p in got.items() if d > 1}
+    assert len(stayed) == len({w for w, _ in stayed}) == len({p for _, p in stayed}) == 4
+
+
+def test_bitmap_hits_all_its_keys_and_few_others(spark):
+    r = random.Random(9)
+    keys, others = ([r.randrange(-2 ** 63, 2 ** 63) for _ in range(2000)] for _ in range(2))
+    keys += [0, -1, 2 ** 63 - 1, -2 ** 63]
+    hit = jaccard_join._hit(jaccard_join._bitmap(spark.createDataFrame([(k,) for k in keys], "key long")))
+    seen = spark.createDataFrame([(k,) for k in keys + others], "key long").where(hit(F.col("key")))
+    found = Counter(x["key"] for x in rows(seen))
+    assert not Counter(keys) - found and len(found) < len(set(keys)) + 20
+    none = jaccard_join._hit(jaccard_join._bitmap(spark.createDataFrame([], "key long")))
+    assert rows(spark.createDataFrame([(0,), (5,)], "key long").where(none(F.col("key")))) == []
+
+
 def test_components(spark):
     r = random.Random(6)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)]
