@@ -19,6 +19,11 @@ def first_present(v, keys: Sequence[str], typ: str = "string", default=None) ->
     """First non-null among ``$.key`` paths of a VARIANT, else ``default``. The key is picked before
     its value is cast: a present value that cannot be cast gives NULL, not the next key."""
     paths = [k if k.startswith("$") else f"$.{k}" for k in keys]
+    if typ == "string":  # what is present is read already
+        found = [vget(v, p) for p in paths]
+        if default is not None:
+            found.append(default if isinstance(default, Column) else F.lit(default))
+        return F.coalesce(*found)
     typed, missing = vget(v, paths[-1], typ), F.lit(True)
     for i, p in reversed(list(enumerate(paths))):
         there = vget(v, p, "string").isNotNull()

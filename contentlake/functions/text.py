@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 # --- fixed values: text patterns (word characters in the Unicode sense) -------------
 WORD = r"[\p{L}\p{N}_]"
-HASHTAG_RE = r"(?<![\p{L}\p{N}_])#([\p{L}\p{N}_]+)"
-MENTION_RE = r"(?<![\p{L}\p{N}_])@([\p{L}\p{N}_]+)"
+# The marker comes first, so that other positions of a text fail at once; what stands before it is looked up then.
+HASHTAG_RE = r"#(?<![\p{L}\p{N}_]#)([\p{L}\p{N}_]+)"
+MENTION_RE = r"@(?<![\p{L}\p{N}_]@)([\p{L}\p{N}_]+)"
 URL_RE = r"https?://[^\s\x1c-\x1f\x85\p{Z}<>\"']+"
 URL_TRAILING = ").,"
 ASCII_RE = r"^[\x00-\x7F]*$"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions import (as_int, first_present, hashtags, instagram_content_type, mentions, parse_ts, py_strip, urls,
@@ -16,14 +16,18 @@ AUTHOR_META_EXCLUDED = ["ownerUsername", "username", "ownerFullName", "fullName"
 # ------------------------------------------------------------------------------
 
 
+def author_key() -> list[Column]:
+    """``platform_user_id`` and ``username`` of an item's author."""
+    return [F.coalesce(fp(["ownerId", "id", "userId", "pk"]), fp(["username"]), F.lit("")).alias("platform_user_id"),
+            F.coalesce(py_strip(fp(["ownerUsername", "username"])), F.lit("unknown")).alias("username")]
+
+
 def author(raw: DataFrame) -> DataFrame:
     """One author per item; id falls back to the item id, then the username."""
     username = fp(["ownerUsername", "username"])
     keys = F.json_object_keys(F.col("raw"))
     return raw.select(
-        "item_seq", F.lit(PLATFORM).alias("platform"),
-        F.coalesce(fp(["ownerId", "id", "userId", "pk"]), fp(["username"]), F.lit("")).alias("platform_user_id"),
-        F.coalesce(py_strip(username), F.lit("unknown")).alias("username"),
+        "item_seq", F.lit(PLATFORM).alias("platform"), *author_key(),
         sfp(["ownerFullName", "fullName", "full_name"]).alias("display_name"),
         sfp(["biography", "bio"]).alias("bio"),
         F.coalesce(fp(["url", "profileUrl"]),
@@ -40,8 +44,8 @@ def author(raw: DataFrame) -> DataFrame:
     )
 
 
-def post(raw: DataFrame) -> DataFrame:
-    """Post with content type map, tag fallback and ordered media."""
+def post(raw: DataFrame, *keep: str) -> DataFrame:
+    """Post with content type map, tag fallback and ordered media; ``keep`` names further columns of ``raw``."""
     v = F.col("v")
     caption = F.coalesce(sfp(["caption", "text"]), F.lit(""))
     display = F.nullif(vget(v, "$.displayUrl"), F.lit(""))
@@ -73,23 +77,20 @@ def post(raw: DataFrame) -> DataFrame:
         fp(["likesCount", "likeCount"], "bigint").alias("likes_count"),
         fp(["commentsCount", "commentCount"], "bigint").alias("comments_count"),
         vget(v, "$.videoViewCount", "bigint").alias("video_view_count"),
-        vget(v, "$.videoPlayCount", "bigint").alias("video_play_count"),
+        vget(v, "$.videoPlayCount", "bigint").alias("video_play_count"), *keep,
     )
 
 
-def comment(raw: DataFrame) -> DataFrame:
+def comment(raw: DataFrame, *keep: str) -> DataFrame:
     """N3 + S4: root comments and their nested replies, flattened; a reply's parent is its root."""
     v = F.col("v")
     replies = vget(v, "$.replies", "array<variant>")
     child = vget(v, "$.childComments", "array<variant>")
     nested = F.when(F.size(replies) > 0, replies).otherwise(F.coalesce(child, F.array().cast("array<variant>")))
-    root_id = first_present(v, ["id", "commentId"])
-    roots = raw.select("item_seq", "target", F.col("v").alias("c"), F.lit(None).cast("string").alias("parent_native_id"),
-                       F.lit(0).alias("reply_pos"))
-    reps = raw.select("item_seq", "target", F.posexplode(nested).alias("reply_pos", "c"),
-                      F.coalesce(root_id, F.lit("")).alias("parent_native_id")) \
-              .select("item_seq", "target", "c", "parent_native_id", (F.col("reply_pos") + 1).alias("reply_pos"))
-    allc = roots.unionByName(reps)
+    # The root is element 0 of its thread, so that an item is read once.
+    allc = raw.select("item_seq", "target", *keep, F.coalesce(first_present(v, ["id", "commentId"]), F.lit("")).alias("_root"),
+                      F.posexplode(F.concat(F.array(v), nested)).alias("reply_pos", "c")) \
+              .withColumn("parent_native_id", F.when(F.col("reply_pos") > 0, F.col("_root")))
     c = F.col("c")
     text = F.coalesce(py_strip(first_present(c, ["text", "content"])), F.lit(""))
     return allc.select(
@@ -103,7 +104,7 @@ def comment(raw: DataFrame) -> DataFrame:
         first_present(c, ["repliesCount", "replyCount"], "bigint").alias("reply_count"),
         hashtags(text).alias("hashtags"), mentions(text).alias("mentions"),
         parse_ts(first_present(c, ["timestamp", "createdAt"])).alias("posted_at"),
-        first_present(c, ["ownerUsername", "username"]).alias("owner_username"),
+        first_present(c, ["ownerUsername", "username"]).alias("owner_username"), *keep,
     )
 
 

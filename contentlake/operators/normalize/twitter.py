@@ -17,13 +17,18 @@ def _author_obj() -> Column:
     return F.coalesce(F.try_variant_get("v", "$.author", "variant"), F.col("v"))
 
 
+def author_key(a: Column | None = None) -> list[Column]:
+    """``platform_user_id`` and ``username`` of an item's author."""
+    a = _author_obj() if a is None else a
+    return [F.coalesce(first_present(a, ["id", "userId", "restId"]), F.lit("")).alias("platform_user_id"),
+            F.coalesce(py_strip(first_present(a, ["userName", "username", "screen_name"])), F.lit("unknown"))
+            .alias("username")]
+
+
 def author(raw: DataFrame) -> DataFrame:
     """N5."""
     return raw.withColumn("a", _author_obj()).select(
-        "item_seq", F.lit(PLATFORM).alias("platform"),
-        F.coalesce(first_present(F.col("a"), ["id", "userId", "restId"]), F.lit("")).alias("platform_user_id"),
-        F.coalesce(py_strip(first_present(F.col("a"), ["userName", "username", "screen_name"])), F.lit("unknown"))
-        .alias("username"),
+        "item_seq", F.lit(PLATFORM).alias("platform"), *author_key(F.col("a")),
         first_present(F.col("a"), ["name", "displayName"]).alias("display_name"),
         first_present(F.col("a"), ["description", "bio"]).alias("bio"),
         F.try_variant_get(F.col("a"), "$.location", "string").alias("location"),
@@ -46,8 +51,9 @@ def _entity_list(path: str, field: str) -> Column:
                       F.array().cast("array<string>"))
 
 
-def post(raw: DataFrame) -> DataFrame:
-    """Entity lists beat extraction when non-empty; retweet > quote > tweet; media fallback."""
+def post(raw: DataFrame, *keep: str) -> DataFrame:
+    """Entity lists beat extraction when non-empty; retweet > quote > tweet; media fallback.
+    ``keep`` names further columns of ``raw``."""
     v = F.col("v")
     text = F.coalesce(py_strip(first_present(v, ["fullText", "text"])), F.lit(""))
     media_items = F.try_variant_get(v, "$.media", "array<variant>")
@@ -80,11 +86,11 @@ def post(raw: DataFrame) -> DataFrame:
         first_present(v, ["replyCount", "reply_count"], "bigint").alias("reply_count"),
         first_present(v, ["likeCount", "favorite_count"], "bigint").alias("like_count"),
         first_present(v, ["quoteCount", "quote_count"], "bigint").alias("quote_count"),
-        first_present(v, ["viewCount", "views"], "bigint").alias("view_count"),
+        first_present(v, ["viewCount", "views"], "bigint").alias("view_count"), *keep,
     )
 
 
-def comment(raw: DataFrame, root_ids: Column | None = None) -> DataFrame:
+def comment(raw: DataFrame, *keep: str) -> DataFrame:
     """N7 + S5: conversation search results minus the root post (by id or bare id)."""
     v = F.col("v")
     text = F.coalesce(py_strip(first_present(v, ["fullText", "text"])), F.lit(""))
@@ -100,7 +106,7 @@ def comment(raw: DataFrame, root_ids: Column | None = None) -> DataFrame:
         first_present(v, ["likeCount", "favorite_count"], "bigint").alias("likes"),
         first_present(v, ["replyCount", "reply_count"], "bigint").alias("reply_count"),
         hashtags("_text").alias("hashtags"), mentions("_text").alias("mentions"),
-        parse_ts_native(first_present(v, ["createdAt", "created_at"])).alias("posted_at"),
+        parse_ts_native(first_present(v, ["createdAt", "created_at"])).alias("posted_at"), *keep,
     )
     return out
 

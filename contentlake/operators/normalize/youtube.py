@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions import first_present, hashtags, lower_list, mentions, parse_ts, py_strip, urls, youtube_content_type
@@ -16,13 +16,18 @@ def _channel_id():
     return F.coalesce(first_present(F.col("v"), ["channelId", "channelUrl"]), F.lit(""))
 
 
+def author_key() -> list[Column]:
+    """``platform_user_id`` and ``username`` of an item's author."""
+    return [_channel_id().alias("platform_user_id"),
+            F.coalesce(py_strip(first_present(F.col("v"), ["channelName", "channelUsername"])), F.lit("unknown")).alias("username")]
+
+
 def author(raw: DataFrame) -> DataFrame:
     """The channel owner; id = channelId else channelUrl."""
     v = F.col("v")
     cid = _channel_id()
     return raw.select(
-        "item_seq", F.lit(PLATFORM).alias("platform"), cid.alias("platform_user_id"),
-        F.coalesce(py_strip(first_present(v, ["channelName", "channelUsername"])), F.lit("unknown")).alias("username"),
+        "item_seq", F.lit(PLATFORM).alias("platform"), *author_key(),
         F.try_variant_get(v, "$.channelName", "string").alias("display_name"),
         F.coalesce(F.try_variant_get(v, "$.channelUrl", "string"),
                    F.concat(F.lit("https://www.youtube.com/channel/"), cid)).alias("profile_url"),
@@ -32,23 +37,28 @@ def author(raw: DataFrame) -> DataFrame:
     )
 
 
+def channel_columns() -> list[Column]:
+    """The channel fields that the lake stores."""
+    v = F.col("v")
+    return [_channel_id().alias("platform_channel_id"), _channel_id().alias("author_native_id"),
+            F.coalesce(py_strip(F.try_variant_get(v, "$.channelName", "string")), F.lit("unknown")).alias("name"),
+            first_present(v, ["numberOfSubscribers", "subscriberCount"], "bigint").alias("subscriber_count")]
+
+
 def channel(raw: DataFrame) -> DataFrame:
     """The same item also yields the channel row."""
     v = F.col("v")
     return raw.select(
-        "item_seq", F.lit(PLATFORM).alias("platform"), _channel_id().alias("platform_channel_id"),
-        _channel_id().alias("author_native_id"),
-        F.coalesce(py_strip(F.try_variant_get(v, "$.channelName", "string")), F.lit("unknown")).alias("name"),
+        "item_seq", F.lit(PLATFORM).alias("platform"), *channel_columns(),
         F.try_variant_get(v, "$.channelDescription", "string").alias("description"),
-        first_present(v, ["numberOfSubscribers", "subscriberCount"], "bigint").alias("subscriber_count"),
         first_present(v, ["channelTotalVideos", "videoCount"], "bigint").alias("video_count"),
         first_present(v, ["channelTotalViews", "channelViewCount"], "bigint").alias("total_views"),
         F.try_variant_get(v, "$.channelLocation", "string").alias("country"),
     )
 
 
-def post(raw: DataFrame) -> DataFrame:
-    """Short when duration <= 60 s, else (or unknown) video."""
+def post(raw: DataFrame, *keep: str) -> DataFrame:
+    """Short when duration <= 60 s, else (or unknown) video; ``keep`` names further columns of ``raw``."""
     v = F.col("v")
     desc = F.coalesce(py_strip(first_present(v, ["text", "description"])), F.lit(""))
     vurl = first_present(v, ["url", "videoUrl"])
@@ -69,28 +79,33 @@ def post(raw: DataFrame) -> DataFrame:
         first_present(v, ["viewCount", "views"], "bigint").alias("view_count"),
         F.try_variant_get(v, "$.likes", "bigint").alias("like_count"),
         F.try_variant_get(v, "$.commentsCount", "bigint").alias("comments_count"),
-        F.col("_dur").alias("duration_seconds"),
+        F.col("_dur").alias("duration_seconds"), *keep,
     )
 
 
+def video_columns() -> list[Column]:
+    """The video fields that the lake stores."""
+    v = F.col("v")
+    vid = F.coalesce(first_present(v, ["id", "videoId"]), F.lit(""))
+    return [vid.alias("platform_video_id"), _channel_id().alias("channel_native_id"), vid.alias("post_native_id"),
+            F.coalesce(py_strip(F.try_variant_get(v, "$.title", "string")), F.lit("")).alias("title"),
+            variant_duration(v, "$.duration").alias("duration_seconds"),
+            first_present(v, ["url", "videoUrl"]).alias("video_url"),
+            parse_ts(first_present(v, ["date", "uploadDate"])).alias("published_at")]
+
+
 def video(raw: DataFrame) -> DataFrame:
     """The same item also yields the video row (linked to its post by natural key)."""
     v = F.col("v")
-    vid = F.coalesce(first_present(v, ["id", "videoId"]), F.lit(""))
     return raw.select(
-        "item_seq", F.lit(PLATFORM).alias("platform"), vid.alias("platform_video_id"),
-        _channel_id().alias("channel_native_id"), vid.alias("post_native_id"),
-        F.coalesce(py_strip(F.try_variant_get(v, "$.title", "string")), F.lit("")).alias("title"),
+        "item_seq", F.lit(PLATFORM).alias("platform"), *video_columns(),
         F.coalesce(py_strip(first_present(v, ["text", "description"])), F.lit("")).alias("description"),
         F.try_variant_get(v, "$.transcript", "string").alias("transcript"),
-        variant_duration(v, "$.duration").alias("duration_seconds"),
         F.try_variant_get(v, "$.thumbnailUrl", "string").alias("thumbnail_url"),
-        first_present(v, ["url", "videoUrl"]).alias("video_url"),
-        parse_ts(first_present(v, ["date", "uploadDate"])).alias("published_at"),
     )
 
 
-def comment(raw: DataFrame) -> DataFrame:
+def comment(raw: DataFrame, *keep: str) -> DataFrame:
     """parent = parentCommentId only when isReply."""
     v = F.col("v")
     text = F.coalesce(py_strip(first_present(v, ["text", "comment"])), F.lit(""))
@@ -105,7 +120,7 @@ def comment(raw: DataFrame) -> DataFrame:
         F.try_variant_get(v, "$.replyCount", "bigint").alias("reply_count"),
         hashtags("_text").alias("hashtags"), mentions("_text").alias("mentions"),
         parse_ts(F.try_variant_get(v, "$.publishedAt", "string")).alias("posted_at"),
-        F.try_variant_get(v, "$.author", "string").alias("author_display_name"),
+        F.try_variant_get(v, "$.author", "string").alias("author_display_name"), *keep,
     )
 
 

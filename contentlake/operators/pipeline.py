@@ -11,16 +11,18 @@ from __future__ import annotations
 
 import traceback
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bare_post_id
+from ..functions import bare_post_id, checksum
 from ..schema import JOB_ERRORS_KEPT, NATURAL_KEYS, PlanError
 from ..session import checkpoint_dir
-from ..sources.raw import objects_only
+from ..sources.raw import object_fault, objects_only
 from . import embeddings as E
 from .identity import dedupe_last_wins, entity_id
 from .merge import insert_new
@@ -89,7 +91,7 @@ class Lake:
     def _write(self, table: str, rows: DataFrame) -> str:
         folder = f"data-{uuid.uuid4().hex}"
         try:
-            rows.write.parquet(f"{self.root}/{table}/{folder}")
+            rows.write.option("compression", "zstd").parquet(f"{self.root}/{table}/{folder}")
         except Exception:
             self._remove(table, folder)
             raise
@@ -168,6 +170,15 @@ class Lake:
         _, folders = self._version(table)
         return self._merged(table, folders, columns).drop("_seq") if folders else None
 
+    def changes(self, table: str, columns: list[str]) -> tuple[DataFrame | None, list[str], str]:
+        """All changes of a table, not merged: keys, id, ``_seq`` and the given columns; with the names of keys and id."""
+        _, folders = self._version(table)
+        if not folders:
+            return None, [], ""
+        rows = self._rows(table, folders)
+        mark = rows.schema["_keys"].metadata
+        return rows.select(*mark["keys"], mark["id"], "_seq", *columns), mark["keys"], mark["id"]
+
     def upsert(self, table: str, batch: DataFrame, keys: list[str], id_col: str) -> tuple[int, int]:
         """Upsert ``batch`` into ``table``; returns (inserted, updated). A key that occurs twice in the
         batch is refused. Columns that only the batch has are added to the table."""
@@ -178,10 +189,9 @@ class Lake:
         folder = self._write(table, rows)
         try:
             new = self._rows(table, [folder]).select(*keys)
-            twice = new.groupBy(*keys).count().where("count > 1").limit(1).collect()
-            if twice:
-                raise PlanError(f"{table}: the batch has a key twice: {twice[0].asDict()}")
-            total = new.count()
+            most, total = new.groupBy(*keys).count().agg(F.max("count"), F.coalesce(F.sum("count"), F.lit(0))).first()
+            if total and most > 1:
+                raise PlanError(f"{table}: the batch has a key twice: {new.groupBy(*keys).count().where('count > 1').first().asDict()}")
             known = new.join(self._rows(table, folders).select(*keys), list(keys), "left_semi").count() if folders else 0
             self._commit(table, n, [*folders, folder])
         except Exception:
@@ -251,86 +261,142 @@ class Report:
         return "partial" if self.errors else "succeeded"
 
 
-def _authors(posts_raw: dict[str, DataFrame], comments_raw: dict[str, DataFrame],
-             profiles_raw: dict[str, DataFrame] | None = None) -> DataFrame:
-    from ..sources.raw import first_per_target
-    parts = []
-    mods = {"instagram": instagram, "twitter": twitter, "youtube": youtube}
-    for plat, df in (profiles_raw or {}).items():
-        # A profile scrape keeps only the first item of each target.
-        parts.append(mods[plat].author(first_per_target(df)).select("item_seq", "platform", "platform_user_id",
-                                                                   "username"))
-    if "instagram" in posts_raw:
-        parts.append(instagram.author(posts_raw["instagram"]).select("item_seq", "platform", "platform_user_id", "username"))
-    if "twitter" in posts_raw:
-        parts.append(twitter.author(posts_raw["twitter"]).select("item_seq", "platform", "platform_user_id", "username"))
-    if "youtube" in posts_raw:
-        parts.append(youtube.author(posts_raw["youtube"]).select("item_seq", "platform", "platform_user_id", "username"))
-    if "instagram" in comments_raw:
-        c = instagram.comment(comments_raw["instagram"])
-        parts.append(c.select("item_seq", "platform", F.col("author_native_id").alias("platform_user_id"),
-                              F.coalesce("owner_username", F.lit("unknown")).alias("username")))
-    if "twitter" in comments_raw:
-        parts.append(twitter.author(comments_raw["twitter"]).select("item_seq", "platform", "platform_user_id", "username"))
-    if "youtube" in comments_raw:
+MODULES = {"instagram": instagram, "twitter": twitter, "youtube": youtube}
+POST_COLUMNS = ["item_seq", "platform", "platform_post_id", "author_native_id", "content_type", "caption", "content",
+                "url", "hashtags", "mentions", "urls", "media", "posted_at"]
+COMMENT_COLUMNS = ["item_seq", "platform", "platform_comment_id", "post_ref", "author_native_id", "parent_native_id",
+                   "content", "likes", "posted_at"]
+
+
+def _post_items(platform: str, raw: DataFrame) -> DataFrame:
+    """All that the steps take from a platform's post items, by one pass over them. A content that repeats the caption
+    is left out (``_same``)."""
+    mod, keep = MODULES[platform], {"_author": F.struct(*MODULES[platform].author_key())}
+    if platform == "youtube":
+        keep |= {"_channel": F.struct(*youtube.channel_columns()), "_video": F.struct(*youtube.video_columns())}
+    p = _tagged(mod.post, raw, keep)
+    same = F.col("caption").eqNullSafe(F.col("content"))
+    counts = [c for c in p.columns if c.endswith("_count") and c not in POST_COLUMNS]
+    return p.select(*[c for c in POST_COLUMNS if c != "content"], F.when(~same, F.col("content")).alias("content"),
+                    same.alias("_same"), *counts, *keep, "_target", "_raw", "_reason")
+
+
+def _comment_items(platform: str, raw: DataFrame) -> DataFrame:
+    """All that the steps take from a platform's comment items, by one pass over them."""
+    c = _tagged(MODULES[platform].comment, raw, {"_author": F.struct(*twitter.author_key())} if platform == "twitter" else {})
+    if platform == "instagram":
+        author = F.struct(F.col("author_native_id").alias("platform_user_id"),
+                          F.coalesce("owner_username", F.lit("unknown")).alias("username"))
+    elif platform == "youtube":
         # Comment items carry no channel id: the display name is the author key (K7).
-        c = youtube.comment(comments_raw["youtube"])
-        parts.append(c.where(F.col("author_display_name").isNotNull()).select(
-            "item_seq", "platform", F.col("author_display_name").alias("platform_user_id"),
-            F.col("author_display_name").alias("username")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    # Canonical first-seen attributes per key, as the scrapers register authors.
-    from .identity import canonical_first_seen
-    a = canonical_first_seen(out, ["platform", "platform_user_id"])
-    return a.select(entity_id("platform", "platform_user_id").alias("author_id"), "platform", "platform_user_id",
-                    "username")
-
-
-def _posts(posts_raw: dict[str, DataFrame], columns: list[str] | None = None) -> DataFrame:
-    """The batch's posts, one per key, with their ids and the given columns (all, if None): the others are not shuffled."""
-    cols = ["item_seq", "platform", "platform_post_id", "author_native_id", "content_type", "caption", "content",
-            "url", "hashtags", "mentions", "urls", "media", "posted_at"]
-    cols = [c for c in cols if columns is None or c in {*columns, *cols[:4]}]
-    parts = []
-    for plat, mod in (("instagram", instagram), ("twitter", twitter), ("youtube", youtube)):
-        if plat in posts_raw:
-            parts.append(mod.post(posts_raw[plat]).select(*cols))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    keys, path = NATURAL_KEYS["posts"], f"{checkpoint_dir(out.sparkSession).rstrip('/')}/twice-{uuid.uuid4().hex[:12]}"
-    if columns is None:
-        # Rows with texts are not shuffled unless their key comes twice.
-        out.groupBy(*keys).count().where("count > 1").select(*[F.col(k).alias(f"_{k}") for k in keys]).write.parquet(path)
-        twice = out.sparkSession.read.parquet(path)
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-        d = out.join(twice, same, "left_anti").unionByName(dedupe_last_wins(out.join(twice, same, "left_semi"), keys).drop("first_seq"))
+        c = c.withColumn("author_native_id", F.col("author_display_name"))
+        author = F.when(F.col("author_native_id").isNotNull(),
+                        F.struct(F.col("author_native_id").alias("platform_user_id"), F.col("author_native_id").alias("username")))
     else:
-        d = dedupe_last_wins(out, keys).drop("first_seq")
-    return d.select(entity_id("platform", "platform_post_id").alias("post_id"),
-                    entity_id("platform", "author_native_id").alias("author_id"), *[c for c in cols[1:]
-                                                                                   if c != "author_native_id"])
-
-
-def _comments(comments_raw: dict[str, DataFrame], columns: list[str] | None = None) -> DataFrame:
-    """The batch's comments, one per key, with the given columns (all, if None): the others are not shuffled."""
-    cols = ["item_seq", "platform", "platform_comment_id", "post_ref", "author_native_id", "parent_native_id",
-            "content", "likes", "posted_at"]
-    cols = [c for c in cols if columns is None or c in {*columns, *cols[:3]}]
-    parts = []
-    if "instagram" in comments_raw:
-        parts.append(instagram.comment(comments_raw["instagram"]).select(*cols))
-    if "twitter" in comments_raw:
-        parts.append(twitter.exclude_root(twitter.comment(comments_raw["twitter"])).select(*cols))
-    if "youtube" in comments_raw:
-        c = youtube.comment(comments_raw["youtube"]).withColumn("author_native_id", F.col("author_display_name"))
-        parts.append(c.select(*cols))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return dedupe_last_wins(out, NATURAL_KEYS["comments"]).drop("first_seq")
+        author = F.col("_author")
+    return c.select(*COMMENT_COLUMNS, author.alias("_author"), "_target", "_raw", "_reason")
+
+
+def _tagged(normalize, raw: DataFrame, keep: dict) -> DataFrame:
+    """``normalize`` over all items, with their fault (``_reason``; none in an object) and the text of faulty ones."""
+    none = F.lit(None).cast("string")
+    reason = object_fault() if {"v", "raw"} <= set(raw.columns) else none  # any other frame fails in the steps that read it
+    keep = keep | {"_reason": reason} | {f"_{c}": F.when(reason.isNotNull(), F.col(c)) if c in raw.columns else none for c in ("target", "raw")}
+    return normalize(raw.select("*", *[c.alias(name) for name, c in keep.items()]), *keep)
+
+
+class Items:
+    """The items of a batch, normalized once: each platform's items are written to the shared folder by one pass, and
+    the steps read the columns that they use. Items that cannot be written are normalized anew by each step that
+    reads them, which then fails by itself."""
+
+    def __init__(self, spark: SparkSession, posts_raw: dict[str, DataFrame], comments_raw: dict[str, DataFrame]):
+        self.spark, self.path = spark, f"{checkpoint_dir(spark).rstrip('/')}/items-{uuid.uuid4().hex}"
+        self._twice: dict[str, DataFrame | None] = {}
+        self._lock = Lock()
+        todo = [(kind, make, plat, raws[plat]) for kind, make, raws in (("posts", _post_items, posts_raw), ("comments", _comment_items, comments_raw))
+                for plat in MODULES if plat in raws]
+        with ThreadPoolExecutor(max_workers=max(len(todo), 1)) as pool:
+            done = list(pool.map(lambda x: self._stage(*x), todo))
+        self._parts = {(kind, plat): get for (kind, _, plat, _), get in zip(todo, done)}
+        self._checked = {(kind, plat) for kind, _, plat, raw in todo if {"v", "raw"} <= set(raw.columns)}
+
+    def _stage(self, kind: str, make, plat: str, raw: DataFrame):
+        try:
+            path = f"{self.path}/{kind}-{plat}"
+            make(plat, raw).write.option("compression", "zstd").parquet(path)
+            df = self.spark.read.parquet(path)
+            return lambda: df
+        except Exception:  # noqa: BLE001 - the steps that read these items fail, not the run
+            return lambda: make(plat, raw)
+
+    def faulty(self) -> list[DataFrame]:
+        """The items that are no JSON object, as (platform, target, raw, reason)."""
+        return [get().where(F.col("_reason").isNotNull()).select(F.lit(plat).alias("platform"), F.col("_target").alias("target"),
+                                                              F.col("_raw").alias("raw"), F.col("_reason").alias("reason"))
+                for (kind, plat), get in self._parts.items() if (kind, plat) in self._checked]
+
+    def part(self, kind: str, plat: str) -> DataFrame:
+        """The items of one platform that are JSON objects."""
+        d = self._parts[kind, plat]().where(F.col("_reason").isNull())
+        return d if kind == "comments" else d.withColumn("content", F.when(F.col("_same"), F.col("caption")).otherwise(F.col("content")))
+
+    def platforms(self, kind: str) -> list[str]:
+        return [plat for k, plat in self._parts if k == kind]
+
+    def _rows(self, kind: str, columns: list[str]) -> DataFrame:
+        def rows(plat):
+            d = self.part(kind, plat)
+            if (kind, plat) == ("comments", "twitter"):
+                d = twitter.exclude_root(d)
+            return d.select(*columns)
+
+        return reduce(DataFrame.unionByName, [rows(plat) for plat in self.platforms(kind)])
+
+    def one_per_key(self, kind: str, rows: DataFrame) -> DataFrame:
+        """D1 on rows of posts or comments. Rows are not shuffled unless their key comes twice in the batch."""
+        keys = NATURAL_KEYS[kind]
+        with self._lock:
+            if kind not in self._twice:
+                path = f"{self.path}/twice-{kind}"
+                self._rows(kind, keys).groupBy(*keys).count().where("count > 1") \
+                    .select(*[F.col(k).alias(f"_{k}") for k in keys]).write.mode("overwrite").parquet(path)
+                twice = self.spark.read.parquet(path)
+                self._twice[kind] = None if twice.isEmpty() else twice
+            twice = self._twice[kind]
+        if twice is None:
+            return rows
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        return rows.join(twice, same, "left_anti").unionByName(
+            dedupe_last_wins(rows.join(twice, same, "left_semi"), keys).drop("first_seq").select(*rows.columns))
+
+    def posts(self, columns: list[str]) -> DataFrame:
+        """The batch's posts, one per key, with their ids and the given columns."""
+        cols = [c for c in POST_COLUMNS if c in {*columns, *POST_COLUMNS[:4]}]
+        return self.one_per_key("posts", self._rows("posts", cols)).select(
+            entity_id("platform", "platform_post_id").alias("post_id"), entity_id("platform", "author_native_id").alias("author_id"),
+            *[c for c in cols[1:] if c != "author_native_id"])
+
+    def comments(self, columns: list[str]) -> DataFrame:
+        """The batch's comments, one per key, with the given columns."""
+        return self.one_per_key("comments", self._rows("comments", [c for c in COMMENT_COLUMNS if c in {*columns, *COMMENT_COLUMNS[:3]}]))
+
+    def authors(self, profiles_raw: dict[str, DataFrame] | None = None) -> DataFrame:
+        from ..sources.raw import first_per_target
+        from .identity import canonical_first_seen
+        cols = ["item_seq", "platform", "platform_user_id", "username"]
+        # A profile scrape keeps only the first item of each target.
+        parts = [MODULES[plat].author(first_per_target(df)).select(*cols) for plat, df in (profiles_raw or {}).items()]
+        for kind, plat in self._parts:
+            d = self.part(kind, plat).where(F.col("_author").isNotNull())
+            parts.append(d.select("item_seq", "platform", "_author.platform_user_id", "_author.username"))
+        # Canonical first-seen attributes per key, as the scrapers register authors.
+        a = canonical_first_seen(reduce(DataFrame.unionByName, parts), ["platform", "platform_user_id"])
+        return a.select(entity_id("platform", "platform_user_id").alias("author_id"), "platform", "platform_user_id", "username")
+
+    def remove(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], comments_raw: dict[str, DataFrame],
@@ -340,22 +406,24 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
     rep = Report()
     lake.begin_run()
     lake.job_event(0, "running")
+    items = Items(spark, posts_raw, comments_raw)
     split: list[DataFrame] = []
 
-    def good_items(raws: dict[str, DataFrame] | None) -> dict[str, DataFrame]:
+    def good_items(raws: dict[str, DataFrame] | None, staged=()) -> dict[str, DataFrame]:
         out = {}
         for plat, raw in (raws or {}).items():
-            if {"v", "raw"} <= set(raw.columns):  # any other frame fails in the steps that read it
+            if plat not in staged and {"v", "raw"} <= set(raw.columns):  # any other frame fails in the steps that read it
                 raw, bad = objects_only(raw)
                 split.append(bad.select(F.lit(plat).alias("platform"), "target", "raw", "reason"))
             out[plat] = raw
         return out
 
-    posts_raw, comments_raw, profiles_raw = good_items(posts_raw), good_items(comments_raw), good_items(profiles_raw)
+    posts_raw, comments_raw, profiles_raw = good_items(posts_raw, MODULES), good_items(comments_raw, MODULES), good_items(profiles_raw)
 
     def do_quarantine():
-        if split:
-            rep.counters["quarantined"] = lake.quarantine(reduce(DataFrame.unionByName, split))
+        parts = items.faulty() + split
+        if parts:
+            rep.counters["quarantined"] = lake.quarantine(reduce(DataFrame.unionByName, parts))
 
     def step(name: str, fn) -> None:
         try:
@@ -366,14 +434,14 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
             traceback.print_exc()
 
     def do_authors():
-        ins, upd = lake.upsert("authors", _authors(posts_raw, comments_raw, profiles_raw), NATURAL_KEYS["authors"],
+        ins, upd = lake.upsert("authors", items.authors(profiles_raw), NATURAL_KEYS["authors"],
                                "author_id")
         rep.counters["authors_upserted"] = ins + upd
 
     def do_channels():
         if "youtube" not in posts_raw:
             return
-        ch = youtube.channel(posts_raw["youtube"])
+        ch = items.part("posts", "youtube").select("item_seq", "platform", "_channel.*")
         ch = dedupe_last_wins(ch, NATURAL_KEYS["channels"]).drop("first_seq")
         ch = ch.select(entity_id("platform", "platform_channel_id").alias("channel_id"),
                        entity_id("platform", "author_native_id").alias("author_id"), "platform", "platform_channel_id",
@@ -384,15 +452,14 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
     def do_posts():
         if not posts_raw:
             return
-        p = _posts(posts_raw).drop("media", "mentions")
+        p = items.posts([c for c in POST_COLUMNS if c not in ("media", "mentions")])
         ins, upd = lake.upsert("posts", p, NATURAL_KEYS["posts"], "post_id")
         rep.counters["posts_upserted"] = ins + upd
 
     def do_videos():
         if "youtube" not in posts_raw:
             return
-        v = youtube.video(posts_raw["youtube"]).select("item_seq", "platform", "platform_video_id", "channel_native_id", "post_native_id",
-                                                       "title", "duration_seconds", "video_url", "published_at")
+        v = items.part("posts", "youtube").select("item_seq", "platform", "_video.*")
         v = dedupe_last_wins(v, NATURAL_KEYS["videos"]).drop("first_seq")
         v = v.select(entity_id("platform", "platform_video_id").alias("video_id"),
                      entity_id("platform", "channel_native_id").alias("channel_id"),
@@ -405,7 +472,7 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
         if not comments_raw:
             return
         # References are resolved on rows without texts, which join the comments by their key in the end.
-        c = _comments(comments_raw, ["post_ref", "parent_native_id"])
+        c = items.comments(["post_ref", "parent_native_id"])
         stored = lake.read("posts", ["url"])
         # Post reference (K5): a bare id, or a URL -- watch?v=<id>, /status/<id>, /p/<code>/, /reel/<code>/ --
         # resolved by natural key, else by the stored post URL; unresolved references are kept as given.
@@ -418,7 +485,7 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
         c = c.withColumn("_ref", ref).join(by_id, ["platform", "_ref"], "left").join(by_url, ["platform", "post_ref"], "left")
         c = c.withColumn("post_id", F.coalesce("_by_id", "_by_url", F.col("post_ref")))
         # Parent link only when the parent is part of the stored set (D6), on native ids.
-        known = _comments(comments_raw, []).select(F.col("platform").alias("_pp"), F.col("platform_comment_id").alias("_pn"))
+        known = items.comments([]).select(F.col("platform").alias("_pp"), F.col("platform_comment_id").alias("_pn"))
         prev = lake.read("comments", [])
         if prev is not None:
             known = known.unionByName(prev.select(F.col("platform").alias("_pp"), F.col("platform_comment_id").alias("_pn")))
@@ -426,7 +493,7 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
         c = c.join(known, (F.col("platform") == F.col("_pp")) & (F.col("parent_native_id") == F.col("_pn")), "left") \
              .withColumn("parent_comment_id", F.when(F.col("_pn").isNotNull(), entity_id("platform", "parent_native_id")))
         c = c.select(*NATURAL_KEYS["comments"], "post_id", "parent_comment_id")
-        c = _comments(comments_raw, ["author_native_id", "content", "likes", "posted_at"]).join(c, NATURAL_KEYS["comments"]) \
+        c = items.comments(["author_native_id", "content", "likes", "posted_at"]).join(c, NATURAL_KEYS["comments"]) \
             .withColumn("comment_id", entity_id("platform", "platform_comment_id")) \
             .withColumn("author_id", entity_id("platform", "author_native_id"))
         c = c.select("comment_id", "platform", "platform_comment_id", "post_id", "author_id", "parent_comment_id",
@@ -437,7 +504,7 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
     def do_media():
         if not posts_raw:
             return
-        m = _posts(posts_raw, ["media"]).select("post_id", F.explode("media").alias("m")).select(
+        m = items.posts(["media"]).select("post_id", F.explode("media").alias("m")).select(
             "post_id", F.col("m.media_type").alias("media_type"), F.col("m.url").alias("url"),
             F.col("m.order_index").alias("order_index"))
         rep.counters["media_created"] = lake.append_new("media", m, ["post_id", "url"])
@@ -445,7 +512,7 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
     def do_hashtags():
         if not posts_raw:
             return
-        links = _posts(posts_raw, ["hashtags"]).select("post_id", F.explode("hashtags").alias("tag")).where(F.col("tag") != "").distinct()
+        links = items.posts(["hashtags"]).select("post_id", F.explode("hashtags").alias("tag")).where(F.col("tag") != "").distinct()
         tags = links.select("tag").distinct().withColumn("hashtag_id", F.sha2("tag", 256))
         lake.append_new("hashtags", tags, ["tag"])
         l2 = links.withColumn("hashtag_id", F.sha2("tag", 256)).select("post_id", "hashtag_id")
@@ -454,7 +521,7 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
     def do_mentions():
         if not posts_raw:
             return
-        m = _posts(posts_raw, ["mentions"]).select("post_id", F.explode("mentions").alias("username")).where(F.col("username") != "")
+        m = items.posts(["mentions"]).select("post_id", F.explode("mentions").alias("username")).where(F.col("username") != "")
         rep.counters["mentions_created"] = lake.append_new("mentions", m, ["post_id", "username"])
 
     def do_engagement():
@@ -463,10 +530,9 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
         parts = []
         for plat, mod in (("instagram", instagram), ("twitter", twitter), ("youtube", youtube)):
             if plat in posts_raw:
-                p = mod.post(posts_raw[plat])
-                p = p.select("item_seq", *NATURAL_KEYS["posts"], *[x for x in p.columns if x.endswith("_count")])  # texts are not shuffled
-                p = dedupe_last_wins(p, NATURAL_KEYS["posts"]).drop("first_seq")
-                parts.append(mod.engagement(p))
+                p = items.part("posts", plat)
+                p = p.select("item_seq", *NATURAL_KEYS["posts"], *[x for x in p.columns if x.endswith("_count")])
+                parts.append(mod.engagement(items.one_per_key("posts", p)))
         e = parts[0]
         for p in parts[1:]:
             e = e.unionByName(p)
@@ -475,21 +541,48 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
         ins, upd = lake.upsert("engagement", e, ["post_id"], "post_id")
         rep.counters["engagement_upserted"] = ins + upd
 
+    def changed_texts(existing: DataFrame) -> DataFrame | None:
+        """The pending items of the stored posts and comments. Changes are merged and compared by their checksums; texts
+        are taken from the changes that are pending."""
+        out = []
+        for table, columns, source_type, text in (("posts", ["caption", "content"], "post", E.post_text()),
+                                                  ("comments", ["content"], "comment", E.comment_text())):
+            rows, keys, id_col = lake.changes(table, columns)
+            if rows is None:
+                continue
+            rows = rows.select(*keys, F.col(id_col).cast("string").alias("_id"), "_seq", text.alias("text"))
+            last = rows.select(*keys, "_id", "_seq", checksum(F.nullif("text", F.lit(""))).alias("checksum")).groupBy(*keys).agg(
+                F.min_by("_id", "_seq").alias("source_id"), F.max_by("checksum", "_seq").alias("checksum"), F.max("_seq").alias("_seq"))
+            last = last.where(F.col("checksum").isNotNull()).withColumn("source_type", F.lit(source_type))
+            path = f"{items.path}/pending-{table}"
+            E.pending(last, existing.select("source_type", "source_id", "model", "checksum"), provider.model_name).write.parquet(path)
+            pend = spark.read.parquet(path)
+            first = pend.agg(F.min("_seq")).first()[0]
+            if first is None:
+                rows, pend = rows.where(F.lit(False)), pend.where(F.lit(False))
+            pend = pend.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_seq").alias("_s"), "source_type", "source_id", "checksum")
+            same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+            out.append(rows.where(F.col("_seq") >= F.lit(first)).join(pend, same & (F.col("_seq") == F.col("_s")))
+                       .select("source_type", "source_id", "checksum", "text"))
+        return reduce(DataFrame.unionByName, out) if out else None
+
     def do_embeddings():
         if provider is None:
             return
-        sp, sc = lake.read("posts", ["caption", "content"]), lake.read("comments", ["content"])
-        if sp is None and sc is None:
-            return
-        p = (sp.select("post_id", "platform", "caption", "content") if sp is not None else
-             spark.createDataFrame([], "post_id string, platform string, caption string, content string"))
-        c = (sc.select("comment_id", "platform", "content") if sc is not None else
-             spark.createDataFrame([], "comment_id string, platform string, content string"))
-        items = E.embeddable_items(p, c)
         existing = lake.read("embeddings", ["checksum"])
-        if existing is None:
-            existing = spark.createDataFrame([], "source_type string, source_id string, model string, checksum string")
-        pend = E.pending(items, existing.select("source_type", "source_id", "model", "checksum"), provider.model_name)
+        if existing is not None:
+            pend = changed_texts(existing)
+            if pend is None:
+                return
+        else:  # all texts are new
+            sp, sc = lake.read("posts", ["caption", "content"]), lake.read("comments", ["content"])
+            if sp is None and sc is None:
+                return
+            p = (sp.select("post_id", "platform", "caption", "content") if sp is not None else
+                 spark.createDataFrame([], "post_id string, platform string, caption string, content string"))
+            c = (sc.select("comment_id", "platform", "content") if sc is not None else
+                 spark.createDataFrame([], "comment_id string, platform string, content string"))
+            pend = E.pending(E.embeddable_items(p, c), None, provider.model_name)
         vecs = E.embed(pend, provider).select("source_type", "source_id", "model", "checksum", "dimensions", "vector")
         ins, upd = lake.upsert("embeddings", vecs, ["source_id", "source_type", "model"], "source_id")
         rep.counters["embeddings_generated"] = ins + upd
@@ -500,7 +593,6 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
     for name, fn in (("quarantine", do_quarantine), ("authors", do_authors), ("channels", do_channels), ("posts", do_posts), ("videos", do_videos),
                      ("comments", do_comments)):
         step(name, fn)
-    from concurrent.futures import ThreadPoolExecutor
     independent = (("media", do_media), ("hashtags", do_hashtags), ("mentions", do_mentions),
                    ("engagement", do_engagement))
     with ThreadPoolExecutor(max_workers=len(independent)) as pool:
@@ -509,4 +601,5 @@ def ingest(spark: SparkSession, lake: Lake, posts_raw: dict[str, DataFrame], com
     lake.job_event(1, rep.status, rep.total_records if rep.status != "failed" else None,
                    "; ".join(rep.errors[:JOB_ERRORS_KEPT]) or None)
     lake.end_run()
+    items.remove()
     return rep

@@ -55,7 +55,16 @@ def read_raw(spark, path: str, platform: str, mode: str, target: str | None = No
 def objects_only(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items that are JSON objects, and the rest with a ``reason``: text that does not parse, and JSON
     that is no object, normalize to nothing."""
-    return quarantine_split(raw, {"not_an_object": F.schema_of_variant("v").startswith("OBJECT")})
+    return quarantine_split(raw, _object_rules())
+
+
+def object_fault() -> Column:
+    """Why an item is no JSON object, NULL if it is one."""
+    return first_fault(_object_rules())
+
+
+def _object_rules() -> dict[str, Column]:
+    return {"not_an_object": F.schema_of_variant("v").startswith("OBJECT")}
 
 
 def _json(**fields: Column) -> Column:
@@ -323,16 +332,21 @@ def limit_per_target(raw: DataFrame, limit: int) -> DataFrame:
     return raw.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
 
 
+def first_fault(required: dict[str, Column]) -> Column:
+    """Name of the first rule that an item breaks, NULL if it keeps all."""
+    reason = F.when(F.col("v").isNull(), F.lit("malformed_json"))
+    for name, ok in required.items():
+        reason = reason.when(~F.coalesce(ok, F.lit(False)), F.lit(name))
+    return reason
+
+
 def quarantine_split(raw: DataFrame, required: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """S12/DQ5: valid rows, and invalid rows with the first failing rule as ``reason``.
 
     ``required`` maps a rule name to a predicate that must hold; an unparsable
     item (NULL variant) always fails with ``malformed_json``.
     """
-    reason = F.when(F.col("v").isNull(), F.lit("malformed_json"))
-    for name, ok in required.items():
-        reason = reason.when(~F.coalesce(ok, F.lit(False)), F.lit(name))
-    tagged = raw.withColumn("reason", reason)
+    tagged = raw.withColumn("reason", first_fault(required))
     return tagged.where(F.col("reason").isNull()).drop("reason"), tagged.where(F.col("reason").isNotNull())
 
 

@@ -68,3 +68,34 @@ def test_question_intent(spark):
     assert one(spark, fn.question_intent(F.col("x")), "Show the TREND of likes") == "trend"
     assert one(spark, fn.question_intent(F.col("x")), "instagram vs twitter") == "comparison"
     assert one(spark, fn.question_intent(F.col("x")), "hello") is None
+
+
+def test_tags_beside_other_characters(spark):
+    import regex
+
+    from contentlake import functions as fn
+    texts = ["#a", "x#a", "#a#b", "##a", "é#a", "_#a", "-#a", "#é_1", "#", "a #", "²#a", "\U0001f600#Up", " @b@c @@d", "\n#n\t@t", "x@y @z"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", fn.hashtags("t").alias("h"), fn.mentions("t").alias("m")).collect()
+    for r in got:
+        for mark, tags in (("#", r["h"]), ("@", r["m"])):
+            want = regex.findall(rf"(?<![\p{{L}}\p{{N}}_]){mark}([\p{{L}}\p{{N}}_]+)", texts[r["i"]].lower())
+            assert tags == list(dict.fromkeys(want)), texts[r["i"]]
+
+
+def test_hashing_provider_takes_the_words_of_any_script():
+    import hashlib
+
+    import numpy as np
+    import regex
+
+    from contentlake.operators import embeddings as E
+    texts = [None, "", " ..", "Ünï x_1 don’t x_1", "ΣΑΣ İstanbul ² Ⅷ", "一二三,四 a\x85b\x1cc", "\U0001d49cb ab", "x" * 200 + " é" * 100]
+    for dims in (1, 8):
+        for t, got in zip(texts, E.HashingProvider(dims).embed_texts(texts)):
+            v = np.zeros(dims)
+            for w in regex.findall(r"[\p{L}\p{N}_]+", (t or "").lower()):
+                h = hashlib.md5(w.encode()).hexdigest()
+                v[int(h[1:9], 16) % dims] += 1.0 if int(h[0], 16) % 2 == 0 else -1.0
+            n = np.linalg.norm(v)
+            assert got == (v / n if n else v).tolist(), t

@@ -163,3 +163,73 @@ def test_lake_reads_only_what_is_asked_for(spark, tmp_path):
         got = {r["k"]: (r["id"], r["v"], r["updated_at"] > r["created_at"]) for r in two.collect()}
         assert got == {f"k{i}": (f"id{i}", "v2", True) if f"k{i}" < "k2" else (f"id{i}", "v1", False) for i in range(20)}
         lake.compact("t")
+
+
+def _raw(spark, items, mode="posts"):
+    import json
+
+    from contentlake.sources.raw import with_variant
+    rows = [(x if isinstance(x, str) else json.dumps(x), i, "acct", "instagram", mode) for i, x in enumerate(items)]
+    return with_variant(spark.createDataFrame(rows, "raw string, item_seq long, target string, platform string, mode string"))
+
+
+def test_ingest_normalizes_each_item_once(spark, tmp_path, monkeypatch):
+    from contentlake.operators.normalize import instagram
+    from contentlake.operators.pipeline import Lake, ingest
+    calls = []
+    for name in ("post", "comment"):
+        def counted(raw, *keep, _f=getattr(instagram, name), _name=name):
+            calls.append(_name)
+            return _f(raw, *keep)
+        monkeypatch.setattr(instagram, name, counted)
+    posts = _raw(spark, [{"id": "p1", "caption": "old #one @ann", "ownerId": "u1", "ownerUsername": "first", "likesCount": 1, "displayUrl": "http://x/1"},
+                         "{broken", {"id": "p2", "caption": "two #Two", "ownerId": "u2"}, "7",
+                         {"id": "p1", "caption": "new #Three @bob", "ownerId": "u1", "ownerUsername": "later", "likesCount": 5, "displayUrl": "http://x/2"}])
+    comments = _raw(spark, [{"id": "c1", "text": "hi", "ownerId": "u3", "replies": [{"id": "c2", "text": "re", "ownerId": "u4"}]}, "[1]"], "comments")
+    lake = Lake(spark, str(tmp_path / "lake"))
+    rep = ingest(spark, lake, {"instagram": posts}, {"instagram": comments})
+    assert not rep.errors and sorted(calls) == ["comment", "post"]
+    assert rep.counters["quarantined"] == 3
+    p = {r["platform_post_id"]: r for r in lake.read("posts").collect()}
+    assert set(p) == {"p1", "p2"} and p["p1"]["caption"] == p["p1"]["content"] == "new #Three @bob"
+    # All tables take the last item of a key that comes twice; authors the first.
+    assert {r["tag"] for r in lake.read_rows("hashtags").collect()} == {"three", "two"}
+    assert [r["username"] for r in lake.read_rows("mentions").collect()] == ["bob"]
+    assert [r["url"] for r in lake.read_rows("media").collect()] == ["http://x/2"]
+    assert {r["post_id"]: r["likes"] for r in lake.read("engagement").collect()} == {p["p1"]["post_id"]: 5, p["p2"]["post_id"]: None}
+    assert {r["platform_user_id"]: r["username"] for r in lake.read("authors").collect()} == {
+        "u1": "first", "u2": "unknown", "u3": "unknown", "u4": "unknown"}
+    c = {r["platform_comment_id"]: r for r in lake.read("comments").collect()}
+    assert c["c2"]["parent_comment_id"] == c["c1"]["comment_id"] and c["c1"]["parent_comment_id"] is None
+
+
+def test_only_changed_texts_are_embedded_anew(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from contentlake.operators import embeddings as E
+    from contentlake.operators.pipeline import Lake, ingest
+    provider, lake = E.HashingProvider(16), Lake(spark, str(tmp_path / "lake"))
+
+    def run(**texts):
+        rep = ingest(spark, lake, {"instagram": _raw(spark, [{"id": k, "caption": v, "ownerId": "u"} for k, v in texts.items()])}, {}, provider)
+        assert not rep.errors
+        ids = {r["post_id"]: r["platform_post_id"] for r in lake.read("posts").collect()}
+        return rep.counters["embeddings_generated"], {ids[r["source_id"]]: list(r["vector"]) for r in lake.read("embeddings").collect()}
+
+    def vector(text):
+        return pytest.approx(provider.embed_texts([text])[0], abs=1e-6)
+
+    assert run(a="one", b="two", c="three")[0] == 3
+    n, got = run(a="one", b="two changed", c="  ", d="four")  # c has no text now; its vector stays
+    assert n == 2 and got == {"a": vector("one"), "b": vector("two changed"), "c": vector("three"), "d": vector("four")}
+    # An older text that comes back is a change; texts are compared after merging, also over compacted changes.
+    lake.compact("posts")
+    n, got = run(b="two", e="five")
+    assert n == 2 and got["b"] == vector("two") and got["e"] == vector("five")
+    assert run(a="one")[0] == 0
+    # Texts of a run whose embeddings failed are embedded by the next one.
+    with monkeypatch.context() as m:
+        m.setattr(E, "embed", lambda *_: 1 / 0)
+        assert ingest(spark, lake, {"instagram": _raw(spark, [{"id": "f", "caption": "six", "ownerId": "u"}])}, {}, provider).errors
+    n, got = run(a="one")
+    assert n == 1 and got["f"] == vector("six")
